@@ -17,14 +17,8 @@ CHUNK_BYTES = 4 << 20
 
 def bounded_batches(spark: SparkSession) -> SparkSession:
     """Keep the Arrow batches small: both a row and a byte bound."""
-    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", 32 << 20)):
-        name = f"spark.sql.execution.arrow.{key}"
-        try:
-            now = int(spark.conf.get(name, "0"))
-        except ValueError:
-            now = 0
-        if now <= 0 or now > most:
-            spark.conf.set(name, str(most))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "32m")
     return spark
 
 
