@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
+from .packing import pack_documents
+from .simhash import near_duplicates
 from .token_count import count_tokens, with_limit
 
 
@@ -19,8 +22,17 @@ def op1_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_limit(count_tokens(table(spark, sf_dir, "documents"), _vocabulary()))
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), _vocabulary())
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_count": op1_token_count}
+    return {"op1_token_count": op1_token_count, "op4_best_fit_packing": op4_best_fit_packing, "op5_simhash": op5_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
