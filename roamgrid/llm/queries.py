@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import decontam, line_dedup, quality_mil, quality_rules
 from .common import table
 from .packing import pack_documents
 from .simhash import near_duplicates
@@ -31,8 +32,29 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_mil.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules.apply_rules(docs, quality_rules.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, kept_chars and kept_sha256 of what stays, n_cut lines that went and their places (from 0)."""
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    cut = F.coalesce("__cut", F.array().cast("array<int>"))
+    text = F.coalesce("text", F.lit(""))
+    return found.select("doc_id", F.length(text).cast("long").alias("kept_chars"), F.sha2(text, 256).alias("kept_sha256"), F.size(cut).cast("long").alias("n_cut"), F.array_join(F.array_sort(cut), ",").alias("cut_lines"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_count": op1_token_count, "op4_best_fit_packing": op4_best_fit_packing, "op5_simhash": op5_simhash}
+    return {f.__name__: f for f in (op1_token_count, op3_quality_mil, op4_best_fit_packing, op5_simhash, op8_quality_rules, op9_decontamination, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -10,29 +10,42 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 from collections.abc import Iterable
 
-import numpy as np
-
 #: ASCII white space only: other white space stays inside a word, where the tokenizer itself handles it.
 WHITE = re.compile("[ \t\n\r\f\v]+")
-CACHE_WORDS = 400_000
+#: Of each of two generations: when the young one is full it becomes the old one, and words met again return to the young.
+CACHE_WORDS = 450_000
 CACHED_CHARS = 48
 BATCH_BYTES = 1 << 18
 
 
+def core(word: str) -> tuple[str, str]:
+    """A word's part to encode and the full stops or commas behind it, encoded apart: a letter always ends a pre-token there.
+
+    Plain ASCII is lower-cased, as the tokenizer itself does, unless it may hold a special string.
+    """
+    stem = word.rstrip(".,")
+    if len(stem) == len(word) or not stem[-1:].isalpha() or stem[-1] > "\u00ff":  # further on, lower-casing may add a mark
+        stem = word
+    return (stem.lower() if stem.isascii() and "<|" not in stem else stem), word[len(stem) :]
+
+
 class WordEncoder:
-    """Ids of words as little-endian unsigned 32-bit bytes, for tokenizers that drop white space."""
+    """Ids of words as little-endian unsigned 32-bit bytes, for tokenizers that drop white space and lower-case."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _encode(self, words: Iterable[str]) -> Iterable[tuple[str, bytes]]:
-        """Batches balanced by bytes, so that one call never holds more than a bounded number of ids."""
+        """In batches balanced by bytes, so that one call never holds more than a bounded number of ids, but for a long word."""
         held, size = [], 0
         for word in words:
             held.append(word)
@@ -40,28 +53,39 @@ class WordEncoder:
             if size >= BATCH_BYTES:
                 yield from self._batch(held)
                 held, size = [], 0
-        yield from self._batch(held)
+        if held:
+            yield from self._batch(held)
 
     def _batch(self, words: list[str]) -> Iterable[tuple[str, bytes]]:
-        for word, code in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False) if words else (), strict=True):
-            yield word, np.array(code.ids, "<u4").tobytes()
+        for word, code in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
+            ids = array("I", code.ids)
+            if sys.byteorder != "little":
+                ids.byteswap()
+            yield word, ids.tobytes()
+
+    def _known(self, words: set[str], found: dict[str, bytes]) -> set[str]:
+        """The words still to encode; those of the old generation come back to ``found``."""
+        rest = words.difference(found)
+        back = rest.intersection(self.old)
+        found.update(zip(back, map(self.old.__getitem__, back), strict=True))
+        return rest - back
 
     def texts(self, texts: list[str]) -> Iterable[bytes]:
         """The ids of each text."""
         split = [WHITE.split(text) for text in texts]
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        self.cache[""] = b""
-        new = set().union(*split).difference(self.cache) if split else set()
-        found = self.cache
-        if len(new) + len(found) > 2 * CACHE_WORDS or any(len(x) > CACHED_CHARS for x in new):
-            found = {x: found[x] for x in set().union(*split) if x in found}
-        for word, ids in self._encode(new):
-            found[word] = ids
-            if found is not self.cache and len(word) <= CACHED_CHARS and len(self.cache) < 2 * CACHE_WORDS:
-                self.cache[word] = ids
+        if len(self.young) > CACHE_WORDS:
+            self.young, self.old = {}, self.young
+        found = self.young
+        found[""] = b""
+        new = self._known(set().union(*split), found)
+        parts = {word: core(word) for word in new}
+        found.update(self._encode(self._known({p for both in parts.values() for p in both}, found)))
+        for word, (stem, rest) in parts.items():
+            found[word] = found[stem] + found[rest] if rest else found[stem]
         for words in split:
             yield b"".join(map(found.__getitem__, words))
+        for word in [x for both in parts.items() for x in (both[0], both[1][0]) if len(x) > CACHED_CHARS]:
+            found.pop(word, None)
 
 
 _encoders: dict[str, WordEncoder] = {}
