@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -31,6 +32,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def store(df: DataFrame, name: str) -> DataFrame:
+    """Write a table in the shared folder and read it again: as ``checkpoint``, but in columns, for rows with texts."""
+    spark = df.sparkSession
+    checkpoint(spark.range(0))  # names the folder where the session has none
+    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return bounded_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,7 +1,7 @@
 """Operator 3, quality classifier: attention-based multiple-instance learning.
 
 A document is a bag of passages. Every passage (512 bytes of it; the last may be shorter) is encoded by its byte-class
-and class-transition frequencies and a learned layer; learned gated attention (tanh times sigmoid) weighs the passages,
+and class-transition frequencies, repeated words and a learned layer; learned gated attention (tanh times sigmoid) weighs the passages,
 and a logistic unit scores the weighted passage representation. Only document labels are learned from. Text alone is
 looked at: labels, language, source and doc_id are no inputs of a score.
 
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -57,7 +58,7 @@ def _classes() -> tuple[np.ndarray, np.ndarray]:
 
 
 FINE, COARSE = _classes()
-WIDTH = 64 + 64 + 2
+WIDTH = 64 + 64 + 4
 
 
 def encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -76,7 +77,13 @@ def encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     steps = (passage[1:] * 64 + coarse[:-1] * 8 + coarse[1:])[same]
     step = np.bincount(steps, minlength=total * 64).reshape(total, 64) / size
     kinds = (fine > 0).sum(axis=1, keepdims=True) / 64
-    return np.concatenate([fine, step, kinds, np.log1p(np.bincount(passage, minlength=total))[:, None] / 8], axis=1).astype(np.float32), count
+    echoes = np.array([_echoes(x[at : at + PASSAGE].lower().split()) for x in texts for at in range(0, max(1, len(x)), PASSAGE)])
+    return np.concatenate([fine, step, kinds, np.log1p(np.bincount(passage, minlength=total))[:, None] / 8, echoes], axis=1).astype(np.float32), count
+
+
+def _echoes(words: list[bytes]) -> tuple[float, float]:
+    """Shares of words equal to the one before, and of distinct words."""
+    return sum(map(eq, words, words[1:])) / max(1, len(words)), len(set(words)) / max(1, len(words))
 
 
 @dataclass
@@ -167,26 +174,31 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, most: int = TR
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """Every column of docs, and ``quality_score``."""
-    columns = docs.columns
+    """(doc_id, score) of every row."""
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, texts in chunks(x.as_py() for x in batch.column(columns.index("text"))):
-                part = batch.slice(start, len(texts))
+            for start, texts in chunks(x.as_py() for x in batch.column(1)):
                 found = model.score([x.encode("utf-8", "surrogatepass") for x in texts])
-                yield pa.record_batch([*part.columns, pa.array(found)], [*columns, "quality_score"])
+                yield pa.record_batch([batch.column(0).slice(start, len(texts)), pa.array(found)], ["doc_id", "score"])
 
-    schema = docs.schema.add("quality_score", "double")
-    return docs.mapInArrow(scored, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scored, "doc_id long, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row."""
-    scored = score(docs.select("doc_id", "text"), train(docs, labels))
-    return scored.select("doc_id", (id_bucket("doc_id", FOLDS) == 0).alias("held_out"), F.col("quality_score").alias("score"), F.when(F.col("quality_score") >= threshold, 1).otherwise(0).alias("predicted"))
+    scored = score(docs, train(docs, labels))
+    return scored.select("doc_id", (id_bucket("doc_id", FOLDS) == 0).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
+
 
+def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """The rows that the classifier accepts, all columns; no shuffle."""
+    at = docs.columns.index("text")
+
+    def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, texts in chunks(x.as_py() for x in batch.column(at)):
+                found = model.score([x.encode("utf-8", "surrogatepass") for x in texts])
+                yield batch.slice(start, len(texts)).filter(pa.array(found >= threshold))
 
-def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The rows that the classifier accepts, all columns."""
-    return score(docs, train(docs, labels)).where(F.col("quality_score") >= threshold).select(docs.columns)
+    return docs.mapInArrow(good, docs.schema)

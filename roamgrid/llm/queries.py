@@ -15,16 +15,16 @@ from .simhash import near_duplicates
 from .token_count import count_tokens, with_limit
 
 
-def _vocabulary() -> str:
+def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_limit(count_tokens(table(spark, sf_dir, "documents"), _vocabulary()))
+    return with_limit(count_tokens(table(spark, sf_dir, "documents"), vocabulary()))
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"), _vocabulary())
+    return pack_documents(table(spark, sf_dir, "documents"), vocabulary())
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,8 +53,14 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.length(text).cast("long").alias("kept_chars"), F.sha2(text, 256).alias("kept_sha256"), F.size(cut).cast("long").alias("n_cut"), F.array_join(F.array_sort(cut), ",").alias("cut_lines"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_count, op3_quality_mil, op4_best_fit_packing, op5_simhash, op8_quality_rules, op9_decontamination, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_token_count, op3_quality_mil, op4_best_fit_packing, op5_simhash, op8_quality_rules, op9_decontamination, op10_line_dedup, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
