@@ -51,11 +51,11 @@ def id_bucket(doc_id: Column | str, modulus: int) -> Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit(""))) % modulus
 
 
-def chunks(texts: Iterable[str | None], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, list[str]]]:
-    """Consecutive texts of about ``limit`` bytes together, with the place of the first; null counts as empty."""
+def chunks(texts: Iterable[str | bytes | None], limit: int = CHUNK_BYTES, empty: str | bytes = "") -> Iterator[tuple[int, list]]:
+    """Consecutive texts of about ``limit`` bytes together, with the place of the first; null counts as ``empty``."""
     start, held, size = 0, [], 0
     for at, text in enumerate(texts):
-        held.append(text or "")
+        held.append(text or empty)
         size += len(held[-1])
         if size >= limit:
             yield start, held
@@ -64,7 +64,12 @@ def chunks(texts: Iterable[str | None], limit: int = CHUNK_BYTES) -> Iterator[tu
         yield start, held
 
 
-def batches_of(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Slices of a batch with about ``limit`` bytes of text each."""
-    for start, texts in chunks((x.as_py() for x in batch.column(batch.schema.get_field_index(column))), limit):
-        yield batch.slice(start, len(texts)), texts
+def binary_text(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) with the text's UTF-8 bytes."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+
+
+def binary_chunks(batch: pa.RecordBatch, limit: int = CHUNK_BYTES) -> Iterator[tuple[list[int | None], list[bytes]]]:
+    """The doc_ids and texts of a batch of ``binary_text``, about ``limit`` bytes of text together; null counts as empty."""
+    for start, texts in chunks((x.as_py() for x in batch.column(1)), limit, b""):
+        yield batch.column(0).slice(start, len(texts)).to_pylist(), texts

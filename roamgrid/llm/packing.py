@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, checkpoint
+from .common import binary_chunks, binary_text, checkpoint
 from .tokens import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -37,10 +37,10 @@ def cut_into_pieces(docs: DataFrame, vocabulary: str, length: int = 2048, end_id
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(vocabulary)
-        for whole in batches:
-            for batch, texts in batches_of(whole):
+        for batch in batches:
+            for doc_ids, texts in binary_chunks(batch):
                 rows: list[list] = [[] for _ in names]
-                for doc_id, ids in zip(batch.column(0).to_pylist(), words.texts(texts), strict=True):
+                for doc_id, ids in zip(doc_ids, words.texts(texts), strict=True):
                     ids += end
                     for piece, at in enumerate(range(0, len(ids), 4 * length)):
                         part = ids[at : at + 4 * length]
@@ -49,7 +49,7 @@ def cut_into_pieces(docs: DataFrame, vocabulary: str, length: int = 2048, end_id
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
                 yield pa.record_batch([pa.array(x, k) for x, k in zip(rows, kinds, strict=False)], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(pieces, PIECES + ", ids binary" * with_ids)
+    return binary_text(docs).mapInArrow(pieces, PIECES + ", ids binary" * with_ids)
 
 
 @dataclass(frozen=True)

@@ -13,24 +13,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of
+from .common import binary_chunks, binary_text
 from .tokens import encoder
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long"
 
 
-def count_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def count_tokens(docs: DataFrame, vocabulary: str) -> DataFrame:
     """(doc_id, n_bytes, n_tokens) of every row; no shuffle."""
 
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(vocabulary)
-        for whole in batches:
-            for batch, texts in batches_of(whole):
-                n_bytes = [len(x.encode("utf-8", "surrogatepass")) for x in texts]
-                n_tokens = [len(ids) // 4 for ids in words.texts(texts)]
-                yield pa.record_batch([batch.column(0).cast(pa.int64()), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+        for batch in batches:
+            for ids, texts in binary_chunks(batch):
+                n_tokens = [len(x) // 4 for x in words.texts(texts)]
+                yield pa.record_batch([pa.array(x, pa.int64()) for x in (ids, [len(x) for x in texts], n_tokens)], ["doc_id", "n_bytes", "n_tokens"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lengths, SCHEMA)
+    return binary_text(docs).mapInArrow(lengths, SCHEMA)
 
 
 def with_limit(counts: DataFrame, limit: int = 2048) -> DataFrame:

@@ -9,28 +9,29 @@ batches balanced by bytes.
 from __future__ import annotations
 
 import os
-import re
-import sys
-from array import array
 from collections.abc import Iterable
 
-#: ASCII white space only: other white space stays inside a word, where the tokenizer itself handles it.
-WHITE = re.compile("[ \t\n\r\f\v]+")
+import numpy as np
+
 #: Of each of two generations: when the young one is full it becomes the old one, and words met again return to the young.
-CACHE_WORDS = 450_000
-CACHED_CHARS = 48
+CACHE_WORDS = 600_000
+CACHED_BYTES = 48
 BATCH_BYTES = 1 << 18
+MARK, BETWEEN, GROUP_WORDS = b"|", b" | ", 500
+#: Special strings keep their case, and a mark (U+0300 to U+037F) behind a capital may combine otherwise than behind a small letter.
+CASE_MATTERS = (b"<|", b"\xcc", b"\xcd")
+ENDS = b".,"
+
 
+def words_of(text: bytes) -> list[bytes]:
+    """Split at ASCII white space (the tokenizer sees to other white space inside a word); A-Z lower-cased as it does itself."""
+    return (text if any(x in text for x in CASE_MATTERS) else text.lower()).split()
 
-def core(word: str) -> tuple[str, str]:
-    """A word's part to encode and the full stops or commas behind it, encoded apart: a letter always ends a pre-token there.
 
-    Plain ASCII is lower-cased, as the tokenizer itself does, unless it may hold a special string.
-    """
-    stem = word.rstrip(".,")
-    if len(stem) == len(word) or not stem[-1:].isalpha() or stem[-1] > "\u00ff":  # further on, lower-casing may add a mark
-        stem = word
-    return (stem.lower() if stem.isascii() and "<|" not in stem else stem), word[len(stem) :]
+def core(word: bytes) -> tuple[bytes, bytes]:
+    """A word's part to encode and the full stops or commas behind it, encoded apart: an ASCII letter always ends a pre-token there."""
+    stem = word.rstrip(ENDS)
+    return (stem, word[len(stem) :]) if stem[-1:].isalpha() else (word, b"")
 
 
 class WordEncoder:
@@ -41,10 +42,11 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        (self.mark,) = self.tokenizer.encode(MARK.decode(), add_special_tokens=False).ids
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
-    def _encode(self, words: Iterable[str]) -> Iterable[tuple[str, bytes]]:
+    def _encode(self, words: Iterable[bytes]) -> Iterable[tuple[bytes, bytes]]:
         """In batches balanced by bytes, so that one call never holds more than a bounded number of ids, but for a long word."""
         held, size = [], 0
         for word in words:
@@ -56,35 +58,44 @@ class WordEncoder:
         if held:
             yield from self._batch(held)
 
-    def _batch(self, words: list[str]) -> Iterable[tuple[str, bytes]]:
-        for word, code in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            ids = array("I", code.ids)
-            if sys.byteorder != "little":
-                ids.byteswap()
-            yield word, ids.tobytes()
+    def _batch(self, words: list[bytes]) -> Iterable[tuple[bytes, bytes]]:
+        """Words side by side with a mark between them, whose id tells where each ends; words that hold the mark, alone."""
+        plain = [x for x in words if MARK not in x]
+        groups = [plain[at : at + GROUP_WORDS] for at in range(0, len(plain), GROUP_WORDS)]
+        texts = [BETWEEN.join(x).decode("utf-8", "replace") for x in groups]
+        for group, code in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(code.ids, "<u4")
+            ends = 4 * np.flatnonzero(ids == self.mark)
+            packed = ids.tobytes()
+            for word, start, end in zip(group, [0, *(ends + 4).tolist()], [*ends.tolist(), len(packed)], strict=True):
+                yield word, packed[start:end]
+        for word in words:
+            if MARK in word:
+                yield word, np.array(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _known(self, words: set[str], found: dict[str, bytes]) -> set[str]:
+    def _known(self, words: set[bytes], found: dict[bytes, bytes]) -> set[bytes]:
         """The words still to encode; those of the old generation come back to ``found``."""
         rest = words.difference(found)
         back = rest.intersection(self.old)
         found.update(zip(back, map(self.old.__getitem__, back), strict=True))
         return rest - back
 
-    def texts(self, texts: list[str]) -> Iterable[bytes]:
+    def texts(self, texts: list[bytes]) -> Iterable[bytes]:
         """The ids of each text."""
-        split = [WHITE.split(text) for text in texts]
+        split = [words_of(text) for text in texts]
         if len(self.young) > CACHE_WORDS:
             self.young, self.old = {}, self.young
         found = self.young
-        found[""] = b""
+        found[b""] = b""
         new = self._known(set().union(*split), found)
-        parts = {word: core(word) for word in new}
-        found.update(self._encode(self._known({p for both in parts.values() for p in both}, found)))
-        for word, (stem, rest) in parts.items():
+        ended = {word: core(word) for word in new if word[-1] in ENDS}
+        stems = new.difference(ended).union(*ended.values())
+        found.update(self._encode(self._known(stems, found)))
+        for word, (stem, rest) in ended.items():
             found[word] = found[stem] + found[rest] if rest else found[stem]
         for words in split:
             yield b"".join(map(found.__getitem__, words))
-        for word in [x for both in parts.items() for x in (both[0], both[1][0]) if len(x) > CACHED_CHARS]:
+        for word in [x for x in new | stems if len(x) > CACHED_BYTES]:
             found.pop(word, None)
 
 
