@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, line_dedup, quality_mil, quality_rules
+from . import decontam, line_dedup, quality_mil, quality_rules, suffix_lm
 from .common import table
 from .packing import pack_documents
 from .simhash import near_duplicates
@@ -36,6 +36,10 @@ def op3_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_mil.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_suffix_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_rules.apply_rules(docs, quality_rules.train(docs, table(spark, sf_dir, "labels")))
@@ -60,7 +64,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_count, op3_quality_mil, op4_best_fit_packing, op5_simhash, op8_quality_rules, op9_decontamination, op10_line_dedup, pipeline)}
+    return {f.__name__: f for f in (op1_token_count, op3_quality_mil, op4_best_fit_packing, op5_simhash, op6_suffix_lm, op8_quality_rules, op9_decontamination, op10_line_dedup, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
