@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, line_dedup, quality_mil, quality_rules, suffix_lm
+from . import decontam, line_dedup, pii_crf, quality_mil, quality_rules, suffix_lm
 from .common import table
 from .packing import pack_documents
 from .simhash import near_duplicates
@@ -40,6 +40,12 @@ def op6_suffix_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_lm.score(table(spark, sf_dir, "documents"))
 
 
+def op7_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = pii_crf.find_personal_data(docs, pii_crf.train(docs))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans", "n_added")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_rules.apply_rules(docs, quality_rules.train(docs, table(spark, sf_dir, "labels")))
@@ -64,7 +70,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_count, op3_quality_mil, op4_best_fit_packing, op5_simhash, op6_suffix_lm, op8_quality_rules, op9_decontamination, op10_line_dedup, pipeline)}
+    return {f.__name__: f for f in (op1_token_count, op3_quality_mil, op4_best_fit_packing, op5_simhash, op6_suffix_lm, op7_pii_crf, op8_quality_rules, op9_decontamination, op10_line_dedup, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
