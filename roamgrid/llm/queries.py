@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, line_dedup, pii_crf, quality_mil, quality_rules, suffix_lm
+from . import chat_format, decontam, line_dedup, pii_crf, quality_mil, quality_rules, suffix_lm
 from .common import table
 from .packing import pack_documents
 from .simhash import near_duplicates
@@ -32,6 +32,13 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat_format.digest(chat_format.format_examples(turns.unionByName(own)))
+
+
 def op3_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_mil.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -70,8 +77,29 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_count, op3_quality_mil, op4_best_fit_packing, op5_simhash, op6_suffix_lm, op7_pii_crf, op8_quality_rules, op9_decontamination, op10_line_dedup, pipeline)}
+    return {f.__name__: f for f in (op1_token_count, op2_chat_format, op3_quality_mil, op4_best_fit_packing, op5_simhash, op6_suffix_lm, op7_pii_crf, op8_quality_rules, op9_decontamination, op10_line_dedup, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_chat_format": OP2_SQL}
+
+
+#: n_examples and formatted_chars follow from the template: marks of 7, 8 and 8 characters, one more for each escape.
+OP2_SQL = """
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), s AS (
+  SELECT *, row_number() OVER w AS pos, count(*) OVER (PARTITION BY conv_id) AS n,
+    sum(23 + length(role) + length(text) + len(regexp_extract_all(role || chr(10) || text, '<(/?s>|\\||/?SYS>|unk>|pad>|bos>|eos>|mask>)|\\[/?INST\\]'))) OVER w AS upto
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING)
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(upto) FILTER (role = 'assistant' OR pos = n)::BIGINT AS formatted_chars,
+  count(*) FILTER (role = 'assistant' OR pos = n) AS n_examples
+FROM s GROUP BY conv_id
+"""
