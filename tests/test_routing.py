@@ -1,0 +1,136 @@
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from roamgrid.operators import graph, quality, response, routing, snap
+from roamgrid.region import REGION
+from roamgrid.schemas import EDGES, NODES
+from roamgrid.sources import driver_tables, store
+
+
+def make(spark, keys, edges):
+    nodes = spark.createDataFrame([(k, k, 16.97 + k * 1e-3, 81.77) for k in keys], NODES)
+    return nodes, spark.createDataFrame([(i, f, t, float(w), None) for i, (f, t, w) in enumerate(edges)], EDGES)
+
+
+def route(spark, keys, edges, source, target):
+    requests = spark.createDataFrame([(1, source, target)], "request_id long, source long, target long")
+    found = routing.routes(requests, *make(spark, keys, edges)).collect()
+    return (found[0]["node_ids"], found[0]["distance"]) if found else None
+
+
+DIAMOND = [(1, 2, 1), (1, 3, 5), (2, 4, 10), (3, 4, 2)]
+
+
+@pytest.mark.parametrize(
+    ("keys", "edges", "source", "target", "expected"),
+    [
+        ([1, 2, 3], [(1, 2, 4), (1, 3, 10), (2, 3, 3)], 1, 3, ([1, 2, 3], 7.0)),
+        ([1, 2], [(1, 2, 5)], 1, 2, ([1, 2], 5.0)),
+        ([1, 2], [(1, 2, 5)], 1, 1, ([1], 0.0)),
+        ([1, 2], [], 1, 2, None),
+        ([2], [], 99, 2, None),
+        ([1], [], 1, 99, None),
+        ([1, 2, 3, 4], DIAMOND, 1, 4, ([1, 3, 4], 7.0)),
+        ([1], [], 99, 99, None),
+        ([1], [(1, 7, 1)], 1, 7, None),
+        ([1, 2], [(1, 7, 1), (1, 2, math.inf)], 1, 2, None),
+        ([1, 2], [(1, 2, math.nan)], 1, 2, None),
+        ([1, 2, 3], [(1, 2, 0), (2, 1, 0), (2, 3, 0), (3, 2, 0), (1, 1, 0)], 1, 3, ([1, 2, 3], 0.0)),
+        ([1, 2], [(1, 2, 9), (1, 2, 3)], 1, 2, ([1, 2], 3.0)),
+    ],
+)
+def test_route(spark, keys, edges, source, target, expected):
+    assert route(spark, keys, edges, source, target) == expected
+
+
+def test_distances_hold_the_triangle_inequality_and_are_symmetric(spark, sf_dir):
+    edges = driver_tables.lattice(spark, sf_dir)
+    sources = spark.createDataFrame([(1,), (50,), (7,)], "source long")
+    state, _ = routing.distances(sources, edges)
+    d = {(r["source"], r["node"]): r["dist"] for r in state.collect()}
+    for r in edges.collect():
+        for s in (1, 50, 7):
+            assert d[s, r["to_node_id"]] <= d[s, r["from_node_id"]] + r["weight"]
+    assert d[1, 50] == d[50, 1] and d[7, 50] == d[50, 7]
+
+
+def test_snap_is_the_true_nearest(spark):
+    places = [(i, 16.9 + (i * 7919 % 1009) / 5045, 81.7 + (i * 104729 % 1013) / 5065) for i in range(300)]
+    nodes = spark.createDataFrame(places, "id long, lat double, lng double")
+    clicks = [(i, 16.85 + (i * 6007 % 1009) / 3000, 81.6 + (i * 7001 % 1013) / 2500) for i in range(200)] + [(900, 40.0, -70.0), (901, None, 1.0), (902, float("nan"), 1.0)]
+    found = {r["click_id"]: r["node_id"] for r in snap.snap(spark.createDataFrame(clicks, "click_id long, lat double, lng double"), nodes).collect()}
+    assert found == {c: min(places, key=lambda p: ((p[1] - a) ** 2 + (p[2] - b) ** 2, p[0]))[0] for c, a, b in clicks[:201]}
+
+
+def test_snap_without_nodes(spark):
+    clicks = spark.createDataFrame([(1, 16.98, 81.78)], "click_id long, lat double, lng double")
+    assert snap.snap(clicks, spark.createDataFrame([], "id long, lat double, lng double")).collect() == []
+
+
+def test_region_bounds_are_inclusive(spark):
+    rows = spark.createDataFrame([(16.96, 81.76), (17.01, 81.82), (17.0100001, 81.8), (float("nan"), 81.8)], "lat double, lng double")
+    assert [r[0] for r in rows.select(REGION.contains(F.col("lat"), F.col("lng"))).collect()] == [True, True, False, False]
+
+
+REQUESTS = [(1, 16.971, 81.77, 16.974, 81.77), (2, 1.0, 2.0, 3.0, 4.0), (3, 16.971, 81.77, 13.08, 80.27), (4, None, 81.77, 16.97, 81.77), (5, 16.974, 81.77, 16.971, 81.77), (6, 16.971, 81.77, 16.971, 81.77)]
+REQUEST = "request_id long, start_lat double, start_lng double, end_lat double, end_lng double"
+
+
+def test_responses(spark):
+    nodes, edges = make(spark, [1, 2, 3, 4], DIAMOND)
+    rows = {r["request_id"]: r for r in response.respond(spark.createDataFrame(REQUESTS, REQUEST), nodes, edges).collect()}
+    assert {k: r["status"] for k, r in rows.items()} == {1: 200, 2: 400, 3: 400, 4: 500, 5: 404, 6: 200}
+    assert rows[1]["distance_meters"] == 7.0 and len(rows[1]["path"]) == 3 and rows[1]["estimated_time_secs"] == 1
+    assert "1.00000, 2.00000" in rows[2]["error"] and "13.08000" in rows[3]["error"] and "4" in rows[5]["error"]
+    assert rows[6]["distance_meters"] == 0.0 and len(rows[6]["path"]) == 1
+
+
+def test_an_empty_graph_comes_first(spark):
+    nodes, edges = make(spark, [], [])
+    assert {r["status"] for r in response.respond(spark.createDataFrame(REQUESTS, REQUEST), nodes, edges).collect()} == {503}
+
+
+def test_travel_time(spark):
+    from roamgrid.functions.geo import travel_seconds
+
+    rows = spark.createDataFrame([(3156.4,), (3456.0,), (0.0,)], "m double")
+    assert [r[0] for r in rows.select(travel_seconds(F.col("m"))).collect()] == [379, 415, 0]
+
+
+def test_adjacency_keys(spark):
+    nodes, edges = make(spark, [1, 2], [(1, 2, 5), (9, 1, 1), (1, 2, 4)])
+    found = {r["node_id"]: [tuple(x) for x in r["neighbors"]] for r in graph.adjacency(nodes, edges).collect()}
+    assert found == {1: [(2, 4.0), (2, 5.0)], 2: [], 9: [(1, 1.0)]}
+
+
+def test_checks(spark):
+    nodes, edges = make(spark, [1, 2], [(1, 3, 5), (1, 2, -1)])
+    assert [tuple(r) for r in quality.orphans(edges, nodes).collect()] == [(0, 3)]
+    assert tuple(quality.graph_sanity(nodes, edges).first()) == (2, 2, 1, False)
+    assert quality.duplicate_keys(nodes, "osm_id").collect() == []
+
+
+def test_store(spark, tmp_path):
+    root = str(tmp_path / "graph")
+    assert store.read_graph(spark, root)[0].count() == 0
+    built = []
+
+    def build():
+        built.append(1)
+        return make(spark, [1, 2], [(1, 2, 5)])
+
+    assert store.import_graph(spark, root, build) and not store.import_graph(spark, root, build) and len(built) == 1
+    nodes, edges = store.read_graph(spark, root)
+    assert (nodes.count(), edges.count()) == (2, 1)
+    assert store.node_by_osm_id(nodes, 2).count() == 1 and store.edges_from(edges, 1).count() == 1
+
+    def broken():
+        raise OSError("no network")
+
+    with pytest.raises(OSError):
+        store.import_graph(spark, root, broken, force=True)
+    assert store.read_graph(spark, root)[0].count() == 2
+    assert store.import_graph(spark, root, lambda: make(spark, [1, 2, 3], []), force=True)
+    assert store.read_graph(spark, root)[0].count() == 3
