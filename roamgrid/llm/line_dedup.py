@@ -1,11 +1,13 @@
 """Operator 10, line dedup by pairwise alignment of documents that share lines.
 
-Every line of a document (white space around it stripped, blank lines aside) is hashed. The first document that holds a
-line, by doc_id, owns it; a later document that holds it too is paired with the owner, so a line shared by n documents
-makes n - 1 pairs, not n * n: rare lines find a pair's overlap as usual, and frequent ones need no cap. Each pair is aligned with patience diff: lines
-that occur once in both are anchors, their longest increasing run is kept, blocks grow from the anchors over equal
-neighbours, and the stretches in between are aligned alike. Aligned lines of all of a document's pairs are joined into
-blocks, and blocks of at least ``min_words`` words are deleted from the later document.
+A text is cut into lines at line feeds and, as prose often stands in one long line, behind sentence ends. Every line
+(white space around it stripped, blank ones aside) is hashed. The first document that holds a line of at least
+``ANCHOR_WORDS`` words, by doc_id, owns it; a later document that holds it too is paired with the owner, so a line shared
+by n documents makes n - 1 pairs, not n * n: rare lines find a pair's overlap as usual, and frequent ones need no cap.
+Each pair is aligned with patience diff: lines that occur once in both are anchors, their longest increasing run is kept,
+blocks grow from the anchors over equal neighbours, and the stretches in between are aligned alike. Aligned lines of all
+of a document's pairs are joined into blocks, and blocks of at least ``min_words`` words are deleted from the later
+document.
 
 An owner never loses its line to the pairs of that line (nothing earlier holds it), so one copy of every line stays.
 
@@ -16,6 +18,7 @@ here; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -29,7 +32,10 @@ from pyspark.sql import functions as F
 from .common import checkpoint
 
 MIN_WORDS = 40
-ANCHOR_WORDS = 3
+ANCHOR_WORDS = 8
+#: Behind a line feed, or behind a sentence end and a space; Java and Python split alike here.
+CUT = r"(?<=\n)|(?<=[.!?] )"
+_CUT = re.compile(CUT.encode())
 LAST = (1 << 63) - 1
 
 
@@ -40,7 +46,7 @@ def document_lines(docs: DataFrame) -> DataFrame:
         for batch in batches:
             lines, words = [], []
             for text in batch.column(2).to_pylist():
-                own = [x.strip() for x in (text or b"").split(b"\n")]
+                own = [x.strip() for x in _CUT.split(text or b"")]
                 lines.append([xxhash.xxh64_intdigest(x) - (1 << 63) or 1 if x else 0 for x in own])
                 words.append([len(x.split()) for x in own])
             yield pa.record_batch([*batch.columns[:2], pa.array(lines, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.int32()))], ["doc", "text_hash", "lines", "words"])
@@ -110,6 +116,7 @@ def cuts(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     shared = one.select("doc", "text_hash", F.explode(F.array_distinct(F.expr(f"transform(filter(arrays_zip(lines, words), x -> x.words >= {ANCHOR_WORDS}), x -> x.lines)"))).alias("line"))
     key = F.struct("doc", "text_hash")
     owners = shared.groupBy("line").agg(F.min(key).alias("owner"), F.count("*").alias("n")).where("n > 1").select("line", "owner")
+    owners = checkpoint(owners)  # apart from the join, whose skewed partitions can be split then
     pairs = shared.join(owners, "line").where(key != F.col("owner")).select("doc", "text_hash", F.col("owner.doc").alias("o_doc"), F.col("owner.text_hash").alias("o_hash")).distinct()
     owned = one.select(F.col("doc").alias("o_doc"), F.col("text_hash").alias("o_hash"), F.col("lines").alias("theirs"))
     both = pairs.join(owned, ["o_doc", "o_hash"]).join(one, ["doc", "text_hash"]).select("doc", "text_hash", "lines", "theirs", "words")
@@ -152,6 +159,6 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     lines = checkpoint(document_lines(docs))
     found = checkpoint(cuts(lines, min_words)).select(F.col("doc").alias("__doc"), F.col("text_hash").alias("__hash"), F.col("cut").alias("__cut"))
     own = docs.withColumns({"__doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "__hash": F.xxhash64("text")})
-    kept = F.expr("array_join(filter(split(text, '\\\\n', -1), (x, i) -> not array_contains(__cut, i)), '\\n')")
+    kept = F.array_join(F.filter(F.split("text", CUT, -1), lambda x, i: ~F.array_contains("__cut", i)), "")
     whole = own.join(found, ["__doc", "__hash"], "left")
     return whole.withColumn("text", F.when(F.col("__cut").isNull(), F.col("text")).otherwise(kept)).select(*docs.columns, "__cut")
