@@ -1,11 +1,12 @@
 """Operator 5, SimHash near-duplicates with pivot distance tables.
 
 Every distinct fingerprint gets a table of its Hamming distances to reference fingerprints (pivots), kept for each of
-five blocks of its bits; a block's coordinates add up to the whole distance. Fingerprints that differ in at most three
-bits agree in at least two of the five blocks, so their coordinates there differ by nothing: fingerprints meet under
-the coordinates of two blocks. Among those that meet, pairs whose whole distances to some pivot differ by more than
-three are discarded (the triangle inequality), and the survivors' own distance is computed. Nothing is missed, and
-no pair of the whole table is ever formed unless it meets.
+several blocks of its bits; a block's coordinates add up to the whole distance. Of B blocks, fingerprints that differ in
+at most k bits agree in at least B - k, so their coordinates there differ by nothing: fingerprints meet under the
+coordinates of every B - k blocks. Among those that meet, pairs whose whole distances to some pivot differ by more than
+k are discarded (the triangle inequality), and the survivors' own distance is computed. Nothing is missed whatever B is,
+and no pair of the whole table is ever formed unless it meets; B grows with the number of fingerprints so that chance
+meetings stay rare.
 
 Exact copies share a fingerprint and are one node. Within a meeting only a spanning forest of links is emitted, never
 all pairs; a meeting of more than ``TILE`` fingerprints is dealt into tiles, each pair of tiles in a task of its own.
@@ -18,7 +19,8 @@ columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +32,27 @@ from .common import checkpoint
 from .components import components
 
 WORDS, SEED, BITS = 3, 42, 3
-BLOCKS = (13, 13, 13, 13, 12)
 PIVOTS = 16
 TILE = 8192
 #: Reference fingerprints: the XXH64 digests of the first numbers.
 REFERENCES = np.array([xxhash.xxh64_intdigest(str(i).encode(), SEED) for i in range(PIVOTS)], np.uint64)
-MASKS = np.array([((1 << size) - 1) << sum(BLOCKS[:i]) for i, size in enumerate(BLOCKS)], np.uint64)
-PAIRS = [(i, j) for i in range(len(BLOCKS)) for j in range(i)]
+
+
+class Blocks:
+    """Neighbouring bits in ``number`` blocks, and the choices of blocks that must agree within ``bits`` differing bits."""
+
+    def __init__(self, number: int, bits: int):
+        sizes = [64 // number + (i < 64 % number) for i in range(number)]
+        self.masks = np.array([((1 << size) - 1) << sum(sizes[:i]) for i, size in enumerate(sizes)], np.uint64)
+        self.choices = list(combinations(range(number), number - bits))
+
+    @classmethod
+    def of(cls, fingerprints: int, bits: int, partners: float = 8.0) -> Blocks:
+        """The fewest blocks under whose keys a fingerprint meets about ``partners`` others by chance."""
+        number = bits + 2
+        while number < 16 and comb(number, bits) * fingerprints / 2 ** (64 * (number - bits) / number) > partners:
+            number += 1
+        return cls(number, bits)
 
 
 def fingerprint(text: bytes, words: int = WORDS) -> int:
@@ -69,22 +85,33 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return rows.mapInArrow(of, "doc_id long, text_hash long, fp long")
 
 
-def block_distances(fps: np.ndarray) -> np.ndarray:
-    """The pivot distance table, (fingerprints, blocks, pivots)."""
-    return np.bitwise_count((fps[:, None, None] ^ REFERENCES[None, None, :]) & MASKS[None, :, None])
+def block_distances(fps: np.ndarray, masks: np.ndarray) -> np.ndarray:
+    """The pivot distance table by block, (fingerprints, blocks, pivots)."""
+    return np.bitwise_count((fps[:, None, None] ^ REFERENCES[None, None, :]) & masks[None, :, None])
+
+
+def distances(fps: np.ndarray) -> np.ndarray:
+    """The whole distances to the pivots, (fingerprints, pivots)."""
+    return np.bitwise_count(fps[:, None] ^ REFERENCES[None, :]).astype(np.int16)
 
 
-def meeting_keys(fps: np.ndarray) -> np.ndarray:
-    """A key for each pair of blocks: their coordinates, written as digits, mixed into 64 bits."""
-    digits = np.array([14**i for i in range(PIVOTS)], np.uint64)
-    signs = (block_distances(fps).astype(np.uint64) * digits).sum(axis=2, dtype=np.uint64)
-    mix = lambda x: (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return np.stack([mix(mix(signs[:, i]) + mix(mix(signs[:, j]) + np.uint64(7 * i + j))) for i, j in PAIRS], axis=1)
+def meeting_keys(fps: np.ndarray, blocks: Blocks) -> np.ndarray:
+    """A key for each choice of blocks: their coordinates, written as digits, mixed into 64 bits."""
+    digits = np.array([14**i for i in range(PIVOTS)], np.uint64)  # blocks of at most 13 bits
+    signs = (block_distances(fps, blocks.masks).astype(np.uint64) * digits).sum(axis=2, dtype=np.uint64)
+    keys = []
+    for number, choice in enumerate(blocks.choices):
+        key = np.full(len(fps), number + 1, np.uint64)
+        for block in choice:
+            key = (key ^ signs[:, block]) * np.uint64(0x9E3779B97F4A7C15)
+            key ^= key >> np.uint64(29)
+        keys.append(key * np.uint64(0xBF58476D1CE4E5B9))
+    return np.stack(keys, axis=1)
 
 
 def forest(fps: np.ndarray, bits: int = BITS) -> list[tuple[int, int]]:
     """Links of at most ``bits`` that join all that they can join: from each fingerprint reached to those not yet reached."""
-    table = block_distances(fps).sum(axis=1, dtype=np.int16)
+    table = distances(fps)
     rest, links = np.arange(len(fps)), []
     while len(rest) > 1:
         stack, rest = [rest[0]], rest[1:]
@@ -109,8 +136,8 @@ def links(distinct: DataFrame, bits: int = BITS, tile: int = TILE) -> DataFrame:
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = batch.column(0).to_numpy()
-            keys = meeting_keys(fps.view(np.uint64)).view(np.int64)
-            yield pa.record_batch([pa.array(np.repeat(fps, len(PAIRS))), pa.array(keys.ravel())], ["fp", "key"])
+            keys = meeting_keys(fps.view(np.uint64), blocks).view(np.int64)
+            yield pa.record_batch([pa.array(np.repeat(fps, len(blocks.choices))), pa.array(keys.ravel())], ["fp", "key"])
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,7 +146,7 @@ def links(distinct: DataFrame, bits: int = BITS, tile: int = TILE) -> DataFrame:
             offsets = lists.offsets.to_numpy()
             sizes = np.diff(offsets)
             pairs = offsets[:-1][sizes == 2]
-            near = np.abs(block_distances(values[pairs]).sum(axis=1, dtype=np.int16) - block_distances(values[pairs + 1]).sum(axis=1, dtype=np.int16)).max(axis=1, initial=0) <= bits
+            near = np.abs(distances(values[pairs]) - distances(values[pairs + 1])).max(axis=1, initial=0) <= bits
             pairs = pairs[near]
             pairs = pairs[np.bitwise_count(values[pairs] ^ values[pairs + 1]) <= bits]
             a, b = [values[pairs]], [values[pairs + 1]]
@@ -131,8 +158,7 @@ def links(distinct: DataFrame, bits: int = BITS, tile: int = TILE) -> DataFrame:
                     b.append(own[j])
             yield pa.record_batch([pa.array(np.concatenate(x).view(np.int64)) for x in (a, b)], ["a", "b"])
 
-    if bits > 3:
-        raise ValueError("five blocks find links of at most three bits")
+    blocks = Blocks.of(distinct.count(), bits)
     keys = checkpoint(distinct.select("fp").mapInArrow(keyed, "fp long, key long"))
     sizes = keys.groupBy("key").count().where("count > 1")
     met = keys.join(sizes, "key").withColumn("tiles", F.ceil(F.col("count") / tile).cast("int"))
