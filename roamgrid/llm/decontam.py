@@ -20,7 +20,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -116,7 +116,7 @@ class Index:
         lengths = np.array([len(w) for w in split], np.int64)
         segments = -(-lengths // self.segment) + 1  # an empty one behind each text
         first = np.cumsum(segments) - segments
-        ids = np.fromiter((x for w in split for x in map(self.terms.get, w, repeat(-1))), np.int64, int(lengths.sum()))
+        ids = np.fromiter(map(self.terms.get, chain.from_iterable(split), repeat(-1)), np.int64, int(lengths.sum()))
         place = np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         segment = np.repeat(first, lengths) + place // self.segment
         hit = (ids >= 0) & (self.count[ids] > 0)
