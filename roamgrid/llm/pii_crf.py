@@ -230,7 +230,8 @@ def _graph(texts: list[str]) -> tuple[list, np.ndarray, np.ndarray, np.ndarray,
 def train(docs: DataFrame, most: int = TRAIN_DOCS) -> Field | None:
     chosen = docs.select(F.col("doc_id").cast("long").alias("chosen")).distinct().orderBy(F.xxhash64("chosen"), "chosen").limit(most)
     # ``most`` ids: a proven bound
-    sample = docs.join(F.broadcast(chosen), F.col("doc_id").cast("long") == F.col("chosen")).select("text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("own"), "text")
+    sample = rows.join(F.broadcast(chosen), F.col("own") == F.col("chosen")).select("text")
 
     def graph(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
