@@ -19,6 +19,7 @@ here; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+from array import array
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -45,10 +46,10 @@ def document_lines(docs: DataFrame) -> DataFrame:
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lines, words = [], []
-            for text in batch.column(2).to_pylist():
-                own = [x.strip() for x in _CUT.split(text or b"")]
-                lines.append([xxhash.xxh64_intdigest(x) - (1 << 63) or 1 if x else 0 for x in own])
-                words.append([len(x.split()) for x in own])
+            for text in batch.column(2):
+                own = [x.strip() for x in _CUT.split(text.as_py() or b"")]
+                lines.append(array("q", [xxhash.xxh64_intdigest(x) - (1 << 63) or 1 if x else 0 for x in own]))
+                words.append(array("i", [len(x.split()) for x in own]))
             yield pa.record_batch([*batch.columns[:2], pa.array(lines, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.int32()))], ["doc", "text_hash", "lines", "words"])
 
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
@@ -77,6 +78,8 @@ def _rising(values: list[int]) -> list[int]:
 
 def patience(ours: list[int], theirs: list[int]) -> list[int]:
     """Places in ``ours`` of the lines aligned with ``theirs``; 0 is a blank line, aligned only inside a block."""
+    if ours == theirs:
+        return list(range(len(ours)))
     aligned: set[int] = set()
     todo = [(0, len(ours), 0, len(theirs))]
     while todo:
@@ -123,7 +126,7 @@ def cuts(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [patience(a, b) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            found = [array("i", patience(a.as_py(), b.as_py())) for a, b in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.record_batch([*batch.columns[:2], pa.array(found, pa.list_(pa.int32())), batch.column(4)], ["doc", "text_hash", "at", "words"])
 
     aligned = both.mapInArrow(align, "doc long, text_hash long, at array<int>, words array<int>")
@@ -131,7 +134,7 @@ def cuts(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [_blocks(at, words, min_words) for at, words in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            found = [_blocks(at.as_py(), words.as_py(), min_words) for at, words in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.record_batch([*batch.columns[:2], pa.array(found, pa.list_(pa.int32()))], ["doc", "text_hash", "cut"])
 
     return joined.mapInArrow(blocks, "doc long, text_hash long, cut array<int>").where("size(cut) > 0")
