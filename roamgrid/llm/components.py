@@ -9,7 +9,7 @@ from .common import checkpoint
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of the edges (a, b), root being the component's least node.
+    """(node, root) for every node of the edges (a, b) that is not its component's least node, the root.
 
     Each round points every larger neighbour at the least neighbour (large star), then every node and its smaller
     neighbours at the least of them (small star); it ends when a round changes nothing. Rounds grow with the logarithm of
