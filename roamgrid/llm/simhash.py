@@ -5,8 +5,7 @@ several blocks of its bits; a block's coordinates add up to the whole distance.
 at most k bits agree in at least B - k, so their coordinates there differ by nothing: fingerprints meet under the
 coordinates of every B - k blocks. Among those that meet, pairs whose whole distances to some pivot differ by more than
 k are discarded (the triangle inequality), and the survivors' own distance is computed. Nothing is missed whatever B is,
-and no pair of the whole table is ever formed unless it meets; B grows with the number of fingerprints so that chance
-meetings stay rare.
+and no pair of the whole table is ever formed unless it meets.
 
 Exact copies share a fingerprint and are one node. Within a meeting only a spanning forest of links is emitted, never
 all pairs; a meeting of more than ``TILE`` fingerprints is dealt into tiles, each pair of tiles in a task of its own.
@@ -20,7 +19,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import accumulate, combinations
-from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -39,21 +37,17 @@ REFERENCES = np.array([xxhash.xxh64_intdigest(str(i).encode(), SEED) for i in ra
 
 
 class Blocks:
-    """Neighbouring bits in ``number`` blocks, and the choices of blocks that must agree within ``bits`` differing bits."""
+    """Neighbouring bits in ``number`` blocks, and the choices of blocks that must agree within ``bits`` differing bits.
+
+    Three blocks agree by default: 32 bits of a key for three differing bits (20 keys a fingerprint), 24 bits for five (56).
+    More blocks make longer and more keys, for a corpus of many more fingerprints than such a key has values.
+    """
 
     def __init__(self, number: int, bits: int):
         sizes = [64 // number + (i < 64 % number) for i in range(number)]
         self.masks = np.array([((1 << size) - 1) << sum(sizes[:i]) for i, size in enumerate(sizes)], np.uint64)
         self.choices = list(combinations(range(number), number - bits))
 
-    @classmethod
-    def of(cls, fingerprints: int, bits: int, partners: float = 8.0) -> Blocks:
-        """The fewest blocks under whose keys a fingerprint meets about ``partners`` others by chance."""
-        number = bits + 2
-        while number < 16 and comb(number, bits) * fingerprints / 2 ** (64 * (number - bits) / number) > partners:
-            number += 1
-        return cls(number, bits)
-
 
 def fingerprint(text: bytes, words: int = WORDS) -> int:
     """Of lower-cased (A-Z) UTF-8."""
@@ -130,7 +124,7 @@ def forest(fps: np.ndarray, bits: int = BITS) -> list[tuple[int, int]]:
     return links
 
 
-def links(distinct: DataFrame, bits: int = BITS, tile: int = TILE) -> DataFrame:
+def links(distinct: DataFrame, bits: int = BITS, tile: int = TILE, number: int | None = None) -> DataFrame:
     """Links (a, b) between the distinct fingerprints ``fp``: a spanning forest of each meeting."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +152,7 @@ def links(distinct: DataFrame, bits: int = BITS, tile: int = TILE) -> DataFrame:
                     b.append(own[j])
             yield pa.record_batch([pa.array(np.concatenate(x).view(np.int64)) for x in (a, b)], ["a", "b"])
 
-    blocks = Blocks.of(distinct.count(), bits)
+    blocks = Blocks(number or bits + 3, bits)
     keys = checkpoint(distinct.select("fp").mapInArrow(keyed, "fp long, key long"))
     sizes = keys.groupBy("key").count().where("count > 1")
     met = keys.join(sizes, "key").withColumn("tiles", F.ceil(F.col("count") / tile).cast("int"))
