@@ -78,7 +78,8 @@ def language(spark):
     docs = documents(spark, rows)
     counts = suffix_lm.word_counts(docs)
     words = suffix_lm.head_words(counts)
-    return rows, words, suffix_lm.grow(docs, words)
+    encoded = suffix_lm.encode(docs, spark.sparkContext.broadcast(words), 1 << 30)
+    return rows, words, suffix_lm.grow(encoded, words)
 
 
 def test_distributions_sum_to_one(language):
@@ -92,7 +93,8 @@ def test_distributions_sum_to_one(language):
 def test_longest_state_is_used(language):
     rows, words, tree = language
     children = {(int(tree.parent[n]), int(tree.back[n])): n for n in range(1, len(tree.parent))}
-    _, _, symbols, _ = words.read([rows[0][1].encode(), b"", rows[1][1].encode()])
+    _, ids, _ = words.encode([rows[0][1].encode(), b"", rows[1][1].encode()])
+    symbols = words.symbol[ids]
     state, length = tree.states(symbols, suffix_lm.DEPTH)
     for at in range(len(symbols)):
         node, depth = 0, 0
