@@ -107,7 +107,7 @@ def with_node_ids(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def build_graph(elements: DataFrame, order: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of all valid ways of the elements."""
-    ways = way_elements(elements)
+    ways = cut(way_elements(elements))
     nodes = dense_ids(graph_nodes(node_elements(elements, order), ways), "osm_id")
     edges = with_node_ids(directed_edges(way_pairs(ways), nodes), nodes)
     return nodes, dense_ids(edges, "from_node_id", "to_node_id", "osm_way_id", "weight")

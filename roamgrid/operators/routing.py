@@ -21,7 +21,9 @@ def distances(sources: DataFrame, edges: DataFrame, targets: DataFrame | None =
     With targets(source, node), what is no nearer than the farthest target already reached is not followed. Among equal
     distances of a round the smallest predecessor is kept.
     """
-    graph = cut(reduced(edges).withColumnRenamed("from_node_id", "node").withColumnRenamed("to_node_id", "next"))
+    graph = reduced(edges).withColumnRenamed("from_node_id", "node").withColumnRenamed("to_node_id", "next")
+    # partitioned by start once: every round moves its frontier to the edges, not the edges
+    graph = cut(graph.repartition(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node"))
     state = cut(sources.select("source").distinct().select("source", F.col("source").alias("node"), F.lit(0.0).alias("dist"), F.lit(None).cast("long").alias("prev"), F.lit(True).alias("changed")))
     wanted = cut(targets.select("source", "node").distinct()) if targets is not None else None
     rounds = 0

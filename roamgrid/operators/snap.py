@@ -16,7 +16,16 @@ def nearest(nodes: DataFrame, lat: float, lng: float) -> DataFrame:
     return nodes.withColumn("d2", d2).orderBy("d2", "id").limit(1)
 
 
-def snap(clicks: DataFrame, nodes: DataFrame, cell: float = 0.004, growth: float = 4.0) -> DataFrame:
+def cell_side(nodes: DataFrame, held: float = 3.0) -> float | None:
+    """The side of a cell that holds about ``held`` nodes, were they spread evenly; None without nodes."""
+    box = nodes.agg(F.count("*").alias("n"), *(f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("lat", "lng"))).first()
+    if not box["n"]:
+        return None
+    area = (box["max_lat"] - box["min_lat"]) * (box["max_lng"] - box["min_lng"])
+    return max(1e-6, (area * held / box["n"]) ** 0.5)
+
+
+def snap(clicks: DataFrame, nodes: DataFrame, cell: float | None = None, growth: float = 2.0) -> DataFrame:
     """(click_id, node_id, d2) for clicks(click_id, lat, lng); no row where there are no nodes or a coordinate is null or no number.
 
     Nodes and clicks meet by grid cell: a click looks into its cell and the eight around it. A hit no farther than the
@@ -28,7 +37,8 @@ def snap(clicks: DataFrame, nodes: DataFrame, cell: float = 0.004, growth: float
     number = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < 1e6)
     pending = clicks.select("click_id", "lat", "lng").where(number("lat") & number("lng"))
     found = None
-    if nodes.isEmpty():
+    cell = cell or cell_side(nodes)
+    if cell is None:
         return pending.where(F.lit(False)).select("click_id", F.lit(None).cast("long").alias("node_id"), F.lit(None).cast("double").alias("d2"))
     while True:
         side = F.lit(float(cell))

@@ -84,7 +84,7 @@ _WALK = """, walk(src, tgt, node, prev, back) AS (
 def _routes(requests: str, known: str) -> str:
     """Paths from node 1 (or a node to itself) for requests(request_id, src, tgt); both ends must be graph nodes."""
     search = _search("ed", _ONE) + _WALK.format(ends="SELECT DISTINCT src, tgt FROM rq WHERE src = 1 AND src <> tgt")
-    select = f"""SELECT request_id, CASE WHEN {known} THEN CASE WHEN rq.src = rq.tgt THEN rq.src::VARCHAR ELSE path END END AS path, CASE WHEN {known} THEN CASE WHEN rq.src = rq.tgt THEN 0e0 ELSE round(d, 3) END END AS distance
+    select = f"""SELECT request_id, CASE WHEN {known} THEN CASE WHEN rq.src = rq.tgt THEN rq.src::VARCHAR ELSE coalesce(path, '') END ELSE '' END AS path, CASE WHEN {known} THEN CASE WHEN rq.src = rq.tgt THEN 0e0 ELSE coalesce(round(d, 3), -1e0) END ELSE -1e0 END AS distance
         FROM rq LEFT JOIN sp ON sp.src = rq.src AND sp.id = rq.tgt LEFT JOIN (SELECT src, tgt, string_agg(node::VARCHAR, '>' ORDER BY back DESC) AS path FROM walk GROUP BY src, tgt) p ON p.src = rq.src AND p.tgt = rq.tgt"""
     text = _with(select, "ed", search=search)
     return text.replace("WITH RECURSIVE ", f"WITH RECURSIVE rq AS (SELECT * FROM ({requests})), ", 1)
@@ -131,15 +131,15 @@ ORACLE = {
     "eta": _with(f"SELECT request_id, round(round({_OFF}) / (30000e0 / 3600e0))::BIGINT AS secs FROM req", "req"),
     "nearest_single": _with(f"SELECT osm_id AS id, {_POINT} FROM gnode ORDER BY (lat - 16.975e0) * (lat - 16.975e0) + (lng - 81.778e0) * (lng - 81.778e0), osm_id LIMIT 1", "gnode"),
     "snap_batch": _with("SELECT request_id AS click_id, node AS node_id FROM req JOIN hit ON lat = end_lat AND lng = end_lng", "hit"),
-    "snap_region": _with("SELECT request_id AS click_id, end_in AS inside, CASE WHEN end_in THEN node END AS node_id FROM rin JOIN hit ON lat = end_lat AND lng = end_lng", "hit", "rin"),
+    "snap_region": _with("SELECT request_id AS click_id, end_in AS inside, CASE WHEN end_in THEN node ELSE -1 END AS node_id FROM rin JOIN hit ON lat = end_lat AND lng = end_lng", "hit", "rin"),
     "sssp_distances": _with("SELECT id AS node, round(d, 3) AS dist FROM sp", "ed", search=_search("ed", _ONE)),
     "sssp_lattice": _with("SELECT id AS node, d AS dist FROM sp", "grid", search=_search("grid", _ONE)),
     "route_path": _routes("SELECT p_partkey AS request_id, 1::BIGINT AS src, p_partkey AS tgt FROM part", _KNOWN),
     "route_same_node": _routes("SELECT p_partkey AS request_id, p_partkey AS src, p_partkey AS tgt FROM part", _KNOWN),
     "route_unknown_node": _routes("SELECT s_suppkey AS request_id, 1::BIGINT AS src, 1000000 + s_suppkey AS tgt FROM supplier UNION ALL SELECT -s_suppkey, 1000000 + s_suppkey, 1000000 + s_suppkey FROM supplier", _KNOWN),
     "route_unreachable": _routes("SELECT 2000000 + n_nationkey::BIGINT AS request_id, 1::BIGINT AS src, 2000000 + n_nationkey::BIGINT AS tgt FROM nation", _KNOWN),
-    "route_batch": _with(f"SELECT request_id, {_STATUS} AS status, round(d, 3) AS distance_meters, round(d / (30000e0 / 3600e0))::BIGINT AS estimated_time_secs, (hops + 1)::BIGINT AS n_points FROM {_BATCH}", "ed", "ends", search=_search("ed", _DEPOTS)),
+    "route_batch": _with(f"SELECT request_id, {_STATUS} AS status, coalesce(round(d, 3), -1e0) AS distance_meters, coalesce(round(d / (30000e0 / 3600e0))::BIGINT, -1) AS estimated_time_secs, coalesce((hops + 1)::BIGINT, -1) AS n_points FROM {_BATCH}", "ed", "ends", search=_search("ed", _DEPOTS)),
     "polyline": _with("SELECT request_id, line FROM ends JOIN (SELECT src, tgt, string_agg(printf('%.5f %.5f', lat, lng), ',' ORDER BY back DESC) AS line FROM walk JOIN gnode ON osm_id = node GROUP BY src, tgt) p ON p.src = ends.src AND p.tgt = ends.tgt WHERE start_in AND end_in", "ed", "ends", search=_search("ed", _DEPOTS) + _WALK.format(ends="SELECT DISTINCT src, tgt FROM ends WHERE start_in AND end_in")),
     "route_errors": _with(f"SELECT request_id, {_STATUS} AS status, {_ERROR} AS error FROM {_BATCH} WHERE {_STATUS} <> 200", "ed", "ends", search=_search("ed", _DEPOTS)),
-    "route_response_json": _with(f"SELECT request_id, {_STATUS} AS status, round(d / (30000e0 / 3600e0))::BIGINT AS secs, {_ERROR} AS error FROM {_BATCH}", "ed", "ends", search=_search("ed", _DEPOTS)),
+    "route_response_json": _with(f"SELECT request_id, {_STATUS} AS status, coalesce(round(d / (30000e0 / 3600e0))::BIGINT, -1) AS secs, coalesce({_ERROR}, '') AS error FROM {_BATCH}", "ed", "ends", search=_search("ed", _DEPOTS)),
 }

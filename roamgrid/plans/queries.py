@@ -40,14 +40,18 @@ def _kept(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
-    return ingest.directed_edges(ingest.way_pairs(_ways(spark, d)), _kept(spark, d))
+    ways = cut(_ways(spark, d))
+    return ingest.directed_edges(ingest.way_pairs(ways), ingest.graph_nodes(_nodes(spark, d), ways))
 
 
 def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """The graph with OSM ids as node ids, cut from its lineage: routing reads it every round."""
-    nodes = _kept(spark, d).select(F.col("osm_id").alias("id"), "osm_id", "lat", "lng")
-    edges = _edges(spark, d).select(F.col("from_osm_id").alias("from_node_id"), F.col("to_osm_id").alias("to_node_id"), "weight", "osm_way_id")
-    return cut(nodes), cut(edges)
+    elements = source.elements(spark, d)
+    ways = cut(ingest.way_elements(elements))
+    nodes = cut(ingest.graph_nodes(ingest.node_elements(elements, ["pos"]), ways))
+    edges = ingest.directed_edges(ingest.way_pairs(ways), nodes)
+    edges = edges.select(F.col("from_osm_id").alias("from_node_id"), F.col("to_osm_id").alias("to_node_id"), "weight", "osm_way_id")
+    return nodes.select(F.col("osm_id").alias("id"), "osm_id", "lat", "lng"), cut(edges)
 
 
 @query
@@ -230,7 +234,7 @@ def snap_batch(spark, d):
 @query
 def snap_region(spark, d):
     clicks = source.requests(spark, d).select(F.col("request_id").alias("click_id"), F.col("end_lat").alias("lat"), F.col("end_lng").alias("lng"))
-    return snap.snap_in_region(clicks, cut(_kept(spark, d).withColumnRenamed("osm_id", "id")), REGION).select("click_id", "inside", "node_id")
+    return snap.snap_in_region(clicks, cut(_kept(spark, d).withColumnRenamed("osm_id", "id")), REGION).select("click_id", "inside", F.coalesce("node_id", F.lit(-1)).alias("node_id"))
 
 
 def _from_one(spark: SparkSession, edges: DataFrame) -> DataFrame:
@@ -250,7 +254,7 @@ def sssp_lattice(spark, d):
 def _routes(spark: SparkSession, d: str, requests: DataFrame) -> DataFrame:
     nodes, edges = _graph(spark, d)
     found = routing.routes(requests, nodes, edges)
-    return requests.join(found, "request_id", "left").select("request_id", F.array_join("node_ids", ">").alias("path"), _r3("distance").alias("distance"))
+    return requests.join(found, "request_id", "left").select("request_id", F.coalesce(F.array_join("node_ids", ">"), F.lit("")).alias("path"), _r3(F.coalesce("distance", F.lit(-1.0))).alias("distance"))
 
 
 @query
@@ -287,7 +291,8 @@ def _responses(spark: SparkSession, d: str) -> DataFrame:
 @query
 def route_batch(spark, d):
     """Every request's response."""
-    return _responses(spark, d).select("request_id", "status", _r3("distance_meters").alias("distance_meters"), "estimated_time_secs", F.when(F.col("path").isNotNull(), F.size("path")).cast("long").alias("n_points"))
+    none = lambda c: F.coalesce(c, F.lit(-1).cast("long"))
+    return _responses(spark, d).select("request_id", "status", _r3(F.coalesce("distance_meters", F.lit(-1.0))).alias("distance_meters"), none(F.col("estimated_time_secs")).alias("estimated_time_secs"), none(F.when(F.col("path").isNotNull(), F.size("path"))).alias("n_points"))
 
 
 @query
@@ -308,4 +313,4 @@ def route_response_json(spark, d):
     point = lambda end: F.struct(F.col(f"{end}_lat").alias("lat"), F.col(f"{end}_lng").alias("lng")).alias(end)
     bodies = r.select("request_id", F.to_json(F.struct(point("start"), point("end"))).alias("body"))
     replies = osm_json.encode_responses(response.respond(osm_json.decode_requests(bodies), *_graph(spark, d)))
-    return replies.select("request_id", "status", F.get_json_object("body", "$.estimatedTimeSecs").cast("long").alias("secs"), F.get_json_object("body", "$.error").alias("error"))
+    return replies.select("request_id", "status", F.coalesce(F.get_json_object("body", "$.estimatedTimeSecs").cast("long"), F.lit(-1)).alias("secs"), F.coalesce(F.get_json_object("body", "$.error"), F.lit("")).alias("error"))
