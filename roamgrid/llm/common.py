@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -10,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 #: Rows of an Arrow batch sent to a Python worker; texts are long, so the default of 10,000 would not be bounded.
 BATCH_ROWS = 1000
 #: Text bytes handled together inside a worker.
@@ -17,7 +19,11 @@ CHUNK_BYTES = 4 << 20
 
 
 def bounded_batches(spark: SparkSession) -> SparkSession:
-    """Keep the Arrow batches small: both a row and a byte bound."""
+    """Keep the Arrow batches small, by rows and by bytes, and let Python workers find this package where the driver does."""
+    environment = spark.sparkContext.environment
+    paths = [x for x in environment.get("PYTHONPATH", "").split(os.pathsep) if x]
+    if ROOT not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "32m")
     return spark
