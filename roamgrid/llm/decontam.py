@@ -11,8 +11,8 @@ the item's question (its first three quarters) and, apart from that, its answer
 The index is built from at most ``SHARD_ITEMS`` items and ``SHARD_WORDS`` words at a time; a larger benchmark is dealt
 into shards by hashed id and the documents pass every shard, so what is sent to executors has a fixed bound.
 
-Rows: null and empty texts match nothing; null or wordless items are left out; repeated documents or items each have
-their own rows; either table may be empty; other columns are not read and kept by ``drop_leaks``.
+Rows: null and empty texts match nothing; null or wordless items are left out; repeated documents each have
+their own rows, items of one item_id count once for a document; either table may be empty; other columns are not read and kept by ``drop_leaks``.
 """
 
 from __future__ import annotations
@@ -165,10 +165,23 @@ def shards(benchmark: DataFrame, share: float = SHARE, overlap: float = OVERLAP)
     """Indexes over the whole benchmark, each of a bounded size."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
     size = items.agg(F.count("*").alias("n"), F.sum(F.size(F.split("text", "\\s+"))).alias("words")).first()
-    n = max(1, -(-size["n"] // (SHARD_ITEMS // 2)), -(-(size["words"] or 0) // (SHARD_WORDS // 2)))  # dealt by a hash: twice the mean is the bound
+    n = max(1, -(-size["n"] // (SHARD_ITEMS // 2)), -(-(size["words"] or 0) // (SHARD_WORDS // 2)))
     for k in range(n):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).toArrow()
-        yield Index(sorted(zip(own.column("item_id").to_pylist(), own.column("text").to_pylist(), strict=True), key=str), share, overlap)
+        yield from (Index(x, share, overlap) for x in _bounded(sorted(zip(own.column("item_id").to_pylist(), own.column("text").to_pylist(), strict=True), key=str)))
+
+
+def _bounded(items: list[tuple[int | None, str]]) -> Iterator[list[tuple[int | None, str]]]:
+    """Cut where a shard that a hash dealt unevenly would pass the bounds; a longer single item stands alone."""
+    held, words = [], 0
+    for item in items:
+        size = len(words_of(item[1]))
+        if held and (len(held) == SHARD_ITEMS or words + size > SHARD_WORDS):
+            yield held
+            held, words = [], 0
+        held.append(item)
+        words += size
+    yield held
 
 
 LEAK = "doc_id long, item_id long, score double, own_score double, word long, question_overlap double, answer_overlap double"

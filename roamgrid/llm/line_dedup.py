@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, store
 
 MIN_WORDS = 40
 ANCHOR_WORDS = 8
@@ -114,15 +114,14 @@ def patience(ours: list[int], theirs: list[int]) -> list[int]:
 
 
 def cuts(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc, text_hash, cut): the places of the lines to delete, for documents that lose any."""
-    one = lines.dropDuplicates(["doc", "text_hash"])
-    shared = one.select("doc", "text_hash", F.explode(F.array_distinct(F.expr(f"transform(filter(arrays_zip(lines, words), x -> x.words >= {ANCHOR_WORDS}), x -> x.lines)"))).alias("line"))
+    """(doc, text_hash, cut): the places of the lines to delete, for documents that lose any; ``lines`` has one row a document."""
+    shared = lines.select("doc", "text_hash", F.explode(F.array_distinct(F.expr(f"transform(filter(arrays_zip(lines, words), x -> x.words >= {ANCHOR_WORDS}), x -> x.lines)"))).alias("line"))
     key = F.struct("doc", "text_hash")
     owners = shared.groupBy("line").agg(F.min(key).alias("owner"), F.count("*").alias("n")).where("n > 1").select("line", "owner")
     owners = checkpoint(owners)  # apart from the join, whose skewed partitions can be split then
     pairs = shared.join(owners, "line").where(key != F.col("owner")).select("doc", "text_hash", F.col("owner.doc").alias("o_doc"), F.col("owner.text_hash").alias("o_hash")).distinct()
-    owned = one.select(F.col("doc").alias("o_doc"), F.col("text_hash").alias("o_hash"), F.col("lines").alias("theirs"))
-    both = pairs.join(owned, ["o_doc", "o_hash"]).join(one, ["doc", "text_hash"]).select("doc", "text_hash", "lines", "theirs", "words")
+    owned = lines.select(F.col("doc").alias("o_doc"), F.col("text_hash").alias("o_hash"), F.col("lines").alias("theirs"))
+    both = pairs.join(owned, ["o_doc", "o_hash"]).join(lines, ["doc", "text_hash"]).select("doc", "text_hash", "lines", "theirs", "words")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,7 +158,8 @@ def _blocks(at: list[int], words: list[int], min_words: int) -> list[int]:
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Every row, with ``__cut`` (places of deleted lines, or null) added and ``text`` without them."""
-    lines = checkpoint(document_lines(docs))
+    # a table without partitioning: joins of it are shuffled by themselves, so skewed partitions can be split
+    lines = store(document_lines(docs).dropDuplicates(["doc", "text_hash"]), "lines")
     found = checkpoint(cuts(lines, min_words)).select(F.col("doc").alias("__doc"), F.col("text_hash").alias("__hash"), F.col("cut").alias("__cut"))
     own = docs.withColumns({"__doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "__hash": F.xxhash64("text")})
     kept = F.array_join(F.filter(F.split("text", CUT, -1), lambda x, i: ~F.array_contains("__cut", i)), "")
