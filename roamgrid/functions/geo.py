@@ -29,6 +29,15 @@ def travel_seconds(metres: Column) -> Column:
     return F.round(metres / F.lit(SPEED_M_PER_HOUR / 3600.0)).cast("long")
 
 
+def kilometres(metres: Column) -> Column:
+    """To one place, as a user sees it."""
+    return F.round(metres / 1000, 1)
+
+
+def minutes(seconds: Column) -> Column:
+    return F.round(seconds / 60).cast("long")
+
+
 def outside_text(region: Region, lat: Column, lng: Column) -> Column:
     return F.format_string(f"Point (%.5f, %.5f) lies outside {region.name.replace('%', '%%')}", lat, lng)
 

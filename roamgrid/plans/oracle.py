@@ -129,6 +129,7 @@ ORACLE = {
     "bbox_format": "SELECT printf('%.6f,%.6f,%.6f,%.6f', 16.96e0, 81.76e0, 17.01e0, 81.82e0) AS box",
     "haversine_metres": _with(f"SELECT request_id, round({_OFF}, 3) AS metres FROM req", "req"),
     "eta": _with(f"SELECT request_id, round(round({_OFF}) / (30000e0 / 3600e0))::BIGINT AS secs FROM req", "req"),
+    "shown_values": _with(f"SELECT request_id, round(h / 1000e0, 1) AS km, round(round(h / (30000e0 / 3600e0))::BIGINT / 60e0)::BIGINT AS minutes FROM (SELECT request_id, round({_OFF} / 100e0) * 100e0 AS h FROM req)", "req"),
     "nearest_single": _with(f"SELECT osm_id AS id, {_POINT} FROM gnode ORDER BY (lat - 16.975e0) * (lat - 16.975e0) + (lng - 81.778e0) * (lng - 81.778e0), osm_id LIMIT 1", "gnode"),
     "snap_batch": _with("SELECT request_id AS click_id, node AS node_id FROM req JOIN hit ON lat = end_lat AND lng = end_lng", "hit"),
     "snap_region": _with("SELECT request_id AS click_id, end_in AS inside, CASE WHEN end_in THEN node ELSE -1 END AS node_id FROM rin JOIN hit ON lat = end_lat AND lng = end_lng", "hit", "rin"),

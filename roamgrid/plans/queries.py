@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roamgrid.functions.geo import haversine, travel_seconds
+from roamgrid.functions.geo import haversine, kilometres, minutes, travel_seconds
 from roamgrid.operators import graph, ingest, quality, response, routing, snap
 from roamgrid.plans.lineage import cut
 from roamgrid.region import REGION, Region
@@ -218,6 +218,13 @@ def eta(spark, d):
     return source.requests(spark, d).select("request_id", travel_seconds(metres).alias("secs"))
 
 
+@query
+def shown_values(spark, d):
+    """Kilometres and minutes as shown, of whole hectometres and seconds."""
+    metres = F.round(haversine(F.col("start_lat"), F.col("start_lng"), F.col("end_lat"), F.col("end_lng")) / 100) * 100
+    return source.requests(spark, d).select("request_id", kilometres(metres).alias("km"), minutes(travel_seconds(metres)).alias("minutes"))
+
+
 @query
 def nearest_single(spark, d):
     nodes = _kept(spark, d).select(F.col("osm_id").alias("id"), "lat", "lng")

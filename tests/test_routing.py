@@ -134,3 +134,17 @@ def test_store(spark, tmp_path):
     assert store.read_graph(spark, root)[0].count() == 2
     assert store.import_graph(spark, root, lambda: make(spark, [1, 2, 3], []), force=True)
     assert store.read_graph(spark, root)[0].count() == 3
+
+
+def test_relational_store(spark, tmp_path):
+    from roamgrid.sources import jdbc
+
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    nodes, edges = make(spark, range(1, 30), [(i, i + 1, i) for i in range(1, 29)])
+    for _ in range(2):  # the second time both tables are replaced
+        jdbc.write_graph(nodes, edges, url)
+    back = jdbc.read_graph(spark, url, partitions=3)
+    assert [f.rdd.getNumPartitions() for f in back] == [3, 3]
+    assert [sorted(map(tuple, f.collect())) for f in back] == [sorted(map(tuple, f.collect())) for f in (nodes, edges)]
+    jdbc.write_graph(nodes.limit(0), edges.limit(0), url)
+    assert [f.count() for f in jdbc.read_graph(spark, url)] == [0, 0]
