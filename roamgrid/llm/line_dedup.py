@@ -1,13 +1,15 @@
 """Operator 10, line dedup by pairwise alignment of documents that share lines.
 
 A text is cut into lines at line feeds and, as prose often stands in one long line, behind sentence ends. Every line
-(white space around it stripped, blank ones aside) is hashed. The first document that holds a line of at least
-``ANCHOR_WORDS`` words, by doc_id, owns it; a later document that holds it too is paired with the owner, so a line shared
-by n documents makes n - 1 pairs, not n * n: rare lines find a pair's overlap as usual, and frequent ones need no cap.
-Each pair is aligned with patience diff: lines that occur once in both are anchors, their longest increasing run is kept,
-blocks grow from the anchors over equal neighbours, and the stretches in between are aligned alike. Aligned lines of all
-of a document's pairs are joined into blocks, and blocks of at least ``min_words`` words are deleted from the later
-document.
+(white space around it stripped, blank ones aside) is hashed, and so is every window: a run of lines, whatever their
+lengths, that from its first line on, or from its last line back, just reaches ``min_words`` words. Every line of a
+passage of that many words lies in a window inside the passage. The first document that holds a window, or a line of at
+least ``ANCHOR_WORDS`` words, by doc_id, owns it; a later document that holds it too is paired with the owner, so a line
+shared by n documents makes n - 1 pairs, not n * n, and frequent ones need no cap. Each pair is aligned with patience
+diff: lines that occur once in both are anchors, their longest increasing run is kept, blocks grow from the anchors over
+equal neighbours, and the stretches in between are aligned alike; common windows are aligned wherever they stand, so
+moved passages are too. Aligned lines of all of a document's pairs are joined into blocks, and blocks of at least
+``min_words`` words are deleted from the later document.
 
 An owner never loses its line to the pairs of that line (nothing earlier holds it), so one copy of every line stays.
 
@@ -27,13 +29,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpoint, store
 
 MIN_WORDS = 40
 ANCHOR_WORDS = 8
+#: Of the hashes of windows, modulo 2 to the 64.
+BASE = 0x9E3779B97F4A7C15
+BASE_INVERSE = pow(BASE, -1, 1 << 64)
 #: Behind a line feed, or behind a sentence end and a space; Java and Python split alike here.
 CUT = r"(?<=\n)|(?<=[.!?] )"
 _CUT = re.compile(CUT.encode())
@@ -113,19 +118,64 @@ def patience(ours: list[int], theirs: list[int]) -> list[int]:
     return sorted(aligned)
 
 
+def windows(lines: np.ndarray, words: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first and last place of every window; blank lines count as not there."""
+    at = np.flatnonzero(lines)
+    n = len(at)
+    upto = np.concatenate([[0], np.cumsum(words[at], dtype=np.int64)])
+    forward = np.searchsorted(upto, upto[:-1] + min_words)  # ends, behind the last line
+    back = np.searchsorted(upto, upto[1:] - min_words, side="right") - 1
+    first, end = np.concatenate([np.arange(n), back]), np.concatenate([forward, np.arange(1, n + 1)])
+    some = (first >= 0) & (end <= n)
+    first, end = np.divmod(np.unique(first[some] * (n + 1) + end[some]), n + 1)
+    power, inverse = (np.cumprod(np.array([1] + n * [x], np.uint64), dtype=np.uint64) for x in (BASE, BASE_INVERSE))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(lines[at].astype(np.uint64) * inverse[:n], dtype=np.uint64)])
+    return ((total[end] - total[first]) * power[first]).astype(np.int64), at[first], at[end - 1]
+
+
+def anchors(lines: DataFrame, min_words: int) -> DataFrame:
+    """(doc, number, line): hashes of long lines and of windows, each once a document."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = []
+            for x, w in zip(batch.column(2), batch.column(3), strict=True):
+                x, w = x.values.to_numpy(), w.values.to_numpy()
+                own.append(np.unique(np.concatenate([x[(x != 0) & (w >= ANCHOR_WORDS)], windows(x, w, min_words)[0]])))
+            row = pa.array(np.repeat(np.arange(len(own)), [len(x) for x in own]), pa.int64())
+            yield pa.record_batch([*(c.take(row) for c in batch.columns[:2]), pa.array(np.concatenate(own or [np.zeros(0, np.int64)]), pa.int64())], ["doc", "number", "line"])
+
+    return lines.select("doc", "number", "lines", "words").mapInArrow(found, "doc long, number long, line long")
+
+
+def common(ours: np.ndarray, our_words: np.ndarray, theirs: np.ndarray, their_words: np.ndarray, min_words: int) -> np.ndarray:
+    """Places in ``ours`` of all lines in windows that ``theirs`` has too."""
+    own, first, last = windows(ours, our_words, min_words)
+    shared = np.isin(own, windows(theirs, their_words, min_words)[0])
+    edge = np.zeros(len(ours) + 1, np.int64)
+    np.add.at(edge, first[shared], 1)
+    np.add.at(edge, last[shared] + 1, -1)
+    return np.flatnonzero((np.cumsum(edge[:-1]) > 0) & (ours != 0))
+
+
 def cuts(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc, text_hash, cut): the places of the lines to delete, for documents that lose any; ``lines`` has one row a document."""
-    shared = lines.select("doc", "text_hash", F.explode(F.array_distinct(F.expr(f"transform(filter(arrays_zip(lines, words), x -> x.words >= {ANCHOR_WORDS}), x -> x.lines)"))).alias("line"))
-    key = F.struct("doc", "text_hash")
-    owners = shared.groupBy("line").agg(F.min(key).alias("owner"), F.count("*").alias("n")).where("n > 1").select("line", "owner")
-    owners = checkpoint(owners)  # apart from the join, whose skewed partitions can be split then
-    pairs = shared.join(owners, "line").where(key != F.col("owner")).select("doc", "text_hash", F.col("owner.doc").alias("o_doc"), F.col("owner.text_hash").alias("o_hash")).distinct()
-    owned = lines.select(F.col("doc").alias("o_doc"), F.col("text_hash").alias("o_hash"), F.col("lines").alias("theirs"))
-    both = pairs.join(owned, ["o_doc", "o_hash"]).join(lines, ["doc", "text_hash"]).select("doc", "text_hash", "lines", "theirs", "words")
+    """(doc, text_hash, cut): the places of the lines to delete, for documents that lose any; ``lines`` has one row a document, numbered."""
+    owner = F.min(F.struct("doc", "number")).over(Window.partitionBy("line"))["number"]
+    pairs = anchors(lines, min_words).withColumn("owner", owner).where("number != owner").select("number", "owner").distinct()
+    pairs = checkpoint(pairs)  # apart from the joins, whose skewed partitions can be split then
+    owned = lines.select(F.col("number").alias("owner"), F.col("lines").alias("theirs"), F.col("words").alias("their_words"))
+    both = pairs.join(owned, "owner").join(lines, "number").select("doc", "text_hash", "lines", "theirs", "words", "their_words")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [array("i", patience(a.as_py(), b.as_py())) for a, b in zip(batch.column(2), batch.column(3), strict=True)]
+            found = []
+            for a, b, c, d in zip(*batch.columns[2:6], strict=True):
+                ours, theirs = a.as_py(), b.as_py()
+                at = patience(ours, theirs)
+                if not {*theirs}.isdisjoint(x for x in Counter(ours) - Counter(ours[i] for i in at) if x):
+                    moved = common(*(x.values.to_numpy() for x in (a, c, b, d)), min_words)
+                    at = sorted({*at, *moved.tolist()})
+                found.append(array("i", at))
             yield pa.record_batch([*batch.columns[:2], pa.array(found, pa.list_(pa.int32())), batch.column(4)], ["doc", "text_hash", "at", "words"])
 
     aligned = both.mapInArrow(align, "doc long, text_hash long, at array<int>, words array<int>")
@@ -159,7 +209,7 @@ def _blocks(at: list[int], words: list[int], min_words: int) -> list[int]:
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Every row, with ``__cut`` (places of deleted lines, or null) added and ``text`` without them."""
     # a table without partitioning: joins of it are shuffled by themselves, so skewed partitions can be split
-    lines = store(document_lines(docs).dropDuplicates(["doc", "text_hash"]), "lines")
+    lines = store(document_lines(docs).dropDuplicates(["doc", "text_hash"]).withColumn("number", F.monotonically_increasing_id()), "lines")
     found = checkpoint(cuts(lines, min_words)).select(F.col("doc").alias("__doc"), F.col("text_hash").alias("__hash"), F.col("cut").alias("__cut"))
     own = docs.withColumns({"__doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "__hash": F.xxhash64("text")})
     kept = F.array_join(F.filter(F.split("text", CUT, -1), lambda x, i: ~F.array_contains("__cut", i)), "")

@@ -199,3 +199,51 @@ def test_java_and_python_cut_alike(spark):
     texts = ["", "\n", "a\n", ". ", "a. ", "a.  b", "\r\n"] + ["".join(rng.choice("a.!? \n\r") for _ in range(rng.randint(0, 20))) for _ in range(500)]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.split("t", line_dedup.CUT, -1).alias("x")).collect()
     assert all(r["x"] == units(r["t"]) for r in rows)
+
+
+SHORT = "\n".join(f"item {i} costs {i * 7}" for i in range(30))
+
+
+def test_passage_of_short_lines_stays_once(spark):
+    rows = [(i, f"Its own beginning number {i} is here with words.\n{SHORT}\nIts own end {i} comes here now.") for i in range(1, 8)]
+    found = {k[0]: r["text"] for k, r in dedup(spark, rows).items()}
+    assert found == {i: t if i == 1 else f"Its own beginning number {i} is here with words.\nIts own end {i} comes here now." for i, t in rows}
+
+
+def test_owner_of_one_line_hides_no_passage(spark):
+    """Document 0 holds a single line of the passage; 1 holds all of it."""
+    long = "this line is the only long one of the whole passage"
+    found = {k[0]: r["text"] for k, r in dedup(spark, [(0, long + "\n"), (1, SHORT + "\n" + long), (2, SHORT + "\n" + long)]).items()}
+    assert found == {0: long + "\n", 1: SHORT + "\n" + long, 2: ""}
+
+
+def test_moved_passages_go(spark):
+    other = SHORT.replace("item", "thing")
+    found = {k[0]: r["text"] for k, r in dedup(spark, [(1, f"{SHORT}\n{other}"), (2, f"{other}\n{SHORT}")]).items()}
+    assert found[2] == ""
+
+
+def test_every_repeated_run_goes(spark):
+    """Brute force: no run of lines of an earlier document that reaches the minimum is left whole or in part."""
+    rng = random.Random(9)
+    pool = [" ".join(f"p{i}q{k}" for k in range(rng.randint(1, 7))) for i in range(300)]
+    runs = [[rng.choice(pool) for _ in range(rng.randint(5, 30))] for _ in range(12)]
+    rows = []
+    for i in range(60):
+        text = []
+        for _ in range(4):
+            run = rng.choice(runs)
+            a = rng.randrange(len(run))
+            text += [*run[a : a + rng.randint(4, 30)], f"own {i} {len(text)}"]
+        rows.append((i, "\n".join(text)))
+    found = {k[0]: set(r["__cut"] or ()) for k, r in dedup(spark, rows).items()}
+    seen, gone = set(), 0
+    for i, t in rows:
+        own = t.split("\n")
+        runs_here = {(a, b) for a in range(len(own)) for b in range(a + 1, len(own) + 1) if sum(len(x.split()) for x in own[a:b]) >= line_dedup.MIN_WORDS}
+        for a, b in runs_here:
+            if tuple(own[a:b]) in seen:
+                assert found[i] >= set(range(a, b))
+                gone += 1
+        seen |= {tuple(own[a:b]) for a, b in runs_here}
+    assert gone > 100
