@@ -118,3 +118,28 @@ def test_registered_queries():
     names = set(queries.queries())
     assert {m[1] for n in names if (m := re.match(r"op(\d+)_", n))} == {str(i) for i in range(1, 11)} and "pipeline" in names
     assert set(queries.oracle_sql()) <= names and len(CLASHING) > 10 and len(ROWS) > 10 and bounded_batches and decontam
+
+
+def check_no_passage_repeats(rows):
+    """Runs of lines of any length, of at least 51 words, are in one document only."""
+    seen, short = {}, 0
+    for r in sorted(rows, key=lambda r: r["doc_id"]):
+        own = [x.strip() for x in units(r["text"]) if x.strip()]
+        for k in range(len(own)):
+            run, words = [], 0
+            for x in own[k:]:
+                run.append(x)
+                words += len(x.split())
+                if words >= 51:
+                    break
+            if words >= 51:
+                short += any(len(x.split()) < 8 for x in run)
+                assert seen.setdefault(tuple(run), r["doc_id"]) == r["doc_id"]
+    assert short
+
+
+def test_no_passage_of_short_lines_repeats(spark, steps):
+    """In the pipeline's own documents, and in those that its first stage would drop."""
+    check_no_passage_repeats(steps[0][2])
+    sf_dir = "/root/testdata/sf0.01"
+    check_no_passage_repeats(corpus_pipeline.dedup_lines(spark, table(spark, sf_dir, "documents"), sf_dir).collect())
