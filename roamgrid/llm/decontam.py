@@ -8,6 +8,9 @@ passages of a chunk at once. What meets is bounded by those terms' sum plus the
 greatest weights; only then is the exact score taken. Retrieved pairs are verified by the overlap of word trigrams with
 the item's question (its first three quarters) and, apart from that, its answer (the last quarter).
 
+An item of over ``PART_WORDS`` words is retrieved by parts of nearly equal length. It is verified as a whole: against the
+text around the passage that reaches an item's length to both sides.
+
 The index is built from at most ``SHARD_ITEMS`` items and ``SHARD_WORDS`` words at a time; a larger benchmark is dealt
 into shards by hashed id and the documents pass every shard, so what is sent to executors has a fixed bound.
 
@@ -51,6 +54,13 @@ def _grams(words: list[bytes], n: int = 3) -> set[tuple[bytes, ...]]:
     return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if n else set()
 
 
+def _parts(words: list[bytes]) -> list[list[bytes]]:
+    """At most ``PART_WORDS`` words each and, of a longer item, at least half of that."""
+    n = -(-len(words) // PART_WORDS)
+    cuts = [len(words) * k // n for k in range(n + 1)]
+    return [words[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
 @dataclass
 class Match:
     item_id: int | None
@@ -65,9 +75,11 @@ class Index:
     """Postings, thresholds and block maxima of one shard of items."""
 
     def __init__(self, items: list[tuple[int | None, str | None]], share: float = SHARE, overlap: float = OVERLAP):
-        parts = [(i, w[at : at + PART_WORDS]) for i, w in ((i, words_of(t)) for i, t in items) for at in range(0, len(w), PART_WORDS)]
-        self.ids = [i for i, _ in parts]
+        whole = [(i, w) for i, w in ((i, words_of(t)) for i, t in items) if w]
+        parts = [(k, p) for k, (_, w) in enumerate(whole) for p in _parts(w)]
+        self.ids = [whole[k][0] for k, _ in parts]
         self.words = [w for _, w in parts]
+        self.reach = [len(whole[k][1]) if len(w) < len(whole[k][1]) else 0 for k, w in parts]
         self.overlap = overlap
         self.segment = max([8, *map(len, self.words)])
         self.terms = {t: n for n, t in enumerate(sorted({t for w in self.words for t in w}))}
@@ -98,10 +110,11 @@ class Index:
             for term, weight in w.items():
                 self.block_max[item // BLOCK, term] = max(self.block_max[item // BLOCK, term], np.nextafter(np.float32(weight), np.float32(np.inf)))
         self.block_limit = np.array([self.limit[b * BLOCK : (b + 1) * BLOCK].min() for b in range(len(self.block_max))])
-        self.grams = []
-        for w in self.words:
+        grams = []
+        for _, w in whole:
             cut = max(1, len(w) - max(3, len(w) // 4))
-            self.grams.append((_grams(w[:cut]), _grams(w[cut:]) or _grams(w)))
+            grams.append((_grams(w[:cut]), _grams(w[cut:]) or _grams(w)))
+        self.grams = [grams[k] for k, _ in parts]
 
     def text_limit(self) -> int:
         """Bytes of text whose (segment, item) table stays within CELLS."""
@@ -156,7 +169,11 @@ class Index:
             passage = split[text][word : word + 2 * self.segment]
             if grams is None:
                 grams = {n: _grams(passage, n) for n in (1, 2, 3)}
-            shares = [len(g & grams[len(next(iter(g)))]) / len(g) if g else 1.0 for g in self.grams[item]]
+            near = grams
+            if reach := self.reach[item]:
+                around = split[text][max(0, word - reach) : word + 2 * self.segment + reach]
+                near = {n: _grams(around, n) for n in (1, 2, 3)}
+            shares = [len(g & near[len(next(iter(g)))]) / len(g) if g else 1.0 for g in self.grams[item]]
             if min(shares) >= self.overlap:
                 out[text].append(Match(self.ids[item], score, float(self.own[item]), word, *shares))
 

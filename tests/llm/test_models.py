@@ -250,3 +250,32 @@ def test_decontamination_of_odd_rows(spark, odd, none):
     assert kept.columns == odd.columns and sorted(repr(r["doc_id"]) for r in kept.collect()) == sorted(repr(i) for i, t in ROWS if i not in (1, 6, 12) and t != "a text without an id")
     assert decontam.find_leaks(none, items).collect() == [] and decontam.find_leaks(odd, items.where("false")).collect() == []
     assert decontam.drop_leaks(odd, items.where("false")).count() == odd.count()
+
+
+@pytest.mark.parametrize("n", [257, 258, 300, 513, 2000])
+def test_long_items_are_verified_whole(n):
+    """Before, the last part of 257 words was a single word, and every text that holds it a leak."""
+    rng = random.Random(n)
+    item = [f"w{i}" for i in range(n)]
+    filler = lambda: [f"f{rng.randrange(10**6)}" for _ in range(700)]
+    texts = [
+        filler() + item + filler(),
+        filler() + [w for w in item if rng.random() >= 0.05] + filler(),
+        filler() + item[-1:] + filler(),
+        filler() + item[-2:] + filler(),
+        filler() + item[-3:] + filler(),
+        filler() + item[: n // 2] + filler(),  # no answer
+        filler() + item[-(n // 4) :] + filler(),  # no question
+        filler(),
+    ]
+    found = decontam.Index([(1, " ".join(item)), (2, "quite another item of a few words")]).leaks([" ".join(t) for t in texts])
+    assert [bool(f) for f in found] == [True, True, *[False] * 6]
+    assert found[0][0].question == found[0][0].answer == 1
+
+
+@pytest.mark.parametrize("n", [1, 255, 256, 257, 511, 512, 513, 5000])
+def test_parts_are_nearly_equal(n):
+    words = [str(i).encode() for i in range(n)]
+    parts = decontam._parts(words)
+    assert sum(parts, []) == words and max(map(len, parts)) <= decontam.PART_WORDS
+    assert len(parts) == 1 or min(map(len, parts)) >= decontam.PART_WORDS // 2
