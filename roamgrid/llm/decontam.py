@@ -12,7 +12,8 @@ An item of over ``PART_WORDS`` words is retrieved by parts of nearly equal lengt
 text around the passage that reaches an item's length to both sides.
 
 The index is built from at most ``SHARD_ITEMS`` items and ``SHARD_WORDS`` words at a time; a larger benchmark is dealt
-into shards by hashed id and the documents pass every shard, so what is sent to executors has a fixed bound.
+into shards by hashed id and the documents pass every shard, so what is sent to executors has a fixed bound. Document
+frequencies and the average length are those of the whole benchmark in every shard, so scores don't depend on shards.
 
 Rows: null and empty texts match nothing; null or wordless items are left out; repeated documents each have
 their own rows, items of one item_id count once for a document; either table may be empty; other columns are not read and kept by ``drop_leaks``.
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import checkpoint, chunks
 
 SHARD_ITEMS = 4096
 SHARD_WORDS = 1 << 19
@@ -71,10 +72,19 @@ class Match:
     answer: float
 
 
+@dataclass
+class Statistics:
+    """Parts and words of a benchmark, and in how many parts a term is (at least the terms in use)."""
+
+    parts: int
+    words: int
+    found: dict[bytes, int]
+
+
 class Index:
     """Postings, thresholds and block maxima of one shard of items."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]], share: float = SHARE, overlap: float = OVERLAP):
+    def __init__(self, items: list[tuple[int | None, str | None]], share: float = SHARE, overlap: float = OVERLAP, whole_table: Statistics | None = None):
         whole = [(i, w) for i, w in ((i, words_of(t)) for i, t in items) if w]
         parts = [(k, p) for k, (_, w) in enumerate(whole) for p in _parts(w)]
         self.ids = [whole[k][0] for k, _ in parts]
@@ -83,9 +93,10 @@ class Index:
         self.overlap = overlap
         self.segment = max([8, *map(len, self.words)])
         self.terms = {t: n for n, t in enumerate(sorted({t for w in self.words for t in w}))}
-        n, average = len(parts), np.mean([len(w) for w in self.words]) if parts else 1.0
-        found = Counter(t for w in self.words for t in set(w))
-        idf = {t: np.log(1 + (n - f + 0.5) / (f + 0.5)) for t, f in found.items()}
+        n = len(parts)
+        table = whole_table or Statistics(n, sum(map(len, self.words)), Counter(t for w in self.words for t in set(w)))
+        average = table.words / max(1, table.parts)
+        idf = {t: np.log(1 + (table.parts - table.found[t] + 0.5) / (table.found[t] + 0.5)) for t in self.terms}
         self.weights: list[dict[int, float]] = []
         for w in self.words:
             norm = K1 * (1 - B + B * len(w) / average)
@@ -183,9 +194,29 @@ def shards(benchmark: DataFrame, share: float = SHARE, overlap: float = OVERLAP)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
     size = items.agg(F.count("*").alias("n"), F.sum(F.size(F.split("text", "\\s+"))).alias("words")).first()
     n = max(1, -(-size["n"] // (SHARD_ITEMS // 2)), -(-(size["words"] or 0) // (SHARD_WORDS // 2)))
+    counts = checkpoint(_term_counts(items)) if n > 1 else None
+    total = counts.where("term is null").first() if n > 1 else None
     for k in range(n):
-        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).toArrow()
-        yield from (Index(x, share, overlap) for x in _bounded(sorted(zip(own.column("item_id").to_pylist(), own.column("text").to_pylist(), strict=True), key=str)))
+        mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
+        own = mine.toArrow()
+        table = None
+        if total:
+            found = counts.join(_term_counts(mine).select("term"), "term", "left_semi").toArrow()
+            table = Statistics(total["parts"], total["words"], dict(zip(found.column("term").to_pylist(), found.column("parts").to_pylist(), strict=True)))
+        yield from (Index(x, share, overlap, table) for x in _bounded(sorted(zip(own.column("item_id").to_pylist(), own.column("text").to_pylist(), strict=True), key=str)))
+
+
+def _term_counts(items: DataFrame) -> DataFrame:
+    """(term, parts, words): in how many parts every term is; a null term for the parts and words of the table."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [p for x in batch.column(0) for w in [words_of(x.as_py())] if w for p in _parts(w)]
+            found = Counter(t for p in parts for t in set(p))
+            numbers = [*found.values(), len(parts)], [*[0] * len(found), sum(map(len, parts))]
+            yield pa.record_batch([pa.array([*found, None], pa.binary()), *(pa.array(x, pa.int64()) for x in numbers)], ["term", "parts", "words"])
+
+    return items.select("text").mapInArrow(count, "term binary, parts long, words long").groupBy("term").agg(F.sum("parts").alias("parts"), F.sum("words").alias("words"))
 
 
 def _bounded(items: list[tuple[int | None, str]]) -> Iterator[list[tuple[int | None, str]]]:

@@ -279,3 +279,16 @@ def test_parts_are_nearly_equal(n):
     parts = decontam._parts(words)
     assert sum(parts, []) == words and max(map(len, parts)) <= decontam.PART_WORDS
     assert len(parts) == 1 or min(map(len, parts)) >= decontam.PART_WORDS // 2
+
+
+def test_scores_do_not_depend_on_shards(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    items = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    found = lambda: sorted((r["doc_id"], r["item_id"], round(r["score"], 9), round(r["own_score"], 9)) for r in decontam.find_leaks(docs, items, share=0.3).collect())
+    whole = found()
+    own = {i: o for index in decontam.shards(items) for i, o in zip(index.ids, index.own, strict=True)}
+    monkeypatch.setattr(decontam, "SHARD_ITEMS", 16)
+    indexes = list(decontam.shards(items))
+    assert len(indexes) > 2 and whole
+    assert {i: o for index in indexes for i, o in zip(index.ids, index.own, strict=True)} == pytest.approx(own)
+    assert found() == whole
