@@ -15,7 +15,7 @@ ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 #: Rows of an Arrow batch sent to a Python worker; texts are long, so the default of 10,000 would not be bounded.
 BATCH_ROWS = 1000
 #: Text bytes handled together inside a worker.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 19
 
 
 def bounded_batches(spark: SparkSession) -> SparkSession:
@@ -25,24 +25,31 @@ def bounded_batches(spark: SparkSession) -> SparkSession:
     if ROOT not in paths:
         environment["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "32m")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
     return spark
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder that the session names; a folder of our own only where it names none."""
-    context = df.sparkSession.sparkContext
+    """Cut the lineage in the folder that the session names."""
+    checkpoint_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that the session names; one of our own only where it names none and all runs on this machine (tests)."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="roamgrid-"))
-    return df.checkpoint(eager=True)
+    return context.getCheckpointDir()
 
 
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write a table in the shared folder and read it again: as ``checkpoint``, but in columns, for rows with texts."""
     spark = df.sparkSession
-    checkpoint(spark.range(0))  # names the folder where the session has none
-    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
 
@@ -77,5 +84,10 @@ def binary_text(docs: DataFrame) -> DataFrame:
 
 def binary_chunks(batch: pa.RecordBatch, limit: int = CHUNK_BYTES) -> Iterator[tuple[list[int | None], list[bytes]]]:
     """The doc_ids and texts of a batch of ``binary_text``, about ``limit`` bytes of text together; null counts as empty."""
-    for start, texts in chunks((x.as_py() for x in batch.column(1)), limit, b""):
+    for start, texts in byte_chunks(batch.column(1), limit):
         yield batch.column(0).slice(start, len(texts)).to_pylist(), texts
+
+
+def byte_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
+    """As ``chunks``, of a string or binary column as UTF-8 bytes."""
+    return chunks((x.as_py() for x in column.cast(pa.binary())), limit, b"")

@@ -48,6 +48,7 @@ def cut_into_pieces(docs: DataFrame, vocabulary: str, length: int = 2048, end_id
                             column.append(value)
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
                 yield pa.record_batch([pa.array(x, k) for x, k in zip(rows, kinds, strict=False)], names)
+        words.forget()
 
     return binary_text(docs).mapInArrow(pieces, PIECES + ", ids binary" * with_ids)
 

@@ -5,8 +5,9 @@ and class-transition frequencies, repeated words and a learned layer; learned ga
 and a logistic unit scores the weighted passage representation. Only document labels are learned from. Text alone is
 looked at: labels, language, source and doc_id are no inputs of a score.
 
-The model is fitted on the driver on at most ``TRAIN_DOCS`` labelled rows (those of least hashed doc_id) and at most
-``TRAIN_PASSAGES`` evenly spaced passages of each; scoring covers every passage of every row, without a shuffle.
+The model is fitted on the driver on at most ``TRAIN_DOCS`` labelled rows (those of least hashed doc_id) of at most
+``TRAIN_BYTES`` bytes of text, with every passage of them; scoring covers every passage of every row, without a shuffle.
+A text is encoded in pieces of ``PIECE`` bytes, so that a worker's memory depends little on the longest text.
 
 Rows: null or empty text is one empty passage and gets a score; repeated rows get equal scores; with no usable label
 the score is the smoothed mean label (0.5 without labels); an empty table gives an empty result; other input columns are
@@ -24,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, id_bucket
+from .common import byte_chunks, id_bucket
 
 PASSAGE = 512
+#: Whole passages together.
+PIECE = 512 * PASSAGE
 TRAIN_DOCS = 6000
-TRAIN_PASSAGES = 32
+TRAIN_BYTES = 1 << 15
 HIDDEN, GATE = 24, 12
 FOLDS = 5
 
@@ -61,9 +64,28 @@ FINE, COARSE = _classes()
 WIDTH = 64 + 64 + 4
 
 
+def pieces(texts: list[bytes]) -> Iterator[list[bytes]]:
+    """The texts in order, cut between passages, about ``PIECE`` bytes together."""
+    held, size = [], 0
+    for text in texts:
+        for at in range(0, max(1, len(text)), PIECE):
+            held.append(text[at : at + PIECE])
+            size += len(held[-1])
+            if size >= PIECE:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def passages(texts: list[bytes]) -> np.ndarray:
+    """How many passages each text has."""
+    return np.array([max(1, -(-len(x) // PASSAGE)) for x in texts], np.int64)
+
+
 def encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(passages, WIDTH) features and the number of passages of each text."""
-    count = np.array([max(1, -(-len(x) // PASSAGE)) for x in texts], np.int64)
+    count = passages(texts)
     bytes_ = np.frombuffer(b"".join(texts), np.uint8)
     lengths = np.array([len(x) for x in texts], np.int64)
     first = np.cumsum(count) - count
@@ -93,21 +115,31 @@ class Model:
     weights: dict[str, np.ndarray]
     constant: float | None = None
 
-    def bags(self, x: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, ...]:
+    def attend(self, x: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of each passage: its energy, representation, and the two sides of its gate."""
         w = self.weights
         hidden = np.tanh(((x - self.mean) / self.scale) @ w["encode"] + w["encode_0"])
         tanh, gate = np.tanh(hidden @ w["tanh"]), 1 / (1 + np.exp(-(hidden @ w["gate"])))
-        energy = (tanh * gate) @ w["attend"]
+        return (tanh * gate) @ w["attend"], hidden, tanh, gate
+
+    def pool(self, energy: np.ndarray, hidden: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of each text: its probability and weighted representation; and the passages' weights."""
+        w = self.weights
         starts = np.cumsum(count) - count
         energy = np.exp(energy - np.repeat(np.maximum.reduceat(energy, starts), count))
         share = energy / np.repeat(np.add.reduceat(energy, starts), count)
         bag = np.add.reduceat(share[:, None] * hidden, starts, axis=0)
-        return 1 / (1 + np.exp(-np.clip(bag @ w["out"] + w["out_0"], -30, 30))), bag, share, hidden, tanh, gate
+        return 1 / (1 + np.exp(-np.clip(bag @ w["out"] + w["out_0"], -30, 30))), bag, share
+
+    def bags(self, x: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, ...]:
+        energy, hidden, tanh, gate = self.attend(x)
+        return *self.pool(energy, hidden, count), hidden, tanh, gate
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(texts), self.constant)
-        return self.bags(*encode(texts))[0].astype(np.float64)
+        found = [self.attend(encode(x)[0])[:2] for x in pieces(texts)]
+        return self.pool(*map(np.concatenate, zip(*found, strict=True)), passages(texts))[0].astype(np.float64)
 
 
 def fit(x: np.ndarray, count: np.ndarray, label: np.ndarray, rounds: int = 40, batch: int = 128, rate: float = 0.01) -> Model:
@@ -144,24 +176,23 @@ def fit(x: np.ndarray, count: np.ndarray, label: np.ndarray, rounds: int = 40, b
     return model
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, where: Column, most: int) -> DataFrame:
-    """(text, label) of at most ``most`` labelled documents of those with ``where``, by hashed doc_id; one label for each id."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, where: Column, most: int, bytes_: int = TRAIN_BYTES) -> DataFrame:
+    """(text, label) of at most ``most`` labelled documents of those with ``where``, by hashed doc_id, but for texts of over ``bytes_``; one label for each id."""
     one = labels.where(where & F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.avg("quality").alias("label"))
     chosen = one.orderBy(F.xxhash64("label_id"), "label_id").limit(most)
     # ``most`` rows of two numbers: a proven bound
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("text", "label")
+    rows = docs.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= bytes_)
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("text", "label")
 
 
-def train(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, most: int = TRAIN_DOCS, passages: int = TRAIN_PASSAGES) -> Model:
+def train(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, most: int = TRAIN_DOCS) -> Model:
     """Fit on labelled rows whose crc32(doc_id) mod ``folds`` is not 0."""
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x, _ = encode([text or b""])
-                x = x[np.unique(np.linspace(0, len(x) - 1, min(len(x), passages)).astype(int))]
-                rows.append((x.tobytes(), label))
+                rows.append((encode([text or b""])[0].tobytes(), label))
             yield pa.record_batch([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.float64())], ["x", "label"])
 
     sample = labelled_sample(docs, labels, id_bucket("doc_id", folds) != 0, most)
@@ -178,8 +209,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, texts in chunks(x.as_py() for x in batch.column(1)):
-                found = model.score([x.encode("utf-8", "surrogatepass") for x in texts])
+            for start, texts in byte_chunks(batch.column(1)):
+                found = model.score(texts)
                 yield pa.record_batch([batch.column(0).slice(start, len(texts)), pa.array(found)], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scored, "doc_id long, score double")
@@ -197,8 +228,8 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFram
 
     def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, texts in chunks(x.as_py() for x in batch.column(at)):
-                found = model.score([x.encode("utf-8", "surrogatepass") for x in texts])
+            for start, texts in byte_chunks(batch.column(at)):
+                found = model.score(texts)
                 yield batch.slice(start, len(texts)).filter(pa.array(found >= threshold))
 
     return docs.mapInArrow(good, docs.schema)

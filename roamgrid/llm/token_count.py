@@ -28,6 +28,7 @@ def count_tokens(docs: DataFrame, vocabulary: str) -> DataFrame:
             for ids, texts in binary_chunks(batch):
                 n_tokens = [len(x) // 4 for x in words.texts(texts)]
                 yield pa.record_batch([pa.array(x, pa.int64()) for x in (ids, [len(x) for x in texts], n_tokens)], ["doc_id", "n_bytes", "n_tokens"])
+        words.forget()
 
     return binary_text(docs).mapInArrow(lengths, SCHEMA)
 

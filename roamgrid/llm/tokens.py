@@ -3,24 +3,28 @@
 The vocabulary's pre-tokenizer drops white space and never joins what stands on both sides of it, so every run of ASCII
 white space is a safe boundary: a text's ids are its words' ids in order. Words repeat (a corpus has far fewer distinct
 words than words), so each worker keeps the ids of words it has met in a bounded cache and encodes only new ones, in
-batches balanced by bytes.
+batches balanced by bytes. The cache is dropped when a task ends; long texts are cut at white space and go piece by piece.
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Iterable
+import re
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
 #: Of each of two generations: when the young one is full it becomes the old one, and words met again return to the young.
-CACHE_WORDS = 600_000
+#: Words of at most CACHED_BYTES stay, so a generation holds some 35 MB at most.
+CACHE_WORDS = 150_000
 CACHED_BYTES = 48
 BATCH_BYTES = 1 << 18
+PIECE_BYTES = 1 << 19
 MARK, BETWEEN, GROUP_WORDS = b"|", b" | ", 500
 #: Special strings keep their case, and a mark (U+0300 to U+037F) behind a capital may combine otherwise than behind a small letter.
 CASE_MATTERS = (b"<|", b"\xcc", b"\xcd")
 ENDS = b".,"
+_WHITE = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -28,6 +32,17 @@ def words_of(text: bytes) -> list[bytes]:
     return (text if any(x in text for x in CASE_MATTERS) else text.lower()).split()
 
 
+def pieces_of(text: bytes, size: int = PIECE_BYTES) -> Iterator[bytes]:
+    """A text in pieces of about ``size`` bytes that end before white space, where there is any."""
+    at = 0
+    while len(text) - at > size:
+        space = _WHITE.search(text, at + size)
+        end = space.start() if space else len(text)
+        yield text[at:end]
+        at = end
+    yield text[at:] if at else text
+
+
 def core(word: bytes) -> tuple[bytes, bytes]:
     """A word's part to encode and the full stops or commas behind it, encoded apart: an ASCII letter always ends a pre-token there."""
     stem = word.rstrip(ENDS)
@@ -80,8 +95,18 @@ class WordEncoder:
         found.update(zip(back, map(self.old.__getitem__, back), strict=True))
         return rest - back
 
+    def forget(self) -> None:
+        """Drop the cache: what a task has met is not kept for the worker's next one."""
+        self.young, self.old = {}, {}
+
     def texts(self, texts: list[bytes]) -> Iterable[bytes]:
         """The ids of each text."""
+        if len(texts) == 1:
+            yield b"".join(x for piece in pieces_of(texts[0]) for x in self._texts([piece]))
+        else:
+            yield from self._texts(texts)
+
+    def _texts(self, texts: list[bytes]) -> Iterable[bytes]:
         split = [words_of(text) for text in texts]
         if len(self.young) > CACHE_WORDS:
             self.young, self.old = {}, self.young
