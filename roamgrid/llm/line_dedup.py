@@ -1,21 +1,26 @@
 """Operator 10, line dedup by pairwise alignment of documents that share lines.
 
-A text is cut into lines at line feeds and, as prose often stands in one long line, behind sentence ends. Every line
-(white space around it stripped, blank ones aside) is hashed, and so is every window: a run of lines, whatever their
-lengths, that from its first line on, or from its last line back, just reaches ``min_words`` words. Every line of a
-passage of that many words lies in a window inside the passage. The first document that holds a window, or a line of at
-least ``ANCHOR_WORDS`` words, by doc_id, owns it; a later document that holds it too is paired with the owner, so a line
-shared by n documents makes n - 1 pairs, not n * n, and frequent ones need no cap. Each pair is aligned with patience
-diff: lines that occur once in both are anchors, their longest increasing run is kept, blocks grow from the anchors over
-equal neighbours, and the stretches in between are aligned alike; common windows are aligned wherever they stand, so
-moved passages are too. Aligned lines of all of a document's pairs are joined into blocks, and blocks of at least
-``min_words`` words are deleted from the later document.
-
-An owner never loses its line to the pairs of that line (nothing earlier holds it), so one copy of every line stays.
+A text is cut into lines at line feeds and, as prose often stands in one long line, behind sentence ends; every line that
+is not blank is hashed. Documents of the same lines are one class: the one of least doc_id stands for it, and the others
+lose all of it. In how many classes a line is, is counted over all documents. A line that no other class has cannot be
+common, so it is a barrier: what is left of a document are its runs of shared lines, and runs of under ``min_words``
+words are no passage. Inside the runs, every shortest stretch of lines that reaches ``min_words`` (from its first line on
+or from its last line back; every line of a common passage lies in one that is common too) is known by its hash and by
+its rarest line. Of the documents that share a rare line in one such stretch, the first (by doc_id) is paired with each
+later one: n - 1 pairs for n documents, so frequent lines need no cap.
+
+Each pair is aligned with patience diff: lines that occur once in both are anchors, their longest increasing run is kept,
+blocks grow from the anchors over equal neighbours, and the stretches in between are aligned alike. A block is a run of
+aligned lines that stand side by side in both documents (blank lines aside); blocks of at least ``min_words`` words are
+deleted from the later document. Where lines are left that both have (passages in another order), the common stretches
+are looked up as well. Only then are the blocks of all of a document's pairs put together. So exactly those lines go that
+are in a run of at least ``min_words`` words which an earlier document holds as a run.
+
+One copy of every line stays: nothing earlier holds the run of its first document.
 
 Rows: null and empty texts have no lines and stay as they are; repeated rows (same doc_id and text) count as one document
-and are cut alike; a null doc_id sorts last; rows are told apart by doc_id and text, so columns may clash with nothing
-here; an empty table gives an empty result.
+and are cut alike; texts of one doc_id are ordered by hash; a null doc_id sorts last; rows are told apart by doc_id and
+text, so columns may clash with nothing here; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,36 +34,42 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint, store
 
 MIN_WORDS = 40
-ANCHOR_WORDS = 8
-#: Of the hashes of windows, modulo 2 to the 64.
+#: Of the hashes of stretches, modulo 2 to the 64.
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 #: Behind a line feed, or behind a sentence end and a space; Java and Python split alike here.
 CUT = r"(?<=\n)|(?<=[.!?] )"
 _CUT = re.compile(CUT.encode())
 LAST = (1 << 63) - 1
+#: No line has these hashes: barriers of the later and of the earlier document, which never align.
+OURS, THEIRS = 0, 1
 
 
 def document_lines(docs: DataFrame) -> DataFrame:
-    """(doc, text_hash, lines, words): hashes of the lines in order, 0 for a blank one, and their words; one row a document."""
+    """(doc, text_hash, class, total, lines, words, places): hashes, words and places of the lines that aren't blank, in order."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lines, words = [], []
+            columns: list[list] = [[], [], [], [], []]
             for text in batch.column(2):
                 own = [x.strip() for x in _CUT.split(text.as_py() or b"")]
-                lines.append(array("q", [xxhash.xxh64_intdigest(x) - (1 << 63) or 1 if x else 0 for x in own]))
-                words.append(array("i", [len(x.split()) for x in own]))
-            yield pa.record_batch([*batch.columns[:2], pa.array(lines, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.int32()))], ["doc", "text_hash", "lines", "words"])
+                places = array("i", [i for i, x in enumerate(own) if x])
+                lines = array("q", [(xxhash.xxh64_intdigest(own[i]) or 2) - (1 << 63) for i in places])
+                words = array("i", [len(own[i].split()) for i in places])
+                known = xxhash.xxh64_intdigest(lines.tobytes() + places.tobytes()) - (1 << 63)
+                for column, value in zip(columns, (known, sum(words), lines, words, places), strict=True):
+                    column.append(value)
+            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
+            yield pa.record_batch([*batch.columns[:2], *map(pa.array, columns, kinds)], ["doc", "text_hash", "class", "total", "lines", "words", "places"])
 
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(split, "doc long, text_hash long, lines array<long>, words array<int>")
+    return rows.mapInArrow(split, "doc long, text_hash long, class long, total long, lines array<long>, words array<int>, places array<int>")
 
 
 def _rising(values: list[int]) -> list[int]:
@@ -81,137 +92,185 @@ def _rising(values: list[int]) -> list[int]:
     return run[::-1]
 
 
-def patience(ours: list[int], theirs: list[int]) -> list[int]:
-    """Places in ``ours`` of the lines aligned with ``theirs``; 0 is a blank line, aligned only inside a block."""
-    if ours == theirs:
-        return list(range(len(ours)))
-    aligned: set[int] = set()
+def patience(ours: list[int], theirs: list[int]) -> list[tuple[int, int]]:
+    """The aligned places, (ours, theirs), in order."""
+    aligned: list[tuple[int, int]] = []
     todo = [(0, len(ours), 0, len(theirs))]
     while todo:
         a, b, c, d = todo.pop()
         while a < b and c < d and ours[a] == theirs[c]:
-            aligned.add(a)
+            aligned.append((a, c))
             a, c = a + 1, c + 1
         while a < b and c < d and ours[b - 1] == theirs[d - 1]:
-            aligned.add(b - 1)
             b, d = b - 1, d - 1
+            aligned.append((b, d))
         if a >= b or c >= d:
             continue
         left, right = Counter(ours[a:b]), Counter(theirs[c:d])
-        place = {x: i for i, x in enumerate(theirs[c:d], c) if x and right[x] == 1 and left.get(x) == 1}
+        place = {x: i for i, x in enumerate(theirs[c:d], c) if right[x] == 1 and left.get(x) == 1}
         once = [i for i in range(a, b) if ours[i] in place]
         if once:
             anchors = [once[k] for k in _rising([place[ours[i]] for i in once])]
         else:  # no line is alone in both: the first shared one, at its first place in each
-            shared = next((i for i in range(a, b) if ours[i] and ours[i] in right), None)
+            shared = next((i for i in range(a, b) if ours[i] in right), None)
             if shared is None:
                 continue
             anchors, place = [shared], {ours[shared]: theirs.index(ours[shared], c, d)}
         for i in anchors:
             j = place[ours[i]]
-            if i < a or j < c:
-                continue
-            aligned.add(i)
+            aligned.append((i, j))
             todo.append((a, i, c, j))
             a, c = i + 1, j + 1
         todo.append((a, b, c, d))
     return sorted(aligned)
 
 
-def windows(lines: np.ndarray, words: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, first and last place of every window; blank lines count as not there."""
-    at = np.flatnonzero(lines)
-    n = len(at)
-    upto = np.concatenate([[0], np.cumsum(words[at], dtype=np.int64)])
+def stretches(lines: np.ndarray, words: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first and last place of every shortest stretch of a run of lines that reaches ``min_words``."""
+    n = len(lines)
+    upto = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
     forward = np.searchsorted(upto, upto[:-1] + min_words)  # ends, behind the last line
     back = np.searchsorted(upto, upto[1:] - min_words, side="right") - 1
     first, end = np.concatenate([np.arange(n), back]), np.concatenate([forward, np.arange(1, n + 1)])
     some = (first >= 0) & (end <= n)
     first, end = np.divmod(np.unique(first[some] * (n + 1) + end[some]), n + 1)
     power, inverse = (np.cumprod(np.array([1] + n * [x], np.uint64), dtype=np.uint64) for x in (BASE, BASE_INVERSE))
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(lines[at].astype(np.uint64) * inverse[:n], dtype=np.uint64)])
-    return ((total[end] - total[first]) * power[first]).astype(np.int64), at[first], at[end - 1]
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(lines.astype(np.uint64) * inverse[:n], dtype=np.uint64)])
+    return ((total[end] - total[first]) * power[first]).astype(np.int64), first, end - 1
+
+
+def runs(at: np.ndarray, words: np.ndarray, min_words: int) -> list[tuple[int, int]]:
+    """Begins and ends of the runs of neighbouring lines of at least ``min_words`` words."""
+    edge = [0, *(np.flatnonzero(np.diff(at) != 1) + 1).tolist(), len(at)]
+    upto = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+    return [(a, b) for a, b in zip(edge, edge[1:]) if upto[b] - upto[a] >= min_words]
 
 
-def anchors(lines: DataFrame, min_words: int) -> DataFrame:
-    """(doc, number, line): hashes of long lines and of windows, each once a document."""
+def shared_runs(rows: DataFrame, min_words: int) -> DataFrame:
+    """(class, at, places, lines, words, rare, stretch) from lists of shared lines: those in runs, and of every stretch its rarest line and its hash."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = []
-            for x, w in zip(batch.column(2), batch.column(3), strict=True):
-                x, w = x.values.to_numpy(), w.values.to_numpy()
-                own.append(np.unique(np.concatenate([x[(x != 0) & (w >= ANCHOR_WORDS)], windows(x, w, min_words)[0]])))
-            row = pa.array(np.repeat(np.arange(len(own)), [len(x) for x in own]), pa.int64())
-            yield pa.record_batch([*(c.take(row) for c in batch.columns[:2]), pa.array(np.concatenate(own or [np.zeros(0, np.int64)]), pa.int64())], ["doc", "number", "line"])
-
-    return lines.select("doc", "number", "lines", "words").mapInArrow(found, "doc long, number long, line long")
-
-
-def common(ours: np.ndarray, our_words: np.ndarray, theirs: np.ndarray, their_words: np.ndarray, min_words: int) -> np.ndarray:
-    """Places in ``ours`` of all lines in windows that ``theirs`` has too."""
-    own, first, last = windows(ours, our_words, min_words)
-    shared = np.isin(own, windows(theirs, their_words, min_words)[0])
-    edge = np.zeros(len(ours) + 1, np.int64)
-    np.add.at(edge, first[shared], 1)
-    np.add.at(edge, last[shared] + 1, -1)
-    return np.flatnonzero((np.cumsum(edge[:-1]) > 0) & (ours != 0))
-
-
-def cuts(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc, text_hash, cut): the places of the lines to delete, for documents that lose any; ``lines`` has one row a document, numbered."""
-    owner = F.min(F.struct("doc", "number")).over(Window.partitionBy("line"))["number"]
-    pairs = anchors(lines, min_words).withColumn("owner", owner).where("number != owner").select("number", "owner").distinct()
+            lists, own, columns = batch.column(1), [], [[] for _ in range(6)]
+            fields = [lists.values.field(k).to_numpy() for k in range(5)]
+            ends = lists.offsets.to_numpy()
+            for row, (begin, end) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
+                order = begin + np.argsort(fields[0][begin:end])
+                at, places, lines, words, number = (x[order] for x in fields)
+                keep = runs(at, words, min_words)
+                if not keep:
+                    continue
+                rare, hashes = [], []
+                rank = np.empty(len(at), np.int64)
+                rank[np.lexsort((lines, number))] = np.arange(len(at))
+                for a, b in keep:
+                    h, first, last = stretches(lines[a:b], words[a:b], min_words)
+                    hashes.append(h)
+                    rare.append([lines[a + i + rank[a + i : a + j + 1].argmin()] for i, j in zip(first.tolist(), last.tolist(), strict=True)])
+                inside = np.concatenate([np.arange(a, b) for a, b in keep])
+                own.append(row)
+                for column, value in zip(columns, (*(x[inside] for x in (at, places, lines, words)), np.concatenate(rare), np.concatenate(hashes)), strict=True):
+                    column.append(value)
+            kinds = [pa.list_(x) for x in (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64())]
+            yield pa.record_batch([batch.column(0).take(pa.array(own, pa.int64())), *map(pa.array, columns, kinds)], ["class", "at", "places", "lines", "words", "rare", "stretch"])
+
+    return rows.mapInArrow(found, "class long, at array<int>, places array<int>, lines array<long>, words array<int>, rare array<long>, stretch array<long>")
+
+
+def common_blocks(ours: tuple[np.ndarray, ...], theirs: tuple[np.ndarray, ...], min_words: int) -> list[tuple[int, int]]:
+    """First and last indexes, in ours, of the aligned blocks of two documents' runs, each given as (at, lines, words)."""
+    sides = []
+    for (at, lines, _), barrier in ((ours, OURS), (theirs, THEIRS)):
+        own, index, before = [], [], None
+        for k, (a, x) in enumerate(zip(at.tolist(), lines.tolist(), strict=True)):
+            if before is not None and a != before + 1:
+                own.append(barrier)
+                index.append(-1)
+            own.append(x)
+            index.append(k)
+            before = a
+        sides.append((own, index))
+    (left, index), (right, _) = sides
+    words = ours[2]
+    blocks, covered = [], np.zeros(len(words), bool)
+    pairs = patience(left, right)
+    begin = 0
+    for k in range(1, len(pairs) + 1):
+        if k == len(pairs) or pairs[k] != (pairs[k - 1][0] + 1, pairs[k - 1][1] + 1):
+            a, b = index[pairs[begin][0]], index[pairs[k - 1][0]]
+            if words[a : b + 1].sum() >= min_words:
+                blocks.append((a, b))
+                covered[a : b + 1] = True
+            begin = k
+    if not covered.all() and not {*theirs[1].tolist()}.isdisjoint(ours[1][~covered].tolist()):  # passages in another order
+        mine, known = (_all_stretches(*x, min_words) for x in (ours, theirs))
+        hit = np.isin(mine[0], known[0])
+        blocks += zip(mine[1][hit].tolist(), mine[2][hit].tolist(), strict=True)
+    return blocks
+
+
+def _all_stretches(at: np.ndarray, lines: np.ndarray, words: np.ndarray, min_words: int) -> tuple[np.ndarray, ...]:
+    found = [(*stretches(lines[a:b], words[a:b], min_words), a) for a, b in runs(at, words, min_words)]
+    return np.concatenate([h for h, *_ in found]), np.concatenate([f + a for _, f, _, a in found]), np.concatenate([e + a for _, _, e, a in found])
+
+
+def cuts(classes: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(class, cut, gone): the places of the lines to delete and a flag for each place up to the last, for classes(class, doc, lines, words, places) that lose any."""
+    # a class counts a line once; what no other has goes no further
+    frequency = classes.select(F.explode(F.array_distinct("lines")).alias("line")).groupBy("line").agg(F.count("*").alias("number")).where("number > 1")
+    each = classes.select("class", F.posexplode(F.arrays_zip("places", "lines", "words")).alias("at", "x"))
+    each = each.select("class", "at", F.col("x.places").alias("place"), F.col("x.lines").alias("line"), F.col("x.words").alias("words"))
+    shared = each.join(frequency, "line").groupBy("class").agg(F.collect_list(F.struct("at", "place", "line", "words", F.col("number").cast("long").alias("number"))).alias("found"))
+    passages = store(shared_runs(shared, min_words), "passages")
+    rare = passages.join(classes.select("class", "doc"), "class").select("class", "doc", F.explode(F.arrays_zip("rare", "stretch")).alias("x")).select("class", "doc", "x.rare", "x.stretch")
+    rare = store(rare, "rare")
+    owners = rare.groupBy("rare", "stretch").agg(F.min(F.struct("doc", "class"))["class"].alias("owner"), F.count("*").alias("holders")).where("holders > 1").drop("holders")
+    pairs = rare.join(owners, ["rare", "stretch"]).where(F.col("class") != F.col("owner")).select("class", "owner").distinct()
     pairs = checkpoint(pairs)  # apart from the joins, whose skewed partitions can be split then
-    owned = lines.select(F.col("number").alias("owner"), F.col("lines").alias("theirs"), F.col("words").alias("their_words"))
-    both = pairs.join(owned, "owner").join(lines, "number").select("doc", "text_hash", "lines", "theirs", "words", "their_words")
+    owned = passages.select(F.col("class").alias("owner"), F.struct("at", "lines", "words").alias("theirs"))
+    both = pairs.join(owned, "owner").join(passages.select("class", F.struct("at", "lines", "words").alias("ours"), "places"), "class").select("class", "ours", "theirs", "places")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            parts = [[[batch.column(side).field(k)[row].values.to_numpy() for k in range(3)] for row in range(batch.num_rows)] for side in (1, 2)]
             found = []
-            for a, b, c, d in zip(*batch.columns[2:6], strict=True):
-                ours, theirs = a.as_py(), b.as_py()
-                at = patience(ours, theirs)
-                if not {*theirs}.isdisjoint(x for x in Counter(ours) - Counter(ours[i] for i in at) if x):
-                    moved = common(*(x.values.to_numpy() for x in (a, c, b, d)), min_words)
-                    at = sorted({*at, *moved.tolist()})
-                found.append(array("i", at))
-            yield pa.record_batch([*batch.columns[:2], pa.array(found, pa.list_(pa.int32())), batch.column(4)], ["doc", "text_hash", "at", "words"])
-
-    aligned = both.mapInArrow(align, "doc long, text_hash long, at array<int>, words array<int>")
-    joined = aligned.groupBy("doc", "text_hash").agg(F.array_distinct(F.flatten(F.collect_set("at"))).alias("at"), F.first("words").alias("words"))
-
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for ours, theirs, places in zip(*parts, batch.column(3), strict=True):
+                places = places.values.to_numpy()
+                gone = np.zeros(int(places[-1]) + 2, np.int64)
+                for a, b in common_blocks(tuple(ours), tuple(theirs), min_words):
+                    gone[places[a]] += 1
+                    gone[places[b] + 1] -= 1
+                found.append(np.flatnonzero(np.cumsum(gone)).astype(np.int32))
+            yield pa.record_batch([batch.column(0), pa.array(found, pa.list_(pa.int32()))], ["class", "cut"])
+
+    aligned = both.mapInArrow(align, "class long, cut array<int>").where("size(cut) > 0")
+    joined = aligned.groupBy("class").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("cut")))).alias("cut"))
+
+    def flags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [_blocks(at.as_py(), words.as_py(), min_words) for at, words in zip(batch.column(2), batch.column(3), strict=True)]
-            yield pa.record_batch([*batch.columns[:2], pa.array(found, pa.list_(pa.int32()))], ["doc", "text_hash", "cut"])
-
-    return joined.mapInArrow(blocks, "doc long, text_hash long, cut array<int>").where("size(cut) > 0")
-
-
-def _blocks(at: list[int], words: list[int], min_words: int) -> list[int]:
-    """Of the aligned places, those in runs (over blank lines) of at least ``min_words`` words."""
-    mine = np.zeros(len(words), bool)
-    mine[at] = True
-    size = np.array(words)
-    keep, run, total = [], [], 0
-    for i in range(len(words) + 1):
-        if i < len(words) and (mine[i] or size[i] == 0):
-            run.append(i)
-            total += int(size[i])
-            continue
-        if total >= min_words:
-            keep += [x for x in run if mine[x] or run[0] < x < run[-1]]
-        run, total = [], 0
-    return keep
+            found = []
+            for cut in batch.column(1):
+                cut = cut.values.to_numpy()
+                found.append(np.zeros(int(cut[-1]) + 1, bool))
+                found[-1][cut] = True
+            yield pa.record_batch([*batch.columns, pa.array(found, pa.list_(pa.bool_()))], ["class", "cut", "gone"])
+
+    return joined.mapInArrow(flags, "class long, cut array<int>, gone array<boolean>")
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Every row, with ``__cut`` (places of deleted lines, or null) added and ``text`` without them."""
-    # a table without partitioning: joins of it are shuffled by themselves, so skewed partitions can be split
-    lines = store(document_lines(docs).dropDuplicates(["doc", "text_hash"]).withColumn("number", F.monotonically_increasing_id()), "lines")
-    found = checkpoint(cuts(lines, min_words)).select(F.col("doc").alias("__doc"), F.col("text_hash").alias("__hash"), F.col("cut").alias("__cut"))
+    lines = store(document_lines(docs), "lines")
+    first = lambda *names: (F.first(x).alias(x) for x in names)
+    classes = store(lines.where(F.col("total") >= min_words).groupBy("class").agg(F.min("doc").alias("doc"), *first("lines", "words", "places")), "classes")
+    found = checkpoint(cuts(classes, min_words))
+    edges = classes.select("class", F.col("doc").alias("first_doc"), F.element_at("places", 1).alias("low"), F.element_at("places", -1).alias("high"))
+    rows = lines.where(F.col("total") >= min_words).select("doc", "text_hash", "class").distinct().join(edges, "class").join(found, "class", "left")
+    copy = F.col("doc") > F.col("first_doc")  # a later copy loses all
+    whole = F.sequence("low", "high")
+    rows = rows.where(copy | F.col("cut").isNotNull()).select(F.col("doc").alias("__doc"), F.col("text_hash").alias("__hash"), F.when(copy, whole).otherwise(F.col("cut")).alias("__cut"), F.when(~copy, F.col("gone")).alias("__gone"), F.when(copy, F.col("low")).alias("__low"), F.when(copy, F.col("high")).alias("__high"))
     own = docs.withColumns({"__doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "__hash": F.xxhash64("text")})
-    kept = F.array_join(F.filter(F.split("text", CUT, -1), lambda x, i: ~F.array_contains("__cut", i)), "")
-    whole = own.join(found, ["__doc", "__hash"], "left")
-    return whole.withColumn("text", F.when(F.col("__cut").isNull(), F.col("text")).otherwise(kept)).select(*docs.columns, "__cut")
+    stays = lambda x, i: ~(F.coalesce(F.get("__gone", i), F.lit(False)) | F.coalesce(i.between(F.col("__low"), F.col("__high")), F.lit(False)))
+    kept = F.array_join(F.filter(F.split("text", CUT, -1), stays), "")
+    joined = own.join(rows, ["__doc", "__hash"], "left")
+    return joined.withColumn("text", F.when(F.col("__cut").isNull(), F.col("text")).otherwise(kept)).select(*docs.columns, "__cut")

@@ -126,7 +126,9 @@ def units(text):
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 6), max_size=25), st.lists(st.integers(0, 6), max_size=25))
 def test_patience_aligns_equal_lines_in_order(a, b):
-    at = line_dedup.patience(a, b)
+    pairs = line_dedup.patience(a, b)
+    at = [i for i, _ in pairs]
+    assert all(a[i] == b[j] for i, j in pairs) and [j for _, j in pairs] == sorted({j for _, j in pairs}) and at == sorted(set(at))
     rest = iter(b)
     assert all(a[i] in rest for i in at)  # a common subsequence
     if sorted(set(a) & set(b) - {0}):
@@ -134,8 +136,8 @@ def test_patience_aligns_equal_lines_in_order(a, b):
 
 
 def test_patience_keeps_moved_blocks_apart():
-    assert line_dedup.patience([1, 2, 3, 4, 5], [9, 1, 2, 8, 4, 5]) == [0, 1, 3, 4]
-    assert line_dedup.patience([1, 2, 3], [3, 1, 2]) == [0, 1]
+    assert line_dedup.patience([1, 2, 3, 4, 5], [9, 1, 2, 8, 4, 5]) == [(0, 1), (1, 2), (3, 4), (4, 5)]
+    assert line_dedup.patience([1, 2, 3], [3, 1, 2]) == [(0, 1), (1, 2)]
 
 
 CLEAN = [(100 + i, "\n".join(" ".join(f"w{i}x{k}y{j}" for k in range(12)) + "." for j in range(6))) for i in range(5)]
@@ -158,25 +160,79 @@ def test_repeated_passage_stays_once(spark):
 
 def test_passage_inside_a_long_line(spark):
     found = {k[0]: r["text"] for k, r in dedup(spark, [(1, f"One begins. {PASSAGE} One ends."), (2, f"Two begins. {PASSAGE} Two ends.")]).items()}
-    assert found == {1: f"One begins. {PASSAGE} One ends.", 2: "Two begins. Two ends."} if len(PASSAGE.split()) >= line_dedup.MIN_WORDS else True
+    assert len(PASSAGE.split()) >= line_dedup.MIN_WORDS
+    assert found == {1: f"One begins. {PASSAGE} One ends.", 2: "Two begins. Two ends."}
 
 
-def test_deleted_lines_are_in_an_earlier_document(spark):
-    rng = random.Random(4)
-    pool = [" ".join(f"p{i}q{k}" for k in range(10)) + "." for i in range(40)]
-    rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 25)))) for i in range(60)]
+def brute_cuts(rows, min_words=None):
+    """All pairs: every run of lines (blank ones aside) that an earlier document holds as a run and that reaches the minimum."""
+    min_words = min_words or line_dedup.MIN_WORDS
+    texts = {}
+    for i, t in rows:
+        own = [(k, x.strip()) for k, x in enumerate(units(t or "")) if x.strip()]
+        texts[i] = own
+    found = {}
+    for i, own in texts.items():
+        gone = set()
+        for j, other in texts.items():
+            if j >= i:
+                continue
+            places = {}
+            for k, (_, x) in enumerate(other):
+                places.setdefault(x, []).append(k)
+            for a, (_, x) in enumerate(own):
+                for c in places.get(x, ()):
+                    if a and c and own[a - 1][1] == other[c - 1][1]:
+                        continue  # not the run's begin
+                    n = 0
+                    while a + n < len(own) and c + n < len(other) and own[a + n][1] == other[c + n][1]:
+                        n += 1
+                    if sum(len(own[a + k][1].split()) for k in range(n)) >= min_words:
+                        gone |= set(range(own[a][0], own[a + n - 1][0] + 1))
+        found[i] = gone
+    return found
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_cuts_equal_brute_force(spark, seed):
+    rng = random.Random(seed)
+    pool = [" ".join(f"p{i}q{k}" for k in range(rng.randint(1, 12))) + "." for i in range(60)]
+    runs = [[rng.choice(pool) for _ in range(rng.randint(3, 20))] for _ in range(15)]
+    rows = []
+    for i in range(70):
+        text = []
+        for _ in range(rng.randint(0, 5)):
+            run = rng.choice(runs)
+            a = rng.randrange(len(run))
+            text += run[a : a + rng.randint(1, 20)] + rng.choice([[], [""], [f"own {i} {len(text)}"]])
+        rows.append((i, "\n".join(text)))
     found = {k[0]: r for k, r in dedup(spark, rows).items()}
-    gone = 0
+    wanted = brute_cuts(rows)
     for i, t in rows:
         cut = set(found[i]["__cut"] or ())
-        mine = units(t)
-        assert "".join(x for k, x in enumerate(mine) if k not in cut) == found[i]["text"]
-        for k in cut:
-            gone += 1
-            assert any(mine[k].strip() in (y.strip() for y in units(s)) for j, s in rows if j < i)
-    assert gone > 100
-    left = " ".join(r["text"] for r in found.values())
-    assert all(p in left for p in pool if any(p in t for _, t in rows))
+        assert cut == wanted[i]
+        assert "".join(x for k, x in enumerate(units(t)) if k not in cut) == found[i]["text"]
+    assert sum(map(len, wanted.values())) > 100
+
+
+def test_copies_of_short_lines_go(spark):
+    text = "\n".join(f"a short line number{i}" for i in range(200))
+    found = {k[0]: r["text"] for k, r in dedup(spark, [(1, text), (2, text)]).items()}
+    assert found == {1: text, 2: ""}
+
+
+def test_blocks_of_two_that_own_none_of_the_lines_go(spark):
+    line = lambda i: " ".join(f"l{i}w{k}" for k in range(10))
+    block = "\n".join(line(i) for i in range(5))
+    rows = [(1, "\n".join(line(i) for i in reversed(range(5)))), (2, "its own\n" + block), (3, block + "\nanother own")]
+    found = {k[0]: r["text"] for k, r in dedup(spark, rows).items()}
+    assert found == {1: rows[0][1], 2: rows[1][1], 3: "another own"}
+
+
+def test_lines_of_different_documents_make_no_block(spark):
+    line = lambda i: " ".join(f"l{i}w{k}" for k in range(10))
+    rows = [(i, line(i) + f"\nown end {i}") for i in range(5)] + [(9, "\n".join(line(i) for i in range(5)))]
+    assert all(r["__cut"] is None for r in dedup(spark, rows).values())
 
 
 def test_exact_copies_keep_the_first_only(spark):
