@@ -1,18 +1,26 @@
-"""Operator 6, language-model scoring with a probabilistic suffix tree.
-
-Tokens are words and one end for each text. Word counts cover the whole training part of the corpus. The tree's symbols
-are the ``SYMBOLS`` most frequent words, the end, and one symbol for all other words (within which a word has its
-unigram share). A context (a node) is a run of preceding symbols, up to ``DEPTH`` of them or to the text's begin. A
-context is a candidate if it makes up at least ``MIN_SHARE`` of the training tokens, and is retained if its next-symbol
-counts diverge from what its suffix, the context one symbol shorter (itself retained), would predict (likelihood-ratio test: twice the
-count times the KL divergence against the spread expected by chance). Next-symbol distributions are smoothed with the
-suffix's (weight ``PRIOR``); symbols of a share under ``MIN_NEXT`` are left to the suffix, scaled so that everything sums
-to one. A text is scored from the longest suffix state at each place.
-
-MIN_SHARE and MIN_NEXT bound the tree that is sent to the executors (at most 1/MIN_SHARE contexts of a length and
-1/MIN_NEXT symbols of a context), whatever the corpus; the counts behind it cover every training token. Words outside
-the ``HEAD`` most frequent ones get their exact counts by a join on the word, where no key is hot, since all frequent
-words are in the head.
+"""Operator 6, language-model scoring with a probabilistic suffix tree that grows with the corpus.
+
+Tokens are words and one end for each text. A context (a node of the tree) is a run of up to ``DEPTH`` preceding words of
+the text. It is a candidate if training texts have it at least ``SUPPORT`` times, whatever the size of the corpus, and is
+retained if its suffix (the context one word shorter) is and its next-word counts diverge from what the suffix predicts
+(likelihood-ratio test: twice the count times the KL divergence against the spread expected by chance). Its next-word
+distribution gives every word w that follows at least ``SUPPORT`` times (n(w) + T p(w)) / (N + T), with N the context's
+count, T how many different words follow it and p the suffix's distribution; all other words have the suffix's
+probability, scaled so that everything sums to one. A place is scored from the longest retained context (suffix state).
+
+The tree is never in one place. All places whose nearest context word is the same meet in one bucket, which holds the
+whole subtree of that word: it is learned there, and the bucket's places are scored there. Places travel as packed
+columns, one block for each chunk of texts and bucket. A bucket has about ``BUCKET_PLACES`` places; a word more frequent
+than that is split by the word before it, and its own node (depth one) is counted over the corpus before and given to its
+buckets. Scores go back to the chunks as one block for each bucket.
+
+Symbols are the ranks of the ``HEAD`` most frequent words and a 32-bit digest of every other word. Two words of one digest
+share their places in contexts (so for one in four thousand at a million words outside the head); counts, base scores and
+unigram probabilities are of the exact words. A word outside the head that its context has seen has its probability from
+the counts alone: its unigram share there, less than a millionth of it, is left out.
+
+Exact counts of words outside the head are joined by word, once for each chunk that has it; the head has words of at most
+``HEAD_BYTES`` bytes, so a frequent longer word makes a row for each chunk, and the join can be split where it is skewed.
 
 Rows: null text counts as empty (just the end); repeated rows count and score as rows of their own; a null doc_id counts
 as the empty string for the split; with no training rows all counts are 0; an empty table gives an empty result; other
@@ -21,6 +29,7 @@ input columns are not read.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain, repeat
@@ -30,22 +39,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, binary_chunks, binary_text, checkpoint, chunks, id_bucket, store
+from .common import binary_chunks, binary_text, id_bucket, store
 
 FOLDS = 10
-#: Ids of the head fit in 16 bits, with two more for the begin and for words outside the head.
+#: Ids below 65,536 are ranks of head words.
 HEAD = 65_000
-BEGIN, OUTSIDE = 0xFFFF, 0xFFFE
 HEAD_BYTES = 64
-SYMBOLS = 8_192
+#: No word: in front of a text.
+NONE = 0xFFFFFFFF
 DEPTH = 3
-MIN_SHARE = 1e-4
-MIN_NEXT = 5e-4
-PRIOR = 500.0
+SUPPORT = 2
 ADD = 0.1
+BUCKET_PLACES = 2_000_000
 #: No word holds a line feed.
 END = b"\n"
-HELD_COUNTS = 1_000_000
+HELD_COUNTS = 500_000
+CHUNK_TEXT = 2 << 20
+#: The highest bit of a document's number in its chunk marks a training document.
+TRAIN = 1 << 15
+PLACE = 18
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -58,7 +70,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 for text in texts:
                     held.update(text.lower().split())
                 held[END] += len(ids)
-                if len(held) >= HELD_COUNTS // 2:
+                if len(held) >= HELD_COUNTS:
                     yield from _counted(held)
                     held = Counter()
         yield from _counted(held)
@@ -73,185 +85,273 @@ def _counted(held: Counter[bytes]) -> Iterator[pa.RecordBatch]:
 
 
 class Words:
-    """The head words by falling count: their ids, base log probabilities and symbols."""
+    """The head words by falling count: ids, counts and base log probabilities; and what is known of all other words together."""
 
     def __init__(self, head: list[tuple[bytes, int]], tokens: int, kinds: int):
         self.tokens, self.kinds = tokens, kinds
         self.ids = {w: i for i, (w, _) in enumerate(head)}
         self.end = self.ids[END]
-        total = tokens + ADD * (kinds + 1)
-        base = (np.array([n for _, n in head], np.float64) + ADD) / total
-        self.log_base = np.zeros(1 << 16)
-        self.log_base[: len(head)] = np.log10(base)
-        self.known = np.zeros(1 << 16, bool)
-        self.known[: len(head)] = [n > 0 for _, n in head]
-        symbols = min(SYMBOLS, len(head))
-        self.other, self.begin, self.width = symbols, symbols + 1, symbols + 3
-        self.symbol = np.minimum(np.arange(1 << 16), symbols)
-        self.symbol[BEGIN] = self.begin
-        if self.end >= symbols:
-            self.symbol[self.end] = symbols + 2
-        self.root = np.zeros(self.width)
-        self.root[:symbols] = base[:symbols]
-        if self.end >= symbols:
-            self.root[symbols + 2] = base[self.end]
-        self.root[self.other] = max(1e-300, 1 - self.root.sum())
-        self.root[self.begin] = 1.0  # given, never predicted
-
-    def encode(self, texts: list[bytes]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
-        """The texts' words, the ids of [begin, words, end] of all texts, and how many each text has."""
-        split = [t.lower().split() for t in texts]
-        sizes = np.array([len(w) + 2 for w in split], np.int64)
-        ends = np.cumsum(sizes) - 1
-        ids, inside = np.empty(int(sizes.sum()), np.uint16), np.ones(int(sizes.sum()), bool)
-        ids[ends - sizes + 1], ids[ends] = BEGIN, self.end
-        inside[ends - sizes + 1] = inside[ends] = False
-        ids[inside] = np.fromiter(map(self.ids.get, chain.from_iterable(split), repeat(OUTSIDE)), np.uint16, len(ids) - 2 * len(sizes))
-        return split, ids, sizes
-
-
-class Tree:
-    """Nodes by (node of the suffix, one symbol further back), and their distributions."""
-
-    def __init__(self, words: Words):
-        self.width = words.width
-        self.parent = np.zeros(1, np.int64)
-        self.back = np.zeros(1, np.int64)
-        self.depth = 0
-        self.keys = np.zeros(0, np.int64)
-        self.nodes = np.zeros(0, np.int64)
-        self.next_keys = np.zeros(0, np.int64)
-        self.next_p = np.zeros(0)
-        self.rest = np.ones(1)
-        self.root = words.root
-
-    def add(self, parent: np.ndarray, back: np.ndarray) -> None:
-        self.parent, self.back = np.concatenate([self.parent, parent]), np.concatenate([self.back, back])
-        self.rest = np.concatenate([self.rest, np.ones(len(parent))])
-        self._index()
-
-    def cut(self, keep: np.ndarray, depth_from: int) -> None:
-        """Drop the nodes from ``depth_from`` on that aren't in ``keep``: they are the last ones, without children."""
-        stay = np.concatenate([np.arange(depth_from), np.sort(keep)])
-        self.parent, self.back, self.rest = self.parent[stay], self.back[stay], self.rest[stay]
-        self._index()
-
-    def _index(self) -> None:
-        keys = self.parent[1:] * self.width + self.back[1:]
-        order = np.argsort(keys)
-        self.keys, self.nodes = keys[order], order + 1
-
-    def states(self, symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """The longest state at each place, and its length."""
-        state, length = np.zeros(len(symbols), np.int64), np.zeros(len(symbols), np.int64)
-        active = np.arange(len(symbols))
-        for back in range(1, depth + 1):
-            active = active[active >= back]
-            if not len(active) or not len(self.keys):
-                break
-            key = state[active] * self.width + symbols[active - back]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            found = self.keys[at] == key
-            active = active[found]
-            state[active], length[active] = self.nodes[at[found]], back
-        return state, length
-
-    def probability(self, node: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        p, node = np.ones(len(node)), node.copy()
-        active = np.flatnonzero(node)
-        while len(active):
-            key = node[active] * self.width + symbol[active]
-            at = np.minimum(np.searchsorted(self.next_keys, key), max(0, len(self.next_keys) - 1))
-            found = self.next_keys[at] == key if len(self.next_keys) else np.zeros(len(active), bool)
-            done = active[found]
-            p[done] *= self.next_p[at[found]]
-            node[done] = -1
-            active = active[~found]
-            p[active] *= self.rest[node[active]]
-            node[active] = self.parent[node[active]]
-            active = active[node[active] > 0]
-        left = node == 0
-        p[left] *= self.root[symbol[left]]
-        return p
-
-    def learn(self, node: np.ndarray, symbol: np.ndarray, count: np.ndarray, total: np.ndarray) -> None:
-        """Distributions of new nodes (their suffixes have theirs): smoothed shares, and what is left to the suffix."""
-        if not len(node):
-            return
-        below = self.probability(self.parent[node], symbol)
-        p = (count + PRIOR * below) / (total[node] + PRIOR)
-        size = len(self.parent)
-        given, taken = np.bincount(node, p, size), np.bincount(node, below, size)
-        touched = np.flatnonzero(np.bincount(node, minlength=size))
-        self.rest[touched] = np.maximum(1 - given[touched], 1e-12) / np.maximum(1 - taken[touched], 1e-12)
-        keys, values = np.concatenate([self.next_keys, node * self.width + symbol]), np.concatenate([self.next_p, p])
-        order = np.argsort(keys)
-        self.next_keys, self.next_p = keys[order], values[order]
+        self.total = tokens + ADD * (kinds + 1)
+        self.count = np.zeros(1 << 16, np.int64)
+        self.count[: len(head)] = [n for _, n in head]
+        self.base = (self.count + ADD) / self.total
+        left = kinds - int((self.count > 0).sum())
+        #: Average probability of a word outside the head.
+        self.other = ((tokens - int(self.count.sum())) / left + ADD if left > 0 else ADD) / self.total
+
+    def probability(self, ids: np.ndarray) -> np.ndarray:
+        """Unigram; the average for words outside the head."""
+        return np.where(ids < 1 << 16, self.base[np.minimum(ids, (1 << 16) - 1)], self.other)
+
+
+def symbol(word: bytes) -> int:
+    """Of a word outside the head."""
+    return (1 << 16) + zlib.crc32(word) % (NONE - (1 << 16))
+
+
+class Buckets:
+    """Where places go, by the two nearest words before them."""
+
+    def __init__(self, words: Words, places: int):
+        self.number = max(1, -(-words.tokens // places))
+        self.parts = np.maximum(1, -(-words.count // places))
+        self.hot = np.flatnonzero(self.parts > 1)
+        self.first = np.zeros(1 << 16, np.int64)
+        self.first[self.hot] = self.number + np.cumsum(self.parts[self.hot]) - self.parts[self.hot]
+        self.last = self.number + int(self.parts[self.hot].sum())
+
+    def of(self, c1: np.ndarray, c2: np.ndarray) -> np.ndarray:
+        mix = lambda x, n: ((x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.asarray(n, np.uint64)).astype(np.int64)
+        low = np.minimum(c1, (1 << 16) - 1)
+        split = (c1 < 1 << 16) & (self.parts[low] > 1)
+        return np.where(split, self.first[low] + mix(c2, self.parts[low]), mix(c1, self.number))
+
+
+def planes(values: np.ndarray) -> bytes:
+    """The lowest bytes of all values, then the next ones: high bytes are mostly equal and shrink well."""
+    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
+def unplaned(data: memoryview | bytes, kind: str) -> np.ndarray:
+    kind = np.dtype(kind)
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(kind.itemsize, -1).T).view(kind).ravel()
+
+
+ENCODED = "docs binary, train binary, sizes binary, known binary, base binary, first binary, ids binary, tail_docs binary, tail_places binary, words array<binary>"
 
 
 def encode(docs: DataFrame, shared, folds: int) -> DataFrame:
-    """(doc_id, train, ids, tail): ids as unsigned 16-bit bytes, and the words outside the head with their counts."""
+    """Texts by chunks: of every document its id, part, size, known words and base score in the head; symbols of all tokens; and the words outside the head, each once, with the documents they are in."""
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = shared.value
         for batch in batches:
             start = 0
-            for doc_ids, texts in binary_chunks(batch):
-                split, ids, sizes = words.encode(texts)
-                ends = np.cumsum(sizes)
-                tails = [list(Counter([w[i] for i in np.flatnonzero(ids[e - n + 1 : e - 1] == OUTSIDE).tolist()]).items()) for w, e, n in zip(split, ends.tolist(), sizes.tolist(), strict=True)]
-                flat = [x for t in tails for x in t]
-                pairs = pa.StructArray.from_arrays([pa.array([w for w, _ in flat], pa.binary()), pa.array([n for _, n in flat], pa.int64())], ["word", "times"])
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, tails)]), pa.int32()), pairs)
-                packed = [ids[e - n : e].tobytes() for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
-                yield pa.record_batch([pa.array(doc_ids, pa.int64()), batch.column(2).slice(start, len(texts)), pa.array(packed, pa.binary()), lists], ["doc_id", "train", "ids", "tail"])
+            for doc_ids, texts in binary_chunks(batch, CHUNK_TEXT):
+                split = [t.lower().split() for t in texts]
+                sizes = np.array([len(w) + 1 for w in split], np.int32)
+                ends = np.cumsum(sizes, dtype=np.int64) - 1
+                ids, inside = np.empty(int(sizes.sum()), "<u4"), np.ones(int(sizes.sum()), bool)
+                ids[ends], inside[ends] = words.end, False
+                ids[inside] = np.fromiter(map(words.ids.get, chain.from_iterable(split), repeat(NONE)), "<u4", len(ids) - len(sizes))
+                head = ids != NONE
+                doc = np.repeat(np.arange(len(sizes)), sizes)
+                count = lambda x: np.bincount(doc, x, len(sizes))  # noqa: E731,B023
+                low = np.where(head, ids, 0)
+                known = count(head & (words.count[low] > 0)).astype("<i4")
+                log_p = np.where(head, np.log10(words.base[low]), 0.0)
+                base, first = count(log_p), log_p[ends - sizes + 1]
+                flat = list(chain.from_iterable(w + [END] for w in split))
+                tail = np.flatnonzero(~head)
+                kinds: dict[bytes, int] = {}
+                place = np.array([kinds.setdefault(flat[i], len(kinds)) for i in tail.tolist()], "<u4")
+                ids[tail] = np.array([symbol(w) for w in kinds] or [0], "<u4")[place] if len(tail) else 0
+                numbers = np.array([(i is not None, i or 0) for i in doc_ids], "<i8")
+                train = np.asarray(batch.column(2).slice(start, len(texts)).to_numpy(zero_copy_only=False), bool)
+                blobs = [numbers.tobytes(), train.tobytes(), sizes.tobytes(), known.tobytes(), base.tobytes(), first.tobytes(), planes(ids), planes(doc[tail].astype("<u2")), planes(place)]
+                yield pa.record_batch([*(pa.array([x], pa.binary()) for x in blobs), pa.array([list(kinds)], pa.list_(pa.binary()))], [x.split()[0] for x in ENCODED.split(", ")])
                 start += len(texts)
 
     rows = binary_text(docs).withColumn("train", id_bucket("doc_id", folds) != 0)
-    return rows.mapInArrow(encoded, "doc_id long, train boolean, ids binary, tail array<struct<word: binary, times: long>>")
+    return rows.mapInArrow(encoded, ENCODED)
+
 
+def _places(ids: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """For each token the words one, two and more before it, NONE in front of its text."""
+    at = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    found = []
+    for back in range(1, DEPTH + 1):
+        before = np.full(len(ids), NONE, "<u4")
+        before[back:] = ids[:-back]
+        before[at < back] = NONE
+        found.append(before)
+    return found
 
-def _id_chunks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """The first place, ids and sizes of consecutive encoded texts."""
-    for start, held in chunks((x.as_py() for x in column), CHUNK_BYTES // 2, b""):
-        yield start, np.frombuffer(b"".join(held), np.uint16), np.array([len(x) // 2 for x in held], np.int64)
 
+def deal(chunks: DataFrame, shared) -> DataFrame:
+    """(bucket, chunk, places, given): the places of every chunk by bucket, packed: contexts, next word, document."""
 
-def _next_counts(train: DataFrame, shared, depth: int) -> DataFrame:
-    """(node, symbol, n) at the places of the encoded rows whose state is of length ``depth``."""
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, buckets = shared.value
+        for batch in batches:
+            for chunk, ids, sizes, train in zip(*batch.columns, strict=True):
+                ids, sizes = unplaned(ids.as_py(), "<u4"), np.frombuffer(sizes.as_py(), "<i4")
+                doc = np.repeat((np.arange(len(sizes)) | TRAIN * np.frombuffer(train.as_py(), bool)).astype("<u2"), sizes)
+                before = _places(ids, sizes)
+                use = np.flatnonzero(before[0] != NONE)
+                bucket = buckets.of(before[0][use], before[1][use])
+                order = np.argsort(bucket.astype(np.uint16) if buckets.last < 1 << 16 else bucket, kind="stable")
+                use, bucket = use[order], bucket[order]
+                columns = [x[use] for x in (*before, ids, doc)]
+                edge = [*np.flatnonzero(np.diff(bucket, prepend=-1)).tolist(), len(bucket)]
+                blocks = [b"".join(planes(x[a:b]) for x in columns) for a, b in zip(edge, edge[1:])]
+                keys = bucket[edge[:-1]]
+                yield pa.record_batch([pa.array(keys), pa.array(np.full(len(keys), chunk.as_py())), pa.array(blocks, pa.binary()), pa.nulls(len(keys), pa.binary())], ["bucket", "chunk", "places", "given"])
+
+    return chunks.select("chunk", "ids", "sizes", "train").mapInArrow(dealt, "bucket long, chunk long, places binary, given binary")
+
+
+def hot_nodes(chunks: DataFrame, shared) -> DataFrame:
+    """Rows as of ``deal`` that give every bucket of a split word that word's node: its next words and their probabilities."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, tree = shared.value
+        words, buckets = shared.value
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
         for batch in batches:
-            for _, ids, _ in _id_chunks(batch.column(0)):
-                symbols = words.symbol[ids]
-                state, length = tree.states(symbols, depth)
-                use = (length == depth) & (symbols != words.begin)
-                held.append(np.unique(state[use] * words.width + symbols[use], return_counts=True))
-                size += len(held[-1][0])
-                if size >= 2 * HELD_COUNTS:
-                    held = [_merged(held)]
-                    size = len(held[0][0])
-                    if size >= HELD_COUNTS:
-                        yield from _keyed(held.pop(), words.width)
-                        size = 0
+            for ids, sizes, train in zip(*batch.columns, strict=True):
+                ids, sizes = unplaned(ids.as_py(), "<u4"), np.frombuffer(sizes.as_py(), "<i4")
+                before = _places(ids, sizes)[0]
+                use = np.repeat(np.frombuffer(train.as_py(), bool), sizes) & (before < 1 << 16)
+                use[use] = buckets.parts[before[use]] > 1
+                held.append(np.unique(before[use].astype(np.uint64) << np.uint64(32) | ids[use], return_counts=True))
+                if sum(len(k) for k, _ in held) >= HELD_COUNTS:
+                    yield from _keyed(held)
+                    held = []
         if held:
-            yield from _keyed(_merged(held), words.width)
+            yield from _keyed(held)
 
-    return train.select("ids").mapInArrow(count, "node long, symbol long, n long").groupBy("node", "symbol").agg(F.sum("n").alias("n"))
+    def node(key: tuple, table: pa.Table) -> pa.Table:
+        words, buckets = shared.value
+        word = key[0].as_py()
+        next_, n = table.column("next").to_numpy().astype(np.uint32), table.column("n").to_numpy()
+        order = np.argsort(next_)
+        level = _distributions(np.zeros(len(n), np.int64), n[order], np.array([words.count[word]]), words.probability(next_[order]))
+        some = level.stored & level.retained[0]
+        rest = level.rest[0] if level.retained[0] else 1.0
+        data = planes(next_[order][some].astype("<u4")), np.concatenate([[rest, level.retained[0]], level.p[some]]).tobytes()
+        keys = buckets.first[word] + np.arange(buckets.parts[word])
+        return pa.table({"bucket": pa.array(keys), "chunk": pa.array(np.full(len(keys), -1)), "places": pa.array([data[0]] * len(keys), pa.binary()), "given": pa.array([data[1]] * len(keys), pa.binary())})
 
-
-def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-    return keys, np.bincount(at, np.concatenate([n for _, n in held]), len(keys)).astype(np.int64)
+    counts = chunks.select("ids", "sizes", "train").mapInArrow(count, "word long, next long, n long").groupBy("word", "next").agg(F.sum("n").alias("n"))
+    return counts.groupBy("word").applyInArrow(node, "bucket long, chunk long, places binary, given binary")
 
 
-def _keyed(counts: tuple[np.ndarray, np.ndarray], width: int) -> Iterator[pa.RecordBatch]:
-    for at in range(0, len(counts[0]), 1 << 16):
-        node, symbol = np.divmod(counts[0][at : at + (1 << 16)], width)
-        yield pa.record_batch([pa.array(node), pa.array(symbol), pa.array(counts[1][at : at + (1 << 16)])], ["node", "symbol", "n"])
+def _keyed(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+    n = np.bincount(at, np.concatenate([n for _, n in held]), len(keys)).astype(np.int64)
+    columns = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(NONE)).astype(np.int64), n
+    for start in range(0, len(keys), 1 << 16):
+        yield pa.record_batch([pa.array(x[start : start + (1 << 16)]) for x in columns], ["word", "next", "n"])
+
+
+class _distributions:
+    """Of contexts: which next words are stored and their probabilities, what is left to the suffix, and which are retained.
+
+    Given are, for each pair of a context and a next word, the context, the count and the suffix's probability; and the
+    contexts' counts.
+    """
+
+    def __init__(self, context: np.ndarray, n: np.ndarray, total: np.ndarray, below: np.ndarray):
+        size = len(total)
+        of = lambda x: np.bincount(context, x, size)
+        kinds = of(n > 0)
+        self.stored = n >= SUPPORT
+        self.p = np.where(self.stored, (n + kinds[context] * below) / (total[context] + kinds[context]), 0.0)
+        given, taken, known = of(self.p), of(np.where(self.stored, below, 0.0)), of(np.where(self.stored, n, 0))
+        self.rest = np.maximum(1 - given, 1e-12) / np.maximum(1 - taken, 1e-12)
+        # the test looks at the stored words and at all others as one
+        gain = of(np.where(self.stored, n * np.log(np.maximum(n, 1) / (total[context] * below)), 0.0))
+        left = total - known
+        gain += np.where(left > 0, left * np.log(np.maximum(left, 1) / np.maximum(total * (1 - taken), 1e-9)), 0.0)
+        number = of(self.stored)
+        self.retained = (number > 0) & (2 * gain > number + 3 * np.sqrt(2 * np.maximum(number, 1)))
+
+
+def learn_and_score(contexts: list[np.ndarray], next_: np.ndarray, train: np.ndarray, words: Words, given: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """log10 p of each place of a bucket, and whether its next word was stored in a retained context.
+
+    ``given``: the node of depth one where it is known already, as (next words, [rest, retained, probabilities]).
+    """
+    p = words.probability(next_)
+    seen = np.zeros(len(next_), bool)
+    active, state = np.arange(len(next_)), np.zeros(len(next_), np.int64)
+    for depth, symbols in enumerate(contexts, 1):
+        inside = symbols[active] != NONE
+        active, state = active[inside], state[inside]
+        if not len(active):
+            break
+        if depth == 1 and given is not None:
+            known, numbers = given
+            if not numbers[1]:
+                break
+            at = np.minimum(np.searchsorted(known, next_), max(0, len(known) - 1))
+            hit = known[at] == next_ if len(known) else np.zeros(len(next_), bool)
+            p = np.where(hit, numbers[2:][at] if len(known) else 0.0, numbers[0] * p)
+            seen |= hit
+            continue
+        _, context = np.unique(state.astype(np.uint64) << np.uint64(32) | symbols[active], return_inverse=True)
+        total = np.bincount(context, train[active])
+        enough = total[context] >= SUPPORT
+        active, context = active[enough], context[enough]
+        if not len(active):
+            break
+        pairs, first, pair = np.unique(context.astype(np.uint64) << np.uint64(32) | next_[active], return_index=True, return_inverse=True)
+        n = np.bincount(pair, train[active])
+        level = _distributions((pairs >> np.uint64(32)).astype(np.int64), n, total, p[active[first]])
+        kept = level.retained[context]
+        active, context, pair = active[kept], context[kept], pair[kept]
+        stored = level.stored[pair]
+        p[active] = np.where(stored, level.p[pair], level.rest[context] * p[active])
+        seen[active] |= stored
+        state = context
+    return np.log10(p), seen
+
+
+def score_buckets(blocks: DataFrame, shared) -> DataFrame:
+    """(chunk, docs, sums, tail_docs, tail_symbols): of each bucket and chunk the documents' log probabilities, and the seen words outside the head."""
+
+    def scored(table: pa.Table) -> pa.Table:
+        words, _ = shared.value
+        given, chunks, columns = None, [], [[] for _ in range(DEPTH + 2)]
+        for chunk, data, numbers in zip(*(table.column(c) for c in ("chunk", "places", "given")), strict=True):
+            data = memoryview(data.as_buffer())
+            if numbers.is_valid:
+                given = unplaned(data, "<u4"), np.frombuffer(numbers.as_py(), np.float64)
+                continue
+            n = len(data) // PLACE
+            chunks.append((chunk.as_py(), n))
+            for k, column in enumerate(columns):
+                column.append(unplaned(data[4 * k * n : min(len(data), 4 * (k + 1) * n)], "<u4" if k <= DEPTH else "<u2"))
+        *contexts, next_, doc = (np.concatenate(x) if x else np.zeros(0, np.uint32) for x in columns)
+        columns.clear()
+        log_p, seen = learn_and_score(contexts, next_, (doc & TRAIN) > 0, words, given)
+        outside = next_ >= 1 << 16
+        # the exact unigram probability of an unseen word outside the head comes later
+        log_p -= np.where(outside & ~seen, np.log10(words.other), 0.0)
+        doc = doc & (TRAIN - 1)
+        out: list[list] = [[] for _ in range(5)]
+        start = 0
+        for chunk, n in chunks:
+            own = slice(start, start + n)
+            sums = np.bincount(doc[own], log_p[own])
+            docs = np.unique(doc[own])
+            tail = np.flatnonzero(outside[own] & seen[own]) + start
+            for column, value in zip(out, (chunk, docs.astype("<u2").tobytes(), sums[docs].tobytes(), doc[tail].astype("<u2").tobytes(), next_[tail].tobytes()), strict=True):
+                column.append(value)
+            start += n
+        return pa.table([pa.array(out[0], pa.int64()), *(pa.array(x, pa.binary()) for x in out[1:])], ["chunk", "docs", "sums", "tail_docs", "tail_symbols"])
+
+    return blocks.groupBy("bucket").applyInArrow(scored, "chunk long, docs binary, sums binary, tail_docs binary, tail_symbols binary")
 
 
 def head_words(counts: DataFrame, size: int = HEAD) -> Words:
@@ -265,110 +365,60 @@ def head_words(counts: DataFrame, size: int = HEAD) -> Words:
     return Words(head, totals["n"], totals["kinds"])
 
 
-def grow(train: DataFrame, words: Words, depth: int = DEPTH, min_share: float = MIN_SHARE, min_next: float = MIN_NEXT) -> Tree:
-    """Level by level: candidates, their next-symbol counts over all encoded training rows, the divergence test, smoothing."""
-    spark = train.sparkSession
-    tree = Tree(words)
-    least = max(2.0, min_share * words.tokens)
-    frequent = np.flatnonzero(words.root * words.tokens >= least)
-    frequent = frequent[frequent != words.begin]
-    begins = np.array([words.begin]) if words.tokens else np.zeros(0, np.int64)
-    first = np.concatenate([frequent[frequent != words.symbol[words.end]], begins])
-    candidates = (np.zeros(len(first), np.int64), first)
-    for level in range(1, depth + 1):
-        if not len(candidates[0]):
-            break
-        start = len(tree.parent)
-        tree.add(*candidates)
-        shared = spark.sparkContext.broadcast((words, tree))
-        counts = checkpoint(_next_counts(train, shared, level))
-        totals = counts.groupBy("node").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
-        # the whole suffix distribution is not stored: the test looks at the stored symbols and at the rest as one
-        big = counts.join(F.broadcast(totals), "node").where(F.col("n") >= F.least(F.lit(least), min_next * F.col("total"))).orderBy("node", "symbol").toArrow()
-        node, symbol, n = (big.column(c).to_numpy() for c in ("node", "symbol", "n"))
-        total = np.zeros(len(tree.parent))
-        total[node] = big.column("total").to_numpy()
-        below = tree.probability(tree.parent[node], symbol)
-        path = _path(tree, node, level)
-        size = len(tree.parent)
-        gain = np.bincount(node, n * np.log(n / (total[node] * below)), size)
-        known, expected, kinds = np.bincount(node, n, size), np.bincount(node, below, size), np.bincount(node, minlength=size)
-        left = total - known
-        gain += np.where(left > 0, left * np.log(np.maximum(left, 1) / np.maximum(total * (1 - expected), 1e-9)), 0)
-        keep = np.flatnonzero((np.arange(size) >= start) & (2 * gain > kinds + 3 * np.sqrt(2 * np.maximum(kinds, 1))))
-        renumber = np.full(size, -1)
-        renumber[keep] = start + np.arange(len(keep))
-        tree.cut(keep, start)
-        used = renumber[node] >= 0
-        new_total = np.zeros(len(tree.parent))
-        new_total[start:] = total[keep]
-        tree.learn(renumber[node[used]], symbol[used], n[used].astype(np.float64), new_total)
-        if level < depth:
-            candidates = _longer(tree, path, symbol, n >= least)
-    return tree
-
-
-def _path(tree: Tree, node: np.ndarray, level: int) -> list[np.ndarray]:
-    """The symbols of nodes of a level, the nearest first."""
-    found = []
-    for _ in range(level):
-        found.append(tree.back[node])
-        node = tree.parent[node]
-    return found[::-1]
-
-
-def _longer(tree: Tree, path: list[np.ndarray], symbol: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A context and its next symbol are a context one symbol longer: the frequent ones whose suffix is retained."""
-    run = [symbol[frequent], *(x[frequent] for x in path)]
-    state, ok = np.zeros(int(frequent.sum()), np.int64), np.ones(int(frequent.sum()), bool)
-    for back in run[:-1]:
-        if not len(tree.keys):
-            ok[:] = False
-            break
-        key = state * tree.width + back
-        at = np.minimum(np.searchsorted(tree.keys, key), len(tree.keys) - 1)
-        ok &= tree.keys[at] == key
-        state = tree.nodes[at]
-    return state[ok], run[-1][ok]
-
-
-def score(docs: DataFrame, folds: int = FOLDS) -> DataFrame:
+def score(docs: DataFrame, folds: int = FOLDS, bucket_places: int = BUCKET_PLACES) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
     counts = store(word_counts(docs.where(id_bucket("doc_id", folds) != 0)), "words")
     words = head_words(counts)
-    context = docs.sparkSession.sparkContext
-    rows = store(encode(docs, context.broadcast(words), folds).withColumn("row", F.monotonically_increasing_id()), "encoded")
-    tree = grow(rows.where("train"), words)
-    shared = context.broadcast((words, tree))
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, tree = shared.value
-        other = np.log10(words.root[words.other])
+    buckets = Buckets(words, bucket_places)
+    shared = docs.sparkSession.sparkContext.broadcast((words, buckets))
+    encoded = encode(docs, docs.sparkSession.sparkContext.broadcast(words), folds)
+    chunks = store(encoded.withColumn("chunk", F.monotonically_increasing_id()), "encoded")
+    blocks = deal(chunks, shared)
+    if len(buckets.hot):
+        blocks = blocks.unionByName(hot_nodes(chunks, shared))
+    scored = score_buckets(blocks, shared).groupBy("chunk").agg(F.collect_list(F.struct("docs", "sums", "tail_docs", "tail_symbols")).alias("scored"))
+    tail = chunks.select("chunk", F.posexplode("words").alias("place", "word")).join(counts, "word", "left")
+    tail = tail.groupBy("chunk").agg(F.collect_list(F.struct("place", "word", F.coalesce("n", F.lit(0)).alias("n"))).alias("tail"))
+    whole = chunks.select("chunk", "docs", "train", "sizes", "known", "base", "first", "tail_docs", "tail_places").join(scored, "chunk", "left").join(tail, "chunk", "left")
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+    def result(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, _ = shared.value
         for batch in batches:
-            for start, ids, sizes in _id_chunks(batch.column(2)):
-                symbols = words.symbol[ids]
-                starts = np.cumsum(sizes) - sizes
-                state, _ = tree.states(symbols, DEPTH)
-                log_p = np.log10(tree.probability(state, symbols))
-                log_p[ids == BEGIN] = 0
-                base = words.log_base[ids]
-                log_p += np.where(symbols == words.other, base - other, 0)
-                known = words.known[ids].astype(np.int64)
-                columns = [x.slice(start, len(sizes)) for x in batch.columns[:2]]
-                yield pa.record_batch([*columns, pa.array(sizes - 1), *(pa.array(np.add.reduceat(x, starts)) for x in (known, base, log_p))], ["row", "doc_id", "n_tokens", "known_head", "base", "tree"])
-
-    scores = rows.select("row", "doc_id", "ids").mapInArrow(scored, "row long, doc_id long, n_tokens long, known_head long, base double, tree double")
-    total = words.tokens + ADD * (words.kinds + 1)
-    tail = rows.select("row", F.inline("tail")).join(counts, "word", "left")
-    number = F.coalesce(F.col("n"), F.lit(0))
-    tail = tail.groupBy("row").agg(F.sum(F.col("times") * F.log10((number + F.lit(ADD)) / F.lit(total))).alias("log_tail"), F.sum(F.when(number > 0, F.col("times")).otherwise(0)).alias("known_tail"))
-    log_tail = F.coalesce("log_tail", F.lit(0.0))
-    return scores.join(tail, "row", "left").select(
-        "doc_id",
-        (id_bucket("doc_id", folds) == 0).alias("held_out"),
-        "n_tokens",
-        (F.col("known_head") + F.coalesce("known_tail", F.lit(0))).alias("n_known"),
-        F.lit(words.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + log_tail).alias("base_score"),
-        (F.col("tree") + log_tail).alias("score"),
-    )
+            for row in range(batch.num_rows):
+                yield _result(words, {n: c[row] for n, c in zip(batch.schema.names, batch.columns, strict=True)})
+
+    return whole.drop("chunk").mapInArrow(result, schema)
+
+
+def _result(words: Words, chunk: dict[str, pa.Scalar]) -> pa.RecordBatch:
+    raw = lambda name, kind: np.frombuffer(chunk[name].as_py(), kind)
+    numbers, train, sizes = raw("docs", "<i8").reshape(-1, 2), raw("train", bool), raw("sizes", "<i4")
+    known, base = raw("known", "<i4").astype(np.int64), raw("base", np.float64)
+    log_p = raw("first", np.float64).copy()  # without a context
+    seen: list[np.ndarray] = []
+    for bucket in chunk["scored"].as_py() or ():
+        log_p[np.frombuffer(bucket["docs"], "<u2")] += np.frombuffer(bucket["sums"], np.float64)
+        seen.append(np.frombuffer(bucket["tail_docs"], "<u2").astype(np.int64) << 32 | np.frombuffer(bucket["tail_symbols"], "<u4"))
+    found = chunk["tail"].as_py() or ()
+    n = np.zeros(max([0, *(x["place"] + 1 for x in found)]), np.int64)
+    symbols = np.zeros(len(n), np.int64)
+    for x in found:
+        n[x["place"]], symbols[x["place"]] = x["n"], symbol(x["word"])
+    docs, place = unplaned(chunk["tail_docs"].as_py(), "<u2").astype(np.int64), unplaned(chunk["tail_places"].as_py(), "<u4")
+    log_tail = np.log10((n + ADD) / words.total)[place] if len(place) else np.zeros(0)
+    known = known + np.bincount(docs, n[place] > 0, len(sizes)).astype(np.int64) if len(place) else known
+    whole = base + np.bincount(docs, log_tail, len(sizes))
+    # seen words outside the head have their probability from their contexts
+    left = np.ones(len(place), bool)
+    if seen and len(place):
+        own = docs << 32 | symbols[place]
+        keys, times = np.unique(np.concatenate(seen), return_counts=True)
+        order = np.argsort(own, kind="stable")
+        begin = np.searchsorted(own[order], keys)
+        taken = np.repeat(begin, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        left[order[taken]] = False
+    log_p += np.bincount(docs[left], log_tail[left], len(sizes))
+    ids = pa.array(numbers[:, 1], pa.int64(), mask=numbers[:, 0] == 0)
+    columns = [ids, pa.array(~train), pa.array(sizes.astype(np.int64)), pa.array(known), pa.array(np.full(len(sizes), words.tokens)), pa.array(whole), pa.array(log_p)]
+    return pa.record_batch(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
