@@ -1,15 +1,18 @@
 """Operator 7, personal data: base patterns and a skip-chain conditional random field.
 
 The base finds e-mail addresses, IP addresses, card and phone numbers by pattern and check. The field's nodes are the
-base's finds and every other word of the document with a digit or an @. Neighbouring nodes share a chain potential;
-nodes that repeat the same or a similar token anywhere in the document (the same last seven digits, whatever stands
-between them; the same mailbox and first part of the host, whatever the case) share a skip potential. Loopy sum-product
-message passing over all nodes of a batch gives each node's label. A word that the base left out is added where its
-label's probability reaches ``THRESHOLD`` and a repeated token leads from it to a find of that kind: entity labels become
-consistent over the document. Base finds keep their label.
-
-Weights are learned here by pseudo-likelihood on at most ``TRAIN_DOCS`` documents (least hashed doc_id), with the base's
-finds as labels; their evidence and shape are hidden at random, so that shape, chain and repetition get their weights.
+base's finds, every run of grouped digits, and every other word of the document with a digit, an @ or a written-out mark
+such as [at]. Its labels are the base's kinds, secrets (access tokens, keys) and none. Neighbouring nodes share a chain
+potential; nodes that repeat the same or a similar token anywhere in the document (the same last seven digits, whatever
+stands between them; the same mailbox and first part of the host, whatever the case; the same long token) share a skip
+potential. Loopy sum-product message passing over all nodes gives each node's label, so that entity labels become
+consistent over the document. A node that the base left out is added where its label's probability reaches
+``THRESHOLD``. Base finds keep their label.
+
+Weights are learned here by pseudo-likelihood on at most ``TRAIN_DOCS`` documents (least hashed doc_id). Labels are the
+base's finds, tokens that a text assigns to a name such as token or password, and, since the base knows only well-formed
+ones, the finds once more in disguise (other separators, written-out marks, no country sign), each in a graph of its own.
+Everything else is none. Evidence and shape are hidden at random, so that shape, chain and repetition get their weights.
 
 Rows: null text counts as empty and has no spans; repeated rows get equal results; without training examples nothing is
 added; an empty table gives an empty result; other input columns are not read. Places are code points, the end exclusive.
@@ -18,6 +21,7 @@ added; an empty table gives an empty result; other input columns are not read. P
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -28,8 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KINDS = ("email", "ip", "card", "phone")
+from .common import chunks
+
+KINDS = ("email", "ip", "card", "phone", "secret")
+BASE_KINDS = KINDS[:4]
+SECRET = 4
+#: Texts of over TRAIN_BYTES are not learned from; spans are found in whole texts whatever their length.
 TRAIN_DOCS = 8000
+TRAIN_BYTES = 1 << 15
 THRESHOLD = 0.8
 ROUNDS = 12
 REACH = 40
@@ -41,6 +51,10 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _DIGIT = re.compile(r"[^0-9]+")
+_MARK = re.compile(r"[0-9@]|[\[(](?:at|dot|\.)[\])]")
+_GROUPED = re.compile(r"(?<![0-9A-Za-z.+])\+?\(?[0-9][0-9().\x20-]{5,24}[0-9](?![0-9A-Za-z])")
+_ASSIGNED = re.compile(r"(?i)\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key|auth)[\"']?\s*[:=]\s*[\"']?([A-Za-z0-9_/+.=-]{16,})")
+_BEFORE = re.compile(r"(\w{1,24})[\"']?[\x20\t]*([:=])[\x20\t]*[\"']?$")
 
 
 def luhn(digits: str) -> bool:
@@ -79,42 +93,72 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-WIDTH = 32
+WIDTH = 64
+EVIDENCE = WIDTH - len(KINDS)
+
+
+def _plain(token: str) -> str:
+    """Written-out marks as the marks that they stand for."""
+    return re.sub(r"[\[(](at|dot|\.)[\])]", lambda m: "@" if m[1] == "at" else ".", token)
 
 
-def _features(token: str, kind: int) -> np.ndarray:
-    """Shape of a token, and in the last four places what the base says."""
+def _features(text: str, start: int, end: int, kind: int) -> np.ndarray:
+    """Shape of a token and what stands before it, and in the last places what the base says."""
+    token = text[start:end]
+    plain = _plain(token)
     x = np.zeros(WIDTH, np.float32)
     digits = sum(c.isdigit() for c in token)
+    letters = sum(c.isalpha() for c in token)
+    only = _DIGIT.sub("", token)
     x[0] = 1
-    x[1] = "@" in token
+    x[1] = "@" in plain
     x[2 + int(np.searchsorted([1, 4, 7, 8, 10, 14, 17, 20], digits, side="right"))] = 1
-    x[12 + min(4, token.count("."))] = 1
+    x[12 + min(4, plain.count("."))] = 1
     x[17], x[18], x[19] = "+" in token, "(" in token, "-" in token
-    letters = sum(c.isalpha() for c in token)
     x[20], x[21] = letters > 0, letters > digits
     x[22 + min(3, len(token) // 8)] = 1
+    x[26] = 14 <= len(only) <= 19 and not letters and luhn(only)
+    x[27] = bool(re.fullmatch(r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}", plain))
+    x[28] = bool(re.fullmatch(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*", plain))
+    x[29] = len(token) >= 16 and letters > 0 and digits > 0 and token.isalnum()
+    x[30] = bool(re.fullmatch(r"[0-9a-fA-F]{16,}", token)) and letters > 0 and digits > 0
+    x[31] = plain != token
+    x[32], x[33] = start > 0 and text[start - 1] in "\"'", bool(re.fullmatch(r"\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}", token))
+    x[34] = bool(re.fullmatch(r"\+?[0-9]{1,4}[\x20.-]\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}", token))
+    x[35], x[36] = not letters and digits in (10, 11), " " in token
+    if m := _BEFORE.search(text, max(0, start - 32), start):
+        x[37] = 1
+        x[38 + hashlib.sha256(m[1].casefold().encode()).digest()[0] % 16] = 1
     if kind >= 0:
-        x[WIDTH - 4 + kind] = 1
+        x[EVIDENCE + kind] = 1
     return x
 
 
 def _key(token: str) -> str | None:
     """What repeated or similar tokens share."""
+    token = _plain(token)
     if "@" in token:
         mailbox, _, host = token.strip(".,;:!?\"'<>()[]#*$%&").casefold().partition("@")
         return f"{mailbox}@{host.split('.')[0]}" if mailbox and host else None
+    if any(c.isalpha() for c in token):
+        return token if len(token) >= 16 else None
     digits = _DIGIT.sub("", token)
-    return digits[-7:] if len(digits) >= 7 and sum(c.isalpha() for c in token) == 0 else None
+    return digits[-7:] if len(digits) >= 7 else None
 
 
 def nodes(text: str, base: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Nodes (start, end, kind or -1) in order, and edges (node, node, 0 for chain or 1 for skip)."""
     found = [(s, e, k) for s, k, e in base]
-    starts = [s for s, _, _ in base]
-    ends = list(accumulate((e for _, _, e in base), max))
-    at = 0
-    for m in _ANY.finditer(text):  # each word with a digit or an @, once
+
+    def free(spans: list[tuple[int, int, int]], candidates: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+        """The candidates that meet no span."""
+        starts, ends = [s for s, _, _ in spans], list(accumulate((e for _, e, _ in spans), max))
+        return [(a, b, -1) for a, b in candidates if a < b and not ((i := bisect_left(starts, b)) and ends[i - 1] > a)]
+
+    grouped = [(m.start(), m.end()) for m in _GROUPED.finditer(text) if 7 <= sum(c.isdigit() for c in m.group()) <= 15 and re.search(r"[\x20(]", m.group())]
+    found = sorted(found + free(found, grouped))
+    words, at = [], 0
+    for m in _MARK.finditer(text):  # each word with a digit, an @ or a written-out mark, once
         if m.start() < at:
             continue
         start = m.start()
@@ -124,12 +168,8 @@ def nodes(text: str, base: list[tuple[int, int, int]]) -> tuple[list[tuple[int,
         at = word.end()
         token = word.group()
         left = len(token) - len(token.lstrip("\"'<[#*$%&,;:!?"))
-        right = len(token.rstrip(".,;:!?\"'<>)]#*$%&"))
-        a, b = start + left, start + right
-        i = bisect_left(starts, b)  # finds that begin before the word's end
-        if a < b and not (i and ends[i - 1] > a):
-            found.append((a, b, -1))
-    found.sort()
+        words.append((start + left, start + len(token.rstrip(".,;:!?\"'<>)]#*$%&"))))
+    found = sorted(found + free(found, words))
     edges = [(i, i + 1, 0) for i in range(len(found) - 1) if found[i + 1][0] - found[i][1] <= REACH]
     seen: dict[str, int] = {}
     for i, (s, e, _) in enumerate(found):
@@ -140,8 +180,22 @@ def nodes(text: str, base: list[tuple[int, int, int]]) -> tuple[list[tuple[int,
     return found, edges
 
 
+def disguised(kind: int, token: str, draw: random.Random) -> str:
+    """A find as the base doesn't know it."""
+    digits = _DIGIT.sub("", token)
+    if kind == 0:
+        mailbox, _, host = token.partition("@")
+        return draw.choice([f"{mailbox}[at]{host}", f"{mailbox}(at){host}", f"{mailbox}[at]{host.replace('.', '[dot]')}", f"{mailbox}@{host.split('.')[0]}"])
+    if kind == 1:
+        return token.replace(".", draw.choice(["[.]", "(.)", "[dot]"]))
+    if kind == 2:
+        return draw.choice([".", "/", "_"]).join(digits[i : i + 4] for i in range(0, len(digits), 4))
+    last = digits[-10:-7], digits[-7:-4], digits[-4:]
+    return draw.choice([token.lstrip("+"), "({}) {}-{}".format(*last), "{}-{}-{}".format(*last), "{}.{}.{}".format(*last)])
+
+
 class Field:
-    """Label 0 is none, 1 to 4 the kinds. Weights: (label, feature); chain and skip: (label, label)."""
+    """Label 0 is none, the others the kinds. Weights: (label, feature); chain and skip: (label, label)."""
 
     def __init__(self, weights: np.ndarray, chain: np.ndarray, skip: np.ndarray):
         self.weights, self.pair = weights, np.stack([chain, skip])
@@ -191,7 +245,7 @@ def fit(x: np.ndarray, edges: np.ndarray, label: np.ndarray, rounds: int = 2000,
     n, k = len(x), len(KINDS) + 1
     view = np.random.default_rng(7).integers(0, 3, n)
     x = x.copy()
-    x[view > 0, WIDTH - 4 :] = 0
+    x[view > 0, EVIDENCE:] = 0
     x[view > 1, 1:] = 0
     one = np.eye(k)[label]
     near = np.zeros((2, n, k))
@@ -206,7 +260,7 @@ def fit(x: np.ndarray, edges: np.ndarray, label: np.ndarray, rounds: int = 2000,
         for kind in (0, 1):
             slope = wrong.T @ near[kind]
             pair[kind] -= rate * ((slope + slope.T) / 2 + decay * pair[kind])
-    weights[:, WIDTH - 4 :] = 0  # at work the finds are held, and what the base left out has no evidence
+    weights[:, EVIDENCE:] = 0  # at work the finds are held, and what the base left out has no evidence
     return Field(weights, *pair)
 
 
@@ -216,27 +270,62 @@ def _graph(texts: list[str]) -> tuple[list, np.ndarray, np.ndarray, np.ndarray,
     for at, text in enumerate(texts):
         base = base_spans(text)
         bases.append(base)
-        if not _ANY.search(text):
+        if not _MARK.search(text):
             continue
         found, own = nodes(text, base)
         edges += [(a + len(x), b + len(x), t) for a, b, t in own]
         for s, e, kind in found:
-            x.append(_features(text[s:e], kind))
+            x.append(_features(text, s, e, kind))
             label.append(kind + 1)
             places.append((at, s, e))
     return bases, np.array(x, np.float32).reshape(-1, WIDTH), np.array(edges, np.int64).reshape(-1, 3), np.array(label, np.int64), np.array(places, np.int64).reshape(-1, 3)
 
 
+def _examples(text: str) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Graphs (features, edges, labels) to learn from: the text's own, and one with each find in disguise."""
+    bases, x, edges, label, places = _graph([text])
+    if not len(x):
+        return []
+
+    def assigned(text: str, places: np.ndarray, label: np.ndarray) -> None:
+        secrets = {m.start(1): m.end(1) for m in _ASSIGNED.finditer(text) if re.search("[0-9]", m[1]) and re.search("[A-Za-z]", m[1])}
+        for i, (_, s, e) in enumerate(places.tolist()):
+            if label[i] == 0 and secrets.get(s) == e:
+                label[i] = SECRET + 1
+
+    assigned(text, places, label)
+    found = [(x, edges, label)]
+    draw = random.Random(hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest())
+    if bases[0]:
+        other, spans, end = "", [], 0
+        for s, k, e in bases[0]:
+            if s >= end:
+                other += text[end:s]
+                spans.append((len(other), k))
+                other += disguised(k, text[s:e], draw)
+                spans[-1] += (len(other),)
+                end = e
+        other += text[end:]
+        _, x, edges, label, places = _graph([other])
+        assigned(other, places, label)
+        for i, (_, s, e) in enumerate(places.tolist()):
+            for a, k, b in spans:
+                if s < b and e > a:
+                    label[i] = k + 1
+        found.append((x, edges, label))
+    return found
+
+
 def train(docs: DataFrame, most: int = TRAIN_DOCS) -> Field | None:
     chosen = docs.select(F.col("doc_id").cast("long").alias("chosen")).distinct().orderBy(F.xxhash64("chosen"), "chosen").limit(most)
     # ``most`` ids: a proven bound
-    rows = docs.select(F.col("doc_id").cast("long").alias("own"), "text")
+    rows = docs.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= TRAIN_BYTES).select(F.col("doc_id").cast("long").alias("own"), "text")
     sample = rows.join(F.broadcast(chosen), F.col("own") == F.col("chosen")).select("text")
 
     def graph(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, x, edges, label, _ = _graph([v.as_py() or "" for v in batch.column(0)])
-            yield pa.record_batch([pa.array([v.astype(t).tobytes()], pa.binary()) for v, t in ((x, "u1"), (edges, "<i8"), (label, "<i8"))], ["x", "edges", "label"])
+            rows = [g for v in batch.column(0) for g in _examples(v.as_py() or "")]
+            yield pa.record_batch([pa.array([g[k].astype(t).tobytes() for g in rows], pa.binary()) for k, t in enumerate(("u1", "<i8", "<i8"))], ["x", "edges", "label"])
 
     rows = sample.mapInArrow(graph, "x binary, edges binary, label binary").toArrow().to_pylist()
     x, edges, label, n = [], [], [], 0
@@ -256,18 +345,12 @@ def added_spans(texts: list[str], field: Field | None, threshold: float = THRESH
     """The base's spans of each text and those that the field adds."""
     bases, x, edges, label, places = _graph(texts)
     added: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    linked = edges[edges[:, 2] == 1] if len(edges) else edges
-    if field is None or not len(linked) or not (label > 0).any():
+    if field is None or not len(x):
         return bases, added
-    x[:, WIDTH - 4 :] = 0
+    x[:, EVIDENCE:] = 0
     p = field.marginals(x, edges, label)
-    reached = label.copy()
-    for a, b, _ in linked.tolist():  # in order of the later node: kinds go along the chain of repeats
-        reached[b] = reached[b] or reached[a]
-    for a, b, _ in reversed(linked.tolist()):
-        reached[a] = reached[a] or reached[b]
     best = p[:, 1:].argmax(axis=1) + 1
-    for i in np.flatnonzero((label == 0) & (reached == best) & (p[np.arange(len(p)), best] >= threshold)):
+    for i in np.flatnonzero((label == 0) & (p[np.arange(len(p)), best] >= threshold)):
         at, s, e = places[i].tolist()
         added[at].append((s, int(best[i]) - 1, e))
     return bases, added
@@ -278,15 +361,18 @@ def _join(spans: list[tuple[int, int, int]]) -> str:
 
 
 def find_personal_data(docs: DataFrame, field: Field | None) -> DataFrame:
-    """(doc_id, base, n_email, n_ip, n_card, n_phone, spans, n_added) of every row; base and spans as kind:start:end, no shuffle."""
-    names = ["doc_id", "base", *(f"n_{k}" for k in KINDS), "spans", "n_added"]
+    """(doc_id, base, n_email, n_ip, n_card, n_phone, spans, n_added, n_secret, n_spans) of every row; base and spans as kind:start:end; n_email to n_phone count the base's. No shuffle."""
+    names = ["doc_id", "base", *(f"n_{k}" for k in BASE_KINDS), "spans", "n_added", "n_secret", "n_spans"]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bases, added = added_spans([v.as_py() or "" for v in batch.column(1)], field)
-            counts = [pa.array([sum(k == kind for _, k, _ in b) for b in bases], pa.int64()) for kind in range(len(KINDS))]
-            spans = [_join(sorted(b + a)) for b, a in zip(bases, added, strict=True)]
-            yield pa.record_batch([batch.column(0), pa.array(map(_join, bases), pa.string()), *counts, pa.array(spans, pa.string()), pa.array(map(len, added), pa.int64())], names)
-
-    schema = "doc_id long, base string, " + ", ".join(f"{n} long" for n in names[2:6]) + ", spans string, n_added long"
+            for start, texts in chunks(x.as_py() for x in batch.column(1)):
+                bases, added = added_spans(texts, field)
+                counts = [[sum(k == kind for _, k, _ in b) for b in bases] for kind in range(len(BASE_KINDS))]
+                spans = [sorted(b + a) for b, a in zip(bases, added, strict=True)]
+                more = [len(a) for a in added], [sum(k == SECRET for _, k, _ in a) for a in added], [len(x) for x in spans]
+                numbers = [pa.array(x, pa.int64()) for x in (*counts, *more)]
+                yield pa.record_batch([batch.column(0).slice(start, len(texts)), pa.array(map(_join, bases), pa.string()), *numbers[:4], pa.array(map(_join, spans), pa.string()), *numbers[4:]], names)
+
+    schema = ", ".join(f"{n} {'string' if n in ('base', 'spans') else 'long'}" for n in names)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(find, schema)
