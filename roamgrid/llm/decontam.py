@@ -3,20 +3,24 @@
 Every passage of every document is a query (two neighbouring segments, each as long as the longest item, so that any
 item lies whole inside some passage). An item is retrieved where the passage's BM25 score reaches ``share`` of the
 item's own (its score for itself). As in WAND, an item's terms of least weight that could not reach its threshold even
-together are not looked up at first: passages are met through the postings of the remaining, essential terms, for all
-passages of a chunk at once. What meets is bounded by those terms' sum plus the rest's; then by the sum of the block's
-greatest weights; only then is the exact score taken. Retrieved pairs are verified by the overlap of word trigrams with
-the item's question (its first three quarters) and, apart from that, its answer (the last quarter).
+together are not looked up at first: a passage meets items through the postings of the remaining, essential terms only.
+Postings lead to blocks of ``BLOCK`` items of similar thresholds. Where a passage meets a block, the sum of the block's
+greatest weights over the passage's terms bounds the scores of all of its items; blocks that can't reach the least
+threshold are skipped, and only of the others the items are scored. All passages of a chunk go together. Retrieved pairs
+are verified by the overlap of word trigrams with the item's question (its first three quarters) and, apart from that,
+its answer (the last quarter).
 
 An item of over ``PART_WORDS`` words is retrieved by parts of nearly equal length. It is verified as a whole: against the
 text around the passage that reaches an item's length to both sides.
 
-The index is built from at most ``SHARD_ITEMS`` items and ``SHARD_WORDS`` words at a time; a larger benchmark is dealt
-into shards by hashed id and the documents pass every shard, so what is sent to executors has a fixed bound. Document
-frequencies and the average length are those of the whole benchmark in every shard, so scores don't depend on shards.
+An index holds at most ``SHARD_ITEMS`` items and ``SHARD_WORDS`` words (but for one longer item). A larger benchmark is
+dealt into shards by hashed id; documents are read once all the same, and a worker has one shard in memory at a time.
+Document frequencies and the average length are those of the whole benchmark in every shard, so scores don't depend on
+shards.
 
-Rows: null and empty texts match nothing; null or wordless items are left out; repeated documents each have
-their own rows, items of one item_id count once for a document; either table may be empty; other columns are not read and kept by ``drop_leaks``.
+Rows: null and empty texts match nothing; null or wordless items are left out, repeated ones count once; repeated
+documents each have their own rows, items of one item_id count once for a document; either table may be empty; other
+columns are not read and kept by ``drop_leaks``.
 """
 
 from __future__ import annotations
@@ -38,10 +42,10 @@ SHARD_WORDS = 1 << 19
 SHARE = 0.5
 OVERLAP = 0.5
 PART_WORDS = 256
-BLOCK = 64
+BLOCK = 4
 K1, B = 1.2, 0.75
-#: Cells of the (segment, item) table of one chunk.
-CELLS = 1 << 22
+#: Bytes of the table of which term is in which segment.
+CELLS = 1 << 23
 _PLAIN = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 
 
@@ -50,7 +54,7 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "surrogatepass").translate(_PLAIN).split()
 
 
-def _grams(words: list[bytes], n: int = 3) -> set[tuple[bytes, ...]]:
+def _grams(words: list, n: int = 3) -> set[tuple]:
     n = min(n, len(words))
     return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if n else set()
 
@@ -74,65 +78,57 @@ class Match:
 
 @dataclass
 class Statistics:
-    """Parts and words of a benchmark, and in how many parts a term is (at least the terms in use)."""
+    """Parts, words and longest part of a benchmark, and in how many parts a term is (at least the terms in use)."""
 
     parts: int
     words: int
+    longest: int
     found: dict[bytes, int]
 
 
 class Index:
-    """Postings, thresholds and block maxima of one shard of items."""
+    """Postings, thresholds and block maxima of one shard of items; terms and parts are numbers, tables flat."""
 
     def __init__(self, items: list[tuple[int | None, str | None]], share: float = SHARE, overlap: float = OVERLAP, whole_table: Statistics | None = None):
         whole = [(i, w) for i, w in ((i, words_of(t)) for i, t in items) if w]
         parts = [(k, p) for k, (_, w) in enumerate(whole) for p in _parts(w)]
-        self.ids = [whole[k][0] for k, _ in parts]
-        self.words = [w for _, w in parts]
-        self.reach = [len(whole[k][1]) if len(w) < len(whole[k][1]) else 0 for k, w in parts]
         self.overlap = overlap
-        self.segment = max([8, *map(len, self.words)])
-        self.terms = {t: n for n, t in enumerate(sorted({t for w in self.words for t in w}))}
-        n = len(parts)
-        table = whole_table or Statistics(n, sum(map(len, self.words)), Counter(t for w in self.words for t in set(w)))
+        self.terms = {t: n for n, t in enumerate(sorted({t for _, w in parts for t in w}))}
+        table = whole_table or Statistics(len(parts), sum(len(p) for _, p in parts), max([0, *(len(p) for _, p in parts)]), Counter(t for _, p in parts for t in set(p)))
+        self.segment = max(8, table.longest)
         average = table.words / max(1, table.parts)
         idf = {t: np.log(1 + (table.parts - table.found[t] + 0.5) / (table.found[t] + 0.5)) for t in self.terms}
-        self.weights: list[dict[int, float]] = []
-        for w in self.words:
+        weights: list[dict[int, float]] = []
+        for _, w in parts:
             norm = K1 * (1 - B + B * len(w) / average)
-            self.weights.append({self.terms[t]: float(idf[t] * f * (K1 + 1) / (f + norm)) for t, f in Counter(w).items()})
-        self.own = np.array([sum(w.values()) for w in self.weights])
+            weights.append({self.terms[t]: float(idf[t] * f * (K1 + 1) / (f + norm)) for t, f in sorted(Counter(w).items())})
+        order = np.argsort([sum(w.values()) for w in weights], kind="stable").tolist()  # blocks of similar thresholds
+        parts, weights = [parts[i] for i in order], [weights[i] for i in order]
+        self.own = np.array([sum(w.values()) for w in weights])
         self.limit = share * self.own
-        self.rest = np.zeros(n)
-        essential: dict[int, list[tuple[int, float]]] = {}
-        for item, w in enumerate(self.weights):
+        self.item = [k for k, _ in parts]
+        self.reach = [len(whole[k][1]) if len(w) < len(whole[k][1]) else 0 for k, w in parts]
+        self.ids = [i for i, _ in whole]
+        self.words = [np.array([self.terms[t] for t in w], np.int32) for _, w in whole]
+        self.part_terms = _Lists([list(w) for w in weights], np.int32)
+        self.part_weights = np.array([x for w in weights for x in w.values()])
+        essential: dict[int, set[int]] = {}
+        maxima: list[dict[int, float]] = [{} for _ in range(-(-len(parts) // BLOCK))]
+        for n, w in enumerate(weights):
+            rest = 0.0
             for term, weight in sorted(w.items(), key=lambda x: (x[1], x[0])):
-                if self.rest[item] + weight < self.limit[item]:
-                    self.rest[item] += weight
+                if rest + weight < self.limit[n]:
+                    rest += weight
                 else:
-                    essential.setdefault(term, []).append((item, weight))
-        self.count = np.array([len(essential.get(t, ())) for t in range(len(self.terms))], np.int64)
-        self.start = np.cumsum(self.count) - self.count
-        flat = [x for t in range(len(self.terms)) for x in essential.get(t, ())]
-        self.item = np.array([i for i, _ in flat], np.int64)
-        self.weight = np.array([w for _, w in flat])
-        self.block_max = np.zeros((-(-n // BLOCK), len(self.terms)), np.float32)
-        for item, w in enumerate(self.weights):
-            for term, weight in w.items():
-                self.block_max[item // BLOCK, term] = max(self.block_max[item // BLOCK, term], np.nextafter(np.float32(weight), np.float32(np.inf)))
-        self.block_limit = np.array([self.limit[b * BLOCK : (b + 1) * BLOCK].min() for b in range(len(self.block_max))])
-        grams = []
-        for _, w in whole:
-            cut = max(1, len(w) - max(3, len(w) // 4))
-            grams.append((_grams(w[:cut]), _grams(w[cut:]) or _grams(w)))
-        self.grams = [grams[k] for k, _ in parts]
-
-    def text_limit(self) -> int:
-        """Bytes of text whose (segment, item) table stays within CELLS."""
-        return max(1 << 14, min(1 << 20, CELLS * self.segment * 4 // max(1, len(self.ids))))
-
-    def leaks(self, texts: list[str | None]) -> list[list[Match]]:
-        """Verified matches of each text, the best of each item."""
+                    essential.setdefault(term, set()).add(n // BLOCK)
+                maxima[n // BLOCK][term] = max(weight, maxima[n // BLOCK].get(term, 0.0))
+        self.postings = _Lists([sorted(essential.get(t, ())) for t in range(len(self.terms))], np.int32)
+        self.block_terms = _Lists([list(x) for x in maxima], np.int32)
+        self.block_max = np.array([w for x in maxima for w in x.values()])
+        self.block_limit = np.array([self.limit[k * BLOCK : (k + 1) * BLOCK].min() for k in range(len(maxima))])
+
+    def leaks(self, texts: list[str | None], seen: Counter | None = None) -> list[list[Match]]:
+        """Verified matches of each text, the best of each item. ``seen`` counts passages, blocks met and items scored."""
         out: list[list[Match]] = [[] for _ in texts]
         if not self.ids:
             return out
@@ -140,60 +136,104 @@ class Index:
         lengths = np.array([len(w) for w in split], np.int64)
         segments = -(-lengths // self.segment) + 1  # an empty one behind each text
         first = np.cumsum(segments) - segments
-        ids = np.fromiter(map(self.terms.get, chain.from_iterable(split), repeat(-1)), np.int64, int(lengths.sum()))
+        ids = np.fromiter(map(self.terms.get, chain.from_iterable(split), repeat(-1)), np.int32, int(lengths.sum()))
         place = np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         segment = np.repeat(first, lengths) + place // self.segment
-        hit = (ids >= 0) & (self.count[ids] > 0)
-        pairs = np.unique(segment[hit] * len(self.terms) + ids[hit])
-        at, term = np.divmod(pairs, len(self.terms))
-        n = self.count[term]
-        post = np.repeat(self.start[term], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        total = int(segments.sum())
-        for low in range(0, total, rows := max(2, CELLS // len(self.ids))):  # a long text is met in steps that overlap by a segment
-            high = min(total, low + rows + 1)
-            inside = np.repeat((at >= low) & (at < high), n)
-            cell = (np.repeat(at, n)[inside] - low) * len(self.ids) + self.item[post[inside]]
-            met = np.bincount(cell, self.weight[post[inside]], (high - low) * len(self.ids)).reshape(high - low, -1)
-            bound = met[:-1] + met[1:] if high - low > 1 else met
-            where, items = np.nonzero((bound > 0) & (bound + self.rest + 1e-6 >= self.limit))
-            self._score(where + low, items, first, lengths, ids, split, out)
+        known = ids >= 0
+        at, term = segment[known], ids[known]
+        last = np.zeros(int(segments.sum()), bool)
+        last[first + segments - 1] = True
+        edge = np.searchsorted(at, np.arange(len(last) + 1))
+        for low in range(0, len(last), rows := max(1, CELLS // len(self.terms) - 1)):  # steps that overlap by a segment
+            high = min(len(last), low + rows + 1)
+            mine = slice(edge[low], edge[high])
+            has = np.zeros((high - low + 1, len(self.terms)), bool)
+            has[at[mine] - low, term[mine]] = True
+            passage = np.flatnonzero(~last[low : min(low + rows, len(last))])
+            has[:-1] |= has[1:]  # row s: the segments s and s + 1
+            where, items = self._retrieve(has, passage, at[mine] - low, term[mine], seen)
+            if len(where):
+                self._verify(where, items, low, first, lengths, ids, out)
         return [list({m.item_id: m for m in sorted(o, key=lambda m: m.score)}.values()) for o in out]
 
-    def _score(self, where, items, first, lengths, ids, split, out) -> None:
-        texts = np.searchsorted(first, where, side="right") - 1
+    def _retrieve(self, has: np.ndarray, passage: np.ndarray, at: np.ndarray, term: np.ndarray, seen: Counter | None) -> tuple[np.ndarray, list[tuple[int, float]]]:
+        """Passages and (part, score) of all pairs that reach the part's threshold."""
+        number = len(self.block_limit)
+        hit = self.postings.sizes[term] > 0
+        row, block = self.postings.of(term[hit])
+        key = at[hit][row] * number + block
+        met = np.unique(np.concatenate([key, key - number]))  # a segment is in its own passage and in the one before
+        where, block = np.divmod(met[met >= 0], number)
+        inside = np.zeros(len(has), bool)
+        inside[passage] = True
+        inside = inside[where]
+        where, block = where[inside], block[inside]
+        # block maxima over the terms of the passage
+        bound = self.block_terms.sums(self.block_max, block, has, where)
+        keep = bound + 1e-6 >= self.block_limit[block]
+        if seen is not None:
+            seen.update(passages=len(passage), met=len(block), kept=int(keep.sum()))
+        where, block = where[keep], block[keep]
+        part = (block[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+        where = np.repeat(where, BLOCK)[part < len(self.limit)]
+        part = part[part < len(self.limit)]
+        score = self.part_terms.sums(self.part_weights, part, has, where)
+        good = score + 1e-9 >= self.limit[part]
+        return where[good], list(zip(part[good].tolist(), score[good].tolist(), strict=True))
+
+    def _verify(self, where: np.ndarray, found: list[tuple[int, float]], low: int, first: np.ndarray, lengths: np.ndarray, ids: np.ndarray, out: list[list[Match]]) -> None:
+        texts = np.searchsorted(first, where + low, side="right") - 1
         begin = np.cumsum(lengths) - lengths
-        last, terms, ok = None, None, {}
-        for s, item, text in zip(where.tolist(), items.tolist(), texts.tolist(), strict=True):
-            word = (s - int(first[text])) * self.segment
-            if last != s:
-                own = ids[begin[text] + word : begin[text] + min(int(lengths[text]), word + 2 * self.segment)]
-                last, terms, ok, has, grams = s, np.unique(own[own >= 0]), {}, None, None
-            block = item // BLOCK
-            if block not in ok:
-                ok[block] = self.block_max[block, terms].sum() + 1e-3 >= self.block_limit[block]
-            if not ok[block]:
-                continue
-            has = has if has is not None else set(terms.tolist())
-            score = sum(w for t, w in self.weights[item].items() if t in has)
-            if score + 1e-9 < self.limit[item]:
-                continue
-            passage = split[text][word : word + 2 * self.segment]
-            if grams is None:
-                grams = {n: _grams(passage, n) for n in (1, 2, 3)}
-            near = grams
-            if reach := self.reach[item]:
-                around = split[text][max(0, word - reach) : word + 2 * self.segment + reach]
-                near = {n: _grams(around, n) for n in (1, 2, 3)}
-            shares = [len(g & near[len(next(iter(g)))]) / len(g) if g else 1.0 for g in self.grams[item]]
+        for s, (part, score), text in zip((where + low).tolist(), found, texts.tolist(), strict=True):
+            word, reach = (s - int(first[text])) * self.segment, self.reach[part]
+            own = ids[begin[text] + max(0, word - reach) : begin[text] + min(int(lengths[text]), word + 2 * self.segment + reach)].tolist()
+            item = self.words[self.item[part]].tolist()
+            cut = max(1, len(item) - max(3, len(item) // 4))
+            shares = []
+            for side in (item[:cut], item[cut:] or item):
+                grams = _grams(side)
+                shares.append(len(grams & _grams(own, min(3, len(side)))) / len(grams))
             if min(shares) >= self.overlap:
-                out[text].append(Match(self.ids[item], score, float(self.own[item]), word, *shares))
+                out[text].append(Match(self.ids[self.item[part]], score, float(self.own[part]), word, *shares))
+
+
+class _Lists:
+    """Lists of numbers in one array."""
+
+    def __init__(self, lists: list[list[int]], kind: type):
+        self.sizes = np.array([len(x) for x in lists], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.array([v for x in lists for v in x], kind)
+
+    def places(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For all values of the lists asked for: which request, and the value's place."""
+        n = self.sizes[which]
+        row = np.repeat(np.arange(len(which)), n)
+        return row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n - self.starts[which], n)
+
+    def of(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        row, place = self.places(which)
+        return row, self.flat[place].astype(np.int64)
+
+    def sums(self, weights: np.ndarray, which: np.ndarray, has: np.ndarray, where: np.ndarray) -> np.ndarray:
+        """Of each list asked for, the sum of the weights of its terms in the row ``where`` of ``has``; in steps of bounded size."""
+        total = np.zeros(len(which))
+        if not len(which):
+            return total
+        upto = np.cumsum(self.sizes[which])
+        cut = [0, *(np.searchsorted(upto, np.arange(1 << 20, int(upto[-1]), 1 << 20)) + 1).tolist(), len(which)]
+        for a, b in zip(cut, cut[1:]):
+            row, place = self.places(which[a:b])
+            total[a:b] = np.bincount(row, weights[place] * has[where[a:b][row], self.flat[place]], b - a)
+        return total
 
 
 def shards(benchmark: DataFrame, share: float = SHARE, overlap: float = OVERLAP) -> Iterator[Index]:
     """Indexes over the whole benchmark, each of a bounded size."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null").distinct()
     size = items.agg(F.count("*").alias("n"), F.sum(F.size(F.split("text", "\\s+"))).alias("words")).first()
     n = max(1, -(-size["n"] // (SHARD_ITEMS // 2)), -(-(size["words"] or 0) // (SHARD_WORDS // 2)))
+    items = checkpoint(items) if n > 1 else items
     counts = checkpoint(_term_counts(items)) if n > 1 else None
     total = counts.where("term is null").first() if n > 1 else None
     for k in range(n):
@@ -202,21 +242,23 @@ def shards(benchmark: DataFrame, share: float = SHARE, overlap: float = OVERLAP)
         table = None
         if total:
             found = counts.join(_term_counts(mine).select("term"), "term", "left_semi").toArrow()
-            table = Statistics(total["parts"], total["words"], dict(zip(found.column("term").to_pylist(), found.column("parts").to_pylist(), strict=True)))
+            table = Statistics(total["parts"], total["words"], total["longest"], dict(zip(found.column("term").to_pylist(), found.column("parts").to_pylist(), strict=True)))
         yield from (Index(x, share, overlap, table) for x in _bounded(sorted(zip(own.column("item_id").to_pylist(), own.column("text").to_pylist(), strict=True), key=str)))
 
 
 def _term_counts(items: DataFrame) -> DataFrame:
-    """(term, parts, words): in how many parts every term is; a null term for the parts and words of the table."""
+    """(term, parts, words, longest): in how many parts every term is; a null term for the parts, words and longest part of the table."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = [p for x in batch.column(0) for w in [words_of(x.as_py())] if w for p in _parts(w)]
             found = Counter(t for p in parts for t in set(p))
-            numbers = [*found.values(), len(parts)], [*[0] * len(found), sum(map(len, parts))]
-            yield pa.record_batch([pa.array([*found, None], pa.binary()), *(pa.array(x, pa.int64()) for x in numbers)], ["term", "parts", "words"])
+            none = [0] * len(found)
+            numbers = [*found.values(), len(parts)], [*none, sum(map(len, parts))], [*none, max([0, *map(len, parts)])]
+            yield pa.record_batch([pa.array([*found, None], pa.binary()), *(pa.array(x, pa.int64()) for x in numbers)], ["term", "parts", "words", "longest"])
 
-    return items.select("text").mapInArrow(count, "term binary, parts long, words long").groupBy("term").agg(F.sum("parts").alias("parts"), F.sum("words").alias("words"))
+    counts = items.select("text").mapInArrow(count, "term binary, parts long, words long, longest long")
+    return counts.groupBy("term").agg(F.sum("parts").alias("parts"), F.sum("words").alias("words"), F.max("longest").alias("longest"))
 
 
 def _bounded(items: list[tuple[int | None, str]]) -> Iterator[list[tuple[int | None, str]]]:
@@ -235,41 +277,47 @@ def _bounded(items: list[tuple[int | None, str]]) -> Iterator[list[tuple[int | N
 LEAK = "doc_id long, item_id long, score double, own_score double, word long, question_overlap double, answer_overlap double"
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, overlap: float = OVERLAP) -> DataFrame:
-    """(doc_id, item_id, score, own_score, word, question_overlap, answer_overlap) of every verified pair."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = None
-    for index in shards(benchmark, share, overlap):
-        part = rows.mapInArrow(_finder(docs.sparkSession.sparkContext.broadcast(index)), LEAK)
-        found = part if found is None else found.unionByName(part)
-    return found
+def _shared(docs: DataFrame, benchmark: DataFrame, share: float, overlap: float) -> list:
+    context = docs.sparkSession.sparkContext
+    return [context.broadcast(x) for x in shards(benchmark, share, overlap)]
+
+
+def _matches(texts: list[str | None], shared: list) -> list[list[Match]]:
+    """Of all shards, the best match of each item; one shard is in memory at a time."""
+    found: list[list[Match]] = [[] for _ in texts]
+    for one in shared:
+        index = one.value
+        for start, some in chunks(texts):
+            for k, own in enumerate(index.leaks(some), start):
+                found[k] += own
+        if len(shared) > 1:
+            one.__dict__.pop("_value", None)  # read again from the executor's copy for the next batch
+    return [list({m.item_id: m for m in sorted(o, key=lambda m: m.score)}.values()) for o in found] if len(shared) > 1 else found
+
 
+def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, overlap: float = OVERLAP) -> DataFrame:
+    """(doc_id, item_id, score, own_score, word, question_overlap, answer_overlap) of every verified pair; one pass over the documents."""
+    shared = _shared(docs, benchmark, share, overlap)
 
-def _finder(shared):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
+        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.float64(), pa.float64()]
         for batch in batches:
-            for start, texts in chunks((x.as_py() for x in batch.column(1)), index.text_limit()):
-                ids = batch.column(0).slice(start, len(texts)).to_pylist()
-                rows = [(i, m.item_id, m.score, m.own_score, m.word, m.question, m.answer) for i, found in zip(ids, index.leaks(texts), strict=True) for m in found]
-                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.float64(), pa.float64()]
-                yield pa.record_batch([pa.array(list(c), k) for c, k in zip(zip(*rows) if rows else [[]] * 7, kinds, strict=True)], [x.split()[0] for x in LEAK.split(", ")])
+            ids = batch.column(0).to_pylist()
+            matches = _matches([x.as_py() for x in batch.column(1)], shared)
+            rows = [(i, m.item_id, m.score, m.own_score, m.word, m.question, m.answer) for i, found in zip(ids, matches, strict=True) for m in found]
+            yield pa.record_batch([pa.array(list(c), k) for c, k in zip(zip(*rows) if rows else [[]] * 7, kinds, strict=True)], [x.split()[0] for x in LEAK.split(", ")])
 
-    return find
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(find, LEAK)
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, overlap: float = OVERLAP) -> DataFrame:
-    """The rows without a verified match, all columns; no shuffle."""
-    columns = docs.columns
-    for index in shards(benchmark, share, overlap):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-
-        def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
-            for batch in batches:
-                for start, texts in chunks((x.as_py() for x in batch.column(columns.index("text"))), index.text_limit()):
-                    part = batch.slice(start, len(texts))
-                    yield part.filter(pa.array([not found for found in index.leaks(texts)], pa.bool_()))
-
-        docs = docs.mapInArrow(clean, docs.schema)
-    return docs
+    """The rows without a verified match, all columns; one pass, no shuffle."""
+    at = docs.columns.index("text")
+    shared = _shared(docs, benchmark, share, overlap)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            matches = _matches([x.as_py() for x in batch.column(at)], shared)
+            yield batch.filter(pa.array([not found for found in matches], pa.bool_()))
+
+    return docs.mapInArrow(clean, docs.schema)
