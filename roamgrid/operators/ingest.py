@@ -71,15 +71,17 @@ def way_pairs(ways: DataFrame) -> DataFrame:
 def directed_edges(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(from_osm_id, to_osm_id, weight, osm_way_id): forward, and backward with the same weight unless one-way.
 
-    Pairs with an unknown end drop out.
+    Pairs with an unknown end drop out. Where nodes have an ``id``, the same joins bring it: from_node_id and to_node_id.
     """
-    at = lambda end: nodes.select(F.col("osm_id").alias(f"{end}_osm_id"), F.col("lat").alias(f"{end}_lat"), F.col("lng").alias(f"{end}_lng"))
+    own = ["id"] if "id" in nodes.columns else []
+    at = lambda end: nodes.select(F.col("osm_id").alias(f"{end}_osm_id"), F.struct("lat", "lng", *own).alias(end))
     known = pairs.join(at("from"), "from_osm_id").join(at("to"), "to_osm_id")
-    known = known.withColumn("weight", haversine(F.col("from_lat"), F.col("from_lng"), F.col("to_lat"), F.col("to_lng")))
-    forward = F.struct(F.col("from_osm_id").alias("f"), F.col("to_osm_id").alias("t"))
-    backward = F.struct(F.col("to_osm_id").alias("f"), F.col("from_osm_id").alias("t"))
+    known = known.withColumn("weight", haversine(F.col("from.lat"), F.col("from.lng"), F.col("to.lat"), F.col("to.lng")))
+    ids = lambda a, b: [F.col(f"{x}.id").alias(f"{y}_node_id") for x, y in ((a, "from"), (b, "to")) if own]
+    forward = F.struct(F.col("from_osm_id"), F.col("to_osm_id"), *ids("from", "to"))
+    backward = F.struct(F.col("to_osm_id").alias("from_osm_id"), F.col("from_osm_id").alias("to_osm_id"), *ids("to", "from"))
     ends = F.explode(F.when(F.col("oneway"), F.array(forward)).otherwise(F.array(forward, backward)))
-    return known.select(ends.alias("e"), "weight", "osm_way_id").select(F.col("e.f").alias("from_osm_id"), F.col("e.t").alias("to_osm_id"), "weight", "osm_way_id")
+    return known.select(ends.alias("e"), "weight", "osm_way_id").select("e.*", "weight", "osm_way_id")
 
 
 def dense_ids(rows: DataFrame, *order: str) -> DataFrame:
@@ -109,7 +111,7 @@ def build_graph(elements: DataFrame, order: Sequence[str]) -> tuple[DataFrame, D
     """(nodes, edges) of all valid ways of the elements."""
     ways = cut(way_elements(elements))
     nodes = dense_ids(graph_nodes(node_elements(elements, order), ways), "osm_id")
-    edges = with_node_ids(directed_edges(way_pairs(ways), nodes), nodes)
+    edges = directed_edges(way_pairs(ways), nodes).drop("from_osm_id", "to_osm_id")
     return nodes, dense_ids(edges, "from_node_id", "to_node_id", "osm_way_id", "weight")
 
 

@@ -13,17 +13,22 @@ from roamgrid.region import REGION, Region
 
 
 def polylines(found: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(request_id, path, distance): node ids become an ordered array<struct<lat, lng>>, from snapped node to snapped node."""
+    """(request_id, path, distance, whole): node ids become an ordered array<struct<lat, lng>>, from snapped node to snapped node.
+
+    ``whole`` is false where a node of the route is no node of the graph (an edge leads there): such a path has a hole.
+    """
     steps = found.select("request_id", F.posexplode("node_ids").alias("pos", "id")).join(nodes.select("id", "lat", "lng"), "id")
     path = F.transform(F.sort_array(F.collect_list(F.struct("pos", "lat", "lng"))), lambda x: F.struct(x["lat"].alias("lat"), x["lng"].alias("lng")))
-    return steps.groupBy("request_id").agg(path.alias("path")).join(found.select("request_id", "distance"), "request_id")
+    lines = steps.groupBy("request_id").agg(path.alias("path"))
+    whole = F.coalesce(F.size("path") == F.size("node_ids"), F.lit(False))
+    return found.join(lines, "request_id", "left").select("request_id", "path", "distance", whole.alias("whole"))
 
 
 def respond(requests: DataFrame, nodes: DataFrame, edges: DataFrame, region: Region = REGION) -> DataFrame:
     """(request_id, status, error, path, distance_meters, estimated_time_secs) for every request.
 
     In this order: 503 for an empty graph, 500 for a missing coordinate, 400 for a start and then an end outside the
-    region, 503 where nothing is near, 404 without a route, 200.
+    region, 503 where nothing is near, 404 without a route, 500 for a route over an edge's end that is no node, 200.
     """
     empty = F.lit(bool(nodes.isEmpty()))
     inside = lambda end: F.coalesce(region.contains(F.col(f"{end}_lat"), F.col(f"{end}_lng")), F.lit(False))
@@ -42,6 +47,8 @@ def respond(requests: DataFrame, nodes: DataFrame, edges: DataFrame, region: Reg
     found = cut(routes(ends, nodes, edges))
     lines = polylines(found, nodes)
     done = marked.select("request_id", F.col("status").alias("early"), F.col("error").alias("early_error")).join(ends, "request_id", "left").join(lines, "request_id", "left")
-    status = F.coalesce("early", F.when(F.col("source").isNull(), 503).when(F.col("distance").isNull(), 404).otherwise(200))
-    error = F.coalesce("early_error", F.when(F.col("source").isNull(), F.lit("Nothing is near")).when(F.col("distance").isNull(), no_route_text(F.col("source"), F.col("target"))))
-    return done.select("request_id", status.alias("status"), error.alias("error"), "path", F.col("distance").alias("distance_meters"), travel_seconds(F.col("distance")).alias("estimated_time_secs"))
+    broken = F.col("distance").isNotNull() & ~F.col("whole")
+    status = F.coalesce("early", F.when(F.col("source").isNull(), 503).when(F.col("distance").isNull(), 404).when(broken, 500).otherwise(200))
+    error = F.coalesce("early_error", F.when(F.col("source").isNull(), F.lit("Nothing is near")).when(F.col("distance").isNull(), no_route_text(F.col("source"), F.col("target"))).when(broken, F.lit("The route leads over a node without a place")))
+    path, distance = F.when(~broken, F.col("path")), F.when(~broken, F.col("distance"))
+    return done.select("request_id", status.alias("status"), error.alias("error"), path.alias("path"), distance.alias("distance_meters"), travel_seconds(distance).alias("estimated_time_secs"))

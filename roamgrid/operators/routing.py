@@ -1,18 +1,28 @@
 """Shortest paths by frontier relaxation: every round relaxes the edges of all nodes that improved, for all sources at once.
 
 Weights are not negative, so a state only ever improves, and the predecessors, which change with strict improvements
-only, never form a cycle. Requests of one source share its search. Lineage is cut every round.
+only, never form a cycle. Requests of one source share its search. A round writes what has improved, no more: what is
+known stays in the parts of the rounds before, which are put together now and then. Lineage is cut every round.
 """
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roamgrid.operators.graph import keys, reduced
-from roamgrid.plans.lineage import cut
+from roamgrid.plans.lineage import cut, written
+
+#: Rounds after which the parts are put together.
+COMPACT = 6
+
 
-STATE = "source long, node long, dist double, prev long, changed boolean"
+def _together(parts: list[DataFrame]) -> DataFrame:
+    """The least distance of each (source, node) and its predecessor; later parts are strictly nearer."""
+    return reduce(DataFrame.unionByName, parts).groupBy("source", "node").agg(F.min_by("prev", "dist").alias("prev"), F.min("dist").alias("dist")).select("source", "node", "dist", "prev")
 
 
 def distances(sources: DataFrame, edges: DataFrame, targets: DataFrame | None = None) -> tuple[DataFrame, int]:
@@ -24,39 +34,53 @@ def distances(sources: DataFrame, edges: DataFrame, targets: DataFrame | None =
     graph = reduced(edges).withColumnRenamed("from_node_id", "node").withColumnRenamed("to_node_id", "next")
     # partitioned by start once: every round moves its frontier to the edges, not the edges
     graph = cut(graph.repartition(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node"))
-    state = cut(sources.select("source").distinct().select("source", F.col("source").alias("node"), F.lit(0.0).alias("dist"), F.lit(None).cast("long").alias("prev"), F.lit(True).alias("changed")))
-    wanted = cut(targets.select("source", "node").distinct()) if targets is not None else None
+    frontier = written(sources.select("source").distinct().select("source", F.col("source").alias("node"), F.lit(0.0).alias("dist"), F.lit(None).cast("long").alias("prev")))
+    parts = [frontier]
+    goals = written(targets.select("source", "node").distinct().withColumn("best", F.lit(None).cast("double"))) if targets is not None else None
     rounds = 0
     while True:
-        frontier = state.where("changed").select("source", "node", "dist")
-        if wanted is not None:
-            reached = wanted.join(state.select("source", "node", "dist"), ["source", "node"], "left")
-            bound = reached.groupBy("source").agg(F.when(F.count_if(F.col("dist").isNull()) == 0, F.max("dist")).alias("bound"))
-            frontier = frontier.join(bound, "source").where("bound is null or dist < bound").drop("bound")
+        moving = frontier.select("source", "node", "dist")
+        if goals is not None:
+            goals = written(goals.join(moving, ["source", "node"], "left").select("source", "node", F.coalesce("dist", "best").alias("best")))
+            bound = goals.groupBy("source").agg(F.when(F.count_if(F.col("best").isNull()) == 0, F.max("best")).alias("bound"))
+            moving = moving.join(bound, "source").where("bound is null or dist < bound").drop("bound")
         step = F.col("dist") + F.col("weight")
-        offers = frontier.join(graph, "node").select("source", F.col("next").alias("node"), step.alias("nd"), F.col("node").alias("via")).where("nd < 1.7976931348623157e308")
+        offers = moving.join(graph, "node").select("source", F.col("next").alias("node"), step.alias("nd"), F.col("node").alias("via")).where("nd < 1.7976931348623157e308")
         offers = offers.groupBy("source", "node").agg(F.min(F.struct("nd", "via")).alias("offer")).select("source", "node", "offer.nd", "offer.via")
-        better = F.col("nd").isNotNull() & (F.col("dist").isNull() | (F.col("nd") < F.col("dist")))
-        merged = state.drop("changed").join(offers, ["source", "node"], "full").withColumn("better", better)
-        state = cut(merged.select("source", "node", F.when(F.col("better"), F.col("nd")).otherwise(F.col("dist")).alias("dist"), F.when(F.col("better"), F.col("via")).otherwise(F.col("prev")).alias("prev"), F.col("better").alias("changed")))
+        # an offer and what is known of the same node meet; primitive buffers only, so that hashing aggregates them
+        none = lambda kind: F.lit(None).cast(kind)
+        known = reduce(DataFrame.unionByName, parts).select("source", "node", "dist", none("double").alias("nd"), none("long").alias("via"))
+        met = known.unionByName(offers.withColumn("dist", none("double"))).groupBy("source", "node").agg(F.min("dist").alias("old"), F.min("nd").alias("dist"), F.min("via").alias("prev"))
+        frontier = written(met.where("dist is not null and (old is null or dist < old)").select("source", "node", "dist", "prev"))
         rounds += 1
-        if state.where("changed").isEmpty():
-            return state.drop("changed"), rounds
+        if frontier.isEmpty():
+            return written(_together(parts)), rounds
+        parts.append(frontier)
+        if len(parts) > COMPACT:
+            parts = [written(_together(parts))]
 
 
 def paths(ends: DataFrame, state: DataFrame, rounds: int) -> DataFrame:
     """(source, target, node_ids): the way back from each of ends(source, target) that was reached, by a recursive query."""
-    spark = ends.sparkSession
-    spark.conf.set("spark.sql.cteRecursionLevelLimit", max(100, rounds + 2))
-    spark.conf.set("spark.sql.cteRecursionRowLimit", -1)
-    ends.select("source", "target").distinct().createOrReplaceTempView("roamgrid_ends")
-    state.createOrReplaceTempView("roamgrid_state")
-    walk = spark.sql("""
-        WITH RECURSIVE walk(source, target, node, prev, back) AS (
-            SELECT e.source, e.target, s.node, s.prev, 0 FROM roamgrid_ends e JOIN roamgrid_state s ON s.source = e.source AND s.node = e.target
-            UNION ALL
-            SELECT w.source, w.target, s.node, s.prev, w.back + 1 FROM walk w JOIN roamgrid_state s ON s.source = w.source AND s.node = w.prev
-        ) SELECT source, target, back, node FROM walk""")
+    spark, name = ends.sparkSession, f"roamgrid_{uuid.uuid4().hex}"
+    ends.select("source", "target").distinct().createOrReplaceTempView(f"{name}_ends")
+    state.createOrReplaceTempView(f"{name}_state")
+    limits = {"spark.sql.cteRecursionLevelLimit": str(max(100, rounds + 2)), "spark.sql.cteRecursionRowLimit": "-1"}
+    before = {k: spark.conf.get(k, None) for k in limits}
+    try:
+        for key, value in limits.items():
+            spark.conf.set(key, value)
+        walk = cut(spark.sql(f"""
+            WITH RECURSIVE walk(source, target, node, prev, back) AS (
+                SELECT e.source, e.target, s.node, s.prev, 0 FROM {name}_ends e JOIN {name}_state s ON s.source = e.source AND s.node = e.target
+                UNION ALL
+                SELECT w.source, w.target, s.node, s.prev, w.back + 1 FROM walk w JOIN {name}_state s ON s.source = w.source AND s.node = w.prev
+            ) SELECT source, target, back, node FROM walk"""))
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+        for view in ("ends", "state"):
+            spark.catalog.dropTempView(f"{name}_{view}")
     steps = F.sort_array(F.collect_list(F.struct("back", "node")), asc=False)
     return walk.groupBy("source", "target").agg(F.transform(steps, lambda x: x["node"]).alias("node_ids"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roamgrid.functions.geo import degree_distance
@@ -16,13 +16,32 @@ def nearest(nodes: DataFrame, lat: float, lng: float) -> DataFrame:
     return nodes.withColumn("d2", d2).orderBy("d2", "id").limit(1)
 
 
-def cell_side(nodes: DataFrame, held: float = 3.0) -> float | None:
-    """The side of a cell that holds about ``held`` nodes, were they spread evenly; None without nodes."""
+#: Of a grid's cells none holds more nodes, unless they stand in one point.
+MOST_IN_CELL = 256
+
+
+def _number(c: str) -> Column:
+    return F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < 1e6)
+
+
+def cell_side(nodes: DataFrame, held: float = 3.0, most: int = MOST_IN_CELL) -> float | None:
+    """The side of a cell that holds about ``held`` nodes, were they spread evenly, and less where some are dense; None without nodes.
+
+    The side is halved until the fullest cell holds at most ``most`` (or halving doesn't help), so that no cell's nodes
+    and clicks make an unbounded product; clicks where nodes are sparse find theirs in later rounds.
+    """
+    nodes = nodes.where(_number("lat") & _number("lng"))
     box = nodes.agg(F.count("*").alias("n"), *(f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("lat", "lng"))).first()
     if not box["n"]:
         return None
     area = (box["max_lat"] - box["min_lat"]) * (box["max_lng"] - box["min_lng"])
-    return max(1e-6, (area * held / box["n"]) ** 0.5)
+    side, before = max(1e-6, (area * held / box["n"]) ** 0.5), None
+    while side > 1e-6:
+        fullest = nodes.groupBy(F.floor(F.col("lat") / side).alias("x"), F.floor(F.col("lng") / side).alias("y")).count().agg(F.max("count")).first()[0]
+        if fullest <= most or (before is not None and fullest > 0.9 * before and fullest < 4 * most):
+            break
+        side, before = side / 2, fullest
+    return side
 
 
 def snap(clicks: DataFrame, nodes: DataFrame, cell: float | None = None, growth: float = 2.0) -> DataFrame:
@@ -33,9 +52,8 @@ def snap(clicks: DataFrame, nodes: DataFrame, cell: float | None = None, growth:
     cell. So every click ends with the true nearest node, and clicks are never crossed with all nodes but those that
     are so far away that any grid would.
     """
-    places = nodes.select(F.col("id").alias("node_id"), F.col("lat").alias("n_lat"), F.col("lng").alias("n_lng"))
-    number = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < 1e6)
-    pending = clicks.select("click_id", "lat", "lng").where(number("lat") & number("lng"))
+    places = nodes.where(_number("lat") & _number("lng")).select(F.col("id").alias("node_id"), F.col("lat").alias("n_lat"), F.col("lng").alias("n_lng"))
+    pending = clicks.select("click_id", "lat", "lng").where(_number("lat") & _number("lng"))
     found = None
     cell = cell or cell_side(nodes)
     if cell is None:

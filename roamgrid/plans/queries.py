@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roamgrid.functions.geo import haversine, kilometres, minutes, travel_seconds
 from roamgrid.operators import graph, ingest, quality, response, routing, snap
-from roamgrid.plans.lineage import cut
+from roamgrid.plans.lineage import cut, shared_folder
 from roamgrid.region import REGION, Region
 from roamgrid.sources import driver_tables as source
-from roamgrid.sources import osm_json
+from roamgrid.sources import osm_json, store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -180,14 +182,63 @@ def reduced_edges(spark, d):
     return graph.reduced(_graph(spark, d)[1]).select("from_node_id", "to_node_id", _r3("weight").alias("weight"))
 
 
+def _stored(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The graph written to a store in the shared folder and read again."""
+    root = f"{shared_folder(spark)}/graph-{uuid.uuid4().hex}"
+    nodes, edges = _graph(spark, d)
+    store.write_graph(nodes, edges.withColumn("id", F.monotonically_increasing_id()), root)
+    return store.read_graph(spark, root)
+
+
 @query
 def node_by_osm_id(spark, d):
-    return _kept(spark, d).where("osm_id = 42").select("osm_id", F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"))
+    return store.node_by_osm_id(_stored(spark, d)[0], 42).select("osm_id", F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"))
 
 
 @query
 def edges_from_node(spark, d):
-    return _edges(spark, d).where("from_osm_id = 42").select("from_osm_id", "to_osm_id", _r3("weight").alias("weight"), "osm_way_id")
+    return store.edges_from(_stored(spark, d)[1], 42).select(F.col("from_node_id").alias("from_osm_id"), F.col("to_node_id").alias("to_osm_id"), _r3("weight").alias("weight"), "osm_way_id")
+
+
+@query
+def stored_graph(spark, d):
+    """Rows of both stored tables, and sums over their columns."""
+    nodes, edges = _stored(spark, d)
+    n = nodes.agg(F.count("*").alias("n"), F.sum("osm_id").alias("ids"), _r3(F.sum(F.round("lat", 6))).alias("total")).withColumn("name", F.lit("nodes"))
+    e = edges.agg(F.count("*").alias("n"), F.sum(F.col("from_node_id") + F.col("to_node_id")).alias("ids"), F.round(F.sum(F.round("weight", 2)), 1).alias("total")).withColumn("name", F.lit("edges"))
+    return n.unionByName(e)
+
+
+@query
+def node_pages(spark, d):
+    """The third page of ten nodes."""
+    return store.page(_stored(spark, d)[0], 2, 10).select("id", F.round("lat", 6).alias("lat"))
+
+
+@query
+def import_gate(spark, d):
+    """An import into an empty store, into a full one, a forced one that replaces it, and one that fails: is it written, and how many nodes are there then."""
+    root = f"{shared_folder(spark)}/graph-{uuid.uuid4().hex}"
+    nodes, edges = _graph(spark, d)
+    edges = edges.withColumn("id", F.monotonically_increasing_id())
+    less = store.without_node(nodes, edges, 1)
+
+    def broken():
+        raise OSError("no source")
+
+    steps = []
+    for number, (build, force) in enumerate([(lambda: (nodes, edges), False), (broken, False), (lambda: less, True), (broken, True)], 1):
+        try:
+            written = store.import_graph(spark, root, build, force)
+        except OSError:
+            written = False
+        steps.append(store.read_graph(spark, root)[0].agg(F.lit(number).alias("step"), F.lit(written).alias("written"), F.count("*").alias("n_nodes"), F.count_if(F.col("id") == 1).alias("n_first")))
+    return reduce(DataFrame.unionByName, steps)
+
+
+@query
+def form_body(spark, d):
+    return spark.range(1).select(osm_json.form_body(REGION.box_text()).alias("body"))
 
 
 @query
@@ -291,6 +342,48 @@ def route_unreachable(spark, d):
     return _routes(spark, d, n.select(F.col("n").alias("request_id"), F.lit(1).cast("long").alias("source"), F.col("n").alias("target")))
 
 
+@query
+def route_many_sources(spark, d):
+    """From every twentieth part, each a source of its own, to a part some way off."""
+    part = source.table(spark, d, "part").where("p_partkey % 20 = 1").select(F.col("p_partkey").alias("request_id"), F.col("p_partkey").alias("source"), (F.col("p_partkey") + 7).alias("target"))
+    nodes, edges = _graph(spark, d)
+    found = routing.routes(part, nodes, edges)
+    return part.join(found, "request_id", "left").select("request_id", F.coalesce(F.size("node_ids"), F.lit(0)).cast("long").alias("n_points"), _r3(F.coalesce("distance", F.lit(-1.0))).alias("distance"))
+
+
+def _chain(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Requests over chains of ten parts whose sixth is no node: to the fifth, over the hole to the ninth, without an end, and to outside."""
+    k = F.col("p_partkey")
+    part = source.table(spark, d, "part").select(k.alias("id"), k.alias("osm_id"), source.latitude(k).alias("lat"), source.longitude(k).alias("lng"))
+    edges = part.where("id % 10 != 9").select(F.col("id").alias("from_node_id"), (F.col("id") + 1).alias("to_node_id"), F.lit(1.0).alias("weight"), F.lit(None).cast("long").alias("osm_way_id"))
+    start = F.col("id") - F.col("id") % 10
+    r = part.where("id > 9 and id % 10 in (2, 3, 4, 8)").select(F.col("id").alias("request_id"), source.latitude(start).alias("start_lat"), source.longitude(start).alias("start_lng"), F.when(F.col("id") % 10 != 2, F.col("lat") + F.when(F.col("id") % 10 == 3, 1).otherwise(0)).alias("end_lat"), F.col("lng").alias("end_lng"))
+    return r, part.where("id % 10 != 5"), edges
+
+
+def _statuses(answers: DataFrame) -> DataFrame:
+    return answers.select("request_id", "status", F.coalesce("distance_meters", F.lit(-1.0)).alias("distance"), F.size(F.coalesce("path", F.array())).cast("long").alias("n_points"))
+
+
+@query
+def respond_broken_graph(spark, d):
+    return _statuses(response.respond(*_chain(spark, d)))
+
+
+@query
+def respond_nothing_near(spark, d):
+    """Nodes without places."""
+    requests, nodes, edges = _chain(spark, d)
+    none = F.lit(None).cast("double")
+    return _statuses(response.respond(requests, nodes.withColumns({"lat": none, "lng": none}), edges))
+
+
+@query
+def respond_empty_graph(spark, d):
+    requests, nodes, edges = _chain(spark, d)
+    return _statuses(response.respond(requests, nodes.limit(0), edges.limit(0)))
+
+
 def _responses(spark: SparkSession, d: str) -> DataFrame:
     return response.respond(source.requests(spark, d), *_graph(spark, d))
 

@@ -28,9 +28,12 @@ def current_version(spark: SparkSession, root: str) -> str | None:
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, root: str) -> str:
-    """Nodes, then edges hash-partitioned and sorted by their start, then the marker."""
+    """Nodes range-partitioned and sorted by osm_id, edges hash-partitioned and sorted by their start, then the marker.
+
+    So a lookup reads the few row groups whose statistics hold its key.
+    """
     spark, version = nodes.sparkSession, uuid.uuid4().hex
-    nodes.select(NODES.names).write.parquet(f"{root}/{version}/nodes")
+    nodes.select(NODES.names).repartitionByRange("osm_id").sortWithinPartitions("osm_id").write.parquet(f"{root}/{version}/nodes")
     edges.select(EDGES.names).repartition("from_node_id").sortWithinPartitions("from_node_id").write.parquet(f"{root}/{version}/edges")
     spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("written")).write.mode("append").parquet(f"{root}/_versions")
     return version
@@ -58,3 +61,17 @@ def node_by_osm_id(nodes: DataFrame, osm_id: int) -> DataFrame:
 
 def edges_from(edges: DataFrame, node_id: int) -> DataFrame:
     return edges.where(F.col("from_node_id") == node_id)
+
+
+def node_exists(nodes: DataFrame, node_id: int) -> bool:
+    return not nodes.where(F.col("id") == node_id).isEmpty()
+
+
+def page(rows: DataFrame, number: int, size: int, *order: str) -> DataFrame:
+    """A page of rows in the given order (by id without one), the first being 0."""
+    return rows.orderBy(*(order or ("id",))).offset(number * size).limit(size)
+
+
+def without_node(nodes: DataFrame, edges: DataFrame, node_id: int) -> tuple[DataFrame, DataFrame]:
+    """The graph without a node and the edges that begin or end there, to be written as a new version."""
+    return nodes.where(F.col("id") != node_id), edges.where((F.col("from_node_id") != node_id) & (F.col("to_node_id") != node_id))

@@ -92,6 +92,23 @@ def test_an_empty_graph_comes_first(spark):
     assert {r["status"] for r in response.respond(spark.createDataFrame(REQUESTS, REQUEST), nodes, edges).collect()} == {503}
 
 
+def test_a_route_over_a_missing_node_is_an_error(spark):
+    nodes, edges = make(spark, [1, 3], [(1, 7, 5), (7, 3, 5)])
+    (r,) = response.respond(spark.createDataFrame([(1, 16.971, 81.77, 16.973, 81.77)], REQUEST), nodes, edges).collect()
+    assert (r["status"], r["path"], r["distance_meters"]) == (500, None, None) and r["error"]
+
+
+def test_snap_splits_dense_cells(spark):
+    places = [(i, 16.98 + (i * 7919 % 1009) * 1e-7, 81.77 + (i * 104729 % 1013) * 1e-7) for i in range(1500)] + [(5000, 10.0, 70.0), (5001, 30.0, 90.0)]
+    nodes = spark.createDataFrame(places, "id long, lat double, lng double")
+    assert snap.cell_side(nodes) < 1e-3
+    clicks = [(1, 16.98003, 81.77004), (2, 11.0, 71.0)]
+    found = {r["click_id"]: r["node_id"] for r in snap.snap(spark.createDataFrame(clicks, "click_id long, lat double, lng double"), nodes).collect()}
+    assert found == {c: min(places, key=lambda p: ((p[1] - a) ** 2 + (p[2] - b) ** 2, p[0]))[0] for c, a, b in clicks}
+    one_point = spark.createDataFrame([(i, 16.98, 81.77) for i in range(1000)], "id long, lat double, lng double")
+    assert snap.cell_side(one_point) > 0
+
+
 def test_travel_time(spark):
     from roamgrid.functions.geo import travel_seconds
 
@@ -146,5 +163,22 @@ def test_relational_store(spark, tmp_path):
     back = jdbc.read_graph(spark, url, partitions=3)
     assert [f.rdd.getNumPartitions() for f in back] == [3, 3]
     assert [sorted(map(tuple, f.collect())) for f in back] == [sorted(map(tuple, f.collect())) for f in (nodes, edges)]
+    broken = edges.select("id", "from_node_id", "to_node_id", F.expr("raise_error('lost')").cast("double").alias("weight"), "osm_way_id")
+    with pytest.raises(Exception, match="lost"):
+        jdbc.write_graph(nodes, broken, url)
+    assert [f.count() for f in jdbc.read_graph(spark, url)] == [29, 28]  # the version before
     jdbc.write_graph(nodes.limit(0), edges.limit(0), url)
     assert [f.count() for f in jdbc.read_graph(spark, url)] == [0, 0]
+    assert jdbc.current_version(spark, f"jdbc:derby:{tmp_path}/other;create=true") is None
+
+
+def test_lookups_reach_the_scan(spark, tmp_path):
+    nodes, edges = make(spark, [1, 2, 3], [(1, 2, 5), (2, 3, 5)])
+    store.write_graph(nodes, edges, str(tmp_path / "g"))
+    nodes, edges = store.read_graph(spark, str(tmp_path / "g"))
+    for frame, key in ((store.node_by_osm_id(nodes, 2), "osm_id"), (store.edges_from(edges, 2), "from_node_id")):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert f"EqualTo({key},2)" in plan and frame.count() == 1
+    assert store.node_exists(nodes, 3) and not store.node_exists(nodes, 9)
+    assert [r["id"] for r in store.page(nodes, 1, 2).collect()] == [3]
+    assert [f.count() for f in store.without_node(nodes, edges, 3)] == [2, 1]
