@@ -218,6 +218,7 @@ def cuts(classes: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(class, cut, gone): the places of the lines to delete and a flag for each place up to the last, for classes(class, doc, lines, words, places) that lose any."""
     # a class counts a line once; what no other has goes no further
     frequency = classes.select(F.explode(F.array_distinct("lines")).alias("line")).groupBy("line").agg(F.count("*").alias("number")).where("number > 1")
+    frequency = store(frequency, "frequency")  # apart from the joins, as below: skewed partitions can be split then
     each = classes.select("class", F.posexplode(F.arrays_zip("places", "lines", "words")).alias("at", "x"))
     each = each.select("class", "at", F.col("x.places").alias("place"), F.col("x.lines").alias("line"), F.col("x.words").alias("words"))
     shared = each.join(frequency, "line").groupBy("class").agg(F.collect_list(F.struct("at", "place", "line", "words", F.col("number").cast("long").alias("number"))).alias("found"))
@@ -225,8 +226,9 @@ def cuts(classes: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     rare = passages.join(classes.select("class", "doc"), "class").select("class", "doc", F.explode(F.arrays_zip("rare", "stretch")).alias("x")).select("class", "doc", "x.rare", "x.stretch")
     rare = store(rare, "rare")
     owners = rare.groupBy("rare", "stretch").agg(F.min(F.struct("doc", "class"))["class"].alias("owner"), F.count("*").alias("holders")).where("holders > 1").drop("holders")
+    owners = store(owners, "owners")
     pairs = rare.join(owners, ["rare", "stretch"]).where(F.col("class") != F.col("owner")).select("class", "owner").distinct()
-    pairs = checkpoint(pairs)  # apart from the joins, whose skewed partitions can be split then
+    pairs = checkpoint(pairs)
     owned = passages.select(F.col("class").alias("owner"), F.struct("at", "lines", "words").alias("theirs"))
     both = pairs.join(owned, "owner").join(passages.select("class", F.struct("at", "lines", "words").alias("ours"), "places"), "class").select("class", "ours", "theirs", "places")
 
