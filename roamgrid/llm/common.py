@@ -46,11 +46,11 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
+def store(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write a table in the shared folder and read it again: as ``checkpoint``, but in columns, for rows with texts."""
     spark = df.sparkSession
     path = f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.parquet(path)
 
 

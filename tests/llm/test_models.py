@@ -72,12 +72,12 @@ def made_up(seed, number):
         pool = ["the", "cat", "sat", "down", "here"] if i % 2 else ["le", "chat", "assis", "ici", "bas"]
         words = []
         while len(words) < 30:
-            words += [pool[0], rng.choice(pool[1:]), *(["then", "again", "now"] if rng.random() < 0.4 else []), *([f"rare{rng.randint(0, 200)}"] if rng.random() < 0.3 else [])]
+            words += [pool[0], rng.choice(pool[1:]), *(["then", "again", "now"] if rng.random() < 0.4 else []), *rng.choice([["x", "a", "b", "p"], ["y", "a", "b", "q"], ["c", "b", "z"]]), *([f"rare{rng.randint(0, 200)}"] if rng.random() < 0.3 else [])]
         rows.append((i, " ".join(words)))
     return rows + [(number + i, t) for i, t in rows[:: number // 5]] + [(2 * number, None), (2 * number + 1, "alone")]
 
 
-def naive_scores(rows, head):
+def naive_scores(rows, head, longest):
     """The tree in dictionaries, context by context: the longest retained one scores. ``head``: words whose unigram share is always used."""
     counts = collections.Counter(w for i, t in rows if bucket(i, 10) for w in tokens(t))
     size = sum(counts.values()) + 0.1 * (len(counts) + 1)
@@ -90,7 +90,7 @@ def naive_scores(rows, head):
         if bucket(i, 10):
             own = tokens(t)
             for at, w in enumerate(own):
-                for depth in range(1, min(at, suffix_lm.DEPTH) + 1):
+                for depth in range(1, min(at, longest) + 1):
                     following[tuple(own[at - depth : at])][w] += 1
     kept = {}
 
@@ -128,7 +128,7 @@ def naive_scores(rows, head):
     for i, t in rows:
         own, total = tokens(t), 0.0
         for at, w in enumerate(own):
-            context = tuple(own[max(0, at - suffix_lm.DEPTH) : at])
+            context = tuple(own[max(0, at - longest) : at])
             while context and node(context) is None:
                 context = context[1:]
             p, seen = probability(context, w)
@@ -137,17 +137,17 @@ def naive_scores(rows, head):
     return found, kept
 
 
-@pytest.mark.parametrize(("size", "places"), [(65_000, 2_000_000), (65_000, 300), (4, 300)])
-def test_scores_equal_a_naive_tree(spark, monkeypatch, size, places):
+@pytest.mark.parametrize(("size", "places", "depth"), [(65_000, 2_000_000, 2), (65_000, 300, 3), (4, 300, 2)])
+def test_scores_equal_a_naive_tree(spark, monkeypatch, size, places, depth):
     """Also with frequent words split over buckets, and with nearly all words outside the head."""
     monkeypatch.setattr(suffix_lm, "head_words", lambda counts, real=suffix_lm.head_words: real(counts, size))
     rows = made_up(3, 150)
     docs = documents(spark, rows)
-    found = {r["doc_id"]: r["score"] for r in suffix_lm.score(docs, bucket_places=places).collect()}
+    found = {r["doc_id"]: r["score"] for r in suffix_lm.score(docs, bucket_places=places, depth=depth).collect()}
     train = [(i, t) for i, t in rows if bucket(i, 10)]
     head = set(suffix_lm.head_words(suffix_lm.word_counts(documents(spark, train))).ids)
-    expected, kept = naive_scores(rows, head)
-    assert {len(c) for c, node in kept.items() if node} == {1, 2, 3} and (size > 4 or len(head) < 10)
+    expected, kept = naive_scores(rows, head, depth)
+    assert {len(c) for c, node in kept.items() if node} == {1, 2, 3}.difference({3} if depth < 3 else ()) and (size > 4 or len(head) < 10)
     for i, score in expected:
         assert found[i] == pytest.approx(score, rel=1e-6)
 
@@ -159,7 +159,7 @@ def test_probabilities_of_a_context_sum_to_one(spark):
     words = suffix_lm.Words(counts.most_common(), sum(counts.values()), len(counts))
     texts = [np.array([words.ids[w] for w in tokens(t)], "<u4") for _, t in rows]
     ids, sizes = np.concatenate(texts), np.array([len(x) for x in texts])
-    before = suffix_lm._places(ids, sizes)
+    before = suffix_lm._places(ids, sizes, 3)
     everything = np.arange(len(counts), dtype="<u4")
     asked = [np.array([words.ids[w] for w in c], "<u4") for c in ((b"then",), (b"again", b"then"), (b"then", b"cat", b"the"), (b"chat", b"le"))]
     contexts = [np.concatenate([b, *(np.full(len(everything), c[k] if k < len(c) else suffix_lm.NONE, "<u4") for c in asked)]) for k, b in enumerate(before)]
