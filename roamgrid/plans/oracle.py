@@ -144,9 +144,9 @@ ORACLE = {
     "route_unknown_node": _routes("SELECT s_suppkey AS request_id, 1::BIGINT AS src, 1000000 + s_suppkey AS tgt FROM supplier UNION ALL SELECT -s_suppkey, 1000000 + s_suppkey, 1000000 + s_suppkey FROM supplier", _KNOWN),
     "route_unreachable": _routes("SELECT 2000000 + n_nationkey::BIGINT AS request_id, 1::BIGINT AS src, 2000000 + n_nationkey::BIGINT AS tgt FROM nation", _KNOWN),
     "route_many_sources": _with("SELECT src AS request_id, coalesce((hops + 1)::BIGINT, 0) AS n_points, coalesce(round(d, 3), -1e0) AS distance FROM (SELECT p_partkey AS src FROM part WHERE p_partkey % 20 = 1) LEFT JOIN sp USING (src) WHERE sp.id = src + 7 UNION ALL SELECT p_partkey, 0, -1e0 FROM part WHERE p_partkey % 20 = 1 AND p_partkey NOT IN (SELECT src FROM sp WHERE id = src + 7)", "ed", search=_search("ed", "SELECT osm_id AS src FROM gnode WHERE osm_id % 20 = 1 AND osm_id <= (SELECT max(p_partkey) FROM part) AND osm_id + 7 IN (SELECT osm_id FROM gnode)")),
-    "respond_broken_graph": "SELECT p_partkey AS request_id, CASE p_partkey % 10 WHEN 4 THEN 200 WHEN 3 THEN 400 ELSE 500 END AS status, CASE p_partkey % 10 WHEN 4 THEN 4e0 ELSE -1e0 END AS distance, CASE p_partkey % 10 WHEN 4 THEN 5 ELSE 0 END AS n_points FROM part WHERE p_partkey > 9 AND p_partkey % 10 IN (2, 3, 4, 8)",
-    "respond_nothing_near": "SELECT p_partkey AS request_id, CASE p_partkey % 10 WHEN 2 THEN 500 WHEN 3 THEN 400 ELSE 503 END AS status, -1e0 AS distance, 0 AS n_points FROM part WHERE p_partkey > 9 AND p_partkey % 10 IN (2, 3, 4, 8)",
-    "respond_empty_graph": "SELECT p_partkey AS request_id, 503 AS status, -1e0 AS distance, 0 AS n_points FROM part WHERE p_partkey > 9 AND p_partkey % 10 IN (2, 3, 4, 8)",
+    "respond_broken_graph": "SELECT p_partkey AS request_id, CASE p_partkey % 10 WHEN 4 THEN 200 WHEN 3 THEN 400 ELSE 500 END AS status, CASE p_partkey % 10 WHEN 4 THEN 4e0 ELSE -1e0 END AS distance, (CASE p_partkey % 10 WHEN 4 THEN 5 ELSE 0 END)::BIGINT AS n_points FROM part WHERE p_partkey > 9 AND p_partkey % 10 IN (2, 3, 4, 8)",
+    "respond_nothing_near": "SELECT p_partkey AS request_id, CASE p_partkey % 10 WHEN 2 THEN 500 WHEN 3 THEN 400 ELSE 503 END AS status, -1e0 AS distance, 0::BIGINT AS n_points FROM part WHERE p_partkey > 9 AND p_partkey % 10 IN (2, 3, 4, 8)",
+    "respond_empty_graph": "SELECT p_partkey AS request_id, 503 AS status, -1e0 AS distance, 0::BIGINT AS n_points FROM part WHERE p_partkey > 9 AND p_partkey % 10 IN (2, 3, 4, 8)",
     "route_batch": _with(f"SELECT request_id, {_STATUS} AS status, coalesce(round(d, 3), -1e0) AS distance_meters, coalesce(round(d / (30000e0 / 3600e0))::BIGINT, -1) AS estimated_time_secs, coalesce((hops + 1)::BIGINT, -1) AS n_points FROM {_BATCH}", "ed", "ends", search=_search("ed", _DEPOTS)),
     "polyline": _with("SELECT request_id, line FROM ends JOIN (SELECT src, tgt, string_agg(printf('%.5f %.5f', lat, lng), ',' ORDER BY back DESC) AS line FROM walk JOIN gnode ON osm_id = node GROUP BY src, tgt) p ON p.src = ends.src AND p.tgt = ends.tgt WHERE start_in AND end_in", "ed", "ends", search=_search("ed", _DEPOTS) + _WALK.format(ends="SELECT DISTINCT src, tgt FROM ends WHERE start_in AND end_in")),
     "route_errors": _with(f"SELECT request_id, {_STATUS} AS status, {_ERROR} AS error FROM {_BATCH} WHERE {_STATUS} <> 200", "ed", "ends", search=_search("ed", _DEPOTS)),
