@@ -142,6 +142,20 @@ class Model:
         return self.pool(*map(np.concatenate, zip(*found, strict=True)), passages(texts))[0].astype(np.float64)
 
 
+def gradient(model: Model, x: np.ndarray, count: np.ndarray, label: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the mean log loss by every weight."""
+    w = model.weights
+    p, bag, share, hidden, tanh, gate = model.bags(x, count)
+    wrong = ((p - label) / len(count)).astype(x.dtype)
+    d_bag = np.repeat(wrong[:, None] * w["out"], count, axis=0)
+    d_share = (d_bag * hidden).sum(axis=1)
+    d_energy = share * (d_share - np.repeat(np.add.reduceat(share * d_share, np.cumsum(count) - count), count))
+    d_tanh = d_energy[:, None] * w["attend"] * gate * (1 - tanh**2)
+    d_gate = d_energy[:, None] * w["attend"] * tanh * gate * (1 - gate)
+    d_hidden = (share[:, None] * d_bag + d_tanh @ w["tanh"].T + d_gate @ w["gate"].T) * (1 - hidden**2)
+    return {"out": bag.T @ wrong, "out_0": wrong.sum(keepdims=True), "attend": (tanh * gate).T @ d_energy, "tanh": hidden.T @ d_tanh, "gate": hidden.T @ d_gate, "encode": ((x - model.mean) / model.scale).T @ d_hidden, "encode_0": d_hidden.sum(axis=0)}
+
+
 def fit(x: np.ndarray, count: np.ndarray, label: np.ndarray, rounds: int = 40, batch: int = 128, rate: float = 0.01) -> Model:
     """Gradient descent (Adam) on the mean log loss."""
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-3
@@ -157,16 +171,7 @@ def fit(x: np.ndarray, count: np.ndarray, label: np.ndarray, rounds: int = 40, b
             bags = order[at : at + batch]
             n = count[bags]
             rows = np.repeat(starts[bags], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            own = x[rows]
-            p, bag, share, hidden, tanh, gate = model.bags(own, n)
-            wrong = ((p - label[bags]) / len(bags)).astype(np.float32)
-            d_bag = np.repeat(wrong[:, None] * w["out"], n, axis=0)
-            d_share = (d_bag * hidden).sum(axis=1)
-            d_energy = share * (d_share - np.repeat(np.add.reduceat(share * d_share, np.cumsum(n) - n), n))
-            d_tanh = d_energy[:, None] * w["attend"] * gate * (1 - tanh**2)
-            d_gate = d_energy[:, None] * w["attend"] * tanh * gate * (1 - gate)
-            d_hidden = (share[:, None] * d_bag + d_tanh @ w["tanh"].T + d_gate @ w["gate"].T) * (1 - hidden**2)
-            slope = {"out": bag.T @ wrong, "out_0": wrong.sum(keepdims=True), "attend": (tanh * gate).T @ d_energy, "tanh": hidden.T @ d_tanh, "gate": hidden.T @ d_gate, "encode": ((own - mean) / scale).T @ d_hidden, "encode_0": d_hidden.sum(axis=0)}
+            slope = gradient(model, x[rows], n, label[bags])
             t += 1
             for k, g in slope.items():
                 g = g + 1e-4 * w[k]

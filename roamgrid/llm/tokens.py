@@ -34,7 +34,7 @@ def words_of(text: bytes) -> list[bytes]:
     return (text if any(x in text for x in CASE_MATTERS) else text.lower()).split()
 
 
-def pieces_of(text: bytes, size: int = PIECE_BYTES) -> Iterator[bytes]:
+def pieces_of(text: bytes, size: int) -> Iterator[bytes]:
     """A text in pieces of about ``size`` bytes that end before white space, where there is any."""
     at = 0
     while len(text) - at > size:
@@ -104,7 +104,7 @@ class WordEncoder:
     def texts(self, texts: list[bytes]) -> Iterable[bytes]:
         """The ids of each text."""
         if len(texts) == 1:
-            yield b"".join(x for piece in pieces_of(texts[0]) for x in self._texts([piece]))
+            yield b"".join(x for piece in pieces_of(texts[0], PIECE_BYTES) for x in self._texts([piece]))
         else:
             yield from self._texts(texts)
 

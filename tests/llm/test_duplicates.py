@@ -303,3 +303,19 @@ def test_every_repeated_run_goes(spark):
                 gone += 1
         seen |= {tuple(own[a:b]) for a, b in runs_here}
     assert gone > 100
+
+
+def test_very_long_texts(spark):
+    """Half a million lines; a passage in the middle, and the whole as a copy."""
+    lines = [f"line number {i} of the long text" for i in range(500_000)]
+    passage = "\n".join(lines[250_000:250_020])
+    rows = [(1, "\n".join(lines)), (2, "\n".join(lines)), (3, f"own begin\n{passage}\nown end")]
+    found = {k[0]: r["text"] for k, r in dedup(spark, rows).items()}
+    assert found == {1: rows[0][1], 2: "", 3: "own begin\nown end"}
+
+
+def test_a_line_and_a_passage_of_all_documents(spark):
+    rows = [(i, f"own {i}\nall have this line\n{SHORT if i % 2 else ''}\nend of {i}") for i in range(300)]
+    found = {k[0]: r for k, r in dedup(spark, rows).items()}
+    assert all(("item 3 costs" in found[i]["text"]) == (i == 1) and "all have this line" in found[i]["text"] for i in range(1, 300, 2))
+    assert all(found[i]["__cut"] is None for i in range(0, 300, 2))

@@ -1,4 +1,6 @@
 import re
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -6,6 +8,8 @@ import pytest
 
 from roamgrid.llm import quality_mil, quality_rules, queries
 
+from tests.conftest import ROOT
+
 from .conftest import ROWS
 
 
@@ -44,7 +48,66 @@ def test_encoding_sees_every_passage():
     assert x[1, 0] == 1 and x[2, 1] == 1 and x[3, 1] == 1 and x[4, 2] == 1 and not x[0, :128].any()
 
 
-def test_gradient_is_right():
+def small_model(seed, width):
+    draw = np.random.default_rng(seed)
+    shapes = {"encode": (width, 5), "encode_0": (5,), "tanh": (5, 3), "gate": (5, 3), "attend": (3,), "out": (5,), "out_0": (1,)}
+    return quality_mil.Model(draw.standard_normal(width), 1 + draw.random(width), {k: draw.standard_normal(v) for k, v in shapes.items()})
+
+
+def test_scores_equal_a_naive_forward_pass():
+    model, draw = small_model(1, quality_mil.WIDTH), np.random.default_rng(2)
+    texts = [b"", b"One short text.", bytes(draw.integers(32, 127, 5000, np.uint8)), b"word " * 300, bytes(draw.integers(32, 127, 3 * quality_mil.PIECE // 2, np.uint8))]
+    w = model.weights
+    for text, found in zip(texts, model.score(texts), strict=True):
+        energies, vectors = [], []
+        for at in range(0, max(1, len(text)), quality_mil.PASSAGE):
+            x, _ = quality_mil.encode([text[at : at + quality_mil.PASSAGE]])
+            h = np.tanh(((x[0] - model.mean) / model.scale) @ w["encode"] + w["encode_0"])
+            energies.append(sum(np.tanh(h @ w["tanh"][:, k]) / (1 + np.exp(-(h @ w["gate"][:, k]))) * w["attend"][k] for k in range(3)))
+            vectors.append(h)
+        share = np.exp(np.array(energies)) / np.exp(np.array(energies)).sum()
+        z = sum(a * v for a, v in zip(share, vectors, strict=True)) @ w["out"] + w["out_0"][0]
+        assert found == pytest.approx(1 / (1 + np.exp(-z)), rel=1e-5)
+
+
+def test_gradient_equals_differences():
+    model, draw = small_model(3, 6), np.random.default_rng(4)
+    count = np.array([1, 4, 2, 7])
+    x, label = draw.standard_normal((count.sum(), 6)), np.array([1.0, 0.0, 1.0, 0.0])
+
+    def loss():
+        p = model.bags(x, count)[0]
+        return -np.mean(label * np.log(p) + (1 - label) * np.log(1 - p))
+
+    slope = quality_mil.gradient(model, x, count, label)
+    for name, values in model.weights.items():
+        assert slope[name].shape == values.shape
+        for place in np.ndindex(values.shape):
+            kept = values[place]
+            values[place] = kept + 1e-5
+            up = loss()
+            values[place] = kept - 1e-5
+            assert slope[name][place] == pytest.approx((up - loss()) / 2e-5, abs=1e-7)
+            values[place] = kept
+
+
+def test_memory_for_a_very_long_text():
+    """64 MB of text in a process of its own."""
+    code = """
+import resource
+import numpy as np
+from roamgrid.llm import quality_mil
+model = quality_mil.fit(*quality_mil.encode([b"some text " * 200, b"12 34!"]), np.array([1, 0], np.float32), rounds=1)
+text = b"Some words here and there 12. " * ((64 << 20) // 30)
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+model.score([text])
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=ROOT)
+    assert int(done.stdout) < 200
+
+
+def test_fit_learns_a_toy():
     """The loss falls along the learned direction on a toy where one passage decides."""
     rng = np.random.default_rng(0)
     count = rng.integers(1, 6, 300)

@@ -43,6 +43,28 @@ def test_any_text(tokenizer, words, text):
     assert np.frombuffer(list(words.texts([text.encode()]))[0], "<u4").tolist() == ids_of(tokenizer, text)
 
 
+def test_long_texts_go_piece_by_piece(tokenizer, vocabulary, monkeypatch):
+    from roamgrid.llm import tokens
+
+    monkeypatch.setattr(tokens, "PIECE_BYTES", 50)
+    text = "Some words, <|endoftext|> É a|b \n\n and so on. " * 40 + "x" * 300 + " end"
+    pieces = list(tokens.pieces_of(text.encode(), 50))
+    assert b"".join(pieces) == text.encode() and len(pieces) > 20
+    (ids,) = tokens.WordEncoder(vocabulary).texts([text.encode()])
+    assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_little_of_the_cache_outlives_a_task(vocabulary, monkeypatch):
+    from roamgrid.llm import tokens
+
+    monkeypatch.setattr(tokens, "KEPT_WORDS", 10)
+    words = tokens.WordEncoder(vocabulary)
+    list(words.texts([b" ".join(b"w%d" % i for i in range(500))] * 2))
+    assert len(words.young) > 400
+    words.forget()
+    assert len(words.young) == 10 and not words.old
+
+
 def test_cache_generations(tokenizer, vocabulary, monkeypatch):
     import roamgrid.llm.tokens as module
 
