@@ -2,8 +2,8 @@
 
 The trees are grown here (histograms, second-order logistic loss) with monotonic constraints: more symbols, more
 duplicate lines, more repeated windows or more capitals never raise a score. They are flattened into numpy node arrays
-and all rows of a batch walk all trees at once. They are fitted on at most ``TRAIN_DOCS`` labelled rows (least hashed
-doc_id, and crc32(doc_id) mod 5 not 0, so that a fifth stays for measuring); statistics cover every row and whole texts.
+and all rows of a batch walk all trees at once. They are fitted on at most ``TRAIN_DOCS`` labelled rows of at most 32 KB of
+text (``quality_mil.TRAIN_BYTES``; least hashed doc_id, and crc32(doc_id) mod 5 not 0, so that a fifth stays for measuring); statistics cover every row and whole texts.
 
 Rows: null text has no words, so base_failed is true and kept false; repeated rows get equal results; without usable
 labels the base rules alone decide; an empty table gives an empty result; other input columns are not read.
