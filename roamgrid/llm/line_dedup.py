@@ -12,8 +12,8 @@ later one: n - 1 pairs for n documents, so frequent lines need no cap.
 Each pair is aligned with patience diff: lines that occur once in both are anchors, their longest increasing run is kept,
 blocks grow from the anchors over equal neighbours, and the stretches in between are aligned alike. A block is a run of
 aligned lines that stand side by side in both documents (blank lines aside); blocks of at least ``min_words`` words are
-deleted from the later document. Where lines are left that both have (passages in another order), the common stretches
-are looked up as well. Only then are the blocks of all of a document's pairs put together. So exactly those lines go that
+deleted from the later document. Where lines are left that both have (passages in another order, or of repeated lines
+only), the common stretches are looked up as well. Only then are the blocks of all of a document's pairs put together. So exactly those lines go that
 are in a run of at least ``min_words`` words which an earlier document holds as a run.
 
 One copy of every line stays: nothing earlier holds the run of its first document.
@@ -109,19 +109,15 @@ def patience(ours: list[int], theirs: list[int]) -> list[tuple[int, int]]:
         left, right = Counter(ours[a:b]), Counter(theirs[c:d])
         place = {x: i for i, x in enumerate(theirs[c:d], c) if right[x] == 1 and left.get(x) == 1}
         once = [i for i in range(a, b) if ours[i] in place]
-        if once:
-            anchors = [once[k] for k in _rising([place[ours[i]] for i in once])]
-        else:  # no line is alone in both: the first shared one, at its first place in each
-            shared = next((i for i in range(a, b) if ours[i] in right), None)
-            if shared is None:
-                continue
-            anchors, place = [shared], {ours[shared]: theirs.index(ours[shared], c, d)}
+        # where no line is alone in both, nothing is aligned here: trying repeated lines one by one would take quadratic time
+        anchors = [once[k] for k in _rising([place[ours[i]] for i in once])]
         for i in anchors:
             j = place[ours[i]]
             aligned.append((i, j))
             todo.append((a, i, c, j))
             a, c = i + 1, j + 1
-        todo.append((a, b, c, d))
+        if anchors:
+            todo.append((a, b, c, d))
     return sorted(aligned)
 
 
@@ -202,7 +198,7 @@ def common_blocks(ours: tuple[np.ndarray, ...], theirs: tuple[np.ndarray, ...],
                 blocks.append((a, b))
                 covered[a : b + 1] = True
             begin = k
-    if not covered.all() and not {*theirs[1].tolist()}.isdisjoint(ours[1][~covered].tolist()):  # passages in another order
+    if not covered.all() and not {*theirs[1].tolist()}.isdisjoint(ours[1][~covered].tolist()):  # passages in another order or of repeated lines
         mine, known = (_all_stretches(*x, min_words) for x in (ours, theirs))
         hit = np.isin(mine[0], known[0])
         blocks += zip(mine[1][hit].tolist(), mine[2][hit].tolist(), strict=True)

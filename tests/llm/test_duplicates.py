@@ -131,7 +131,7 @@ def test_patience_aligns_equal_lines_in_order(a, b):
     assert all(a[i] == b[j] for i, j in pairs) and [j for _, j in pairs] == sorted({j for _, j in pairs}) and at == sorted(set(at))
     rest = iter(b)
     assert all(a[i] in rest for i in at)  # a common subsequence
-    if sorted(set(a) & set(b) - {0}):
+    if any(a.count(x) == b.count(x) == 1 for x in a):
         assert at
 
 
@@ -314,8 +314,18 @@ def test_very_long_texts(spark):
     assert found == {1: rows[0][1], 2: "", 3: "own begin\nown end"}
 
 
+def test_long_texts_of_repeated_lines(spark):
+    """No line is alone in them, so that nothing but the stretches is common."""
+    rng = random.Random(6)
+    pool = [" ".join(f"p{i}q{k}" for k in range(5)) for i in range(12)]
+    a, b = ([rng.choice(pool) for _ in range(20_000)] for _ in range(2))
+    rows = [(1, "\n".join(a)), (2, "\n".join([*b[:10_000], *a[5_000:5_020], *b[10_000:]]))]
+    found = {k[0]: set(r["__cut"] or ()) for k, r in dedup(spark, rows).items()}
+    assert not found[1] and found[2] >= set(range(10_000, 10_020)) and len(found[2]) < 100
+
+
 def test_a_line_and_a_passage_of_all_documents(spark):
-    rows = [(i, f"own {i}\nall have this line\n{SHORT if i % 2 else ''}\nend of {i}") for i in range(300)]
+    rows = [(i, f"own {i}\nall have this line\nown too {i}\n{SHORT if i % 2 else ''}\nend of {i}") for i in range(300)]
     found = {k[0]: r for k, r in dedup(spark, rows).items()}
     assert all(("item 3 costs" in found[i]["text"]) == (i == 1) and "all have this line" in found[i]["text"] for i in range(1, 300, 2))
     assert all(found[i]["__cut"] is None for i in range(0, 300, 2))
