@@ -218,9 +218,8 @@ def cuts(classes: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     each = classes.select("class", F.posexplode(F.arrays_zip("places", "lines", "words")).alias("at", "x"))
     each = each.select("class", "at", F.col("x.places").alias("place"), F.col("x.lines").alias("line"), F.col("x.words").alias("words"))
     shared = each.join(frequency, "line").groupBy("class").agg(F.collect_list(F.struct("at", "place", "line", "words", F.col("number").cast("long").alias("number"))).alias("found"))
-    passages = store(shared_runs(shared, min_words), "passages")
-    rare = passages.join(classes.select("class", "doc"), "class").select("class", "doc", F.explode(F.arrays_zip("rare", "stretch")).alias("x")).select("class", "doc", "x.rare", "x.stretch")
-    rare = store(rare, "rare")
+    passages = store(shared_runs(shared, min_words).join(classes.select("class", "doc"), "class"), "passages")
+    rare = passages.select("class", "doc", F.explode(F.arrays_zip("rare", "stretch")).alias("x")).select("class", "doc", "x.rare", "x.stretch")
     owners = rare.groupBy("rare", "stretch").agg(F.min(F.struct("doc", "class"))["class"].alias("owner"), F.count("*").alias("holders")).where("holders > 1").drop("holders")
     owners = store(owners, "owners")
     pairs = rare.join(owners, ["rare", "stretch"]).where(F.col("class") != F.col("owner")).select("class", "owner").distinct()

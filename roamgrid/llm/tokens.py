@@ -93,7 +93,7 @@ class WordEncoder:
     def _known(self, words: set[bytes], found: dict[bytes, bytes]) -> set[bytes]:
         """The words still to encode; those of the old generation come back to ``found``."""
         rest = words.difference(found)
-        back = rest.intersection(self.old)
+        back = set(filter(self.old.__contains__, rest))  # intersection() would walk through all of the old ones
         found.update(zip(back, map(self.old.__getitem__, back), strict=True))
         return rest - back
 
