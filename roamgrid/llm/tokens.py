@@ -3,7 +3,7 @@
 The vocabulary's pre-tokenizer drops white space and never joins what stands on both sides of it, so every run of ASCII
 white space is a safe boundary: a text's ids are its words' ids in order. Words repeat (a corpus has far fewer distinct
 words than words), so each worker keeps the ids of words it has met in a bounded cache and encodes only new ones, in
-batches balanced by bytes. Little of the cache outlives a task; long texts are cut at white space and go piece by piece.
+batches balanced by bytes. Only a part of the cache outlives a task; long texts are cut at white space and go piece by piece.
 """
 
 from __future__ import annotations
@@ -16,9 +16,9 @@ from itertools import islice
 import numpy as np
 
 #: Of each of two generations: when the young one is full it becomes the old one, and words met again return to the young.
-#: Words of at most CACHED_BYTES stay, so a generation holds some 70 MB at most.
-CACHE_WORDS = 300_000
-KEPT_WORDS = 50_000
+#: Words of at most CACHED_BYTES stay, so a generation holds some 140 MB at most.
+CACHE_WORDS = 600_000
+KEPT_WORDS = 300_000
 CACHED_BYTES = 48
 BATCH_BYTES = 1 << 18
 PIECE_BYTES = 1 << 19
