@@ -16,6 +16,10 @@ ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 BATCH_ROWS = 1000
 #: Text bytes handled together inside a worker.
 CHUNK_BYTES = 1 << 19
+#: Bytes of one long text whose words are held together.
+PIECE_BYTES = 1 << 18
+#: What ``bytes.split`` separates at.
+_SPACES = (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")
 
 
 def bounded_batches(spark: SparkSession) -> SparkSession:
@@ -77,9 +81,9 @@ def chunks(texts: Iterable[str | bytes | None], limit: int = CHUNK_BYTES, empty:
         yield start, held
 
 
-def binary_text(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) with the text's UTF-8 bytes."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+def binary_text(docs: DataFrame, *more: Column) -> DataFrame:
+    """(doc_id, text) with the text's UTF-8 bytes, and what more is asked for."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), *more)
 
 
 def binary_chunks(batch: pa.RecordBatch, limit: int = CHUNK_BYTES) -> Iterator[tuple[list[int | None], list[bytes]]]:
@@ -88,6 +92,21 @@ def binary_chunks(batch: pa.RecordBatch, limit: int = CHUNK_BYTES) -> Iterator[t
         yield batch.column(0).slice(start, len(texts)).to_pylist(), texts
 
 
+def word_pieces(text: bytes, table: bytes, size: int = PIECE_BYTES) -> Iterator[list[bytes]]:
+    """The words of a text's bytes, mapped through ``table`` (256 bytes) first, by pieces of about ``size``; white space separates."""
+    start = 0
+    while start < len(text):
+        end, reach = start + size, size
+        piece = text[start:end].translate(table)
+        # up to the last space, so that no word is cut; a longer word takes as much again until one comes
+        while end < len(text) and (cut := max(map(piece.rfind, _SPACES))) < 1:
+            piece, end, reach = piece + text[end : end + reach].translate(table), end + reach, 2 * reach
+        if end < len(text):
+            piece, end = piece[:cut], start + cut
+        yield piece.split()
+        start = end
+
+
 def byte_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
     """As ``chunks``, of a string or binary column as UTF-8 bytes."""
     return chunks((x.as_py() for x in column.cast(pa.binary())), limit, b"")
