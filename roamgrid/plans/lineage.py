@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,3 +33,45 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/part-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Tables of one computation, in a database of their own in the shared folder; they go with it."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.name = spark, f"roamgrid_{uuid.uuid4().hex}"
+        self.kept: dict[str, DataFrame] = {}
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        spark.sql(f"CREATE DATABASE {self.name} LOCATION '{shared_folder(spark)}/{self.name}'")
+
+    def keep(self, rows: DataFrame, *keys: str) -> DataFrame:
+        """The rows as a table; with keys in as many buckets as shuffles have partitions, so that joins on them move nothing."""
+        table = f"{self.name}.t_{uuid.uuid4().hex}"
+        writer = rows.write.format("parquet")
+        (writer.bucketBy(self.buckets, *keys).sortBy(*keys) if keys else writer).saveAsTable(table)
+        self.kept[table] = self.spark.table(table)
+        return self.kept[table]
+
+    def keep_counted(self, rows: DataFrame, *keys: str, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+        """As ``keep``, with counts of rows that hold, taken by the job that writes them."""
+        seen = Observation()
+        counted = [F.count_if(c).alias(name) for name, c in counts.items()]
+        return self.keep(rows.observe(seen, F.count(F.lit(1)).alias("rows"), *counted), *keys), seen.get
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Remove tables that were kept, with their files."""
+        for name in [n for n, kept in self.kept.items() if any(kept is t for t in tables)]:
+            self.spark.sql(f"DROP TABLE {name}")
+            del self.kept[name]
+
+    def close(self) -> None:
+        self.spark.sql(f"DROP DATABASE IF EXISTS {self.name} CASCADE")
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Scratch]:
+    tables = Scratch(spark)
+    try:
+        yield tables
+    finally:
+        tables.close()

@@ -40,10 +40,18 @@ _PARTS = {
     "lat1": "SELECT p_partkey AS a, p_partkey + 1 AS b FROM part WHERE p_partkey % 45 <> 0 UNION ALL SELECT p_partkey, p_partkey + 45 FROM part",
     "lat2": "SELECT a, b, (1 + (a * 31 + b * 17) % 7)::DOUBLE AS w FROM lat1 WHERE b IN (SELECT p_partkey FROM part)",
     "grid": "SELECT a AS f, b AS t, w FROM lat2 UNION ALL SELECT b, a, w FROM lat2",
+    "rev": "SELECT t AS f, f AS t, w FROM ed",
+    "street": """SELECT o_orderkey AS o, o_custkey AS cust, o_orderstatus = 'F' AS oneway, 1000000 + min(l_suppkey) AS shop FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL""",
+    "bend": "SELECT l_orderkey AS o, l_linenumber AS pos, 20000000 + l_orderkey * 8 + l_linenumber AS node, 1 + (l_partkey * 31 + l_linenumber * 17) % 7 AS step FROM lineitem UNION ALL SELECT o, 0, cust, 0 FROM street UNION ALL SELECT o, 9, shop, 1 + o % 7 FROM street",
+    "bpair": "SELECT o, lag(node) OVER (PARTITION BY o ORDER BY pos, step) AS a, node AS b, step::DOUBLE AS w FROM bend",
+    "bmap": "SELECT f, t, min(w) AS w FROM (SELECT a AS f, b AS t, w FROM bpair WHERE a IS NOT NULL UNION ALL SELECT b, a, w FROM bpair JOIN street USING (o) WHERE a IS NOT NULL AND NOT oneway) GROUP BY f, t",
+    "blink": "SELECT DISTINCT f AS node, t AS other FROM (SELECT f, t FROM bmap UNION ALL SELECT t, f FROM bmap) WHERE f <> t",
+    "binner": "SELECT node FROM blink GROUP BY node HAVING count(*) = 2",
     "ends": "SELECT request_id, start_in, end_in, start_lat, start_lng, end_lat, end_lng, s.node AS src, e.node AS tgt FROM rin JOIN hit s ON s.lat = start_lat AND s.lng = start_lng JOIN hit e ON e.lat = end_lat AND e.lng = end_lng",
 }
 _NEEDS = {
     "nodeel": ["known"], "way": ["wayel"], "node": ["nodeel"], "ref": ["way"], "gnode": ["node", "ref"], "step": ["way"], "pair": ["step"], "kpair": ["pair", "gnode"], "edge": ["kpair"], "ed": ["edge"],
+    "rev": ["ed"], "bend": ["street"], "bpair": ["bend"], "bmap": ["bpair"], "blink": ["bmap"], "binner": ["blink"],
     "rin": ["req"], "click": ["req"], "hit": ["click", "gnode"], "lat2": ["lat1"], "grid": ["lat2"], "ends": ["rin", "hit"],
 }
 
@@ -143,7 +151,13 @@ ORACLE = {
     "route_same_node": _routes("SELECT p_partkey AS request_id, p_partkey AS src, p_partkey AS tgt FROM part", _KNOWN),
     "route_unknown_node": _routes("SELECT s_suppkey AS request_id, 1::BIGINT AS src, 1000000 + s_suppkey AS tgt FROM supplier UNION ALL SELECT -s_suppkey, 1000000 + s_suppkey, 1000000 + s_suppkey FROM supplier", _KNOWN),
     "route_unreachable": _routes("SELECT 2000000 + n_nationkey::BIGINT AS request_id, 1::BIGINT AS src, 2000000 + n_nationkey::BIGINT AS tgt FROM nation", _KNOWN),
-    "route_many_sources": _with("SELECT src AS request_id, coalesce((hops + 1)::BIGINT, 0) AS n_points, coalesce(round(d, 3), -1e0) AS distance FROM (SELECT p_partkey AS src FROM part WHERE p_partkey % 20 = 1) LEFT JOIN sp USING (src) WHERE sp.id = src + 7 UNION ALL SELECT p_partkey, 0, -1e0 FROM part WHERE p_partkey % 20 = 1 AND p_partkey NOT IN (SELECT src FROM sp WHERE id = src + 7)", "ed", search=_search("ed", "SELECT osm_id AS src FROM gnode WHERE osm_id % 20 = 1 AND osm_id <= (SELECT max(p_partkey) FROM part) AND osm_id + 7 IN (SELECT osm_id FROM gnode)")),
+"route_many_sources": _with("SELECT src AS request_id, coalesce((hops + 1)::BIGINT, 0) AS n_points, coalesce(round(d, 3), -1e0) AS distance FROM (SELECT s_suppkey * 20 - 19 AS src FROM supplier) LEFT JOIN (SELECT * FROM sp WHERE id = src + 7) s USING (src)", "ed", search=_search("ed", "SELECT s_suppkey * 20 - 19 AS src FROM supplier WHERE s_suppkey * 20 - 19 IN (SELECT osm_id FROM gnode) AND s_suppkey * 20 - 12 IN (SELECT osm_id FROM gnode)")),
+    "landmark_table": _with("SELECT id AS node, " + ", ".join(f"coalesce(round(max(d) FILTER (way = '{w}' AND src = {i}), 3), -1e0) AS {w}_{i}" for w in ("out", "into") for i in (1, 2, 3)) + " FROM (SELECT 'into' AS way, src, id, d FROM sp UNION ALL SELECT 'out', src, id, d FROM sr) GROUP BY id", "rev", search=_search("ed", "SELECT unnest([1, 2, 3])::BIGINT AS src") + ", " + _search("rev", "SELECT unnest([1, 2, 3])::BIGINT AS src").replace("sp", "sr")),
+    "route_by_landmarks": _with("SELECT request_id, coalesce((hops + 1)::BIGINT, 0) AS n_points, coalesce(round(d, 3), -1e0) AS distance FROM (SELECT n_nationkey::BIGINT * 3 + k AS request_id, CASE WHEN k > 0 THEN n_nationkey::BIGINT * 7 + 1 ELSE 2000000 + n_nationkey::BIGINT END AS src, CASE k WHEN 0 THEN n_nationkey::BIGINT * 7 + 1 WHEN 1 THEN 2000000 + n_nationkey::BIGINT ELSE n_nationkey::BIGINT * 7 + 4 END AS id FROM nation, (SELECT unnest([0, 1, 2]) AS k)) q LEFT JOIN (SELECT * FROM sp WHERE id IN (SELECT osm_id FROM gnode)) s USING (src, id)", "ed", search=_search("ed", "SELECT osm_id AS src FROM gnode WHERE osm_id IN (SELECT n_nationkey::BIGINT * 7 + 1 FROM nation UNION SELECT 2000000 + n_nationkey::BIGINT FROM nation)")),
+    "collapsed_chains": _with("""SELECT (SELECT count(*) FROM bpair JOIN street USING (o) WHERE a IS NOT NULL) + (SELECT count(*) FROM bpair JOIN street USING (o) WHERE a IS NOT NULL AND NOT oneway) AS n_edges,
+        (SELECT count(DISTINCT node) FROM bend) AS n_nodes, (SELECT count(*) FROM binner) AS n_inner, (SELECT count(DISTINCT node) FROM bend) - (SELECT count(*) FROM binner) AS n_stay,
+        (SELECT count(*) FROM blink WHERE node IN (SELECT node FROM binner) AND other NOT IN (SELECT node FROM binner)) // 2 AS n_chains""", "binner"),
+    "collapsed_distances": _with("SELECT tgt AS request_id, coalesce(d, -1e0) AS distance, coalesce(d, -1e0) AS length FROM (SELECT c_custkey AS tgt FROM customer UNION ALL SELECT 20000000 + (n_nationkey::BIGINT + 1) * 8 + 1 FROM nation) LEFT JOIN sp ON id = tgt", "bmap", search=_search("bmap", _ONE)),
     "respond_broken_graph": "SELECT p_partkey AS request_id, CASE p_partkey % 10 WHEN 4 THEN 200 WHEN 3 THEN 400 ELSE 500 END AS status, CASE p_partkey % 10 WHEN 4 THEN 4e0 ELSE -1e0 END AS distance, (CASE p_partkey % 10 WHEN 4 THEN 5 ELSE 0 END)::BIGINT AS n_points FROM part WHERE p_partkey > 9 AND p_partkey % 10 IN (2, 3, 4, 8)",
     "respond_nothing_near": "SELECT p_partkey AS request_id, CASE p_partkey % 10 WHEN 2 THEN 500 WHEN 3 THEN 400 ELSE 503 END AS status, -1e0 AS distance, 0::BIGINT AS n_points FROM part WHERE p_partkey > 9 AND p_partkey % 10 IN (2, 3, 4, 8)",
     "respond_empty_graph": "SELECT p_partkey AS request_id, 503 AS status, -1e0 AS distance, 0::BIGINT AS n_points FROM part WHERE p_partkey > 9 AND p_partkey % 10 IN (2, 3, 4, 8)",

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roamgrid.functions.geo import haversine, kilometres, minutes, travel_seconds
-from roamgrid.operators import graph, ingest, quality, response, routing, snap
+from roamgrid.operators import contract, graph, ingest, landmarks, quality, response, routing, snap
 from roamgrid.plans.lineage import cut, shared_folder
 from roamgrid.region import REGION, Region
 from roamgrid.sources import driver_tables as source
@@ -342,13 +342,73 @@ def route_unreachable(spark, d):
     return _routes(spark, d, n.select(F.col("n").alias("request_id"), F.lit(1).cast("long").alias("source"), F.col("n").alias("target")))
 
 
+def _sized(asked: DataFrame, found: DataFrame) -> DataFrame:
+    return asked.join(found, "request_id", "left").select("request_id", F.coalesce(F.size("node_ids"), F.lit(0)).cast("long").alias("n_points"), _r3(F.coalesce("distance", F.lit(-1.0))).alias("distance"))
+
+
 @query
 def route_many_sources(spark, d):
-    """From every twentieth part, each a source of its own, to a part some way off."""
-    part = source.table(spark, d, "part").where("p_partkey % 20 = 1").select(F.col("p_partkey").alias("request_id"), F.col("p_partkey").alias("source"), (F.col("p_partkey") + 7).alias("target"))
+    """A request of every supplier, from a part of its own, to a part some way off: searched from both ends."""
+    start = F.col("s_suppkey") * 20 - 19
+    asked = source.table(spark, d, "supplier").select(start.alias("request_id"), start.alias("source"), (start + 7).alias("target"))
+    return _sized(asked, routing.routes(asked, *_graph(spark, d)))
+
+
+@query
+def landmark_table(spark, d):
+    """Distances of every node to and from parts 1, 2 and 3."""
+    places = [F.get(name, i).alias(f"{name}_{i + 1}") for name in ("out", "into") for i in range(3)]
+    rows = landmarks.table(_graph(spark, d)[1], [1, 2, 3]).select("node", *places)
+    return rows.select("node", *(_r3(F.coalesce(c, F.lit(-1.0))).alias(c) for c in rows.columns[1:]))
+
+
+@query
+def route_by_landmarks(spark, d):
+    """From every nation's island to its part and back (no route), and from that part to another: bounded by landmarks."""
+    n = F.col("n_nationkey").cast("long")
+    way = lambda k, a, b: F.struct((n * 3 + k).alias("request_id"), a.alias("source"), b.alias("target"))
+    island, own = n + source.NATION, n * 7 + 1
+    asked = source.table(spark, d, "nation").select(F.explode(F.array(way(0, island, own), way(1, own, island), way(2, own, own + 3))).alias("x")).select("x.*")
     nodes, edges = _graph(spark, d)
-    found = routing.routes(part, nodes, edges)
-    return part.join(found, "request_id", "left").select("request_id", F.coalesce(F.size("node_ids"), F.lit(0)).cast("long").alias("n_points"), _r3(F.coalesce("distance", F.lit(-1.0))).alias("distance"))
+    index = landmarks.table(edges, landmarks.choose(nodes, edges))
+    return _sized(asked, routing.routes(asked, nodes, edges, index))
+
+
+@query
+def collapsed_chains(spark, d):
+    """What is left of the map of bends when its chains are collapsed: nodes and edges before, chains, nodes in them, nodes that stay."""
+    edges = cut(source.streets(spark, d))
+    shape = contract.contract(edges)
+    ends = F.explode(F.array("from_node_id", "to_node_id")).alias("node")
+    before = edges.agg(F.count("*").alias("n_edges")).join(edges.select(ends).distinct().agg(F.count("*").alias("n_nodes")))
+    chains = shape.chains.agg(F.count("*").alias("n_chains"), F.coalesce(F.sum(F.size("nodes")), F.lit(0)).alias("n_inner"))
+    return before.join(chains).withColumn("n_stay", F.col("n_nodes") - F.col("n_inner"))
+
+
+def _collapsed(spark: SparkSession, d: str, asked: DataFrame) -> DataFrame:
+    """Routes over the collapsed map of bends, with the bends put back."""
+    shape = contract.contract(source.streets(spark, d))
+    edges = cut(contract.split_at(shape, asked.select(F.explode(F.array("source", "target")).alias("node"))).edges())
+    nodes = edges.select(F.col("to_node_id").alias("id")).distinct()
+    return contract.expand(routing.routes(asked, nodes, edges), edges)
+
+
+def _lengths(spark: SparkSession, d: str, found: DataFrame) -> DataFrame:
+    """(request_id, length): what the ways' steps weigh on the map that is not collapsed."""
+    steps = F.transform(F.slice("node_ids", F.lit(1), F.size("node_ids") - 1), lambda x, i: F.struct(x.alias("from_node_id"), F.get("node_ids", i + 1).alias("to_node_id")))
+    each = found.select("request_id", F.explode_outer(steps).alias("s")).select("request_id", "s.*")
+    return each.join(graph.reduced(source.streets(spark, d)), ["from_node_id", "to_node_id"], "left").groupBy("request_id").agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("length"))
+
+
+@query
+def collapsed_distances(spark, d):
+    """From customer 1 over the collapsed map to every customer and every bend of an order of the first region's nations' keys; distance as found and as the way's steps add up to."""
+    customer = source.table(spark, d, "customer").select(F.col("c_custkey").alias("target"))
+    bends = source.table(spark, d, "nation").select((F.lit(source.BEND) + (F.col("n_nationkey") + 1) * 8 + 1).cast("long").alias("target"))
+    asked = cut(customer.union(bends).select(F.col("target").alias("request_id"), F.lit(1).cast("long").alias("source"), "target"))
+    found = cut(_collapsed(spark, d, asked))
+    whole = found.join(_lengths(spark, d, found), "request_id")
+    return asked.select("request_id").join(whole, "request_id", "left").select("request_id", F.coalesce("distance", F.lit(-1.0)).alias("distance"), F.coalesce("length", F.lit(-1.0)).alias("length"))
 
 
 def _chain(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:

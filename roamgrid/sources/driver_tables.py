@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SUPPLIER, NATION, REGION_WAY, LATER = 1_000_000, 2_000_000, 5_000_000_000, 10_000_000
+BEND = 20_000_000
 DEPOTS = 8
 LATTICE = 45
 
@@ -61,6 +62,20 @@ def lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("a").alias("from_node_id"), F.col("b").alias("to_node_id"), "weight").union(pairs.select("b", "a", "weight"))
 
 
+def streets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of a map of bends: an order is a street from its customer over its lines, in order, to the least of their
+    suppliers; status F makes it one-way. Bends are ``BEND`` + 8 * order + line; weights are whole numbers."""
+    line = F.struct((F.lit(BEND) + F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("node"), (1 + (F.col("l_partkey") * 31 + F.col("l_linenumber") * 17) % 7).alias("step"))
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("bends"), (F.min("l_suppkey") + SUPPLIER).alias("shop"))
+    street = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    end = F.struct(F.col("shop").alias("node"), (1 + F.col("o_orderkey") % 7).alias("step"))
+    way = F.concat(F.array(F.struct(F.col("o_custkey").alias("node"), F.lit(0).cast("long").alias("step"))), "bends", F.array(end))
+    steps = F.transform(F.slice("way", F.lit(2), F.size("way") - 1), lambda x, i: F.struct(F.get("way", i)["node"].alias("a"), x["node"].alias("b"), x["step"].cast("double").alias("weight")))
+    pairs = street.select("o_orderstatus", way.alias("way")).select("o_orderstatus", F.explode(steps).alias("s")).select("o_orderstatus", "s.*")
+    forward = pairs.select(F.col("a").alias("from_node_id"), F.col("b").alias("to_node_id"), "weight")
+    return forward.unionByName(pairs.where("o_orderstatus <> 'F'").select(F.col("b").alias("from_node_id"), F.col("a").alias("to_node_id"), "weight"))
+
+
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One request for each event: from one of eight depots to a place of its own, in a box slightly larger than the region."""
     e, d = F.col("event_id"), F.col("event_id") % DEPOTS
