@@ -62,6 +62,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return bounded_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it where the table has such a column."""
+    taken = {c.casefold() for c in df.columns}
+    while name.casefold() in taken:
+        name = f"_{name}"
+    return name
+
+
 def id_bucket(doc_id: Column | str, modulus: int) -> Column:
     """crc32(doc_id as text) mod modulus; a null id counts as the empty string."""
     column = F.col(doc_id) if isinstance(doc_id, str) else doc_id

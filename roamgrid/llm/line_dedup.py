@@ -9,18 +9,19 @@ or from its last line back; every line of a common passage lies in one that is c
 its rarest line. Of the documents that share a rare line in one such stretch, the first (by doc_id) is paired with each
 later one: n - 1 pairs for n documents, so frequent lines need no cap.
 
-Each pair is aligned with patience diff: lines that occur once in both are anchors, their longest increasing run is kept,
-blocks grow from the anchors over equal neighbours, and the stretches in between are aligned alike. A block is a run of
-aligned lines that stand side by side in both documents (blank lines aside); blocks of at least ``min_words`` words are
-deleted from the later document. Where lines are left that both have (passages in another order, or of repeated lines
-only), the common stretches are looked up as well. Only then are the blocks of all of a document's pairs put together. So exactly those lines go that
-are in a run of at least ``min_words`` words which an earlier document holds as a run.
+Each pair's runs with such a line are aligned with patience diff: lines that occur once in both are anchors, their
+longest increasing run is kept, blocks grow from the anchors over equal neighbours, and the stretches in between are
+aligned alike. A block is a run of aligned lines that stand side by side in both documents (blank lines aside); blocks of
+at least ``min_words`` words are deleted from the later document. What is left is aligned again until no block comes, in
+the end by stretches in place of lines (``common_blocks``). Only then are the blocks of all of a document's pairs put
+together. The passes leave nothing: exactly those lines go that are in a run of at least ``min_words`` words which an
+earlier document holds as a run.
 
 One copy of every line stays: nothing earlier holds the run of its first document.
 
 Rows: null and empty texts have no lines and stay as they are; repeated rows (same doc_id and text) count as one document
 and are cut alike; texts of one doc_id are ordered by hash; a null doc_id sorts last; rows are told apart by doc_id and
-text, so columns may clash with nothing here; an empty table gives an empty result.
+text; columns of the input keep their names whatever these are; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,9 +38,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, store
+from .common import checkpoint, store, unused
 
 MIN_WORDS = 40
+#: Passes over lines, at most; those over stretches, which see repeated lines too, go on until nothing is common.
+LINE_PASSES = 4
 #: Of the hashes of stretches, modulo 2 to the 64.
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
@@ -47,8 +50,6 @@ BASE_INVERSE = pow(BASE, -1, 1 << 64)
 CUT = r"(?<=\n)|(?<=[.!?] )"
 _CUT = re.compile(CUT.encode())
 LAST = (1 << 63) - 1
-#: No line has these hashes: barriers of the later and of the earlier document, which never align.
-OURS, THEIRS = 0, 1
 
 
 def document_lines(docs: DataFrame) -> DataFrame:
@@ -143,71 +144,78 @@ def runs(at: np.ndarray, words: np.ndarray, min_words: int) -> list[tuple[int, i
 
 
 def shared_runs(rows: DataFrame, min_words: int) -> DataFrame:
-    """(class, at, places, lines, words, rare, stretch) from lists of shared lines: those in runs, and of every stretch its rarest line and its hash."""
+    """(class, run, at, places, lines, words, rare, stretch) from lists of shared lines: a row for each run, and of every stretch its rarest line and its hash."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists, own, columns = batch.column(1), [], [[] for _ in range(6)]
+            lists, own, columns = batch.column(1), [], [[] for _ in range(7)]
             fields = [lists.values.field(k).to_numpy() for k in range(5)]
             ends = lists.offsets.to_numpy()
             for row, (begin, end) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
                 order = begin + np.argsort(fields[0][begin:end])
                 at, places, lines, words, number = (x[order] for x in fields)
-                keep = runs(at, words, min_words)
-                if not keep:
-                    continue
-                rare, hashes = [], []
                 rank = np.empty(len(at), np.int64)
                 rank[np.lexsort((lines, number))] = np.arange(len(at))
-                for a, b in keep:
+                for a, b in runs(at, words, min_words):
                     h, first, last = stretches(lines[a:b], words[a:b], min_words)
-                    hashes.append(h)
-                    rare.append([lines[a + i + rank[a + i : a + j + 1].argmin()] for i, j in zip(first.tolist(), last.tolist(), strict=True)])
-                inside = np.concatenate([np.arange(a, b) for a, b in keep])
-                own.append(row)
-                for column, value in zip(columns, (*(x[inside] for x in (at, places, lines, words)), np.concatenate(rare), np.concatenate(hashes)), strict=True):
-                    column.append(value)
-            kinds = [pa.list_(x) for x in (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64())]
-            yield pa.record_batch([batch.column(0).take(pa.array(own, pa.int64())), *map(pa.array, columns, kinds)], ["class", "at", "places", "lines", "words", "rare", "stretch"])
-
-    return rows.mapInArrow(found, "class long, at array<int>, places array<int>, lines array<long>, words array<int>, rare array<long>, stretch array<long>")
-
-
-def common_blocks(ours: tuple[np.ndarray, ...], theirs: tuple[np.ndarray, ...], min_words: int) -> list[tuple[int, int]]:
-    """First and last indexes, in ours, of the aligned blocks of two documents' runs, each given as (at, lines, words)."""
-    sides = []
-    for (at, lines, _), barrier in ((ours, OURS), (theirs, THEIRS)):
-        own, index, before = [], [], None
-        for k, (a, x) in enumerate(zip(at.tolist(), lines.tolist(), strict=True)):
-            if before is not None and a != before + 1:
-                own.append(barrier)
-                index.append(-1)
-            own.append(x)
-            index.append(k)
-            before = a
-        sides.append((own, index))
-    (left, index), (right, _) = sides
-    words = ours[2]
-    blocks, covered = [], np.zeros(len(words), bool)
-    pairs = patience(left, right)
-    begin = 0
-    for k in range(1, len(pairs) + 1):
-        if k == len(pairs) or pairs[k] != (pairs[k - 1][0] + 1, pairs[k - 1][1] + 1):
-            a, b = index[pairs[begin][0]], index[pairs[k - 1][0]]
+                    rare = [lines[a + i + rank[a + i : a + j + 1].argmin()] for i, j in zip(first.tolist(), last.tolist(), strict=True)]
+                    own.append(row)
+                    for column, value in zip(columns, (int(at[a]), *(x[a:b] for x in (at, places, lines, words)), rare, h), strict=True):
+                        column.append(value)
+            kinds = [pa.int32(), *(pa.list_(x) for x in (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64()))]
+            yield pa.record_batch([batch.column(0).take(pa.array(own, pa.int64())), *map(pa.array, columns, kinds)], ["class", "run", "at", "places", "lines", "words", "rare", "stretch"])
+
+    return rows.mapInArrow(found, "class long, run int, at array<int>, places array<int>, lines array<long>, words array<int>, rare array<long>, stretch array<long>")
+
+
+def _side_by_side(aligned: list[tuple[int, int]], words: np.ndarray, min_words: int) -> list[tuple[int, int]]:
+    """First and last places, in ours, of the aligned stretches without a gap in either document that reach ``min_words``."""
+    found, begin = [], 0
+    for k in range(1, len(aligned) + 1):
+        if k == len(aligned) or aligned[k] != (aligned[k - 1][0] + 1, aligned[k - 1][1] + 1):
+            a, b = aligned[begin][0], aligned[k - 1][0]
             if words[a : b + 1].sum() >= min_words:
-                blocks.append((a, b))
-                covered[a : b + 1] = True
+                found.append((a, b))
             begin = k
-    if not covered.all() and not {*theirs[1].tolist()}.isdisjoint(ours[1][~covered].tolist()):  # passages in another order or of repeated lines
-        mine, known = (_all_stretches(*x, min_words) for x in (ours, theirs))
-        hit = np.isin(mine[0], known[0])
-        blocks += zip(mine[1][hit].tolist(), mine[2][hit].tolist(), strict=True)
-    return blocks
-
-
-def _all_stretches(at: np.ndarray, lines: np.ndarray, words: np.ndarray, min_words: int) -> tuple[np.ndarray, ...]:
-    found = [(*stretches(lines[a:b], words[a:b], min_words), a) for a, b in runs(at, words, min_words)]
-    return np.concatenate([h for h, *_ in found]), np.concatenate([f + a for _, f, _, a in found]), np.concatenate([e + a for _, _, e, a in found])
+    return found
+
+
+def common_blocks(ours: np.ndarray, words: np.ndarray, theirs: np.ndarray, their_words: np.ndarray, min_words: int) -> list[tuple[int, int]]:
+    """First and last places, in ours, of the aligned blocks of two runs of lines, by passes of patience diff.
+
+    The first passes align lines. A block that is found leaves ours, and what is left is aligned again: so blocks in
+    another order are found as well. Lines that are repeated in a run have no anchors of their own; but stretches of
+    ``min_words`` words mostly are single, so all further passes align these, each once, until none comes, and a stretch
+    that is repeated in ours goes with its first one. They see ours forwards and backwards in turn, so that an order
+    turned round takes no more passes than one that was kept.
+    """
+    left, other, found = ours.tolist(), theirs.tolist(), []
+    gone = np.zeros(len(ours), bool)
+    for _ in range(LINE_PASSES):
+        if not (blocks := _side_by_side(patience(left, other), words, min_words)):
+            break
+        for a, b in blocks:
+            left[a : b + 1] = [None] * (b + 1 - a)  # no line of theirs equals these
+            gone[a : b + 1] = True
+        found += blocks
+    mine, known = stretches(ours, words, min_words), stretches(theirs, their_words, min_words)
+    order = np.argsort(known[1], kind="stable")
+    their_order = list(dict.fromkeys(known[0][order].tolist()))
+    upto = np.concatenate([[0], np.cumsum(gone)])
+    open_ = upto[mine[2] + 1] - upto[mine[1]] < mine[2] + 1 - mine[1]  # some line of theirs is still there
+    order = np.flatnonzero(open_)[np.argsort(mine[1][open_], kind="stable")]
+    places: dict[int, list[int]] = {}
+    for k in order.tolist():
+        places.setdefault(int(mine[0][k]), []).append(k)
+    turned = False
+    while True:
+        sequence = list(places)[::-1] if turned else list(places)
+        aligned = [sequence[i] for i, _ in patience(sequence, their_order)]
+        if not aligned and turned:
+            return found
+        for h in aligned:
+            found += [(int(mine[1][k]), int(mine[2][k])) for k in places.pop(h)]
+        turned = not turned
 
 
 def cuts(classes: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -219,25 +227,26 @@ def cuts(classes: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     each = each.select("class", "at", F.col("x.places").alias("place"), F.col("x.lines").alias("line"), F.col("x.words").alias("words"))
     shared = each.join(frequency, "line").groupBy("class").agg(F.collect_list(F.struct("at", "place", "line", "words", F.col("number").cast("long").alias("number"))).alias("found"))
     passages = store(shared_runs(shared, min_words).join(classes.select("class", "doc"), "class"), "passages")
-    rare = passages.select("class", "doc", F.explode(F.arrays_zip("rare", "stretch")).alias("x")).select("class", "doc", "x.rare", "x.stretch")
-    owners = rare.groupBy("rare", "stretch").agg(F.min(F.struct("doc", "class"))["class"].alias("owner"), F.count("*").alias("holders")).where("holders > 1").drop("holders")
+    rare = passages.select("class", "run", "doc", F.explode(F.arrays_zip("rare", "stretch")).alias("x")).select("class", "run", "doc", "x.rare", "x.stretch")
+    owners = rare.groupBy("rare", "stretch").agg(F.min(F.struct("doc", "class", "run")).alias("own"), F.count("*").alias("holders")).where("holders > 1").select("rare", "stretch", F.col("own.class").alias("owner"), F.col("own.run").alias("owner_run"))
     owners = store(owners, "owners")
-    pairs = rare.join(owners, ["rare", "stretch"]).where(F.col("class") != F.col("owner")).select("class", "owner").distinct()
+    pairs = rare.join(owners, ["rare", "stretch"]).where(F.col("class") != F.col("owner")).select("class", "run", "owner", "owner_run").distinct()
     pairs = checkpoint(pairs)
-    owned = passages.select(F.col("class").alias("owner"), F.struct("at", "lines", "words").alias("theirs"))
-    both = pairs.join(owned, "owner").join(passages.select("class", F.struct("at", "lines", "words").alias("ours"), "places"), "class").select("class", "ours", "theirs", "places")
+    # of both documents only the runs that share a rare line and its stretch travel
+    owned = passages.select(F.col("class").alias("owner"), F.col("run").alias("owner_run"), F.struct("lines", "words").alias("theirs"))
+    both = pairs.join(owned, ["owner", "owner_run"]).join(passages.select("class", "run", F.struct("lines", "words").alias("ours"), "places"), ["class", "run"]).select("class", "ours", "theirs", "places")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [[[batch.column(side).field(k)[row].values.to_numpy() for k in range(3)] for row in range(batch.num_rows)] for side in (1, 2)]
             found = []
-            for ours, theirs, places in zip(*parts, batch.column(3), strict=True):
+            ours, theirs = ([[batch.column(side).field(k)[row].values.to_numpy() for k in range(2)] for row in range(batch.num_rows)] for side in (1, 2))
+            for own, other, places in zip(ours, theirs, batch.column(3), strict=True):
                 places = places.values.to_numpy()
-                gone = np.zeros(int(places[-1]) + 2, np.int64)
-                for a, b in common_blocks(tuple(ours), tuple(theirs), min_words):
-                    gone[places[a]] += 1
-                    gone[places[b] + 1] -= 1
-                found.append(np.flatnonzero(np.cumsum(gone)).astype(np.int32))
+                cut = np.zeros(int(places[-1]) + 2, np.int64)
+                for a, b in common_blocks(*own, *other, min_words):
+                    cut[places[a]] += 1
+                    cut[places[b] + 1] -= 1
+                found.append(np.flatnonzero(np.cumsum(cut)).astype(np.int32))
             yield pa.record_batch([batch.column(0), pa.array(found, pa.list_(pa.int32()))], ["class", "cut"])
 
     aligned = both.mapInArrow(align, "class long, cut array<int>").where("size(cut) > 0")
@@ -256,7 +265,8 @@ def cuts(classes: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Every row, with ``__cut`` (places of deleted lines, or null) added and ``text`` without them."""
+    """Every row, with ``text`` less its deleted lines and, as the last column, their places or null: ``__cut``, or that
+    with underscores before it where the input has such a column."""
     lines = store(document_lines(docs), "lines")
     first = lambda *names: (F.first(x).alias(x) for x in names)
     classes = store(lines.where(F.col("total") >= min_words).groupBy("class").agg(F.min("doc").alias("doc"), *first("lines", "words", "places")), "classes")
@@ -265,9 +275,10 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     rows = lines.where(F.col("total") >= min_words).select("doc", "text_hash", "class").distinct().join(edges, "class").join(found, "class", "left")
     copy = F.col("doc") > F.col("first_doc")  # a later copy loses all
     whole = F.sequence("low", "high")
-    rows = rows.where(copy | F.col("cut").isNotNull()).select(F.col("doc").alias("__doc"), F.col("text_hash").alias("__hash"), F.when(copy, whole).otherwise(F.col("cut")).alias("__cut"), F.when(~copy, F.col("gone")).alias("__gone"), F.when(copy, F.col("low")).alias("__low"), F.when(copy, F.col("high")).alias("__high"))
-    own = docs.withColumns({"__doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "__hash": F.xxhash64("text")})
-    stays = lambda x, i: ~(F.coalesce(F.get("__gone", i), F.lit(False)) | F.coalesce(i.between(F.col("__low"), F.col("__high")), F.lit(False)))
+    doc, text_hash, cut, gone, low, high = (unused(docs, x) for x in ("__doc", "__hash", "__cut", "__gone", "__low", "__high"))
+    rows = rows.where(copy | F.col("cut").isNotNull()).select(F.col("doc").alias(doc), F.col("text_hash").alias(text_hash), F.when(copy, whole).otherwise(F.col("cut")).alias(cut), F.when(~copy, F.col("gone")).alias(gone), F.when(copy, F.col("low")).alias(low), F.when(copy, F.col("high")).alias(high))
+    own = docs.withColumns({doc: F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), text_hash: F.xxhash64("text")})
+    stays = lambda x, i: ~(F.coalesce(F.get(gone, i), F.lit(False)) | F.coalesce(i.between(F.col(low), F.col(high)), F.lit(False)))
     kept = F.array_join(F.filter(F.split("text", CUT, -1), stays), "")
-    joined = own.join(rows, ["__doc", "__hash"], "left")
-    return joined.withColumn("text", F.when(F.col("__cut").isNull(), F.col("text")).otherwise(kept)).select(*docs.columns, "__cut")
+    joined = own.join(rows, [doc, text_hash], "left")
+    return joined.withColumn("text", F.when(F.col(cut).isNull(), F.col("text")).otherwise(kept)).select(*docs.columns, cut)

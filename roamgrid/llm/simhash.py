@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, unused
 from .components import components
 
 WORDS, SEED, BITS = 3, 42, 3
@@ -178,9 +178,10 @@ def near_duplicates(docs: DataFrame, bits: int = BITS, words: int = WORDS) -> Da
 
 def keep_first(docs: DataFrame, bits: int = BITS, words: int = WORDS) -> DataFrame:
     """One row of each group, all columns: the one with the least doc_id. Rows are told apart by doc_id and text."""
-    keys = {"__row_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))}
+    row_id, row_hash = unused(docs, "__row_id"), unused(docs, "__row_hash")
+    keys = {row_id: F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))}
     first = near_duplicates(docs, bits, words).where("doc_id <=> component_id")
     # texts of one doc_id in one group: the least hash stands for them
-    first = first.groupBy("doc_id", "component_id").agg(F.min("text_hash").alias("__row_hash")).withColumns(keys).select("__row_id", "__row_hash").distinct()
-    own = docs.withColumns(keys | {"__row_hash": F.xxhash64("text")})
-    return own.join(first, ["__row_id", "__row_hash"], "left_semi").dropDuplicates(["__row_id", "__row_hash"]).select(docs.columns)
+    first = first.groupBy("doc_id", "component_id").agg(F.min("text_hash").alias(row_hash)).withColumns(keys).select(row_id, row_hash).distinct()
+    own = docs.withColumns(keys | {row_hash: F.xxhash64("text")})
+    return own.join(first, [row_id, row_hash], "left_semi").dropDuplicates([row_id, row_hash]).select(docs.columns)

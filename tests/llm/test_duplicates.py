@@ -329,3 +329,134 @@ def test_a_line_and_a_passage_of_all_documents(spark):
     found = {k[0]: r for k, r in dedup(spark, rows).items()}
     assert all(("item 3 costs" in found[i]["text"]) == (i == 1) and "all have this line" in found[i]["text"] for i in range(1, 300, 2))
     assert all(found[i]["__cut"] is None for i in range(0, 300, 2))
+
+
+def naive_patience(a, b):
+    """Anchors by the longest increasing run of lines that are single in both, found by trying all; then the gaps alike."""
+    if not a or not b:
+        return []
+    if a[0] == b[0]:
+        return [(0, 0), *((i + 1, j + 1) for i, j in naive_patience(a[1:], b[1:]))]
+    if a[-1] == b[-1]:
+        return [*naive_patience(a[:-1], b[:-1]), (len(a) - 1, len(b) - 1)]
+    single = [(i, b.index(x)) for i, x in enumerate(a) if x is not None and a.count(x) == 1 and b.count(x) == 1]
+    if not single:
+        return []
+    best: list = []
+    runs = []
+    for i, j in single:
+        runs.append(max((r for r in runs if r[-1][1] < j), key=len, default=[]) + [(i, j)])
+        best = max(best, runs[-1], key=len)
+    i, j = best[0]
+    return [*naive_patience(a[:i], b[:j]), (i, j), *((i + 1 + x, j + 1 + y) for x, y in naive_patience(a[i + 1 :], b[j + 1 :]))]
+
+
+def passages(seed):
+    """Rows whose passages are moved, repeated, broken and made of repeated lines."""
+    rng = random.Random(seed)
+    pool = [" ".join(f"p{i}q{k}" for k in range(rng.randint(3, 12))) + "." for i in range(40)]
+    blocks = [[rng.choice(pool) for _ in range(rng.randint(4, 12))] for _ in range(8)] + [[rng.choice(pool)] * 15]
+    rows = []
+    for i in range(30):
+        text = []
+        for _ in range(rng.randint(1, 5)):
+            block = rng.choice(blocks)
+            a = rng.randrange(3)
+            text += block[a:] + rng.choice([[], [f"own {i} {len(text)}"]])
+        rows.append((i, "\n".join(text)))
+    return rows
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_cuts_equal_naive_patience_over_all_pairs(spark, seed):
+    """No hashes of lines, no runs, no owners: every pair of documents aligned whole, again and again until no block comes."""
+    rows, least = passages(seed), line_dedup.MIN_WORDS
+    lines = {i: t.split("\n") for i, t in rows}
+    found = {k[0]: set(r["__cut"] or ()) for k, r in dedup(spark, rows).items()}
+
+    def blocks(aligned, own):
+        begin = 0
+        for k in range(1, len(aligned) + 1):
+            if k == len(aligned) or aligned[k] != (aligned[k - 1][0] + 1, aligned[k - 1][1] + 1):
+                block = range(aligned[begin][0], aligned[k - 1][0] + 1)
+                if sum(len(own[x].split()) for x in block) >= least:
+                    yield block
+                begin = k
+
+    def stretch_places(own):
+        places = {}
+        for a in range(len(own)):
+            n = 0
+            for b in range(a, len(own)):
+                n += len(own[b].split())
+                if n >= least:
+                    places.setdefault(tuple(own[a : b + 1]), []).append((a, b))
+                    break
+        for b in range(len(own)):
+            n = 0
+            for a in range(b, -1, -1):
+                n += len(own[a].split())
+                if n >= least:
+                    if (a, b) not in places.get(tuple(own[a : b + 1]), []):
+                        places.setdefault(tuple(own[a : b + 1]), []).append((a, b))
+                    break
+        return places
+
+    total = 0
+    for i, own in lines.items():
+        gone = set()
+        for j in range(i):
+            left = list(own)
+            while more := list(blocks(naive_patience(left, lines[j]), own)):
+                for block in more:
+                    for x in block:
+                        left[x] = None
+                        gone.add(x)
+            mine, theirs = stretch_places(own), stretch_places(lines[j])
+            waiting = [x for x in mine if x in theirs]
+            while waiting:  # one after the other is an alignment too, if the poorest
+                for a, b in mine[waiting.pop()]:
+                    gone |= set(range(a, b + 1))
+        first = next(j for j in range(i + 1) if lines[j] == own)
+        assert found[i] == (set(range(len(own))) if first < i else gone), i
+        total += len(gone)
+    assert total > 100
+
+
+def test_without_patience_nothing_is_cut(spark, monkeypatch):
+    rows = passages(5)
+    blocks = [line_dedup.common_blocks(*(np.array(x) for x in ([1, 2, 3, 1], [20, 20, 20, 20], [9, 2, 3, 1], [20] * 4)), 40)]
+    assert blocks == [[(1, 3)]]
+    monkeypatch.setattr(line_dedup, "patience", lambda a, b: [])
+    assert line_dedup.common_blocks(*(np.array(x) for x in ([1, 2, 3, 1], [20, 20, 20, 20], [9, 2, 3, 1], [20] * 4)), 40) == []
+    assert rows
+
+
+def test_passes_find_moved_turned_and_repeated_blocks():
+    words = np.full(60, 50)
+    order = list(range(100, 160))
+    random.Random(3).shuffle(order)
+    for ours in (list(range(100, 160))[::-1], order, [100] * 60, [100, 101] * 30):
+        found = line_dedup.common_blocks(np.array(ours), words, np.arange(100, 160), words, 40)
+        assert set().union(*(range(a, b + 1) for a, b in found)) == set(range(60))
+
+
+def test_turned_documents_take_few_passes(monkeypatch):
+    passes = []
+    patience = line_dedup.patience
+    monkeypatch.setattr(line_dedup, "patience", lambda a, b: passes.append(1) or patience(a, b))
+    n = 3000
+    ours = np.arange(10, 10 + n)[::-1].copy()
+    assert len(line_dedup.common_blocks(ours, np.full(n, 50), np.arange(10, 10 + n), np.full(n, 50), 1000)) == 0
+    line_dedup.common_blocks(ours, np.full(n, 50), np.arange(10, 10 + n), np.full(n, 50), 40)
+    assert len(passes) < 20
+
+
+def test_columns_of_any_name_stay(spark):
+    text = " ".join(f"w{i}" for i in range(60)) + "."
+    docs = spark.createDataFrame([(1, text, "x", 5, "h"), (2, text, "y", 6, "i"), (3, None, "z", 7, "j")], "doc_id long, text string, __cut string, __doc int, __hash string")
+    found = line_dedup.dedup_lines(docs)
+    assert found.columns == [*docs.columns, "___cut"]
+    assert {r["doc_id"]: (r["__cut"], r["__doc"], r["__hash"], r["___cut"]) for r in found.collect()} == {1: ("x", 5, "h", None), 2: ("y", 6, "i", [0]), 3: ("z", 7, "j", None)}
+    near = docs.withColumnsRenamed({"__doc": "__row_id", "__hash": "__row_hash"})
+    assert {(r["doc_id"], r["__row_id"], r["__row_hash"]) for r in simhash.keep_first(near).collect()} == {(1, 5, "h"), (3, 7, "j")}
