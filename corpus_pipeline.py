@@ -27,9 +27,10 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Blocks that an earlier document holds go; so does a document of which nothing is left. n_chars follows the text."""
     bounded_batches(spark)
     cut = line_dedup.dedup_lines(docs)
-    cut = cut.where(F.col("__cut").isNull() | (F.trim(F.col("text")) != ""))
+    whole = F.col(cut.columns[-1]).isNull()
+    cut = cut.where(whole | (F.trim(F.col("text")) != ""))
     if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.when(F.col("__cut").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        cut = cut.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return cut.select(docs.columns)
 
 
