@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roamgrid.operators.graph import reduced
-from roamgrid.plans.lineage import written
+from roamgrid.plans.lineage import Scratch, scratch, written
 
 LONGEST = 4096
 
@@ -58,39 +58,46 @@ def _links(edges: DataFrame) -> DataFrame:
     return sound.select(ends.alias("x")).select("x.*").groupBy("node", "other").agg(F.min("out").alias("out"), F.min("into").alias("into"))
 
 
-def _ranked(darts: DataFrame, inner: DataFrame) -> tuple[DataFrame, int]:
+def _ranked(tables: Scratch, darts: DataFrame, inner: DataFrame) -> DataFrame:
     """Darts(node, back, ahead, out, into) with ``end`` (the junction ahead), ``last`` (the node before it) and ``rank``
     (nodes up to there, the dart's own counted); ``end`` is null in rings, where ``least`` is the ring's least node."""
     ahead = darts.join(inner.select(F.col("node").alias("ahead"), F.lit(True).alias("goes_on")), "ahead", "left")
     goes = F.col("goes_on").isNotNull()
-    state = written(ahead.select("node", "back", "ahead", "out", "into", F.when(goes, F.col("ahead")).alias("at"), F.when(goes, F.col("node")).alias("at_back"), F.when(~goes, F.col("ahead")).alias("end"), F.col("node").alias("last"), F.lit(1).cast("long").alias("rank"), F.col("node").alias("least")))
-    total, rounds = state.count(), 0
+    state, counts = tables.keep_counted(ahead.select("node", "back", "ahead", "out", "into", F.when(goes, F.col("ahead")).alias("at"), F.when(goes, F.col("node")).alias("at_back"), F.when(~goes, F.col("ahead")).alias("end"), F.col("node").alias("last"), F.lit(1).cast("long").alias("rank"), F.col("node").alias("least")), "node", "back", moves=F.col("at").isNotNull())
+    total, rounds = counts["rows"], 0
     # after this many doublings a pointer has gone over more darts than there are: what has not ended is a ring
-    while rounds <= total.bit_length() and not state.where("at is not null").isEmpty():
+    while rounds <= total.bit_length() and counts["moves"]:
         far = state.select(F.col("node").alias("at"), F.col("back").alias("at_back"), F.col("at").alias("f_at"), F.col("at_back").alias("f_back"), F.col("end").alias("f_end"), F.col("last").alias("f_last"), F.col("rank").alias("f_rank"), F.col("least").alias("f_least"))
         moved = state.join(far, ["at", "at_back"], "left")
         own = F.col("at").isNull()
-        state = written(moved.select("node", "back", "ahead", "out", "into", F.col("f_at").alias("at"), F.col("f_back").alias("at_back"), F.coalesce("end", "f_end").alias("end"), F.when(own, F.col("last")).otherwise(F.col("f_last")).alias("last"), (F.col("rank") + F.coalesce("f_rank", F.lit(0))).alias("rank"), F.least("least", F.coalesce("f_least", "least")).alias("least")))
+        before = state
+        state, counts = tables.keep_counted(moved.select("node", "back", "ahead", "out", "into", F.col("f_at").alias("at"), F.col("f_back").alias("at_back"), F.coalesce("end", "f_end").alias("end"), F.when(own, F.col("last")).otherwise(F.col("f_last")).alias("last"), (F.col("rank") + F.coalesce("f_rank", F.lit(0))).alias("rank"), F.least("least", F.coalesce("f_least", "least")).alias("least")), "node", "back", moves=F.col("at").isNotNull())
+        tables.drop(before)
         rounds += 1
-    return state, rounds
+    return state
 
 
 def contract(edges: DataFrame, keep: DataFrame | None = None, longest: int = LONGEST) -> Contracted:
     """Chains of the graph; nodes of keep(node) stay junctions."""
-    links = written(_links(edges))
+    with scratch(edges.sparkSession) as tables:
+        return _contract(tables, edges, keep, longest)
+
+
+def _contract(tables: Scratch, edges: DataFrame, keep: DataFrame | None, longest: int) -> Contracted:
+    links = tables.keep(_links(edges), "node")
     inner = links.groupBy("node").agg(F.count("*").alias("n")).where("n = 2").select("node")
     if keep is not None:
         inner = inner.join(keep.select("node").distinct(), "node", "left_anti")
-    inner = written(inner)
+    inner = tables.keep(inner, "node")
     own = links.join(inner, "node", "left_semi")
     # a dart looks from one neighbour (back) to the other (ahead)
     darts = own.alias("a").join(own.alias("b"), F.expr("a.node = b.node and a.other <> b.other")).select("a.node", F.col("b.other").alias("back"), F.col("a.other").alias("ahead"), "a.out", "a.into")
-    darts = written(darts)
-    ranked, _ = _ranked(darts, inner)
+    darts = tables.keep(darts, "node", "back")
+    ranked = _ranked(tables, darts, inner)
     opened = ranked.where("end is null").select(F.col("least").alias("node")).distinct()
     if not opened.isEmpty():
-        inner = written(inner.join(opened, "node", "left_anti"))
-        ranked, _ = _ranked(darts.join(inner, "node", "left_semi"), inner)
+        inner = tables.keep(inner.join(opened, "node", "left_anti"), "node")
+        ranked = _ranked(tables, darts.join(inner, "node", "left_semi"), inner)
     side = lambda x: ranked.select("node", F.struct("end", "last").alias(f"{x}_key"), "back", F.col("rank").alias(f"{x}_rank"), F.col("out").alias(f"{x}_out"), F.col("into").alias(f"{x}_into"), F.col("ahead").alias(f"{x}_ahead"))
     # the two darts of a node, the one towards the lesser end first
     both = side("p").join(side("q").withColumnRenamed("back", "q_back"), "node").where("p_ahead = q_back and p_key < q_key").drop("back", "q_back")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -115,7 +115,7 @@ def build_graph(elements: DataFrame, order: Sequence[str]) -> tuple[DataFrame, D
     return nodes, dense_ids(edges, "from_node_id", "to_node_id", "osm_way_id", "weight")
 
 
-def import_counts(elements: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row: n_ways, n_nodes, n_edges."""
-    count = lambda df, name: df.agg(F.count("*").alias(name))
-    return count(way_elements(elements), "n_ways").join(count(nodes, "n_nodes")).join(count(edges, "n_edges"))
+def observed(rows: DataFrame, name: str) -> tuple[DataFrame, Observation]:
+    """The same rows, counted by whatever job reads them first."""
+    seen = Observation()
+    return rows.observe(seen, F.count(F.lit(1)).alias(name)), seen

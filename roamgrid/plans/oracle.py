@@ -109,6 +109,7 @@ _OFF = _metres("start_lat", "start_lng", "end_lat", "end_lng")
 ORACLE = {
     "osm_element_counts": _with("SELECT 'node' AS type, count(*) AS n, 0::BIGINT AS n_refs FROM nodeel UNION ALL SELECT 'way', count(*), sum(coalesce(len(nodes), 0))::BIGINT FROM wayel", "nodeel", "wayel"),
     "osm_json_roundtrip": _with("SELECT 'node' AS type, count(*) AS n, sum(id)::BIGINT AS sum_id, 0::BIGINT AS n_refs, round(sum(round(lat, 6)), 3) AS sum_lat, 0::BIGINT AS n_oneway FROM nodeel UNION ALL SELECT 'way', count(*), sum(id)::BIGINT, sum(coalesce(len(nodes), 0))::BIGINT, 0e0, count(oneway) FROM wayel", "nodeel", "wayel"),
+    "osm_json_files": _with("SELECT 'node' AS type, count(*) AS n, sum(id)::BIGINT AS sum_id, 0::BIGINT AS n_refs, round(sum(round(lat, 6)), 3) AS sum_lat, 0::BIGINT AS n_oneway FROM nodeel UNION ALL SELECT 'way', count(*), sum(id)::BIGINT, sum(coalesce(len(nodes), 0))::BIGINT, 0e0, count(oneway) FROM wayel", "nodeel", "wayel"),
     "way_filter": _with("SELECT id AS osm_way_id, len(nodes) AS n_refs FROM way", "way"),
     "way_highway_filter": _with("SELECT id AS osm_way_id, highway FROM way WHERE highway IN ('motorway', 'primary', 'residential', 'service')", "way"),
     "bbox_way_select": _with("SELECT DISTINCT id AS osm_way_id FROM (SELECT id, unnest(nodes) AS r FROM way) JOIN node ON osm_id = r WHERE lat BETWEEN 16.96e0 AND 16.985e0 AND lng BETWEEN 81.76e0 AND 81.79e0", "way", "node"),

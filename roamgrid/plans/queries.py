@@ -66,9 +66,22 @@ def osm_json_roundtrip(spark, d):
     """Elements written as JSON documents of a thousand and read again."""
     documents = osm_json.encode_documents(source.elements(spark, d).withColumn("doc", F.expr("pos div 1000")), "doc")
     back = osm_json.decode_documents(documents, "body", "doc")
+    return _summed(back)
+
+
+def _summed(back: DataFrame) -> DataFrame:
     return back.groupBy("type").agg(F.count("*").alias("n"), F.sum("id").alias("sum_id"), F.sum(F.greatest(F.size(F.coalesce("nodes", F.array())), F.lit(0))).alias("n_refs"), _r3(F.sum(F.round("lat", 6))).alias("sum_lat"), F.count_if(F.try_element_at("tags", F.lit("oneway")).isNotNull()).alias("n_oneway"))
 
 
+@query
+def osm_json_files(spark, d):
+    """The same through files, one a document, each read by as many tasks as it has splits."""
+    documents = osm_json.encode_documents(source.elements(spark, d).withColumn("doc", F.expr("pos div 1000")), "doc")
+    folder = f"{shared_folder(spark)}/documents-{uuid.uuid4().hex}"
+    documents.repartition("doc").write.partitionBy("doc").text(folder)
+    return _summed(osm_json.read_documents(spark, folder))
+
+
 @query
 def way_filter(spark, d):
     return _ways(spark, d).select("osm_way_id", F.size("nodes").cast("long").alias("n_refs"))
@@ -140,8 +153,16 @@ def edge_fk_translate(spark, d):
 
 @query
 def import_metrics(spark, d):
-    nodes, edges = _graph(spark, d)
-    return ingest.import_counts(source.elements(spark, d), nodes, edges)
+    """Counts that an import's own jobs took, read from the store's marker."""
+    elements = source.elements(spark, d)
+    ways, seen = ingest.observed(ingest.way_elements(elements), "n_ways")
+    ways = cut(ways)
+    nodes = ingest.dense_ids(ingest.graph_nodes(ingest.node_elements(elements, ["pos"]), ways), "osm_id")
+    edges = ingest.directed_edges(ingest.way_pairs(ways), nodes).withColumn("id", F.monotonically_increasing_id())
+    root = f"{shared_folder(spark)}/graph-{uuid.uuid4().hex}"
+    store.write_graph(nodes, edges, root, n_ways=seen)
+    found = store.counts(spark, root)
+    return spark.range(1).select(*(F.lit(found[name]).cast("long").alias(name) for name in ("n_ways", "n_nodes", "n_edges")))
 
 
 @query

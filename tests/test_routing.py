@@ -153,6 +153,36 @@ def test_store(spark, tmp_path):
     assert store.read_graph(spark, root)[0].count() == 3
 
 
+def test_an_import_counts_and_old_versions_go(spark, tmp_path):
+    import os
+
+    root = str(tmp_path / "graph")
+    assert store.counts(spark, root) == {} and store.remove_old(spark, root) == 0
+    for n in (3, 4, 5):
+        store.write_graph(*make(spark, range(n), [(0, 1, 5)] * n), root)
+    assert store.counts(spark, root) == {"n_nodes": 5, "n_edges": 5}
+    version = store.current_version(spark, root)
+    assert store.remove_old(spark, root) == 2 and sorted(os.listdir(root)) == sorted([version, "_versions"])
+    assert [f.count() for f in store.read_graph(spark, root)] == [5, 5] and store.remove_old(spark, root) == 0
+
+
+def test_a_lookup_reads_few_rows(spark, tmp_path):
+    """Range-partitioned and sorted: of many files and row groups one holds the key."""
+    nodes = spark.range(40_000).select(F.col("id"), (F.col("id") * 7919 % 40_009).alias("osm_id"), F.lit(1.0).alias("lat"), F.lit(2.0).alias("lng"))
+    edges = nodes.select("id", F.col("osm_id").alias("from_node_id"), F.col("id").alias("to_node_id"), F.col("lat").alias("weight"), F.lit(None).cast("long").alias("osm_way_id"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        store.write_graph(nodes, edges, str(tmp_path / "g"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for frame, key in zip(store.read_graph(spark, str(tmp_path / "g")), ("osm_id", "from_node_id"), strict=True):
+        assert frame.where(F.col(key) == 7919).count() == 1 and frame.count() == 40_000
+        ends = [(r["low"], r["high"]) for r in frame.groupBy(F.input_file_name()).agg(F.min(key).alias("low"), F.max(key).alias("high")).collect()]
+        assert len(ends) > 2
+        if key == "osm_id":  # one file of them can hold it
+            assert sum(low <= 7919 <= high for low, high in ends) == 1
+
+
 def test_relational_store(spark, tmp_path):
     from roamgrid.sources import jdbc
 
