@@ -40,6 +40,8 @@ _PARTS = {
     "lat1": "SELECT p_partkey AS a, p_partkey + 1 AS b FROM part WHERE p_partkey % 45 <> 0 UNION ALL SELECT p_partkey, p_partkey + 45 FROM part",
     "lat2": "SELECT a, b, (1 + (a * 31 + b * 17) % 7)::DOUBLE AS w FROM lat1 WHERE b IN (SELECT p_partkey FROM part)",
     "grid": "SELECT a AS f, b AS t, w FROM lat2 UNION ALL SELECT b, a, w FROM lat2",
+    "isle": f"SELECT r_name AS name, {_lat('2000000 + n_nationkey::BIGINT')} AS lat, {_lng('2000000 + n_nationkey::BIGINT')} AS lng FROM nation JOIN region ON r_regionkey = n_regionkey",
+    "box": "SELECT name, min(lat) AS south, max(lat) AS north, min(lng) AS west, max(lng) AS east FROM isle GROUP BY name",
     "rev": "SELECT t AS f, f AS t, w FROM ed",
     "street": """SELECT o_orderkey AS o, o_custkey AS cust, o_orderstatus = 'F' AS oneway, 1000000 + min(l_suppkey) AS shop FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL""",
     "bend": "SELECT l_orderkey AS o, l_linenumber AS pos, 20000000 + l_orderkey * 8 + l_linenumber AS node, 1 + (l_partkey * 31 + l_linenumber * 17) % 7 AS step FROM lineitem UNION ALL SELECT o, 0, cust, 0 FROM street UNION ALL SELECT o, 9, shop, 1 + o % 7 FROM street",
@@ -51,7 +53,7 @@ _PARTS = {
 }
 _NEEDS = {
     "nodeel": ["known"], "way": ["wayel"], "node": ["nodeel"], "ref": ["way"], "gnode": ["node", "ref"], "step": ["way"], "pair": ["step"], "kpair": ["pair", "gnode"], "edge": ["kpair"], "ed": ["edge"],
-    "rev": ["ed"], "bend": ["street"], "bpair": ["bend"], "bmap": ["bpair"], "blink": ["bmap"], "binner": ["blink"],
+    "box": ["isle"], "rev": ["ed"], "bend": ["street"], "bpair": ["bend"], "bmap": ["bpair"], "blink": ["bmap"], "binner": ["blink"],
     "rin": ["req"], "click": ["req"], "hit": ["click", "gnode"], "lat2": ["lat1"], "grid": ["lat2"], "ends": ["rin", "hit"],
 }
 
@@ -136,10 +138,11 @@ ORACLE = {
     "stored_graph": _with("SELECT 'nodes' AS name, count(*) AS n, sum(osm_id)::BIGINT AS ids, round(sum(round(lat, 6)), 3) AS total FROM gnode UNION ALL SELECT 'edges', count(*), sum(f + t)::BIGINT, round(sum(round(weight, 2)), 1) FROM edge", "edge"),
     "node_pages": _with("SELECT osm_id AS id, round(lat, 6) AS lat FROM gnode ORDER BY osm_id LIMIT 10 OFFSET 20", "gnode"),
     "import_gate": _with("SELECT step, step IN (1, 3) AS written, (SELECT count(*) FROM gnode WHERE step < 3 OR osm_id <> 1) AS n_nodes, (SELECT count(*) FROM gnode WHERE step < 3 AND osm_id = 1) AS n_first FROM (SELECT unnest([1, 2, 3, 4])::INT AS step)", "gnode"),
-    "form_body": "SELECT 'data=' || replace(printf('%.6f,%.6f,%.6f,%.6f', 16.96e0, 81.76e0, 17.01e0, 81.82e0), ',', '%2C') AS body",
+    "region_info": _with("SELECT name, round((south + north) / 2, 6) AS center_lat, round((west + east) / 2, 6) AS center_lng, round(south, 6) AS south, round(north, 6) AS north, round(west, 6) AS west, round(east, 6) AS east FROM box", "box"),
+    "bbox_format": _with("SELECT name, printf('%.6f,%.6f,%.6f,%.6f', south, west, north, east) AS box FROM box", "box"),
+    "form_body": _with("SELECT name, 'data=' || replace(printf('%.6f,%.6f,%.6f,%.6f', south, west, north, east), ',', '%2C') AS body FROM box", "box"),
+    "point_geometry": _with(f"SELECT osm_id, 25::BIGINT AS n_bytes, {_POINT} FROM gnode", "gnode"),
     "bbox_contains": _with("SELECT request_id, start_in, end_in FROM rin", "rin"),
-    "region_info": "SELECT 'Rajahmundry' AS name, round((16.96e0 + 17.01e0) / 2, 6) AS center_lat, round((81.76e0 + 81.82e0) / 2, 6) AS center_lng, 16.96e0 AS south, 17.01e0 AS north, 81.76e0 AS west, 81.82e0 AS east",
-    "bbox_format": "SELECT printf('%.6f,%.6f,%.6f,%.6f', 16.96e0, 81.76e0, 17.01e0, 81.82e0) AS box",
     "haversine_metres": _with(f"SELECT request_id, round({_OFF}, 3) AS metres FROM req", "req"),
     "eta": _with(f"SELECT request_id, round(round({_OFF}) / (30000e0 / 3600e0))::BIGINT AS secs FROM req", "req"),
     "shown_values": _with(f"SELECT request_id, round(h / 1000e0, 1) AS km, round(round(h / (30000e0 / 3600e0))::BIGINT / 60e0)::BIGINT AS minutes FROM (SELECT request_id, round({_OFF} / 100e0) * 100e0 AS h FROM req)", "req"),

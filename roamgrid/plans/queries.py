@@ -9,10 +9,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from roamgrid.functions import wkb
 from roamgrid.functions.geo import haversine, kilometres, minutes, travel_seconds
 from roamgrid.operators import contract, graph, ingest, landmarks, quality, response, routing, snap
 from roamgrid.plans.lineage import cut, shared_folder
-from roamgrid.region import REGION, Region
+from roamgrid.region import REGION, Region, boxes
 from roamgrid.sources import driver_tables as source
 from roamgrid.sources import osm_json, store
 
@@ -257,9 +258,16 @@ def import_gate(spark, d):
     return reduce(DataFrame.unionByName, steps)
 
 
+def _boxes(spark: SparkSession, d: str) -> DataFrame:
+    """The box around the islands of each region's nations."""
+    nation = source.table(spark, d, "nation").join(source.table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    k = F.col("n_nationkey").cast("long") + source.NATION
+    return boxes(nation.select(F.col("r_name").alias("name"), source.latitude(k).alias("lat"), source.longitude(k).alias("lng")), "name")
+
+
 @query
 def form_body(spark, d):
-    return spark.range(1).select(osm_json.form_body(REGION.box_text()).alias("body"))
+    return _boxes(spark, d).select("name", osm_json.form_body(F.col("box")).alias("body"))
 
 
 @query
@@ -269,12 +277,19 @@ def bbox_contains(spark, d):
 
 @query
 def region_info(spark, d):
-    return REGION.describe(spark).select("name", F.round("center.lat", 6).alias("center_lat"), F.round("center.lng", 6).alias("center_lng"), "bbox.south", "bbox.north", "bbox.west", "bbox.east")
+    return _boxes(spark, d).select("name", F.round("center.lat", 6).alias("center_lat"), F.round("center.lng", 6).alias("center_lng"), *(F.round(f"bbox.{x}", 6).alias(x) for x in ("south", "north", "west", "east")))
 
 
 @query
 def bbox_format(spark, d):
-    return spark.range(1).select(REGION.box_text().alias("box"))
+    return _boxes(spark, d).select("name", "box")
+
+
+@query
+def point_geometry(spark, d):
+    """Every node's place as a binary point, read back."""
+    rows = _kept(spark, d).select("osm_id", wkb.point(F.col("lat"), F.col("lng")).alias("p"))
+    return rows.select("osm_id", F.octet_length("p").cast("long").alias("n_bytes"), F.round(wkb.latitude(F.col("p")), 6).alias("lat"), F.round(wkb.longitude(F.col("p")), 6).alias("lng"))
 
 
 @query
