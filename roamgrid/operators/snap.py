@@ -1,14 +1,33 @@
-"""Nearest nodes in the degree metric, ties to the smaller id."""
+"""Nearest nodes in the degree metric, ties to the smaller id.
+
+An index is a quadtree over the nodes' places, made once for any number of batches: places that several nodes share are
+one (the least id stands for it), cells are halved twice a level where they hold more than ``LEAF`` places, and nowhere
+else. So a dense town has small cells, far outliers cost a few levels, and no leaf holds more than ``LEAF`` places.
+
+Clicks go down the tree together, a round a level. A cell that is not empty has a place no farther than its farthest
+corner; cells whose nearest corner is farther than the least of these bounds are given up. Only the few leaves that are
+left are looked into. So a click never meets more than ``LEAF`` places of a leaf, however nodes and clicks lie, and rounds
+are as many as the tree has levels.
+"""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from roamgrid.functions.geo import degree_distance
-from roamgrid.plans.lineage import cut
+from roamgrid.plans.lineage import Scratch, scratch, written
 from roamgrid.region import Region
 
+#: Places in a leaf, at most; children of a cell in each direction; halvings of the whole box, at most.
+LEAF, FAN, DEEPEST = 32, 4, 40
+#: Corners are computed in another way than cells: bounds are loosened by this share of the box's side.
+LOOSE = 1e-12
+
 
 def nearest(nodes: DataFrame, lat: float, lng: float) -> DataFrame:
     """The nearest node of one point, a row of nodes with ``d2``, or none."""
@@ -16,67 +35,100 @@ def nearest(nodes: DataFrame, lat: float, lng: float) -> DataFrame:
     return nodes.withColumn("d2", d2).orderBy("d2", "id").limit(1)
 
 
-#: Of a grid's cells none holds more nodes, unless they stand in one point.
-MOST_IN_CELL = 256
-
-
 def _number(c: str) -> Column:
     return F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < 1e6)
 
 
-def cell_side(nodes: DataFrame, held: float = 3.0, most: int = MOST_IN_CELL) -> float | None:
-    """The side of a cell that holds about ``held`` nodes, were they spread evenly, and less where some are dense; None without nodes.
-
-    The side is halved until the fullest cell holds at most ``most`` (or halving doesn't help), so that no cell's nodes
-    and clicks make an unbounded product; clicks where nodes are sparse find theirs in later rounds.
-    """
-    nodes = nodes.where(_number("lat") & _number("lng"))
-    box = nodes.agg(F.count("*").alias("n"), *(f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("lat", "lng"))).first()
-    if not box["n"]:
-        return None
-    area = (box["max_lat"] - box["min_lat"]) * (box["max_lng"] - box["min_lng"])
-    side, before = max(1e-6, (area * held / box["n"]) ** 0.5), None
-    while side > 1e-6:
-        fullest = nodes.groupBy(F.floor(F.col("lat") / side).alias("x"), F.floor(F.col("lng") / side).alias("y")).count().agg(F.max("count")).first()[0]
-        if fullest <= most or (before is not None and fullest > 0.9 * before and fullest < 4 * most):
-            break
-        side, before = side / 2, fullest
-    return side
-
-
-def snap(clicks: DataFrame, nodes: DataFrame, cell: float | None = None, growth: float = 2.0) -> DataFrame:
+@dataclass(frozen=True)
+class Index:
+    """places(level, x, y, node_id, n_lat, n_lng) by leaf, sorted by it; for each level its cells(x, y, leaf); the box
+    begins at (south, west), cells of level k have the side ``side / FAN ** k``."""
+
+    places: DataFrame
+    cells: list[DataFrame]
+    south: float
+    west: float
+    side: float
+
+    def corner(self, level: int, x: Column, y: Column) -> tuple[Column, Column, float]:
+        step = self.side / FAN**level
+        return F.lit(self.south) + x * F.lit(step), F.lit(self.west) + y * F.lit(step), step
+
+
+def build(nodes: DataFrame, leaf: int = LEAF) -> Index | None:
+    """The tree over nodes(id, lat, lng) that have a place; None where none has."""
+    places = nodes.where(_number("lat") & _number("lng")).groupBy(F.col("lat").alias("n_lat"), F.col("lng").alias("n_lng")).agg(F.min("id").alias("node_id"))
+    with scratch(nodes.sparkSession) as tables:
+        places = tables.keep(places)
+        box = places.agg(*(f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("n_lat", "n_lng"))).first()
+        if box["min_n_lat"] is None:
+            return None
+        south, west = box["min_n_lat"], box["min_n_lng"]
+        # a little larger, so that no place lies on the far side
+        side = max(box["max_n_lat"] - south, box["max_n_lng"] - west, 1e-9) * (1 + 1e-9)
+        cells, leaves, level, open_ = [], [], 0, places
+        while True:
+            step = side / FAN**level
+            number = lambda c, start, step=step: F.floor((F.col(c) - F.lit(start)) / F.lit(step)).cast("long")
+            at = open_.withColumns({"x": number("n_lat", south), "y": number("n_lng", west)})
+            last = FAN ** (level + 1) > 1 << DEEPEST
+            counted = at.groupBy("x", "y").agg(F.count("*").alias("n")).withColumn("leaf", (F.col("n") <= leaf) | F.lit(last))
+            own, counts = tables.keep_counted(counted, "x", "y", open=~F.col("leaf"))
+            cells.append(own.select(F.lit(level).alias("level"), "x", "y", "leaf"))
+            met = at.join(own.select("x", "y", "leaf"), ["x", "y"]).select(F.lit(level).alias("level"), "x", "y", "leaf", "node_id", "n_lat", "n_lng")
+            if not counts["open"]:  # all that is left lies in leaves
+                leaves.append(met)
+                break
+            met = tables.keep(met)
+            leaves.append(met.where("leaf"))
+            open_ = met.where("not leaf").select("node_id", "n_lat", "n_lng")
+            level += 1
+        every = reduce(DataFrame.unionByName, leaves).drop("leaf")
+        all_cells = written(reduce(DataFrame.unionByName, cells))
+        levels = [all_cells.where(F.col("level") == k).drop("level") for k in range(level + 1)]
+        return Index(written(every.repartition("level", "x", "y").sortWithinPartitions("level", "x", "y")), levels, south, west, side)
+
+
+def _descend(tables: Scratch, clicks: DataFrame, index: Index) -> DataFrame:
+    """(key, lat, lng, level, x, y): the leaves that may hold a click's nearest place, for clicks(key, lat, lng)."""
+    one = index.side * LOOSE
+    rows, leaves = clicks.select("key", "lat", "lng", F.lit(None).cast("double").alias("best"), F.lit(0).cast("long").alias("px"), F.lit(0).cast("long").alias("py")), []
+    for level, cells in enumerate(index.cells):
+        # the root is the only cell of its level; the parent of any other
+        up = 1 if level == 0 else FAN
+        met = rows.join(cells.withColumns({"px": F.floor(F.col("x") / up).cast("long"), "py": F.floor(F.col("y") / up).cast("long")}), ["px", "py"])
+        south, west, step = index.corner(level, F.col("x"), F.col("y"))
+        near = lambda c, start, step=step: F.greatest(start - F.col(c), F.col(c) - start - F.lit(step), F.lit(0.0))
+        far = lambda c, start, step=step: F.greatest(F.abs(F.col(c) - start), F.abs(F.col(c) - start - F.lit(step)))
+        least = F.greatest(near("lat", south) - one, F.lit(0.0)), F.greatest(near("lng", west) - one, F.lit(0.0))
+        most = far("lat", south) + one, far("lng", west) + one
+        met = met.withColumns({"low": least[0] * least[0] + least[1] * least[1], "high": most[0] * most[0] + most[1] * most[1]})
+        best = F.least(F.min("high").over(Window.partitionBy("key")), F.col("best"))
+        kept = tables.keep(met.withColumn("best", best).where("low <= best").select("key", "lat", "lng", "best", "x", "y", "leaf"))
+        leaves.append(kept.where("leaf").select("key", "lat", "lng", F.lit(level).alias("level"), "x", "y"))
+        rows = kept.where("not leaf").select("key", "lat", "lng", "best", F.col("x").alias("px"), F.col("y").alias("py"))
+    return reduce(DataFrame.unionByName, leaves)
+
+
+def snap(clicks: DataFrame, nodes: DataFrame | Index) -> DataFrame:
     """(click_id, node_id, d2) for clicks(click_id, lat, lng); no row where there are no nodes or a coordinate is null or no number.
 
-    Nodes and clicks meet by grid cell: a click looks into its cell and the eight around it. A hit no farther than the
-    cell's side is proven nearest, as nothing outside the nine cells is nearer; the other clicks try again with a larger
-    cell. So every click ends with the true nearest node, and clicks are never crossed with all nodes but those that
-    are so far away that any grid would.
+    Equal clicks go down once. ``nodes`` may be an index made before.
     """
-    places = nodes.where(_number("lat") & _number("lng")).select(F.col("id").alias("node_id"), F.col("lat").alias("n_lat"), F.col("lng").alias("n_lng"))
-    pending = clicks.select("click_id", "lat", "lng").where(_number("lat") & _number("lng"))
-    found = None
-    cell = cell or cell_side(nodes)
-    if cell is None:
-        return pending.where(F.lit(False)).select("click_id", F.lit(None).cast("long").alias("node_id"), F.lit(None).cast("double").alias("d2"))
-    while True:
-        side = F.lit(float(cell))
-        cells = lambda lat, lng: (F.floor(F.col(lat) / side), F.floor(F.col(lng) / side))  # noqa: E731,B023
-        own = dict(zip(("x", "y"), cells("n_lat", "n_lng"), strict=True))
-        x, y = cells("lat", "lng")
-        around = F.array(*(F.struct((x + i).alias("x"), (y + j).alias("y")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-        looks = pending.withColumn("c", F.explode(around)).select("click_id", "lat", "lng", "c.x", "c.y")
+    asked = clicks.select("click_id", "lat", "lng").where(_number("lat") & _number("lng"))
+    index = nodes if isinstance(nodes, Index) else build(nodes)
+    if index is None:
+        return asked.where(F.lit(False)).select("click_id", F.lit(None).cast("long").alias("node_id"), F.lit(None).cast("double").alias("d2"))
+    with scratch(clicks.sparkSession) as tables:
+        points = tables.keep(asked.select("lat", "lng").distinct().withColumn("key", F.monotonically_increasing_id()))
+        found = _descend(tables, points, index)
         d2 = degree_distance(F.col("lat"), F.col("lng"), F.col("n_lat"), F.col("n_lng"))
-        hits = looks.join(places.withColumns(own), ["x", "y"]).select("click_id", F.struct(d2.alias("d2"), "node_id").alias("hit"))
-        best = hits.groupBy("click_id").agg(F.min("hit").alias("hit")).select("click_id", "hit.node_id", "hit.d2").where(F.col("d2") <= side * side)
-        best = cut(best)
-        found = best if found is None else found.unionByName(best)
-        pending = cut(pending.join(best, "click_id", "left_anti"))
-        if pending.isEmpty():
-            return found
-        cell *= growth
+        hits = found.join(index.places, ["level", "x", "y"]).groupBy("key").agg(F.first("lat").alias("lat"), F.first("lng").alias("lng"), F.min(F.struct(d2.alias("d2"), "node_id")).alias("hit"))
+        hits = hits.select("lat", "lng", "hit.node_id", "hit.d2")
+        return written(asked.join(hits, ["lat", "lng"]).select("click_id", "node_id", "d2"))
 
 
-def snap_in_region(clicks: DataFrame, nodes: DataFrame, region: Region) -> DataFrame:
+def snap_in_region(clicks: DataFrame, nodes: DataFrame | Index, region: Region) -> DataFrame:
     """Snap the clicks inside the region only: (click_id, inside, node_id, d2) for every click."""
     inside = F.coalesce(region.contains(F.col("lat"), F.col("lng")), F.lit(False))
     marked = clicks.select("click_id", "lat", "lng", inside.alias("inside"))

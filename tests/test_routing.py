@@ -98,15 +98,39 @@ def test_a_route_over_a_missing_node_is_an_error(spark):
     assert (r["status"], r["path"], r["distance_meters"]) == (500, None, None) and r["error"]
 
 
-def test_snap_splits_dense_cells(spark):
-    places = [(i, 16.98 + (i * 7919 % 1009) * 1e-7, 81.77 + (i * 104729 % 1013) * 1e-7) for i in range(1500)] + [(5000, 10.0, 70.0), (5001, 30.0, 90.0)]
+def brute_snap(places, clicks):
+    return {c: min(places, key=lambda p: ((p[1] - a) ** 2 + (p[2] - b) ** 2, p[0]))[0] for c, a, b in clicks}
+
+
+@pytest.mark.parametrize("leaf", [1, 32])
+def test_snap_of_a_dense_town_copies_and_outliers(spark, leaf):
+    """No leaf is over its bound, a hundred thousand copies of one point are one place, and far clicks are no cross join."""
+    town = [(i, 16.98 + (i * 7919 % 1009) * 1e-7, 81.77 + (i * 104729 % 1013) * 1e-7) for i in range(700)]
+    places = town + [(5000, -80.0, -170.0), (5001, 80.0, 170.0), (5003, 17.0, 82.0), (5002, 17.0, 82.0)]
     nodes = spark.createDataFrame(places, "id long, lat double, lng double")
-    assert snap.cell_side(nodes) < 1e-3
-    clicks = [(1, 16.98003, 81.77004), (2, 11.0, 71.0)]
-    found = {r["click_id"]: r["node_id"] for r in snap.snap(spark.createDataFrame(clicks, "click_id long, lat double, lng double"), nodes).collect()}
-    assert found == {c: min(places, key=lambda p: ((p[1] - a) ** 2 + (p[2] - b) ** 2, p[0]))[0] for c, a, b in clicks}
-    one_point = spark.createDataFrame([(i, 16.98, 81.77) for i in range(1000)], "id long, lat double, lng double")
-    assert snap.cell_side(one_point) > 0
+    copies = spark.range(100_000).select((F.col("id") + 10_000).alias("id"), F.lit(17.5).alias("lat"), F.lit(82.5).alias("lng"))
+    index = snap.build(nodes.unionByName(copies), leaf)
+    assert index.places.count() == 704 and index.places.groupBy("level", "x", "y").count().agg(F.max("count")).first()[0] <= leaf
+    clicks = [(i, 16.98 + i * 3e-6, 81.77 + (i * i % 31) * 4e-6) for i in range(40)] + [(100, 11.0, 71.0), (101, 89.0, 179.0), (102, -500.0, 900.0), (103, 17.0, 82.0), (104, 17.5, 82.5), (105, 17.25, 82.25), (106, *places[7][1:]), (107, 11.0, 71.0)]
+    rows = spark.createDataFrame(clicks, "click_id long, lat double, lng double")
+    found = {r["click_id"]: r["node_id"] for r in snap.snap(rows, index).collect()}
+    assert found == brute_snap([*places, (10_000, 17.5, 82.5)], clicks) and found[103] == 5002
+    # bounded candidates: leaves that a click looks into
+    from roamgrid.plans.lineage import scratch
+
+    with scratch(spark) as tables:
+        looked = snap._descend(tables, rows.select(F.col("click_id").alias("key"), "lat", "lng"), index).groupBy("key").count().agg(F.max("count")).first()[0]
+    assert looked <= 40
+
+
+def test_snap_to_one_point_and_to_ties(spark):
+    nodes = spark.createDataFrame([(i, 16.98, 81.77) for i in range(7, 50)], "id long, lat double, lng double")
+    clicks = spark.createDataFrame([(1, 0.0, 0.0), (2, 16.98, 81.77)], "click_id long, lat double, lng double")
+    assert {r["click_id"]: r["node_id"] for r in snap.snap(clicks, nodes).collect()} == {1: 7, 2: 7}
+    # four places as far from the click, in four cells
+    square = [(4, 1.0, 1.0), (3, 1.0, -1.0), (2, -1.0, 1.0), (1, -1.0, -1.0)]
+    index = snap.build(spark.createDataFrame(square, "id long, lat double, lng double"), 1)
+    assert {r["node_id"] for r in snap.snap(clicks.where("click_id = 1"), index).collect()} == {1}
 
 
 def test_travel_time(spark):
