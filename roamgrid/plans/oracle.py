@@ -162,6 +162,7 @@ ORACLE = {
         (SELECT count(DISTINCT node) FROM bend) AS n_nodes, (SELECT count(*) FROM binner) AS n_inner, (SELECT count(DISTINCT node) FROM bend) - (SELECT count(*) FROM binner) AS n_stay,
         (SELECT count(*) FROM blink WHERE node IN (SELECT node FROM binner) AND other NOT IN (SELECT node FROM binner)) // 2 AS n_chains""", "binner"),
     "collapsed_distances": _with("SELECT tgt AS request_id, coalesce(d, -1e0) AS distance, coalesce(d, -1e0) AS length FROM (SELECT c_custkey AS tgt FROM customer UNION ALL SELECT 20000000 + (n_nationkey::BIGINT + 1) * 8 + 1 FROM nation) LEFT JOIN sp ON id = tgt", "bmap", search=_search("bmap", _ONE)),
+    "route_overlay": _with("SELECT n_nationkey::BIGINT AS request_id, coalesce(d, -1e0) AS distance FROM nation LEFT JOIN sp ON src = n_nationkey::BIGINT * 7 + 1 AND id = 200 - n_nationkey::BIGINT * 3", "grid", search=_search("grid", "SELECT n_nationkey::BIGINT * 7 + 1 AS src FROM nation")),
     "respond_broken_graph": "SELECT p_partkey AS request_id, CASE p_partkey % 10 WHEN 4 THEN 200 WHEN 3 THEN 400 ELSE 500 END AS status, CASE p_partkey % 10 WHEN 4 THEN 4e0 ELSE -1e0 END AS distance, (CASE p_partkey % 10 WHEN 4 THEN 5 ELSE 0 END)::BIGINT AS n_points FROM part WHERE p_partkey > 9 AND p_partkey % 10 IN (2, 3, 4, 8)",
     "respond_nothing_near": "SELECT p_partkey AS request_id, CASE p_partkey % 10 WHEN 2 THEN 500 WHEN 3 THEN 400 ELSE 503 END AS status, -1e0 AS distance, 0::BIGINT AS n_points FROM part WHERE p_partkey > 9 AND p_partkey % 10 IN (2, 3, 4, 8)",
     "respond_empty_graph": "SELECT p_partkey AS request_id, 503 AS status, -1e0 AS distance, 0::BIGINT AS n_points FROM part WHERE p_partkey > 9 AND p_partkey % 10 IN (2, 3, 4, 8)",

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from roamgrid.functions import wkb
 from roamgrid.functions.geo import haversine, kilometres, minutes, travel_seconds
-from roamgrid.operators import contract, graph, ingest, landmarks, quality, response, routing, snap
+from roamgrid.operators import contract, graph, ingest, landmarks, overlay, quality, response, routing, snap
 from roamgrid.plans.lineage import cut, shared_folder
 from roamgrid.region import REGION, Region, boxes
 from roamgrid.sources import driver_tables as source
@@ -447,6 +447,20 @@ def collapsed_distances(spark, d):
     return asked.select("request_id").join(whole, "request_id", "left").select("request_id", F.coalesce("distance", F.lit(-1.0)).alias("distance"), F.coalesce("length", F.lit(-1.0)).alias("length"))
 
 
+@query
+def route_overlay(spark, d):
+    """Of every nation, a route over the lattice of parts from cell border to cell border."""
+    k = F.col("p_partkey")
+    place = lambda x: F.floor(x).cast("double")
+    nodes = source.table(spark, d, "part").select(k.alias("id"), place(k / source.LATTICE).alias("lat"), (k % source.LATTICE).cast("double").alias("lng"))
+    n = F.col("n_nationkey").cast("long")
+    asked = cut(source.table(spark, d, "nation").select(n.alias("request_id"), (n * 7 + 1).alias("source"), (200 - n * 3).alias("target")))
+    whole = overlay.build(nodes, source.lattice(spark, d), 16)
+    edges = overlay.with_ends(whole, asked.select(F.explode(F.array("source", "target")).alias("node")))
+    found = contract.expand(routing.routes(asked, nodes, edges), edges)
+    return asked.select("request_id").join(found, "request_id", "left").select("request_id", F.coalesce("distance", F.lit(-1.0)).alias("distance"))
+
+
 def _chain(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Requests over chains of ten parts whose sixth is no node: to the fifth, over the hole to the ninth, without an end, and to outside."""
     k = F.col("p_partkey")

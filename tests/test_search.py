@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from roamgrid.operators import contract, landmarks, pairs, routing, walk
+from roamgrid.operators import contract, landmarks, overlay, pairs, routing, walk
 
 
 def dijkstra(edges, source):
@@ -210,3 +210,24 @@ def test_scratch_tables_go(spark):
     pairs.meet(spark.createDataFrame([(1, 2)], "source long, target long"), frame(spark, [(1, 2, 1)]))
     routing.distances(spark.createDataFrame([(1,)], "source long"), frame(spark, [(1, 2, 1)]))
     assert {r[0] for r in spark.sql("SHOW DATABASES").collect()} == before
+
+
+def test_overlay_of_cells(spark):
+    """A long map in cells of at most eighteen nodes; one-way edges, an edge over several cells, a node without a place, an island; fewer rounds."""
+    width, height, draw = 24, 3, random.Random(11)
+    edges = lattice(width, height, draw) + [(0, 12, 9), (12, 900, 2), (900, 20, 2), (901, 902, 1)]
+    edges = [e for k, e in enumerate(edges) if k % 11]
+    nodes = spark.createDataFrame([(x * height + y, x / 100, y / 100) for x in range(width) for y in range(height)] + [(900, None, 1.0), (901, 0.23, 0.23), (902, 0.23, 0.23)], "id long, lat double, lng double")
+    known = overlay.cells(nodes, 18)
+    assert known.count() == width * height + 2 and known.where("node < 900").groupBy("cell").count().agg(F.max("count")).first()[0] <= 18
+    whole = overlay.build(nodes, frame(spark, edges), 18)
+    border = {r["node"] for r in whole.border.collect()}
+    assert all(not border & set(r["inner"]) for r in whole.edges.collect()) and len(border) < 60
+    asked = sorted({(draw.randrange(72), draw.randrange(72)) for _ in range(5)} | {(0, 71), (71, 0), (0, 1), (1, 0), (5, 5), (900, 3), (3, 900), (901, 902), (3, 901)})
+    ends = spark.createDataFrame([(x,) for pair in asked for x in pair], "node long")
+    short = overlay.with_ends(whole, ends)
+    found = pairs.meet(spark.createDataFrame(asked, "source long, target long"), short).withColumn("request_id", F.monotonically_increasing_id())
+    check(edges, contract.expand(found, short).collect(), asked)
+    # rounds for cells crossed, not for nodes
+    rounds = [routing.distances(spark.createDataFrame([(0,)], "source long"), g)[1] for g in (short, frame(spark, edges))]
+    assert rounds[0] < 0.8 * rounds[1], rounds
