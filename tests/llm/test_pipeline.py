@@ -71,7 +71,7 @@ def test_no_long_passage_repeats_line_by_line(steps):
                 words += len(x.split())
                 if words >= 51:
                     break
-            if words >= 51 and all(len(x.split()) >= 8 for x in run):
+            if words >= 51:
                 assert seen.setdefault(tuple(run), r["doc_id"]) == r["doc_id"]
 
 
@@ -116,7 +116,7 @@ def test_odd_rows_pass_every_stage(spark, sf_dir, odd, none):
 
 def test_registered_queries():
     names = set(queries.queries())
-    assert {m[1] for n in names if (m := re.match(r"op(\d+)_", n))} == {str(i) for i in range(1, 11)} and "pipeline" in names
+    assert {m[1] for n in names if (m := re.match(r"op(\d+)_", n))} == {str(i) for i in range(1, 14)} and "pipeline" in names
     assert set(queries.oracle_sql()) <= names and len(CLASHING) > 10 and len(ROWS) > 10 and bounded_batches and decontam
 
 
