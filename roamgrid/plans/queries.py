@@ -438,7 +438,8 @@ def _lengths(spark: SparkSession, d: str, found: DataFrame) -> DataFrame:
 
 @query
 def collapsed_distances(spark, d):
-    """From customer 1 over the collapsed map to every customer and every bend of an order of the first region's nations' keys; distance as found and as the way's steps add up to."""
+    """From customer 1 over the collapsed map to every customer, and into the chains: to the first bend of the order with each
+    nation's number. The distance as found, and as the way's steps add up on the map that is not collapsed."""
     customer = source.table(spark, d, "customer").select(F.col("c_custkey").alias("target"))
     bends = source.table(spark, d, "nation").select((F.lit(source.BEND) + (F.col("n_nationkey") + 1) * 8 + 1).cast("long").alias("target"))
     asked = cut(customer.union(bends).select(F.col("target").alias("request_id"), F.lit(1).cast("long").alias("source"), "target"))
