@@ -100,8 +100,8 @@ def binary_chunks(batch: pa.RecordBatch, limit: int = CHUNK_BYTES) -> Iterator[t
         yield batch.column(0).slice(start, len(texts)).to_pylist(), texts
 
 
-def word_pieces(text: bytes, table: bytes, size: int = PIECE_BYTES) -> Iterator[list[bytes]]:
-    """The words of a text's bytes, mapped through ``table`` (256 bytes) first, by pieces of about ``size``; white space separates."""
+def pieces(text: bytes, table: bytes | None = None, size: int = PIECE_BYTES) -> Iterator[bytes]:
+    """A text's bytes in pieces of about ``size``, mapped through ``table`` (256 bytes) if there is one; no word is cut, white space separates."""
     start = 0
     while start < len(text):
         end, reach = start + size, size
@@ -111,10 +111,16 @@ def word_pieces(text: bytes, table: bytes, size: int = PIECE_BYTES) -> Iterator[
             piece, end, reach = piece + text[end : end + reach].translate(table), end + reach, 2 * reach
         if end < len(text):
             piece, end = piece[:cut], start + cut
-        yield piece.split()
+        yield piece
         start = end
 
 
+def word_pieces(text: bytes, table: bytes, size: int = PIECE_BYTES) -> Iterator[list[bytes]]:
+    """The words of a text's bytes, by ``pieces``."""
+    for piece in pieces(text, table, size):
+        yield piece.split()
+
+
 def byte_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
     """As ``chunks``, of a string or binary column as UTF-8 bytes."""
     return chunks((x.as_py() for x in column.cast(pa.binary())), limit, b"")

@@ -26,11 +26,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, unused
+from .common import checkpoint, unused, word_pieces
 from .components import components
 
 WORDS, SEED, BITS = 3, 42, 3
 PIVOTS = 16
+_LOWER = bytes(range(256)).lower()
 TILE = 8192
 #: Reference fingerprints: the XXH64 digests of the first numbers.
 REFERENCES = np.array([xxhash.xxh64_intdigest(str(i).encode(), SEED) for i in range(PIVOTS)], np.uint64)
@@ -50,21 +51,28 @@ class Blocks:
 
 
 def fingerprint(text: bytes, words: int = WORDS) -> int:
-    """Of lower-cased (A-Z) UTF-8."""
-    found = text.lower().split()
-    if not found:
-        return 0
+    """Of lower-cased (A-Z) UTF-8. A long text goes by pieces; the last words of a piece begin the shingles of the next."""
+    ones, count, held = np.zeros(64, np.int64), 0, []
+    for piece in word_pieces(text, _LOWER):
+        held += piece
+        if len(held) >= words:
+            ones += _ones(held, words)
+            count += len(held) - words + 1
+            held = held[len(held) - words + 1 :]
+    if not count:
+        if not held:
+            return 0
+        ones, count = _ones(held, len(held)), 1
+    return int(np.packbits(2 * ones > count, bitorder="little").view("<u8")[0])
+
+
+def _ones(found: list[bytes], words: int) -> np.ndarray:
+    """In how many of the shingles' digests each bit is set."""
     joined = b" ".join(found)
-    count = max(1, len(found) - words + 1)
     ends = list(accumulate(len(x) + 1 for x in found))
-    starts = [0, *ends]
-    last = ends[words - 1 :] if len(found) >= words else ends[-1:]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a : b - 1], SEED) for a, b in zip(starts[:count], last, strict=True)], "<u8")
-    ones = np.zeros(64, np.int64)
-    for at in range(0, count, 1 << 16):
-        ones += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > count, bitorder="little").view("<u8")[0])
+    hashes = np.array([digest(joined[a : b - 1], SEED) for a, b in zip([0, *ends], ends[words - 1 :])], "<u8")
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
