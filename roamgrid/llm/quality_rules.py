@@ -16,10 +16,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_bucket
+from .common import PIECE_BYTES, binary_text, id_bucket, word_pieces
 from .quality_mil import labelled_sample
 
 TRAIN_DOCS = 6000
@@ -27,51 +28,111 @@ FOLDS = 5
 WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
 WHITE = b" \t\n\r\f\v"
+_SAME = bytes(range(256))
+#: Windows handled together.
+STEP = 1 << 16
 NAMES = ("log_words", "word_length", "symbols", "dup_lines", "repeats", "capitals", "digits", "marks", "wide", "distinct", "line_words", "shouts")
 #: -1: the score may not rise with the feature.
 MONOTONE = np.array([0, 0, -1, -1, -1, -1, 0, 0, 0, 0, 0, -1])
 _MIX = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) | 1 for i in range(WINDOW)], np.uint64)
 
 
-def repeated_words(words: list[bytes]) -> int:
-    """Words inside 8-word windows that occur at least twice in the text."""
-    count = len(words) - WINDOW + 1
-    if count < 2:
+def windows(hashes: np.ndarray) -> np.ndarray:
+    """A hash of every 8 words, of the hashes of all words."""
+    rolled = np.zeros(max(0, len(hashes) - WINDOW + 1), np.uint64)
+    for low in range(0, len(rolled), STEP):
+        own = hashes[low : low + STEP + WINDOW - 1]
+        own = own ^ (own >> np.uint64(29))
+        for i in range(WINDOW):
+            rolled[low : low + STEP] += own[i : len(own) - WINDOW + 1 + i] * _MIX[i]
+    return rolled
+
+
+def repeated_words(text: bytes, rolled: np.ndarray) -> int:
+    """Words inside 8-word windows that occur at least twice in the text; ``rolled`` are the windows' hashes."""
+    order = np.argsort(rolled)
+    next_same = np.zeros(len(rolled), bool)  # of places in the order
+    for low in range(0, len(rolled), STEP):
+        own = rolled[order[low : low + STEP + 1]]
+        next_same[low : low + len(own) - 1] = own[1:] == own[:-1]
+    if not next_same.any():
         return 0
-    hashes = np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)
-    rolled = np.zeros(count, np.uint64)
+    starts = word_starts(text)
+    window = lambda at: text[starts[at] : starts[at + WINDOW]]
+    twice = np.zeros(len(rolled), bool)
+    bad: set[int] = set()
+    for low in range(0, len(rolled), STEP):  # equal hashes are compared as words
+        some = np.flatnonzero(next_same[low : low + STEP]) + low
+        for a, b in zip(order[some].tolist(), order[some + 1].tolist(), strict=True):
+            if (x := window(a)) == (y := window(b)) or x.split() == y.split():
+                twice[a] = twice[b] = True
+            else:
+                bad.add(int(rolled[a]))
+    for value in bad:  # different windows of one hash
+        groups: dict[tuple, list[int]] = {}
+        for at in np.flatnonzero(rolled == np.uint64(value)).tolist():
+            groups.setdefault(tuple(window(at).split()), []).append(at)
+        for group in groups.values():
+            twice[group] = len(group) > 1
+    covered = np.zeros(len(rolled) + WINDOW - 1, bool)
     for i in range(WINDOW):
-        rolled += (hashes[i : i + count] ^ (hashes[i : i + count] >> np.uint64(29))) * _MIX[i]
-    order = np.sort(rolled)
-    twice = order[1:][order[1:] == order[:-1]]
-    if not len(twice):
-        return 0
-    seen: dict[tuple, list[int]] = {}
-    for at in np.flatnonzero(np.isin(rolled, twice)).tolist():  # equal hashes are compared as words
-        seen.setdefault(tuple(words[at : at + WINDOW]), []).append(at)
-    cover = np.zeros(len(words) + 1, np.int64)
-    starts = np.array([at for group in seen.values() if len(group) > 1 for at in group], np.int64)
-    np.add.at(cover, starts, 1)
-    np.add.at(cover, starts + WINDOW, -1)
-    return int((np.cumsum(cover) > 0).sum())
-
-
-def statistics(text: str) -> tuple[int, int, int, int, int, list[float]]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and the features."""
-    raw = text.encode("utf-8", "surrogatepass")
-    words = raw.split()
-    lines = [x for x in raw.split(b"\n") if x.strip()]
-    size = len(raw)
-    white = size - len(raw.translate(None, WHITE))
-    symbols = size - len(raw.translate(None, SYMBOLS))
-    dup = len(lines) - len(set(lines))
-    repeat = repeated_words(words)
-    n, chars = len(words), len(text) - white
-    seen = np.bincount(np.frombuffer(raw, np.uint8), minlength=256) if raw else np.zeros(256, np.int64)
+        covered[i : i + len(rolled)] |= twice
+    return int(covered.sum())
+
+
+def word_starts(text: bytes) -> np.ndarray:
+    """Where each word begins, and the text's end."""
+    space = np.zeros(256, bool)
+    space[list(WHITE)] = True
+    found, before = [], True
+    for low in range(0, len(text), PIECE_BYTES):
+        own = space[np.frombuffer(text, np.uint8, min(PIECE_BYTES, len(text) - low), low)]
+        found.append((np.flatnonzero(~own & np.concatenate([[before], own[:-1]])) + low).astype(np.uint32))
+        before = bool(own[-1])
+    return np.concatenate([*found, np.array([len(text)], np.uint32)])
+
+
+def distinct(values: np.ndarray) -> int:
+    values = np.sort(values)
+    return int((values[1:] != values[:-1]).sum()) + min(1, len(values))
+
+
+def repeated_lines(text: bytes) -> tuple[int, int]:
+    """Lines with a word, and how many of them equal an earlier one. Lines are held as 128-bit digests."""
+    digests, start = bytearray(), 0
+    while start < len(text):
+        end = text.find(b"\n", min(len(text), start + PIECE_BYTES))
+        end = len(text) if end < 0 else end
+        for line in text[start:end].split(b"\n"):
+            if line and not line.isspace():
+                digests += xxhash.xxh3_128_digest(line)
+        start = end + 1
+    pairs = np.frombuffer(digests, np.uint64).reshape(-1, 2)
+    if distinct(pairs[:, 0]) == len(pairs):
+        return len(pairs), 0
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+    return len(pairs), int((pairs[1:] == pairs[:-1]).all(axis=1).sum())
+
+
+def statistics(text: str | bytes) -> tuple[int, int, int, int, int, list[float]]:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and the features. Words are held as 64-bit hashes."""
+    raw = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text
+    seen = np.zeros(256, np.int64)
+    for low in range(0, len(raw), PIECE_BYTES):
+        seen += np.bincount(np.frombuffer(raw, np.uint8, min(PIECE_BYTES, len(raw) - low), low), minlength=256)
+    n_lines, dup = repeated_lines(raw)
+    hashes = np.concatenate([np.zeros(0, np.int64), *(np.fromiter(map(hash, x), np.int64, len(x)) for x in word_pieces(raw, _SAME))]).view(np.uint64)
+    n, kinds, rolled = len(hashes), distinct(hashes), windows(hashes)
+    del hashes
+    repeat = repeated_words(raw, rolled)
+    del rolled
+    symbols = int(seen[list(SYMBOLS)].sum())
+    # code points begin with any byte but 80 to BF
+    chars = len(raw) - int(seen[128:192].sum()) - int(seen[list(WHITE)].sum())
     of = lambda a, b: float(seen[a:b].sum())
     each, letters = max(1, n), max(1, chars)
     marks = of(33, 48) + of(58, 65) + of(91, 97) + of(123, 127)
-    features = [float(np.log1p(n)), chars / each, symbols / each, dup / max(1, len(lines)), repeat / each, of(65, 91) / letters, of(48, 58) / letters, marks / letters, of(128, 256) / letters, len(set(words)) / each, n / max(1, len(lines)), float(seen[33]) / each]
+    features = [float(np.log1p(n)), chars / each, symbols / each, dup / max(1, n_lines), repeat / each, of(65, 91) / letters, of(48, 58) / letters, marks / letters, of(128, 256) / letters, kinds / each, n / max(1, n_lines), float(seen[33]) / each]
     return n, chars, symbols, dup, repeat, features
 
 
@@ -140,15 +201,15 @@ def grow(x: np.ndarray, label: np.ndarray, trees: int = 60, depth: int = 3, rate
     return Trees(np.array(roots), np.array(feature), np.array(limit), np.array(left), np.array(right), np.array(value), base, depth)
 
 
-def _rows(texts: Iterator[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    found = [statistics(x or "") for x in texts]
+def _rows(texts: Iterator[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    found = [statistics(x or b"") for x in texts]
     return np.array([r[:5] for r in found], np.int64).reshape(-1, 5), np.array([r[5] for r in found], np.float64).reshape(-1, len(NAMES))
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Trees | None:
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _rows((v.as_py() or b"").decode("utf-8", "replace") for v in batch.column(0))[1]
+            x = _rows(v.as_py() for v in batch.column(0))[1]
             yield pa.record_batch([pa.array([v.tobytes() for v in x], pa.binary()), batch.column(1)], ["x", "label"])
 
     sample = labelled_sample(docs, labels, id_bucket("doc_id", FOLDS) != 0, most)
@@ -172,4 +233,4 @@ def apply_rules(docs: DataFrame, trees: Trees | None, threshold: float = 0.3) ->
             yield pa.record_batch([batch.column(0), *columns], names)
 
     schema = "doc_id long, " + ", ".join(f"{n} long" for n in names[1:6]) + ", base_failed boolean, score double, kept boolean"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(ruled, schema)
+    return binary_text(docs).mapInArrow(ruled, schema)
