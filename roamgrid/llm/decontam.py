@@ -25,6 +25,7 @@ columns are not read and kept by ``drop_leaks``.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, chunks
+from .common import byte_chunks, checkpoint, pieces
 
 SHARD_ITEMS = 4096
 SHARD_WORDS = 1 << 19
@@ -46,6 +47,8 @@ BLOCK = 4
 K1, B = 1.2, 0.75
 #: Bytes of the table of which term is in which segment.
 CELLS = 1 << 23
+#: Bytes of documents that a task holds until all shards are through, where there are several.
+HELD_BYTES = 32 << 20
 _PLAIN = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 
 
@@ -54,6 +57,13 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "surrogatepass").translate(_PLAIN).split()
 
 
+def _pieces(text: str | bytes | None) -> Iterator[list[bytes]]:
+    """``words_of`` a long text, by pieces that end at white space."""
+    raw = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text or b""
+    for piece in pieces(raw):
+        yield words_of(piece.decode("utf-8", "surrogatepass" if isinstance(text, str) else "replace"))
+
+
 def _grams(words: list, n: int = 3) -> set[tuple]:
     n = min(n, len(words))
     return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if n else set()
@@ -127,36 +137,39 @@ class Index:
         self.block_max = np.array([w for x in maxima for w in x.values()])
         self.block_limit = np.array([self.limit[k * BLOCK : (k + 1) * BLOCK].min() for k in range(len(maxima))])
 
-    def leaks(self, texts: list[str | None], seen: Counter | None = None) -> list[list[Match]]:
+    def leaks(self, texts: list[str | bytes | None], seen: Counter | None = None) -> list[list[Match]]:
         """Verified matches of each text, the best of each item. ``seen`` counts passages, blocks met and items scored."""
         out: list[list[Match]] = [[] for _ in texts]
         if not self.ids:
             return out
-        split = [words_of(t) for t in texts]
-        lengths = np.array([len(w) for w in split], np.int64)
+        number = lambda words: np.fromiter(map(self.terms.get, words, repeat(-1)), np.int32, len(words))
+        numbers = [[number(w) for w in _pieces(t)] for t in texts]
+        lengths = np.array([sum(map(len, x)) for x in numbers], np.int64)
+        ids = np.concatenate([np.zeros(0, np.int32), *chain.from_iterable(numbers)])
+        del numbers
         segments = -(-lengths // self.segment) + 1  # an empty one behind each text
         first = np.cumsum(segments) - segments
-        ids = np.fromiter(map(self.terms.get, chain.from_iterable(split), repeat(-1)), np.int32, int(lengths.sum()))
-        place = np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        segment = np.repeat(first, lengths) + place // self.segment
-        known = ids >= 0
-        at, term = segment[known], ids[known]
         last = np.zeros(int(segments.sum()), bool)
         last[first + segments - 1] = True
-        edge = np.searchsorted(at, np.arange(len(last) + 1))
-        for low in range(0, len(last), rows := max(1, CELLS // len(self.terms) - 1)):  # steps that overlap by a segment
+        own = np.repeat(np.arange(len(texts)), segments)
+        # the word at which each segment begins
+        edge = np.append((np.cumsum(lengths) - lengths)[own] + np.minimum((np.arange(len(last)) - first[own]) * self.segment, lengths[own]), len(ids))
+        for low in range(0, len(last), rows := self._rows()):  # steps that overlap by a segment
             high = min(len(last), low + rows + 1)
-            mine = slice(edge[low], edge[high])
-            has = np.zeros((high - low + 1, len(self.terms)), bool)
-            has[at[mine] - low, term[mine]] = True
+            term = ids[edge[low] : edge[high]]
+            at = np.repeat(np.arange(high - low), np.diff(edge[low : high + 1]))[term >= 0]
+            has = _Has(at, term := term[term >= 0], high - low, len(self.terms))
             passage = np.flatnonzero(~last[low : min(low + rows, len(last))])
-            has[:-1] |= has[1:]  # row s: the segments s and s + 1
-            where, items = self._retrieve(has, passage, at[mine] - low, term[mine], seen)
+            where, items = self._retrieve(has, passage, at, term, seen)
             if len(where):
                 self._verify(where, items, low, first, lengths, ids, out)
         return [list({m.item_id: m for m in sorted(o, key=lambda m: m.score)}.values()) for o in out]
 
-    def _retrieve(self, has: np.ndarray, passage: np.ndarray, at: np.ndarray, term: np.ndarray, seen: Counter | None) -> tuple[np.ndarray, list[tuple[int, float]]]:
+    def _rows(self) -> int:
+        """Segments of a step: as many as ``CELLS`` allows with all terms of the index or with as many terms as the step has words."""
+        return max(1, CELLS // len(self.terms) - 1, math.isqrt(CELLS // self.segment) - 1)
+
+    def _retrieve(self, has: _Has, passage: np.ndarray, at: np.ndarray, term: np.ndarray, seen: Counter | None) -> tuple[np.ndarray, list[tuple[int, float]]]:
         """Passages and (part, score) of all pairs that reach the part's threshold."""
         number = len(self.block_limit)
         hit = self.postings.sizes[term] > 0
@@ -164,7 +177,7 @@ class Index:
         key = at[hit][row] * number + block
         met = np.unique(np.concatenate([key, key - number]))  # a segment is in its own passage and in the one before
         where, block = np.divmod(met[met >= 0], number)
-        inside = np.zeros(len(has), bool)
+        inside = np.zeros(has.rows + 1, bool)
         inside[passage] = True
         inside = inside[where]
         where, block = where[inside], block[inside]
@@ -197,6 +210,24 @@ class Index:
                 out[text].append(Match(self.ids[self.item[part]], score, float(self.own[part]), word, *shares))
 
 
+class _Has:
+    """Which term is in which passage of a step: a table with a column for each term that the step has, so its size follows the text and not the benchmark."""
+
+    def __init__(self, at: np.ndarray, term: np.ndarray, rows: int, terms: int):
+        self.rows = rows
+        mark = np.zeros(terms, bool)
+        mark[term] = True
+        met = np.flatnonzero(mark)
+        self.column = np.full(terms, len(met), np.int32)  # the last column is of no term
+        self.column[met] = np.arange(len(met))
+        self.table = np.zeros((rows + 1, len(met) + 1), bool)
+        self.table[at, self.column[term]] = True
+        self.table[:-1] |= self.table[1:]  # row s: the segments s and s + 1
+
+    def of(self, row: np.ndarray, term: np.ndarray) -> np.ndarray:
+        return self.table[row, self.column[term]]
+
+
 class _Lists:
     """Lists of numbers in one array."""
 
@@ -215,8 +246,8 @@ class _Lists:
         row, place = self.places(which)
         return row, self.flat[place].astype(np.int64)
 
-    def sums(self, weights: np.ndarray, which: np.ndarray, has: np.ndarray, where: np.ndarray) -> np.ndarray:
-        """Of each list asked for, the sum of the weights of its terms in the row ``where`` of ``has``; in steps of bounded size."""
+    def sums(self, weights: np.ndarray, which: np.ndarray, has: _Has, where: np.ndarray) -> np.ndarray:
+        """Of each list asked for, the sum of the weights of its terms in the passage ``where``; in steps of bounded size."""
         total = np.zeros(len(which))
         if not len(which):
             return total
@@ -224,7 +255,7 @@ class _Lists:
         cut = [0, *(np.searchsorted(upto, np.arange(1 << 20, int(upto[-1]), 1 << 20)) + 1).tolist(), len(which)]
         for a, b in zip(cut, cut[1:]):
             row, place = self.places(which[a:b])
-            total[a:b] = np.bincount(row, weights[place] * has[where[a:b][row], self.flat[place]], b - a)
+            total[a:b] = np.bincount(row, weights[place] * has.of(where[a:b][row], self.flat[place]), b - a)
         return total
 
 
@@ -282,17 +313,34 @@ def _shared(docs: DataFrame, benchmark: DataFrame, share: float, overlap: float)
     return [context.broadcast(x) for x in shards(benchmark, share, overlap)]
 
 
-def _matches(texts: list[str | None], shared: list) -> list[list[Match]]:
-    """Of all shards, the best match of each item; one shard is in memory at a time."""
-    found: list[list[Match]] = [[] for _ in texts]
+def _held(batches: Iterator[pa.RecordBatch], shared: list) -> Iterator[list[pa.RecordBatch]]:
+    """Batches of about ``HELD_BYTES`` together where there are several shards, so that a shard is not read for each batch."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if len(shared) == 1 or size >= HELD_BYTES:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _matches(held: list[pa.RecordBatch], at: int, shared: list) -> list[list[list[Match]]]:
+    """For each batch and row, the best match of each item in all shards; one shard is in memory at a time."""
+    found: list[list[list[Match]]] = [[[] for _ in range(batch.num_rows)] for batch in held]
     for one in shared:
         index = one.value
-        for start, some in chunks(texts):
-            for k, own in enumerate(index.leaks(some), start):
-                found[k] += own
+        for own, batch in zip(found, held, strict=True):
+            for start, some in byte_chunks(batch.column(at)):
+                for k, matches in enumerate(index.leaks(some), start):
+                    own[k] += matches
         if len(shared) > 1:
-            one.__dict__.pop("_value", None)  # read again from the executor's copy for the next batch
-    return [list({m.item_id: m for m in sorted(o, key=lambda m: m.score)}.values()) for o in found] if len(shared) > 1 else found
+            del index
+            one.__dict__.pop("_value", None)  # read again from the executor's copy for the next documents
+    if len(shared) > 1:
+        found = [[list({m.item_id: m for m in sorted(o, key=lambda m: m.score)}.values()) for o in own] for own in found]
+    return found
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, overlap: float = OVERLAP) -> DataFrame:
@@ -301,9 +349,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, over
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.float64(), pa.float64()]
-        for batch in batches:
-            ids = batch.column(0).to_pylist()
-            matches = _matches([x.as_py() for x in batch.column(1)], shared)
+        for held in _held(batches, shared):
+            ids = [i for batch in held for i in batch.column(0).to_pylist()]
+            matches = chain.from_iterable(_matches(held, 1, shared))
             rows = [(i, m.item_id, m.score, m.own_score, m.word, m.question, m.answer) for i, found in zip(ids, matches, strict=True) for m in found]
             yield pa.record_batch([pa.array(list(c), k) for c, k in zip(zip(*rows) if rows else [[]] * 7, kinds, strict=True)], [x.split()[0] for x in LEAK.split(", ")])
 
@@ -316,8 +364,8 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, over
     shared = _shared(docs, benchmark, share, overlap)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            matches = _matches([x.as_py() for x in batch.column(at)], shared)
-            yield batch.filter(pa.array([not found for found in matches], pa.bool_()))
+        for held in _held(batches, shared):
+            for batch, matches in zip(held, _matches(held, at, shared), strict=True):
+                yield batch.filter(pa.array([not found for found in matches], pa.bool_()))
 
     return docs.mapInArrow(clean, docs.schema)
