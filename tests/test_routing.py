@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from roamgrid.operators import graph, quality, response, routing, snap
+from roamgrid.plans import lineage
 from roamgrid.region import REGION
 from roamgrid.schemas import EDGES, NODES
 from roamgrid.sources import driver_tables, store
@@ -236,3 +237,27 @@ def test_lookups_reach_the_scan(spark, tmp_path):
     assert store.node_exists(nodes, 3) and not store.node_exists(nodes, 9)
     assert [r["id"] for r in store.page(nodes, 1, 2).collect()] == [3]
     assert [f.count() for f in store.without_node(nodes, edges, 3)] == [2, 1]
+
+
+def test_a_route_to_the_same_node_is_that_node_where_others_lie_at_its_place(spark):
+    nodes = spark.createDataFrame([(3, 3, 0.0, 0.0), (5, 5, 0.0, 0.0), (7, 7, 1.0, 0.0)], "id long, osm_id long, lat double, lng double")
+    edges = spark.createDataFrame([(5, 3, 0.0), (3, 5, 0.0), (5, 7, 2.0)], "from_node_id long, to_node_id long, weight double")
+    asked = spark.createDataFrame([(1, 5, 5), (2, 3, 3), (3, 5, 7), (4, 9, 9)], "request_id long, source long, target long")
+    found = {r["request_id"]: (list(r["node_ids"]), r["distance"]) for r in routing.routes(asked, nodes, edges).collect()}
+    assert found == {1: ([5], 0.0), 2: ([3], 0.0), 3: ([5, 7], 2.0)}
+
+
+def test_places_of_the_broken_chains_are_their_own(spark, tmp_path):
+    """Beyond a million parts the road network's places come again; a chain's click must not snap to another chain's node."""
+    from roamgrid.plans import queries
+
+    spark.range(1_022_100, 1_022_140).union(spark.range(0, 40)).select(F.col("id").alias("p_partkey")).write.parquet(f"{tmp_path}/part.parquet")
+    rows = {r["request_id"]: r["status"] for r in queries.respond_broken_graph(spark, str(tmp_path)).collect()}
+    wanted = {2: 500, 3: 400, 4: 200, 8: 500}
+    assert rows == {k: wanted[k % 10] for k in [*range(10, 40), *range(1_022_100, 1_022_140)] if k % 10 in wanted}
+
+
+def test_each_bucket_is_one_file(spark):
+    with lineage.scratch(spark) as tables:
+        rows = tables.keep(spark.range(0, 1000, 1, 16).selectExpr("id % 7 as node", "id as dist"), "node")
+        assert len(rows.inputFiles()) <= tables.buckets and rows.count() == 1000
