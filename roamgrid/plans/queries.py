@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from roamgrid.functions import wkb
 from roamgrid.functions.geo import haversine, kilometres, minutes, travel_seconds
-from roamgrid.operators import contract, graph, ingest, landmarks, overlay, quality, response, routing, snap
+from roamgrid.operators import contract, graph, ingest, landmarks, nested, overlay, quality, response, routing, snap
 from roamgrid.plans.lineage import cut, shared_folder
 from roamgrid.region import REGION, Region, boxes
 from roamgrid.sources import driver_tables as source
@@ -340,9 +340,17 @@ def sssp_distances(spark, d):
     return _from_one(spark, _graph(spark, d)[1]).select("node", _r3("dist").alias("dist"))
 
 
+def _grid(spark: SparkSession, d: str) -> DataFrame:
+    """The lattice's nodes, by row and column."""
+    k = F.col("p_partkey")
+    return source.table(spark, d, "part").select(k.alias("id"), F.floor(k / source.LATTICE).cast("double").alias("lat"), (k % source.LATTICE).cast("double").alias("lng"))
+
+
 @query
 def sssp_lattice(spark, d):
-    return _from_one(spark, source.lattice(spark, d)).select("node", "dist")
+    """Over nested cells: the lattice has as many hops as rows."""
+    start = spark.range(1, 2).withColumnRenamed("id", "source")
+    return nested.nested_distances(start, _grid(spark, d), source.lattice(spark, d)).select("node", "dist")
 
 
 def _routes(spark: SparkSession, d: str, requests: DataFrame) -> DataFrame:
@@ -451,9 +459,7 @@ def collapsed_distances(spark, d):
 @query
 def route_overlay(spark, d):
     """Of every nation, a route over the lattice of parts from cell border to cell border."""
-    k = F.col("p_partkey")
-    place = lambda x: F.floor(x).cast("double")
-    nodes = source.table(spark, d, "part").select(k.alias("id"), place(k / source.LATTICE).alias("lat"), (k % source.LATTICE).cast("double").alias("lng"))
+    nodes = _grid(spark, d)
     n = F.col("n_nationkey").cast("long")
     asked = cut(source.table(spark, d, "nation").select(n.alias("request_id"), (n * 7 + 1).alias("source"), (200 - n * 3).alias("target")))
     whole = overlay.build(nodes, source.lattice(spark, d), 16)

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from roamgrid.operators import contract, landmarks, overlay, pairs, routing, walk
+from roamgrid.operators import contract, landmarks, nested, overlay, pairs, routing, walk
 
 
 def dijkstra(edges, source):
@@ -231,3 +231,39 @@ def test_overlay_of_cells(spark):
     # rounds for cells crossed, not for nodes
     rounds = [routing.distances(spark.createDataFrame([(0,)], "source long"), g)[1] for g in (short, frame(spark, edges))]
     assert rounds[0] < 0.8 * rounds[1], rounds
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_nested_cells_have_the_graphs_distances(spark, seed):
+    """Long strips: dozens of hops, several levels of cells; one-way streets, places that are shared or missing, weights of zero."""
+    draw = random.Random(seed)
+    edges = []
+    for k in range(240):
+        for n in ((k + 1) if k % 4 < 3 else k + 4, k + 4):
+            if n < 240 and draw.random() < 0.95:
+                w = draw.randrange(6)
+                edges += [(k, n, w)] + ([(n, k, w + draw.randrange(2))] if draw.random() < 0.8 else [])
+    edges += [(300, 301, 1), (7, 7, 2)]
+    rows = [(k, None if k in (50, 51, 120) else float(k // 8), float(k % 4)) for k in range(240)]
+    nodes = spark.createDataFrame(rows, "id long, lat double, lng double")
+    sources = spark.createDataFrame([(1,), (130,), (999,)], "source long")
+    found = nested.nested_distances(sources, nodes, frame(spark, edges), size=12).collect()
+    ours = {(r["source"], r["node"]): r["dist"] for r in found}
+    assert len(found) == len(ours)
+    assert ours == {(s, n): d for s in (1, 130, 999) for n, d in dijkstra(edges, s).items()}
+
+
+def test_nested_cells_take_no_round_for_each_hop(spark, monkeypatch):
+    rounds = []
+
+    def counted(*given):
+        found = routing.distances(*given)
+        rounds.append(found[1])
+        return found
+
+    monkeypatch.setattr(nested, "distances", counted)
+    edges = [(k, k + 1, 1) for k in range(4000)]
+    nodes = spark.range(4001).selectExpr("id", "id * 1.0d as lat", "0.0d as lng")
+    found = nested.nested_distances(spark.createDataFrame([(0,)], "source long"), nodes, frame(spark, edges), size=64)
+    assert {r["node"]: r["dist"] for r in found.collect()} == {k: float(k) for k in range(4001)}
+    assert rounds[0] <= 64
