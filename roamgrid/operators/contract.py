@@ -13,6 +13,7 @@ puts the inner nodes back into paths. Distances are the uncontracted graph's but
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,21 +61,27 @@ def _links(edges: DataFrame) -> DataFrame:
 
 def _ranked(tables: Scratch, darts: DataFrame, inner: DataFrame) -> DataFrame:
     """Darts(node, back, ahead, out, into) with ``end`` (the junction ahead), ``last`` (the node before it) and ``rank``
-    (nodes up to there, the dart's own counted); ``end`` is null in rings, where ``least`` is the ring's least node."""
+    (nodes up to there, the dart's own counted); ``end`` is null in rings, where ``least`` is the ring's least node.
+
+    A doubling moves and writes the darts that have not ended; those that have stay where they were written."""
     ahead = darts.join(inner.select(F.col("node").alias("ahead"), F.lit(True).alias("goes_on")), "ahead", "left")
     goes = F.col("goes_on").isNotNull()
-    state, counts = tables.keep_counted(ahead.select("node", "back", "ahead", "out", "into", F.when(goes, F.col("ahead")).alias("at"), F.when(goes, F.col("node")).alias("at_back"), F.when(~goes, F.col("ahead")).alias("end"), F.col("node").alias("last"), F.lit(1).cast("long").alias("rank"), F.col("node").alias("least")), "node", "back", moves=F.col("at").isNotNull())
-    total, rounds = counts["rows"], 0
+    names = ["at", "at_back", "end", "last", "rank", "least"]
+    state, counts = tables.keep_counted(ahead.select("node", "back", F.when(goes, F.col("ahead")).alias("at"), F.when(goes, F.col("node")).alias("at_back"), F.when(~goes, F.col("ahead")).alias("end"), F.col("node").alias("last"), F.lit(1).cast("long").alias("rank"), F.col("node").alias("least")), "node", "back", moves=F.col("at").isNotNull())
+    total, rounds, parts = counts["rows"], 0, [state]
     # after this many doublings a pointer has gone over more darts than there are: what has not ended is a ring
     while rounds <= total.bit_length() and counts["moves"]:
-        far = state.select(F.col("node").alias("at"), F.col("back").alias("at_back"), F.col("at").alias("f_at"), F.col("at_back").alias("f_back"), F.col("end").alias("f_end"), F.col("last").alias("f_last"), F.col("rank").alias("f_rank"), F.col("least").alias("f_least"))
-        moved = state.join(far, ["at", "at_back"], "left")
-        own = F.col("at").isNull()
-        before = state
-        state, counts = tables.keep_counted(moved.select("node", "back", "ahead", "out", "into", F.col("f_at").alias("at"), F.col("f_back").alias("at_back"), F.coalesce("end", "f_end").alias("end"), F.when(own, F.col("last")).otherwise(F.col("f_last")).alias("last"), (F.col("rank") + F.coalesce("f_rank", F.lit(0))).alias("rank"), F.least("least", F.coalesce("f_least", "least")).alias("least")), "node", "back", moves=F.col("at").isNotNull())
-        tables.drop(before)
+        moved = state.where("at is not null")
+        for i, part in enumerate(parts):  # of the last part all darts, of those before the ended ones: each dart is in one
+            own = part if part is state else part.where("at is null")
+            moved = moved.join(own.select(F.col("node").alias("at"), F.col("back").alias("at_back"), F.struct(*names).alias(f"f{i}")), ["at", "at_back"], "left")
+        far = F.coalesce(*(F.col(f"f{i}") for i in range(len(parts))))
+        moved = moved.select("node", "back", "rank", "least", far.alias("f")).select("node", "back", "f.at", "f.at_back", "f.end", "f.last", (F.col("rank") + F.col("f.rank")).alias("rank"), F.least("least", "f.least").alias("least"))
+        state, counts = tables.keep_counted(moved, "node", "back", moves=F.col("at").isNotNull())
+        parts.append(state)
         rounds += 1
-    return state
+    whole = reduce(DataFrame.unionByName, (p if p is state else p.where("at is null") for p in parts))
+    return tables.keep(darts.join(whole.select("node", "back", "end", "last", "rank", "least"), ["node", "back"]), "node")
 
 
 def contract(edges: DataFrame, keep: DataFrame | None = None, longest: int = LONGEST) -> Contracted:
