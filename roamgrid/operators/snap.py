@@ -4,20 +4,21 @@ An index is a quadtree over the nodes' places, made once for any number of batch
 one (the least id stands for it), cells are halved twice a level where they hold more than ``LEAF`` places, and nowhere
 else. So a dense town has small cells, far outliers cost a few levels, and no leaf holds more than ``LEAF`` places.
 
-Clicks go down the tree together, a round a level. A cell that is not empty has a place no farther than its farthest
-corner; cells whose nearest corner is farther than the least of these bounds are given up. Only the few leaves that are
-left are looked into. So a click never meets more than ``LEAF`` places of a leaf, however nodes and clicks lie, and rounds
-are as many as the tree has levels.
+Clicks go down the tree together, a round a level, twice: first each into the nearest cell of every level, so that the
+nearest place of one leaf is a bound; then into all cells that are not farther than this bound, most often one or two.
+Only the few leaves that are left are looked into. A cell's children and a leaf's places are one row each, so that a
+click meets them in its own row and nothing is sorted or gathered by click before the end. So a click never meets more
+than ``LEAF`` places of a leaf, however nodes and clicks lie, and rounds are twice as many as the tree has levels.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from roamgrid.functions.geo import degree_distance
 from roamgrid.plans.lineage import Scratch, scratch, written
@@ -27,6 +28,8 @@ from roamgrid.region import Region
 LEAF, FAN, DEEPEST = 32, 4, 40
 #: Corners are computed in another way than cells: bounds are loosened by this share of the box's side.
 LOOSE = 1e-12
+#: Levels of at most a few thousand parents: every task has them.
+FEW_LEVELS = 4
 
 
 def nearest(nodes: DataFrame, lat: float, lng: float) -> DataFrame:
@@ -41,10 +44,11 @@ def _number(c: str) -> Column:
 
 @dataclass(frozen=True)
 class Index:
-    """places(level, x, y, node_id, n_lat, n_lng) by leaf, sorted by it; for each level its cells(x, y, leaf); the box
-    begins at (south, west), cells of level k have the side ``side / FAN ** k``."""
+    """places(level, x, y, node_id, n_lat, n_lng) by leaf, sorted by it, and as one row for each leaf (``held``); for each level
+    its cells(x, y, leaf); the box begins at (south, west), cells of level k have the side ``side / FAN ** k``."""
 
     places: DataFrame
+    leaves: DataFrame
     cells: list[DataFrame]
     south: float
     west: float
@@ -86,28 +90,55 @@ def build(nodes: DataFrame, leaf: int = LEAF) -> Index | None:
         every = reduce(DataFrame.unionByName, leaves).drop("leaf")
         all_cells = written(reduce(DataFrame.unionByName, cells))
         levels = [all_cells.where(F.col("level") == k).drop("level") for k in range(level + 1)]
-        return Index(written(every.repartition("level", "x", "y").sortWithinPartitions("level", "x", "y")), levels, south, west, side)
+        every = written(every.repartition("level", "x", "y").sortWithinPartitions("level", "x", "y"))
+        held = every.groupBy("level", "x", "y").agg(F.collect_list(F.struct("n_lat", "n_lng", "node_id")).alias("held"))
+        return Index(every, written(held), levels, south, west, side)
+
+
+def _children(index: Index, level: int) -> DataFrame:
+    """(px, py, below): the cells of a level by their parent, at most FAN * FAN of them as an array."""
+    up = 1 if level == 0 else FAN  # the root is the only cell of its level
+    parent = lambda c: F.floor(F.col(c) / up).cast("long").alias(f"p{c}")
+    rows = index.cells[level].groupBy(parent("x"), parent("y")).agg(F.collect_list(F.struct("x", "y", "leaf")).alias("below"))
+    # the upper levels have few cells, which very many clicks meet
+    return F.broadcast(rows) if level <= FEW_LEVELS else rows
+
+
+def _low(index: Index, level: int, cell: Column) -> Column:
+    """How near a cell's places may be, squared."""
+    south, west, step = index.corner(level, cell["x"], cell["y"])
+    near = lambda c, start: F.greatest(F.greatest(start - F.col(c), F.col(c) - start - F.lit(step), F.lit(0.0)) - F.lit(index.side * LOOSE), F.lit(0.0))
+    a, b = near("lat", south), near("lng", west)
+    return a * a + b * b
+
+
+def _down(tables: Scratch, clicks: DataFrame, index: Index, chosen: Callable[[int], Column]) -> DataFrame:
+    """The clicks' rows at the leaves that they come to, where ``chosen`` takes some of the cells in ``below``."""
+    zero = F.lit(0).cast("long")
+    rows, leaves = clicks.withColumns({"px": zero, "py": zero}), []
+    for level in range(len(index.cells)):
+        met = rows.join(_children(index, level), ["px", "py"]).select(*clicks.columns, F.explode(chosen(level)).alias("c"))
+        kept = tables.keep(met.select(*clicks.columns, "c.x", "c.y", "c.leaf"))
+        leaves.append(kept.where("leaf").select(*clicks.columns, F.lit(level).alias("level"), "x", "y"))
+        rows = kept.where("not leaf").select(*clicks.columns, F.col("x").alias("px"), F.col("y").alias("py"))
+    return reduce(DataFrame.unionByName, leaves)
+
+
+def _hit(index: Index, rows: DataFrame) -> DataFrame:
+    """The rows with ``hit``, the nearest place of the leaf that each is at."""
+    d2 = lambda x: degree_distance(F.col("lat"), F.col("lng"), x["n_lat"], x["n_lng"])
+    nearest = F.array_min(F.transform("held", lambda x: F.struct(d2(x).alias("d2"), x["node_id"].alias("node_id"))))
+    return rows.join(index.leaves, ["level", "x", "y"]).withColumn("hit", nearest).drop("held")
 
 
 def _descend(tables: Scratch, clicks: DataFrame, index: Index) -> DataFrame:
-    """(key, lat, lng, level, x, y): the leaves that may hold a click's nearest place, for clicks(key, lat, lng)."""
-    one = index.side * LOOSE
-    rows, leaves = clicks.select("key", "lat", "lng", F.lit(None).cast("double").alias("best"), F.lit(0).cast("long").alias("px"), F.lit(0).cast("long").alias("py")), []
-    for level, cells in enumerate(index.cells):
-        # the root is the only cell of its level; the parent of any other
-        up = 1 if level == 0 else FAN
-        met = rows.join(cells.withColumns({"px": F.floor(F.col("x") / up).cast("long"), "py": F.floor(F.col("y") / up).cast("long")}), ["px", "py"])
-        south, west, step = index.corner(level, F.col("x"), F.col("y"))
-        near = lambda c, start, step=step: F.greatest(start - F.col(c), F.col(c) - start - F.lit(step), F.lit(0.0))
-        far = lambda c, start, step=step: F.greatest(F.abs(F.col(c) - start), F.abs(F.col(c) - start - F.lit(step)))
-        least = F.greatest(near("lat", south) - one, F.lit(0.0)), F.greatest(near("lng", west) - one, F.lit(0.0))
-        most = far("lat", south) + one, far("lng", west) + one
-        met = met.withColumns({"low": least[0] * least[0] + least[1] * least[1], "high": most[0] * most[0] + most[1] * most[1]})
-        best = F.least(F.min("high").over(Window.partitionBy("key")), F.col("best"))
-        kept = tables.keep(met.withColumn("best", best).where("low <= best").select("key", "lat", "lng", "best", "x", "y", "leaf"))
-        leaves.append(kept.where("leaf").select("key", "lat", "lng", F.lit(level).alias("level"), "x", "y"))
-        rows = kept.where("not leaf").select("key", "lat", "lng", "best", F.col("x").alias("px"), F.col("y").alias("py"))
-    return reduce(DataFrame.unionByName, leaves)
+    """(key, lat, lng, best, level, x, y): the leaves that may hold a click's nearest place, for clicks(key, lat, lng)."""
+    asked = clicks.select("key", "lat", "lng")
+    # first to one leaf, by the nearest cell of each level: its nearest place is a bound
+    nearest = lambda level: F.array(F.array_min(F.transform("below", lambda c: F.struct(_low(index, level, c).alias("low"), c["x"].alias("x"), c["y"].alias("y"), c["leaf"].alias("leaf")))))
+    bound = (F.col("hit.d2") * (1 + LOOSE)).alias("best")
+    known = tables.keep(_hit(index, _down(tables, asked, index, nearest)).select("key", "lat", "lng", bound))
+    return _down(tables, known, index, lambda level: F.filter("below", lambda c: _low(index, level, c) <= F.col("best")))
 
 
 def snap(clicks: DataFrame, nodes: DataFrame | Index) -> DataFrame:
@@ -122,9 +153,7 @@ def snap(clicks: DataFrame, nodes: DataFrame | Index) -> DataFrame:
     with scratch(clicks.sparkSession) as tables:
         points = tables.keep(asked.select("lat", "lng").distinct().withColumn("key", F.monotonically_increasing_id()))
         found = _descend(tables, points, index)
-        d2 = degree_distance(F.col("lat"), F.col("lng"), F.col("n_lat"), F.col("n_lng"))
-        hits = found.join(index.places, ["level", "x", "y"]).groupBy("key").agg(F.first("lat").alias("lat"), F.first("lng").alias("lng"), F.min(F.struct(d2.alias("d2"), "node_id")).alias("hit"))
-        hits = hits.select("lat", "lng", "hit.node_id", "hit.d2")
+        hits = _hit(index, found).groupBy("lat", "lng").agg(F.min("hit").alias("hit")).select("lat", "lng", "hit.node_id", "hit.d2")
         return written(asked.join(hits, ["lat", "lng"]).select("click_id", "node_id", "d2"))
 
 
