@@ -97,7 +97,7 @@ def way_highway_filter(spark, d):
 def bbox_way_select(spark, d):
     """The box is the region's south-west quarter, so that ways fall outside."""
     box = Region("quarter", REGION.south, 16.985, REGION.west, 81.79)
-    return ingest.ways_in_box(_ways(spark, d), _nodes(spark, d), box).select("osm_way_id")
+    return ingest.way_ids_in_box(_ways(spark, d), _nodes(spark, d), box)
 
 
 @query
