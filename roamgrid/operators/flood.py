@@ -15,7 +15,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roamgrid.operators.graph import reduced
@@ -176,9 +176,8 @@ class Blocks:
         begun = starts.withColumn("block", _block("node", self.number)).groupBy("block").applyInArrow(lambda rows: _begin(rows, known), _STATE)
 
         def kept(rows: DataFrame) -> tuple[DataFrame, dict]:
-            seen = Observation()
-            each = [f(F.get(name, F.lit(i))).alias(f"{name}_{i}") for i in columns for f, name in ((F.sum, "missing"), (F.max, "farthest"))]
-            return tables.keep(rows.observe(seen, F.sum("n_open").alias("open"), *each), "block", lies=True), seen.get
+            each = {f"{name}_{i}": f(F.get(name, F.lit(i))) for i in columns for f, name in ((F.sum, "missing"), (F.max, "farthest"))}
+            return tables.keep_observed(rows, "block", lies=True, values={"open": F.sum("n_open")} | each)
 
         state, counts = kept(begun)
         rounds = 0

@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,11 +64,18 @@ class Scratch:
         self.kept[table] = self.spark.table(table)
         return self.kept[table]
 
+    def keep_observed(self, rows: DataFrame, *keys: str, values: dict[str, Column], lies: bool = False) -> tuple[DataFrame, dict]:
+        """As ``keep``, with aggregates over the rows, taken by the job that writes them."""
+        seen, each = Observation(), [c.alias(name) for name, c in values.items()]
+        kept = self.keep(rows.observe(seen, *each), *keys, lies=lies)
+        try:
+            return kept, seen.get
+        except Py4JJavaError:  # a job without a single task (its input turned out to be empty) has observed nothing
+            return kept, kept.agg(*each).first().asDict()
+
     def keep_counted(self, rows: DataFrame, *keys: str, lies: bool = False, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
         """As ``keep``, with counts of rows that hold, taken by the job that writes them."""
-        seen = Observation()
-        counted = [F.count_if(c).alias(name) for name, c in counts.items()]
-        return self.keep(rows.observe(seen, F.count(F.lit(1)).alias("rows"), *counted), *keys, lies=lies), seen.get
+        return self.keep_observed(rows, *keys, lies=lies, values={"rows": F.count(F.lit(1))} | {name: F.count_if(c) for name, c in counts.items()})
 
     def drop(self, *tables: DataFrame) -> None:
         """Remove tables that were kept, with their files."""
