@@ -355,8 +355,10 @@ def sssp_lattice(spark, d):
 
 def _routes(spark: SparkSession, d: str, requests: DataFrame) -> DataFrame:
     nodes, edges = _graph(spark, d)
-    found = routing.routes(requests, nodes, edges)
-    return requests.join(found, "request_id", "left").select("request_id", F.coalesce(F.array_join("node_ids", ">"), F.lit("")).alias("path"), _r3(F.coalesce("distance", F.lit(-1.0))).alias("distance"))
+    # a number of its own for each: two requests may have the same id (supplier 0 asks as 0 and as -0)
+    asked = cut(requests.withColumn("number", F.monotonically_increasing_id()))
+    found = routing.routes(asked.select(F.col("number").alias("request_id"), "source", "target"), nodes, edges).withColumnRenamed("request_id", "number")
+    return asked.join(found, "number", "left").select("request_id", F.coalesce(F.array_join("node_ids", ">"), F.lit("")).alias("path"), _r3(F.coalesce("distance", F.lit(-1.0))).alias("distance"))
 
 
 @query
