@@ -1,7 +1,8 @@
 """Collapse of chains: runs of nodes with exactly two neighbours become single edges that hold them as an array.
 
 On a road map most nodes only bend a road. A search over the contracted edges takes a round for each junction, not for
-each bend. Chains are found by list ranking: every inner node has two darts, one for each way out; a dart points to the
+each bend. Nodes that lie together on a road mostly have near numbers: chains whose nodes all fall into one block of numbers
+are found within that block, without moving anything but the links into their blocks. Other chains are found by list ranking: every inner node has two darts, one for each way out; a dart points to the
 next node's dart, and pointers are doubled until they stand at a junction, so a chain of n nodes takes log2(n) joins and
 no chain is ever walked. Rings without a junction get one (their least node). A chain is cut behind every ``longest``
 nodes, so that no array is unbounded.
@@ -15,13 +16,19 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from roamgrid.operators.graph import reduced
 from roamgrid.plans.lineage import Scratch, scratch, written
 
 LONGEST = 4096
+#: Bits of a number within its block.
+BLOCK = 15
+
+_RUNS = "first long, second long, nodes array<long>, there array<double>, back array<double>, whole boolean"
 
 
 @dataclass(frozen=True)
@@ -51,12 +58,55 @@ def _least(rest: DataFrame, chains: DataFrame) -> DataFrame:
     return every.groupBy("from_node_id", "to_node_id").agg(F.min(F.struct("weight", "inner")).alias("x")).select("from_node_id", "to_node_id", "x.weight", "x.inner")
 
 
-def _links(edges: DataFrame) -> DataFrame:
-    """(node, other, out, into): every neighbour with the least weights to and from it; no self-loops."""
-    sound = reduced(edges).where("from_node_id <> to_node_id")
+def _links(edges: DataFrame, keep: DataFrame | None, buckets: int) -> DataFrame:
+    """(block, node, other, out, into, inner): every neighbour with the least weights to and from it, no self-loops; ``inner`` where a
+    node has two and is not in keep(node). Rows lie by their block."""
+    sound = edges.where((F.col("weight") < 1.7976931348623157e308) & (F.col("from_node_id") != F.col("to_node_id")))
     f, t, w, none = F.col("from_node_id"), F.col("to_node_id"), F.col("weight"), F.lit(None).cast("double")
     ends = F.explode(F.array(F.struct(f.alias("node"), t.alias("other"), w.alias("out"), none.alias("into")), F.struct(t.alias("node"), f.alias("other"), none.alias("out"), w.alias("into"))))
-    return sound.select(ends.alias("x")).select("x.*").groupBy("node", "other").agg(F.min("out").alias("out"), F.min("into").alias("into"))
+    rows = sound.select(ends.alias("x")).select("x.*").withColumn("stays", F.lit(False))
+    if keep is not None:
+        rows = rows.drop("stays").join(keep.select("node", F.lit(True).alias("stays")).distinct(), "node", "left")
+    rows = rows.withColumn("block", F.shiftright("node", BLOCK)).repartition(buckets, "block")
+    links = rows.groupBy("block", "node", "other").agg(F.min("out").alias("out"), F.min("into").alias("into"), F.max("stays").alias("stays"))
+    number = F.count("*").over(Window.partitionBy("block", "node"))
+    return links.select("block", "node", "other", "out", "into", ((number == 2) & ~F.coalesce("stays", F.lit(False))).alias("inner"))
+
+
+def _runs(rows: pa.Table, longest: int) -> pa.Table:
+    """The runs of a block's inner nodes, from their rows(node, other, out, into), two for each; ``whole`` is false for rings and for what
+    is longer than ``longest`` (nodes only). Pointers are doubled as in ``_ranked``."""
+    order = np.lexsort((rows["other"].to_numpy(), rows["node"].to_numpy()))
+    node, other, out, into = (rows[c].to_numpy(zero_copy_only=False)[order] for c in ("node", "other", "out", "into"))
+    out, into = out.astype(float), into.astype(float)
+    ids, number = node[::2], len(node) // 2
+    # dart 2 i + s stands at node i and looks to its neighbour s
+    at = np.minimum(np.searchsorted(ids, other), number - 1)
+    goes = ids[at] == other
+    # at the next node it looks to the neighbour that it does not come from
+    ahead = np.where(goes, 2 * at + (other[2 * at] == node), np.arange(2 * number))
+    rank = goes.astype(np.int64)
+    for _ in range(number.bit_length() + 1):
+        rank, ahead = rank + rank[ahead], ahead[ahead]
+    ring = goes[ahead]
+    # the end with the lesser (junction, node before it) comes first
+    p, q = ahead[::2], ahead[1::2]
+    turned = (other[p] > other[q]) | ((other[p] == other[q]) & (node[p] > node[q]))
+    dart = 2 * np.arange(number) + turned  # looks to the first end
+    key, place = ahead[dart], rank[dart]
+    broken = ring[::2] | ring[1::2]
+    key = np.where(broken, -1, key)
+    order = np.lexsort((place, key))
+    dart, key, broken = dart[order], key[order], broken[order]
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    sizes = np.diff(np.append(starts, number))
+    whole = ~broken[starts] & (sizes <= longest)
+    final = dart[starts + sizes - 1] ^ 1
+    # one weight more than nodes: behind each run's last node the step to the second end
+    weights = lambda own, last: np.insert(own[dart], starts + sizes, last[final])
+    lists = lambda values, more: pa.ListArray.from_arrays(pa.array(np.append(starts, number) + np.arange(len(starts) + 1) * more, pa.int32()), values)
+    real = lambda x: pa.array(x, mask=np.isnan(x))
+    return pa.table({"first": other[dart[starts]], "second": other[final], "nodes": lists(pa.array(node[dart]), 0), "there": lists(real(weights(into, out)), 1), "back": lists(real(weights(out, into)), 1), "whole": whole})
 
 
 def _ranked(tables: Scratch, darts: DataFrame, inner: DataFrame) -> DataFrame:
@@ -91,17 +141,34 @@ def contract(edges: DataFrame, keep: DataFrame | None = None, longest: int = LON
 
 
 def _contract(tables: Scratch, edges: DataFrame, keep: DataFrame | None, longest: int) -> Contracted:
-    links = tables.keep(_links(edges), "node")
-    inner = links.groupBy("node").agg(F.count("*").alias("n")).where("n = 2").select("node")
-    if keep is not None:
-        inner = inner.join(keep.select("node").distinct(), "node", "left_anti")
-    inner = tables.keep(inner, "node")
-    own = links.join(inner, "node", "left_semi")
+    links = tables.keep(_links(edges, keep, tables.buckets), "block", lies=True)
+    runs = links.where("inner").select("block", "node", "other", "out", "into").groupBy("block").applyInArrow(lambda rows: _runs(rows, longest), _RUNS)
+    runs = tables.keep(runs.withColumn("head", F.element_at("nodes", 1)))
+    own = runs.select(F.explode("nodes").alias("node"))
+    # a run that ends at another block's inner node is a part of a chain
+    ends = runs.where("whole").select("head", F.explode(F.array("first", "second")).alias("node"))
+    parts = tables.keep(ends.join(own, "node", "left_semi").select("head").union(runs.where("not whole").select("head")).distinct())
+    chains = runs.join(parts, "head", "left_anti").select("first", "second", "nodes", "there", "back")
+    at = lambda rows, end: rows.select(F.col("node").alias(f"{end}_node_id"))
+    edge = lambda rows: rows.where("out is not null").select(F.col("node").alias("from_node_id"), F.col("other").alias("to_node_id"), F.col("out").alias("weight"))
+    if parts.isEmpty():
+        return Contracted(written(chains), written(edge(links.where("not inner")).join(at(own, "to"), "to_node_id", "left_anti")))
+    inner = tables.keep(runs.join(parts, "head", "left_semi").select(F.explode("nodes").alias("node")), "node")
+    more, stays = _crossing(tables, tables.keep(links.where("inner").drop("block", "inner").join(inner, "node", "left_semi"), "node"), inner, longest)
+    stays = tables.keep(stays)
+    kept = own.join(stays, "node", "left_anti")
+    rest = edge(links.where("not inner")).unionByName(edge(links.where("inner").join(stays, "node", "left_semi")))
+    return Contracted(written(chains.unionByName(more)), written(rest.join(at(kept, "to"), "to_node_id", "left_anti")))
+
+
+def _crossing(tables: Scratch, own: DataFrame, inner: DataFrame, longest: int) -> tuple[DataFrame, DataFrame]:
+    """The chains of the inner(node) nodes, and those(node) of them that are junctions after all, by list ranking over own(node, other, out,
+    into)."""
     # a dart looks from one neighbour (back) to the other (ahead)
     darts = own.alias("a").join(own.alias("b"), F.expr("a.node = b.node and a.other <> b.other")).select("a.node", F.col("b.other").alias("back"), F.col("a.other").alias("ahead"), "a.out", "a.into")
     darts = tables.keep(darts, "node", "back")
     ranked = _ranked(tables, darts, inner)
-    opened = ranked.where("end is null").select(F.col("least").alias("node")).distinct()
+    opened = tables.keep(ranked.where("end is null").select(F.col("least").alias("node")).distinct())
     if not opened.isEmpty():
         inner = tables.keep(inner.join(opened, "node", "left_anti"), "node")
         ranked = _ranked(tables, darts.join(inner, "node", "left_semi"), inner)
@@ -118,11 +185,7 @@ def _contract(tables: Scratch, edges: DataFrame, keep: DataFrame | None, longest
         F.element_at("m", 1)["before"].alias("first"), last["next"].alias("second"), field("node").alias("nodes"),
         F.concat(field("there"), F.array(last["out"])).alias("there"), F.concat(field("back"), F.array(last["into"])).alias("back"),
     )
-    kept = inner.join(both.where("stays").select("node"), "node", "left_anti")
-    at = lambda end: kept.select(F.col("node").alias(f"{end}_node_id"))
-    rest = links.where("out is not null").select(F.col("node").alias("from_node_id"), F.col("other").alias("to_node_id"), F.col("out").alias("weight"))
-    rest = rest.join(at("from"), "from_node_id", "left_anti").join(at("to"), "to_node_id", "left_anti")
-    return Contracted(written(chains), written(rest))
+    return chains, opened.unionByName(both.where("stays").select("node"))
 
 
 def split_at(contracted: Contracted, ends: DataFrame) -> Contracted:

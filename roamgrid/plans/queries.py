@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from roamgrid.functions import wkb
 from roamgrid.functions.geo import haversine, kilometres, minutes, travel_seconds
 from roamgrid.operators import contract, flood, graph, ingest, landmarks, nested, overlay, quality, response, routing, snap
-from roamgrid.plans.lineage import cut, shared_folder
+from roamgrid.plans.lineage import cut, shared_folder, written
 from roamgrid.region import REGION, Region, boxes
 from roamgrid.sources import driver_tables as source
 from roamgrid.sources import osm_json, store
@@ -423,7 +423,7 @@ def route_by_landmarks(spark, d):
 @query
 def collapsed_chains(spark, d):
     """What is left of the map of bends when its chains are collapsed: nodes and edges before, chains, nodes in them, nodes that stay."""
-    edges = cut(source.streets(spark, d))
+    edges = written(source.streets(spark, d))
     shape = contract.contract(edges)
     ends = F.explode(F.array("from_node_id", "to_node_id")).alias("node")
     before = edges.agg(F.count("*").alias("n_edges")).join(edges.select(ends).distinct().agg(F.count("*").alias("n_nodes")))
