@@ -434,7 +434,7 @@ def collapsed_chains(spark, d):
 def _collapsed(spark: SparkSession, d: str, asked: DataFrame) -> DataFrame:
     """Routes over the collapsed map of bends, with the bends put back."""
     shape = contract.contract(source.streets(spark, d))
-    edges = cut(contract.split_at(shape, asked.select(F.explode(F.array("source", "target")).alias("node"))).edges())
+    edges = written(contract.split_at(shape, asked.select(F.explode(F.array("source", "target")).alias("node"))).edges())
     nodes = edges.select(F.col("to_node_id").alias("id")).distinct()
     return contract.expand(routing.routes(asked, nodes, edges), edges)
 
@@ -453,7 +453,7 @@ def collapsed_distances(spark, d):
     customer = source.table(spark, d, "customer").select(F.col("c_custkey").alias("target"))
     bends = source.table(spark, d, "nation").select((F.lit(source.BEND) + (F.col("n_nationkey") + 1) * 8 + 1).cast("long").alias("target"))
     asked = cut(customer.union(bends).select(F.col("target").alias("request_id"), F.lit(1).cast("long").alias("source"), "target"))
-    found = cut(_collapsed(spark, d, asked))
+    found = written(_collapsed(spark, d, asked))
     whole = found.join(_lengths(spark, d, found), "request_id")
     return asked.select("request_id").join(whole, "request_id", "left").select("request_id", F.coalesce("distance", F.lit(-1.0)).alias("distance"), F.coalesce("length", F.lit(-1.0)).alias("length"))
 
